@@ -23,7 +23,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, hex_hash, let, ranked, same, staged, word_count
+from .common import WORD, hex_hash, ranked, same, staged, word_count
 
 
 @dataclass(frozen=True)
@@ -40,78 +40,53 @@ class Mix:
     seed: int = 1
 
 
-def _fraction(*parts) -> Column:
-    """A number in [0, 1) that depends on the parts alone."""
-    return F.xxhash64(*parts).bitwiseAND(F.lit((1 << 53) - 1)).cast("double") / F.lit(float(1 << 53))
+def _let(value: str, name: str, body: str) -> str:
+    """SQL for body with name bound to value."""
+    return f"transform(array({value}), {name} -> {body})[0]"
 
 
-def _hypergeometric(good: Column, all_: Column, n: Column, u: Column) -> Column:
-    """A draw of how many of n blocks taken from all_ are good ones, by inversion at u."""
-    one = F.lit(1.0)
+def _hypergeometric(x: str) -> str:
+    """SQL for a draw of how many of n blocks taken from `total` are of the g good ones, by inversion at u; x names a struct (g, total, n, u)."""
 
-    def walk(lo, hi, mode, target):
-        """(weight, total weight, pick) after going up from the mode and then down, weights relative to the mode's."""
+    def go(steps: str, start: str, ratio: str, target: str) -> str:
+        weight = f"s.p * ({ratio})"
+        return f"aggregate({steps}, {start}, (s, k) -> named_struct('p', {weight}, 'sum', s.sum + {weight}, 'pick', if(s.pick < 0 and s.sum + {weight} > {target}, k, s.pick)), s -> named_struct('p', 1d, 'sum', s.sum, 'pick', s.pick))"
 
-        def go(start, steps, ratio):
-            def step(a, k):
-                p = a.p * ratio(k)
-                return F.struct(p.alias("p"), (a.total + p).alias("total"), F.when((a.pick < 0) & (a.total + p > target), k).otherwise(a.pick).alias("pick"))
+    def walk(target: str) -> str:
+        """Weights relative to the mode's, from the mode up and then from it down; pick is where their sum first exceeds target."""
+        none = "cast(array() as array<bigint>)"
+        up, down = f"if(b.hi > b.mode, sequence(b.mode + 1, b.hi), {none})", f"if(b.lo < b.mode, sequence(b.mode - 1, b.lo, -1L), {none})"
+        start = f"named_struct('p', 1d, 'sum', 1d, 'pick', if(1d > {target}, b.mode, -1L))"
+        above = go(up, start, "(x.g - k + 1) * (x.n - k + 1) / (k * (x.total - x.g - x.n + k))", target)
+        return go(down, above, "(k + 1) * (x.total - x.g - x.n + k + 1) / ((x.g - k) * (x.n - k))", target)
 
-            return F.aggregate(steps, start, step)
-
-        none = F.array().cast("array<bigint>")
-        up = F.when(hi > mode, F.sequence(mode + 1, hi)).otherwise(none)
-        down = F.when(lo < mode, F.sequence(mode - 1, lo, F.lit(-1).cast("bigint"))).otherwise(none)
-        first = F.struct(one.alias("p"), one.alias("total"), F.when(one > target, mode).otherwise(F.lit(-1).cast("bigint")).alias("pick"))
-        bad = all_ - good
-        above = go(first, up, lambda k: (good - k + 1) * (n - k + 1) / (k * (bad - n + k)))
-        again = let(above, lambda a: F.struct(one.alias("p"), a.total.alias("total"), a.pick.alias("pick")))
-        return go(again, down, lambda k: (k + 1) * (bad - n + k + 1) / ((good - k) * (n - k)))
-
-    def draw(x):
-        total = walk(x.lo, x.hi, x.mode, F.lit(float("inf"))).total
-        pick = let(total, lambda t: walk(x.lo, x.hi, x.mode, u * t).pick)
-        return F.when(pick < 0, x.mode).otherwise(pick)
-
-    lo, hi = F.greatest(F.lit(0).cast("bigint"), n - all_ + good), F.least(n, good)
-    mode = F.least(hi, F.greatest(lo, F.floor((n + 1) * (good + 1) / (all_ + 2)).cast("bigint")))
-    reach = F.ceil(12 * F.sqrt(n * (good / all_) * (1 - good / all_)) + 20).cast("bigint")
-    bounds = let(F.struct(lo.alias("lo"), hi.alias("hi"), mode.alias("mode"), reach.alias("r")), lambda b: F.struct(F.greatest(b.lo, b.mode - b.r).alias("lo"), F.least(b.hi, b.mode + b.r).alias("hi"), b.mode.alias("mode")))
-    return F.when((n <= 0) | (good <= 0), F.lit(0).cast("bigint")).when(n >= all_, good).otherwise(let(bounds, draw))
+    lo, hi = "greatest(0L, x.n - x.total + x.g)", "least(x.n, x.g)"
+    mode = f"least({hi}, greatest({lo}, cast(floor((x.n + 1) * (x.g + 1) / (x.total + 2)) as bigint)))"
+    reach = "cast(ceil(12 * sqrt(x.n * (x.g / x.total) * (1 - x.g / x.total)) + 20) as bigint)"
+    pick = _let(f"{walk('double(\'infinity\')')}.sum", "t", f"{walk('x.u * t')}.pick")
+    bounds = _let(f"named_struct('mode', {mode}, 'reach', {reach})", "m", f"named_struct('lo', greatest({lo}, m.mode - m.reach), 'hi', least({hi}, m.mode + m.reach), 'mode', m.mode)")
+    drawn = _let(bounds, "b", _let(pick, "y", "if(y < 0, b.mode, y)"))
+    return _let(x, "x", f"case when x.n <= 0 or x.g <= 0 then 0L when x.n >= x.total then x.g else {drawn} end")
 
 
 def split_quotas(quotas: DataFrame, shards: int, seed: int) -> DataFrame:
     """(i, shard, n): how many of the q blocks of source number i each shard gets. quotas: rows (i, q)."""
-    kind = "struct<left:bigint,n:bigint,out:array<bigint>>"
+    kind = "struct<total:bigint,n:bigint,out:array<bigint>>"
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("i", "q"))), lambda x: x.q)
     nodes = quotas.agg(ordered.alias("q")).withColumn("lo", F.lit(0)).withColumn("hi", F.lit(shards))
-    total = F.aggregate("q", F.lit(0).cast("bigint"), lambda a, x: a + x)
-
-    def halves(q, lo, hi, mid):
-        """Quotas of the left half of a node."""
-
-        def step(a, i):
-            good = q[i.cast("int")]
-            u = _fraction(F.lit(seed), lo, hi, i)
-            x = _hypergeometric(good, a.left, a.n, u)
-            return let(x, lambda x: F.struct((a.left - good).alias("left"), (a.n - x).alias("n"), F.concat(a.out, F.array(x)).alias("out")).cast(kind))
-
-        capacity = F.col("capacity")
-        start = F.struct(F.col("total").alias("left"), capacity.alias("n"), F.array().cast("array<bigint>").alias("out")).cast(kind)
-        return F.when(F.size(q) > 0, F.aggregate(F.sequence(F.lit(0).cast("bigint"), F.size(q).cast("bigint") - 1), start, step).out).otherwise(q)
-
+    u = f"(xxhash64({seed}, lo, hi, i) & {(1 << 53) - 1}L) / {float(1 << 53)}d"
+    draw = _hypergeometric(f"named_struct('g', q[int(i)], 'total', a.total, 'n', a.n, 'u', {u})")
+    # one source after the other, from what the sources before it have left of the population and of the sample
+    step = _let(draw, "d", f"cast(named_struct('total', a.total - q[int(i)], 'n', a.n - d, 'out', concat(a.out, array(d))) as {kind})")
+    start = f"cast(named_struct('total', total, 'n', total * (mid - lo) div (hi - lo), 'out', array()) as {kind})"
+    halves = f"if(hi - lo > 1 and size(q) > 0, aggregate(sequence(0L, size(q) - 1L), {start}, (a, i) -> {step}).out, null)"
     while True:
-        width = -(-shards // 2)
-        mid = F.expr("lo + (hi - lo + 1) div 2")
-        nodes = nodes.withColumn("mid", mid).withColumn("total", total)
-        nodes = nodes.withColumn("capacity", F.expr("total * (mid - lo) div (hi - lo)"))
-        nodes = nodes.withColumn("left", F.when(F.col("hi") - F.col("lo") > 1, halves(F.col("q"), F.col("lo"), F.col("hi"), F.col("mid"))))
-        child = lambda q, lo, hi: F.struct(q.alias("q"), lo.alias("lo"), hi.alias("hi"))
-        right = F.zip_with("q", "left", lambda a, b: a - b)
-        nodes = nodes.select(F.explode(F.when(F.col("left").isNull(), F.array(child(F.col("q"), F.col("lo"), F.col("hi")))).otherwise(F.array(child(F.col("left"), F.col("lo"), F.col("mid")), child(right, F.col("mid"), F.col("hi"))))).alias("c")).select("c.*")
-        if shards <= 1:
+        nodes = nodes.selectExpr("*", "lo + (hi - lo + 1) div 2 as mid", "aggregate(q, 0L, (a, y) -> a + y) as total").selectExpr("*", f"{halves} as left_q")
+        children = "if(left_q is null, array(named_struct('q', q, 'lo', lo, 'hi', hi)), array(named_struct('q', left_q, 'lo', lo, 'hi', mid), named_struct('q', zip_with(q, left_q, (y, z) -> y - z), 'lo', mid, 'hi', hi)))"
+        nodes = nodes.selectExpr(f"explode({children}) as c").select("c.*")
+        if shards <= 2:
             break
-        shards = width
+        shards = -(-shards // 2)
     return nodes.select(F.col("lo").alias("shard"), F.posexplode("q").alias("i", "n")).select(F.col("i").cast("bigint"), "shard", "n")
 
 
