@@ -1 +1 @@
-
+"""Registered queries and the SQL that tells their rows."""
