@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, let, same, staged
+from .common import SPACE, let, staged
 
 BINS, WORDS, PROBES = 256, 5, 8
 LOW = (1 << 56) - 1
@@ -94,48 +94,58 @@ def spell(bytes_: Column) -> Column:
     return F.lower(F.array_join(F.transform(bytes_, lambda x: F.lpad(F.hex(x.cast("int") + 128), 2, "0")), ""))
 
 
-def next_rows(keys: DataFrame, order: list[Column]) -> DataFrame:
-    """For each row of keys (columns k1, k2) the row behind it in the order, the first behind the last, as n1, n2.
+def range_bucket(df: DataFrame, id_col: str, tie: str, rows_a_bucket: int = 500, most: int = 1 << 16) -> Column:
+    """A bucket number that falls as the id rises, of about equal rows whatever the spread of ids; rows without an id come last, dealt by tie.
 
-    Rows are dealt by range and each range is ordered on its own; the last row of a range takes the first of the next range that has rows,
-    from a table with a row for each range.
+    Approximate quantiles of the ids cut the range into up to 256 parts, each of which is divided evenly.
     """
-    parts = max(1, int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    ranges = staged(keys.repartitionByRange(parts, *order).withColumn("__p", F.spark_partition_id()), "ranges")
-    within = Window.partitionBy("__p").orderBy(*order)
-    rows = ranges.withColumn("__next", F.lead(F.struct("k1", "k2")).over(within)).withColumn("__nth", F.row_number().over(within))
-    firsts = rows.where("__nth = 1").select(F.col("__p").alias("p"), F.struct("k1", "k2").alias("first"))
-    by_range = Window.orderBy("p")
-    firsts = firsts.select(F.col("p").alias("__q"), F.coalesce(F.lead("first").over(by_range), F.first("first").over(by_range.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("__other"))
-    rows = rows.join(F.broadcast(firsts), F.col("__p") == F.col("__q"))  # one row for each shuffle partition
-    return rows.withColumn("__next", F.coalesce("__next", "__other")).select("k1", "k2", F.col("__next.k1").alias("n1"), F.col("__next.k2").alias("n2"))
+    n, cuts = df.agg(F.count(F.lit(1)), F.percentile_approx(F.col(id_col).cast("long"), [i / 256 for i in range(257)], 10_000)).first()
+    buckets = max(1, min(most, n // rows_a_bucket))
+    cuts = sorted(set(cuts or [0]))
+    parts = max(1, len(cuts) - 1)
+    fine = max(1, -(-buckets // parts))
+    id_ = F.col(id_col).cast("long")
+    edges = F.array(*[F.lit(c) for c in cuts])
+    part = F.greatest(F.lit(1), F.least(F.lit(parts), F.size(F.filter(edges, lambda c: c <= id_))))
+    low, high = edges[part - 1], F.coalesce(F.get(edges, part), F.element_at(edges, -1))
+    within = F.least(F.lit(fine - 1), F.floor((id_.cast("double") - low.cast("double")) / F.greatest(high.cast("double") - low.cast("double"), F.lit(1.0)) * fine))
+    return F.when(id_.isNull(), F.lit(1 << 20) + F.conv(F.substring(tie, 1, 2), 16, 10).cast("long")).otherwise(-(part.cast("long") * fine + F.greatest(F.lit(0), within).cast("long")))
 
 
 def fingerprint_edits(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Fingerprints of each text, of its edited text and their likeness to it and to the next document's."""
+    """Fingerprints of each text, of its edited text and their likeness to it and to the next document's (descending id, an integer).
+
+    Texts are shuffled once, by ranges of the id, and meet the next text in their range. The last row of a range needs the first of the next
+    range: a table with one row for each range says which, and the few texts it names are read once more.
+    """
     text = F.coalesce(F.col(text_col), F.lit(""))
     base = df.select(F.col(id_col).alias("k1"), F.md5(text.cast("binary")).alias("k2"), text.alias("t"))
-    order = [F.col("k1").desc_nulls_last(), F.col("k2")]
-    follow = next_rows(base.select("k1", "k2").distinct(), order)
-    # repeated rows follow one another; the last of them is followed by the next key
-    docs = base.withColumn("f", fingerprint(F.col("t")))
-    half = F.floor(F.length("t") / 2).cast("int")
-    here = docs.withColumn("keep", F.substring("t", F.lit(1), F.length("t") - half)).select("k1", "k2", "keep", F.length("t").alias("n"), "f")
-    twin = Window.partitionBy("k1", "k2").orderBy("k1")
-    here = here.withColumn("nth", F.row_number().over(twin)).withColumn("of", F.count(F.lit(1)).over(Window.partitionBy("k1", "k2")))
-    follow = follow.withColumnsRenamed({"k1": "a1", "k2": "a2"})
-    here = here.join(follow, same(F.col("k1"), F.col("a1")) & (F.col("k2") == F.col("a2")))
-    here = here.withColumn("n1", F.when(F.col("nth") < F.col("of"), F.col("k1")).otherwise(F.col("n1"))).withColumn("n2", F.when(F.col("nth") < F.col("of"), F.col("k2")).otherwise(F.col("n2")))
-    other = docs.withColumn("nth2", F.row_number().over(twin)).where("nth2 = 1").select(F.col("k1").alias("b1"), F.col("k2").alias("b2"), F.col("t").alias("next_text"), F.col("f").alias("next_f"))
-    both = here.join(other, same(F.col("n1"), F.col("b1")) & (F.col("n2") == F.col("b2")))
-    both = both.withColumn("edited", F.concat("keep", F.substring("next_text", F.lit(1), F.floor(F.col("n") / 2).cast("int"))))
-    both = both.withColumn("ef", fingerprint(F.col("edited")))
-    return both.select(
+    bucket = range_bucket(df.select(F.col(id_col).alias("k1")), "k1", "k2")
+    place = F.struct(F.col("k1").isNull().alias("none"), F.bitwise_not(F.col("k1").cast("long")).alias("down"), F.col("k2").alias("k2"))
+    base = base.withColumn("bucket", bucket).withColumn("place", place)
+    order = [F.col("place"), F.col("k1")]
+    docs = base.repartition("bucket").withColumn("f", fingerprint(F.col("t")))
+    ahead = Window.partitionBy("bucket").orderBy(*order)
+    inner = docs.select("k1", "t", "f", F.lead(F.struct("t", "f")).over(ahead).alias("next")).where("next is not null")
+    ranges = base.groupBy("bucket").agg(F.min("place").alias("first"), F.max("place").alias("last"))
+    by_range = Window.orderBy("bucket")
+    whole = by_range.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    ends = staged(ranges.select(F.col("last").alias("here"), F.coalesce(F.lead("first").over(by_range), F.first("first").over(whole)).alias("there")), "ranges")
+    wanted = ends.select(F.col("here").alias("w")).union(ends.select("there")).distinct()
+    found = staged(base.select("place", "k1", "t").join(wanted, F.col("place") == F.col("w")).select("place", "k1", "t", fingerprint(F.col("t")).alias("f")).dropDuplicates(["place"]), "ends")
+    other = found.select(F.col("place").alias("p"), F.struct("t", "f").alias("next"))
+    outer = ends.join(found, F.col("here") == F.col("place")).join(other, F.col("there") == F.col("p")).select("k1", "t", "f", "next")
+    rows = inner.unionByName(outer)
+    n = F.length("t")
+    half = F.floor(n / 2).cast("int")
+    rows = rows.withColumn("edited", F.concat(F.substring("t", F.lit(1), n - half), F.substring("next.t", F.lit(1), half)))
+    rows = rows.withColumn("ef", fingerprint(F.col("edited")))
+    return rows.select(
         F.col("k1").alias("id"),
-        F.col("n").cast("long").alias("n_chars"),
+        n.cast("long").alias("n_chars"),
         F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
         spell(F.col("f")).alias("fingerprint"),
         spell(F.col("ef")).alias("edited_fingerprint"),
         likeness(F.col("f"), F.col("ef")).alias("near_edited"),
-        likeness(F.col("f"), F.col("next_f")).alias("near_next"),
+        likeness(F.col("f"), F.col("next.f")).alias("near_next"),
     )
