@@ -1,60 +1,21 @@
-"""Helpers that the corpus operators share: scratch tables, let-bindings and distributed ranks."""
+"""Helpers that the corpus operators share: let-bindings, hashes and distributed ranks."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import Window
+
+from sedimark.sources.scratch import staged, unstage
+
+__all__ = ["SPACE", "WORD", "hex_hash", "let", "ranked", "same", "staged", "unstage", "word_count"]
 
 #: A word is a maximal run of characters that are not ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or an own one where that is unset (tests)."""
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not path:
-        path = getattr(spark.sparkContext, "_sedimark_scratch", None)
-        if not path:
-            path = "file://" + tempfile.mkdtemp(prefix="sedimark-")
-            spark.sparkContext._sedimark_scratch = path
-    return path.rstrip("/")
-
-
-def _fs(spark: SparkSession, path: str):
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
-
-
-def staged(df: DataFrame, what: str, compression: str = "snappy") -> DataFrame:
-    """Write df to the shared folder and read it back, which cuts its lineage.
-
-    The table outlives lost executors. It is removed when the driver's JVM ends, or earlier by unstage().
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/sedimark/{what}-{uuid.uuid4().hex}"
-    df.write.option("compression", compression).parquet(path)
-    fs, p = _fs(spark, path)
-    fs.deleteOnExit(p)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._sedimark_path = path
-    return out
-
-
-def unstage(*tables: DataFrame) -> None:
-    """Delete staged tables that nothing reads any more."""
-    for t in tables:
-        if path := getattr(t, "_sedimark_path", None):
-            fs, p = _fs(t.sparkSession, path)
-            fs.delete(p, True)
-
-
 def let(value: Column, body) -> Column:
     """body(value) with value computed once a row (Catalyst may inline a plain alias into a lambda)."""
     return F.transform(F.array(value), body)[0]
