@@ -1 +1 @@
-
+"""Readers, sinks and scratch tables."""
