@@ -80,4 +80,29 @@ def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_secret_scan, op3_shard_groups, op4_fingerprint, op5_toxicity, op6_url_filter, op7_warc, op8_near_dedup, op9_transport_stream, op10_pack)}
-ORACLES: dict[str, str] = {}
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def _fits(rule: str) -> str:
+    host, _, path = rule.partition("/")
+    return f"(host = '{host}' OR host LIKE '%.{host}') AND starts_with(path, '/{path}')"
+
+
+_BY_LENGTH = sorted(url_filter.LISTED, key=lambda r: (-r.rank, r.name))
+ORACLES: dict[str, str] = {
+    "op6_url_filter": f"""WITH p AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+ h AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), '{_UPPER}', '{_LOWER}') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM p),
+ r AS (SELECT *, CASE {' '.join(f"WHEN {_fits(r.name)} THEN '{r.name}'" for r in _BY_LENGTH)} END AS rule FROM h)
+ SELECT page_id, host, path, rule, CASE {' '.join(f"WHEN rule = '{r.name}' THEN '{r.action}'" for r in _BY_LENGTH)} WHEN ('.' || host) LIKE '%.ads.%' OR path LIKE '/ads/%' OR path LIKE '/cgi-bin/%' OR path LIKE '/wp-admin/%'
+  OR path LIKE '/login%' OR path LIKE '/%.exe' OR path LIKE '/%.zip' OR path LIKE '/%.apk' OR host = '' THEN 'block' ELSE 'allow' END AS verdict FROM r""",
+    "op7_warc": """WITH p AS (SELECT page_id, coalesce(html, '') AS h, octet_length(encode(coalesce(html, ''))) AS n FROM pages),
+ r AS (SELECT *, CASE WHEN n >= 1000 AND page_id <> max(page_id) OVER (PARTITION BY h) THEN max(page_id) OVER (PARTITION BY h) END AS refers_to FROM p)
+ SELECT page_id, n::BIGINT AS payload_bytes, sha1(h) AS payload_digest, CASE WHEN refers_to IS NULL THEN 'response' ELSE 'revisit' END AS record_type, refers_to FROM r""",
+    "op8_near_dedup": f"""WITH RECURSIVE t AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+ s AS (SELECT doc_id, CASE WHEN len(w) >= 4 THEN list_distinct([w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3] for i in range(1, len(w) - 2)]) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS sh FROM t),
+ e AS MATERIALIZED (SELECT doc_id, len(sh) AS n, unnest(sh) AS x FROM s),
+ links AS MATERIALIZED (SELECT a.doc_id AS a, b.doc_id AS b FROM e a JOIN e b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+ reach AS (SELECT doc_id AS id, doc_id AS m FROM documents UNION SELECT r.id, l.b FROM reach r JOIN links l ON r.m = l.a),
+ c AS (SELECT id, min(m) AS component_id FROM reach GROUP BY id)
+ SELECT s.doc_id, len(sh)::BIGINT AS n_shingles, component_id, s.doc_id = component_id AS kept FROM s JOIN c ON c.id = s.doc_id""",
+}
