@@ -7,7 +7,7 @@ events for invocations and versions.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sedimark.functions import text as T
@@ -416,3 +416,132 @@ def channel_select(spark, d):
     health = e.groupBy("event_type", "user_id").agg(F.count_if(F.col("value") > 90).alias("failures"), F.count(F.lit(1)).alias("load"))
     best = F.min(F.struct(F.col("failures") >= 3, F.col("load"), F.col("user_id")))
     return health.groupBy("event_type").agg(best["user_id"].alias("user_id"))
+
+
+# --- carry-over, support, budgets and rendering ---------------------------------------------------------------------------------
+
+
+@query
+def status_carry_over(spark, d):
+    """New rows keep the review status that the same unit had before; the others start as candidates."""
+    old = _new(spark, d).select("unit_id", F.col("review_status").alias("was"))
+    return _old(spark, d).join(old, "unit_id", "left").select("unit_id", F.coalesce("was", "review_status").alias("review_status"))
+
+
+@query
+def approve_changes(spark, d):
+    change = V.diff(_old(spark, d), _new(spark, d)).select("unit_id", "change")
+    rows = _new(spark, d).join(change, "unit_id")
+    changed = F.col("change").isin("added", "modified") & F.col("review_status").isin("candidate", "reviewed")
+    return rows.select("unit_id", F.when(changed, "approved").otherwise(F.col("review_status")).alias("review_status"))
+
+
+@query
+def update_counts(spark, d):
+    change = V.diff(_old(spark, d), _new(spark, d))
+    return change.agg(*[F.count_if(F.col("change") == c).alias(f"n_{c}") for c in ("added", "removed", "modified", "unchanged")])
+
+
+@query
+def support_join(spark, d):
+    """What a section's chosen units rest on: their distinct blocks in order."""
+    top = B.section_top(_units(spark, d), 3).select("unit_id", "section")
+    units = _units(spark, d).select("unit_id", "source_id", "block_id", "block_ord")
+    rows = top.join(units, "unit_id").groupBy("source_id", "section").agg(F.array_sort(F.collect_set(F.struct("block_ord", "block_id"))).alias("b"))
+    return rows.select("source_id", "section", F.array_join(F.transform("b", lambda x: x.block_id), ",").alias("blocks"))
+
+
+@query
+def flag_budget(spark, d):
+    """Review flags joined to their units, two for each source, graver ones first; a unit may come up twice."""
+    flags = B.review_flags(_units(spark, d))
+    rows = flags.join(_units(spark, d).select(F.col("unit_id").alias("item_id"), "source_id", "block_ord"), "item_id")
+    w = Window.partitionBy("source_id").orderBy(F.col("severity").desc(), "block_ord", "reason")
+    return rows.withColumn("place", F.row_number().over(w).cast("long")).where("place <= 2").select("source_id", "place", "item_id", "reason")
+
+
+@query
+def file_outcomes(spark, d):
+    """success, partial or failed of each document: it has blocks without flags, with flags, or none."""
+    units = _units(spark, d).groupBy("source_id").agg(F.count_if((F.col("confidence") < 0.5) | (F.length("content") < 20)).alias("errors"))
+    rows = B.sources(_docs(spark, d)).select("source_id").join(units, "source_id", "left")
+    return rows.select("source_id", F.when(F.col("errors").isNull(), "failed").when(F.col("errors") > 0, "partial").otherwise("success").alias("status"))
+
+
+@query
+def heading_anchors(spark, d):
+    """The first 32 distinct headings of each source."""
+    rows = _units(spark, d).where("heading_level > 0").groupBy("source_id", "content").agg(F.min("block_ord").alias("block_ord"))
+    w = Window.partitionBy("source_id").orderBy("block_ord")
+    return rows.withColumn("place", F.row_number().over(w).cast("long")).where("place <= 32").select("source_id", "place", "block_ord")
+
+
+@query
+def step_labels(spark, d):
+    c = F.col("content")
+    return _units(spark, d).where("kind = 'technique'").select("unit_id", F.sha2(F.when(F.length(c) > 80, F.concat(F.left(c, F.lit(77)), F.lit("..."))).otherwise(c), 256).alias("label_sha256"), (F.length(c) > 80).alias("was_cut"))
+
+
+@query
+def sanitized_refs(spark, d):
+    """Units without their quotes: hash and length of the first 200 characters stand for the text."""
+    quote = F.left("content", F.lit(200))
+    return _units(spark, d).select("unit_id", "source_id", "block_id", F.sha2(quote, 256).alias("quote_sha256"), F.length(quote).cast("long").alias("quote_chars"))
+
+
+@query
+def reference_digests(spark, d):
+    """A digest of the rendered reference of each source and kind: its units in order, one a line."""
+    rows = _units(spark, d).groupBy("source_id", "kind").agg(F.array_sort(F.collect_list(F.struct("block_ord", "content"))).alias("u"))
+    return rows.select("source_id", "kind", F.size("u").cast("long").alias("units"), F.sha2(F.array_join(F.transform("u", lambda x: x.content), "\n"), 256).alias("sha256"))
+
+
+@query
+def pack_publish(spark, d):
+    """Upsert of new assets into a published pack: inserted, united with what is there, or in conflict because the content differs."""
+    base = _old(spark, d).select(F.col("unit_id").alias("canonical_key"), "content", F.lit("base").alias("scope"))
+    new = _new(spark, d).where("review_status = 'approved' or unit_id like 'p%'").select(F.col("unit_id").alias("canonical_key"), F.when(F.col("confidence") < 0.5, F.sha2("content", 256)).otherwise(F.col("content")).alias("content"), F.lit("new").alias("scope"))
+    both = base.alias("b").join(new.alias("n"), "canonical_key", "full_outer")
+    action = F.when(F.col("b.content").isNull(), "insert").when(F.col("n.content").isNull(), "keep").when(F.col("b.content") == F.col("n.content"), "unite").otherwise("conflict")
+    return both.select("canonical_key", action.alias("action"), F.concat_ws(",", "b.scope", "n.scope").alias("scopes"))
+
+
+@query
+def overlapping_suggestions(spark, d):
+    """Benchmark items whose words overlap by 0.6 or more; ideographs count as letters of words here."""
+    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}\p{N}_]+)"), F.lit(1)))
+    return R.similar_pairs(table(spark, d, "benchmark").select(F.col("item_id").alias("id"), words.alias("items")), 0.6)
+
+
+@query
+def path_findings(spark, d):
+    """Link targets that are absolute paths, drive paths or climb out of their folder."""
+    t = F.col("target")
+    code = F.when(t.rlike(r"^[A-Za-z]:[\\/]"), "drive").when(t.startswith("/"), "absolute").when(t.rlike(r"(^|/)\.\.(/|$)"), "climbs")
+    return C.links(table(spark, d, "pages")).select("page_id", code.alias("code")).where("code is not null").groupBy("page_id", "code").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def weighted_progress(spark, d):
+    """The furthest fraction that each user reached in each stage, weighted and added up to a percentage."""
+    weights = {"view": 0.05, "click": 0.45, "signup": 0.05, "purchase": 0.3, "error": 0.15}
+    weight = F.create_map(*[F.lit(x) for kv in weights.items() for x in kv])[F.col("event_type")]
+    best = table(spark, d, "events").groupBy("user_id", "event_type").agg(F.max(F.least(F.lit(1.0), F.col("value") / 200)).alias("f"))
+    return best.groupBy("user_id").agg(F.round(100 * F.sum(weight * F.col("f")), 6).alias("percent"))
+
+
+@query
+def eta_with_prior(spark, d):
+    """Estimates of each user and event type: the observed mean from three samples on, else a prior from the value."""
+    e = table(spark, d, "events").groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("samples"), F.avg("value").alias("mean"), F.max("value").alias("most"))
+    prior = F.least(F.lit(24.0), F.greatest(F.lit(5.0), 4 + F.col("most") / 40))
+    point = F.when(F.col("samples") >= 3, F.col("mean")).otherwise(prior)
+    return e.select("user_id", "event_type", "samples", F.round(point, 6).alias("point"), F.greatest(F.lit(2.0), 0.5 * F.round(point, 6)).alias("lower"))
+
+
+@query
+def running_budget(spark, d):
+    """The events of each user that fit a budget of 500 in order of time."""
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
+    rows = table(spark, d, "events").select("user_id", "event_id", F.round(F.sum("value").over(w), 6).alias("spent"))
+    return rows.where("spent <= 500").select("user_id", "event_id", "spent")
