@@ -7,11 +7,12 @@ signature put classes into buckets, and candidate pairs are confirmed on the ful
 Buckets of any size are handled without all pairs:
 - Every bucket links its members to a leader (a star), so a group of copies costs as many pairs as it has members.
 - Small buckets then compare those pairs that are not connected yet.
-- Large buckets that hold several components get further leaders, and at last a prefix join: two sets of the asked similarity share one of
-  the rarest shingles of each, so members meet on those only. A passage that many share is frequent and never meets.
+- Large buckets that hold several components get a second leader, and at last those outside the largest component are compared with all
+  members exactly, in pairs of bounded blocks of which only links come out. A bucket of copies is one component by then, and texts that
+  share no more than a passage are told apart by their signatures before their sets are built.
 Pairs that are connected already are not compared, as they cannot change a component.
 
-With 32 bands of 4 rows a pair at similarity 0.8 misses all buckets with probability 5e-8. Signatures drop candidates that lie 7
+With 32 bands of 4 rows a pair at similarity 0.8 misses all buckets with probability 5e-8. Signatures drop candidates that lie 5
 standard deviations below the threshold.
 
 Cases: null, empty and blank texts have an empty set and are linked with nothing; a text of fewer words than a shingle has
@@ -43,11 +44,13 @@ class NearDup:
     bands: int = 32
     rows: int = 4
     small: int = 24
-    slack: float = 0.25
+    slack: float = 0.18
 
 
 #: Hashes that a step of the signature loop takes at once, so that they stay in cache.
 BLOCK = 1 << 14
+#: Members outside the main component and members in all that a pair of blocks holds, about; columns of a matrix of sets.
+OTHERS, ALL, COLUMNS = 256, 512, 1 << 13
 
 
 def _mix64(h: np.ndarray) -> np.ndarray:
@@ -195,21 +198,70 @@ def _plausible(pairs: DataFrame, classes: DataFrame, rule: NearDup) -> DataFrame
     return rows.mapInArrow(run, "a bigint, b bigint")
 
 
-def _prefixes(texts: DataFrame, rule: NearDup) -> DataFrame:
-    """(node, token): the rarest shingles of each text, enough that similar sets share one."""
+def _overlaps(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of the sets in x with those in y, as a product of 0/1 matrices over the hashes that both sides have."""
+    left, right = np.unique(np.concatenate(x)), np.unique(np.concatenate(y))
+    shared = np.intersect1d(left, right, assume_unique=True)
+    out = np.zeros((len(x), len(y)), np.float32)
+    for at in range(0, len(shared), COLUMNS):
+        part = shared[at : at + COLUMNS]
+
+        def dense(sets: list[np.ndarray]) -> np.ndarray:
+            m = np.zeros((len(sets), len(part)), np.float32)
+            for i, s in enumerate(sets):
+                k = np.minimum(np.searchsorted(part, s), len(part) - 1)
+                m[i, k[part[k] == s]] = 1
+            return m
+
+        out += dense(x) @ dense(y).T
+    return out
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for node, text in zip(batch["node"], batch["text"]):
-                s = shingle_set(text.as_buffer().to_pybytes(), rule.words)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), node.as_py(), np.int64)), pa.array(s.view(np.int64))], ["node", "token"])
 
-    tokens = staged(texts.mapInArrow(run, "node bigint, token bigint"), "tokens")
-    counts = tokens.groupBy(F.col("token").alias("t")).count()
-    rare = Window.partitionBy("node").orderBy("count", "token")
-    rows = tokens.join(counts.where("count > 1"), F.col("token") == F.col("t"), "left")
-    rows = rows.withColumn("count", F.coalesce("count", F.lit(1))).withColumn("nth", F.row_number().over(rare)).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("node")))
-    return rows.where((F.col("nth") <= F.col("n") - F.ceil(F.col("n") * rule.percent / 100) + 1) & (F.col("count") > 1)).select("node", "token")
+def _compare_blocks(members: DataFrame, texts: DataFrame, classes: DataFrame, rule: NearDup) -> DataFrame:
+    """Links (a, b) between members (node, comp, bucket) of a bucket that are in different components, found exactly.
+
+    Most of a bucket's members are in its main component. The others are dealt over blocks of OTHERS, all members over blocks of ALL, and
+    each pair of blocks is a group: signatures, compared as a matrix, leave few rows, whose full sets are compared as a matrix. Only links leave a group, one for each
+    node and component at most.
+    """
+    sizes = members.groupBy(F.col("bucket").alias("k"), F.col("comp").alias("c")).agg(F.count(F.lit(1)).alias("n"))
+    main = sizes.groupBy("k").agg(F.max(F.struct("n", -F.col("c"))).alias("m"), F.sum("n").alias("all"))
+    rows = members.join(main, F.col("bucket") == F.col("k")).withColumn("other", F.col("comp") != -F.col("m.col2"))
+    blocks = lambda n, size: F.greatest(F.lit(1), F.ceil(n / size)).cast("int")
+    rows = rows.withColumn("n_i", blocks(F.col("all") - F.col("m.n"), OTHERS)).withColumn("n_j", blocks(F.col("all"), ALL))
+    deal = lambda n: F.pmod(F.xxhash64("node", "bucket"), F.col(n)).cast("int")
+    upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    keep = ["node", "comp", "bucket", "i", "j", "left"]
+    left = rows.where("other").withColumn("i", deal("n_i")).withColumn("j", F.explode(upto("n_j"))).withColumn("left", F.lit(True)).select(keep)
+    right = rows.withColumn("j", deal("n_j")).withColumn("i", F.explode(upto("n_i"))).withColumn("left", F.lit(False)).select(keep)
+    both = left.unionByName(right)
+    both = both.join(classes.select(F.col("node").alias("cn"), "low"), F.col("node") == F.col("cn")).join(texts.select(F.col("node").alias("tn"), "text"), F.col("node") == F.col("tn"))
+    width = rule.bands * rule.rows
+    least = (rule.percent / 100 - rule.slack) * width
+
+    def compare(t: pa.Table) -> pa.Table:
+        node, comp, on_left = (t[c].to_numpy() for c in ("node", "comp", "left"))
+        low = np.frombuffer(b"".join(t["low"].to_pylist()), np.uint8).reshape(-1, width)
+        x, y = np.flatnonzero(on_left), np.flatnonzero(~on_left)
+        near = np.zeros((len(x), len(y)), bool)
+        for k, i in enumerate(x):
+            near[k] = ((low[y] == low[i]).sum(1) >= least) & (comp[y] != comp[i])
+        x, y = x[near.any(1)], y[near.any(0)]
+        out_a, out_b = [], []
+        if len(x) and len(y):
+            sets = {i: shingle_set(t["text"][int(i)].as_buffer().to_pybytes(), rule.words) for i in {*x.tolist(), *y.tolist()}}
+            xs, ys = [sets[i] for i in x.tolist()], [sets[i] for i in y.tolist()]
+            inter = _overlaps(xs, ys).astype(np.int64)
+            union = np.array([len(v) for v in xs])[:, None] + np.array([len(v) for v in ys])[None, :] - inter
+            linked = (100 * inter >= rule.percent * union) & (comp[x][:, None] != comp[y][None, :])
+            for k, i in enumerate(x):
+                hits = y[linked[k]]
+                _, first = np.unique(comp[hits], return_index=True)
+                out_a += [int(node[i])] * len(first)
+                out_b += node[hits[first]].tolist()
+        return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
+
+    return both.groupBy("bucket", "i", "j").applyInArrow(compare, "a bigint, b bigint")
 
 
 def _texts(df: DataFrame, classes: DataFrame, nodes: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -230,9 +282,15 @@ def groups(df: DataFrame, rule: NearDup, id_col: str = "doc_id", text_col: str =
     classes = staged(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
     members = classes.select("node", F.explode("bands").alias("bucket"))
     buckets = members.groupBy(F.col("bucket").alias("k")).agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("first"), F.max("node").alias("last")).where("size > 1")
-    members = staged(members.join(buckets, F.col("bucket") == F.col("k")).drop("k"), "buckets")
-    stars = members.where("node != first").select(F.col("first").alias("a"), F.col("node").alias("b"))
-    small = members.where(F.col("size").between(3, rule.small)).groupBy("bucket").agg(F.array_sort(F.collect_list("node")).alias("m"))
+    buckets = staged(buckets, "buckets")
+    members = staged(members.join(buckets.where("size > 2").select("k", "size"), F.col("bucket") == F.col("k")).select("bucket", "node", "size"), "members")
+    # whoever meets most others is likely to be the text that the others are copies of, and leads its buckets
+    weight = members.groupBy(F.col("node").alias("w")).agg(F.sum("size").alias("weight"))
+    members = staged(members.join(weight, F.col("node") == F.col("w")).select("bucket", "node", "size", "weight"), "members")
+    leaders = members.groupBy(F.col("bucket").alias("k")).agg(F.max(F.struct("weight", "node")).alias("leader"))
+    stars = members.join(leaders, F.col("bucket") == F.col("k")).where("node != leader.node").select(F.col("leader.node").alias("a"), F.col("node").alias("b"))
+    stars = stars.unionByName(buckets.where("size = 2").select(F.col("first").alias("a"), F.col("last").alias("b")))
+    small = members.where(F.col("size") <= rule.small).groupBy("bucket").agg(F.array_sort(F.collect_list("node")).alias("m"))
     small = small.select(F.explode("m").alias("a"), "m").select("a", F.explode(F.filter("m", lambda x: x > F.col("a"))).alias("b"))
     stars = staged(_plausible(stars, classes, rule), "stars")
     small = staged(_plausible(small, classes, rule).join(stars, ["a", "b"], "left_anti"), "pairs")
@@ -249,41 +307,35 @@ def groups(df: DataFrame, rule: NearDup, id_col: str = "doc_id", text_col: str =
         return rows.where(F.coalesce("ac", "a") != F.coalesce("bc", "b")).select("a", "b")
 
     def unresolved() -> DataFrame:
-        """Members (node, comp, bucket, last) of large buckets that hold several components."""
+        """Members (node, comp, bucket, weight) of large buckets that hold several components."""
         label = comps.select(F.col("node").alias("n"), "comp")
-        rows = large.join(label, F.col("node") == F.col("n"), "left").select("node", F.coalesce("comp", "node").alias("comp"), "bucket", "last")
+        rows = large.join(label, F.col("node") == F.col("n"), "left").select("node", F.coalesce("comp", "node").alias("comp"), "bucket", "weight")
         open_ = rows.groupBy(F.col("bucket").alias("k")).agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x != y").select("k")
         return rows.join(open_, F.col("bucket") == F.col("k"), "left_semi")
 
-    def add(pairs: DataFrame, texts: DataFrame) -> None:
+    def add(more: DataFrame) -> bool:
         nonlocal links, comps
-        more = staged(_confirm(pairs, texts, rule), "links")
-        if more.limit(1).count():
-            links = links.unionByName(more)
-            comps = components(links)
+        more = staged(more, "links")
+        if not more.limit(1).count():
+            return False
+        links = links.unionByName(more)
+        comps = components(links)
+        return True
 
     second = staged(apart(small), "pairs")
     if second.limit(1).count():
-        add(second, texts)
+        add(_confirm(second, texts, rule))
     if large.limit(1).count():
-        left = staged(unresolved().select("node", "bucket", "last"), "unresolved")
+        left = staged(unresolved(), "unresolved")
         if left.limit(1).count():
-            more = staged(apart(_plausible(left.where("node != last").select(F.col("last").alias("a"), F.col("node").alias("b")), classes, rule)), "pairs")
             whole = _texts(df, classes, left, id_col, text_col)
-            if more.limit(1).count():
-                add(more, whole)
-            open_ = staged(unresolved().select("node", "comp").distinct(), "unresolved")
-            if open_.limit(1).count():
-                keep = open_.select("node")
-                prefixes = _prefixes(whole.join(keep, "node", "left_semi"), rule).join(open_, "node")
-                prefixes = staged(prefixes, "prefixes")
-                mixed = prefixes.groupBy(F.col("token").alias("t")).agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x != y").select("t")
-                prefixes = prefixes.join(mixed, F.col("token") == F.col("t"), "left_semi")
-                other = prefixes.select(F.col("node").alias("b"), F.col("comp").alias("bc"), F.col("token").alias("bt"))
-                met = prefixes.join(other, (F.col("token") == F.col("bt")) & (F.col("comp") < F.col("bc"))).select(F.col("node").alias("a"), "b")
-                last = staged(_plausible(met, classes, rule), "pairs")
-                if last.limit(1).count():
-                    add(last, whole)
+            # the members outside a bucket's largest component get a leader of their own
+            sizes = left.groupBy(F.col("bucket").alias("k"), F.col("comp").alias("c")).agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("weight", "node")).alias("leader"))
+            place = F.row_number().over(Window.partitionBy("k").orderBy(F.col("n").desc(), "c"))
+            second_leaders = sizes.withColumn("place", place).where("place = 2").select("k", "leader")
+            more = left.join(second_leaders, F.col("bucket") == F.col("k")).where("node != leader.node").select(F.col("leader.node").alias("a"), F.col("node").alias("b"))
+            add(_confirm(apart(_plausible(more, classes, rule)), whole, rule))
+            add(_compare_blocks(staged(unresolved(), "unresolved"), whole, classes, rule))
     own = classes.join(comps.withColumnRenamed("node", "n"), F.col("node") == F.col("n"), "left").select("digest", F.coalesce("comp", "node").alias("comp"), "rep")
     ids = own.groupBy(F.col("comp").alias("c")).agg(F.min("rep").alias("first"))
     named = staged(own.join(ids, F.col("comp") == F.col("c")).select(F.col("digest").alias("d"), "first"), "components")
