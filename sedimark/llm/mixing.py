@@ -112,7 +112,7 @@ def mix_plan(df: DataFrame, mix: Mix = Mix(), id_col: str = "doc_id", text_col:
         F.col(id_col).alias("id"),
         F.col(source_col).alias("source"),
         word_count(F.col(text_col)).alias("size"),
-        hex_hash(F.lit(mix.seed), F.col(id_col), F.col(text_col).isNull(), text_hash).alias("key"),
+        hex_hash(F.lit(mix.seed), F.col(id_col), F.col(text_col).isNull(), text_hash, F.col(source_col).isNull(), F.col(source_col)).alias("key"),
     )
     rows = staged(narrow, "sizes")
     cells = max(1, min(mix.cells, rows.count() // mix.rows_a_cell))
@@ -163,14 +163,16 @@ def first_words(text: Column, n: Column) -> Column:
 def mix_rows(df: DataFrame, mix: Mix = Mix(), id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", shard_col: str | None = "shard", position_col: str | None = "position") -> DataFrame:
     """The mix itself: df's rows as often as they are drawn, the one at the edge of a quota cut behind its last word, with the output shard and a shuffled position in it."""
     text_hash = F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))
-    key = hex_hash(F.lit(mix.seed), F.col(id_col), F.col(text_col).isNull(), text_hash)
-    # equal rows share a key and differ only in how much of each is drawn: they are numbered on both sides
-    nth = lambda order: F.row_number().over(Window.partitionBy("__key").orderBy(order))
-    plan = mix_plan(df, mix, id_col, text_col, source_col).where("taken > 0").select(F.col("key").alias("__key"), F.col("source").alias("__source"), F.col("size").alias("__size"), "draws")
-    plan = plan.withColumn("__nth", F.row_number().over(Window.partitionBy("__key", "__source").orderBy("draws"))).withColumnsRenamed({"__key": "__k", "__source": "__s"})
+    key = hex_hash(F.lit(mix.seed), F.col(id_col), F.col(text_col).isNull(), text_hash, F.col(source_col).isNull(), F.col(source_col))
+    plan = staged(mix_plan(df, mix, id_col, text_col, source_col).where("taken > 0").select(F.col("key").alias("__k"), F.col("size").alias("__size"), "draws"), "plan")
     left = df.withColumn("__key", key)
-    left = left.withColumn("__nth0", F.row_number().over(Window.partitionBy("__key", source_col).orderBy("__key")))
-    out = left.join(plan, (F.col("__key") == F.col("__k")) & same(F.col(source_col), F.col("__s")) & (F.col("__nth0") == F.col("__nth")))
+    if plan.groupBy("__k").count().where("count > 1").limit(1).count():
+        # equal rows share a key and differ only in how much of each is drawn: they are numbered on both sides
+        plan = plan.withColumn("__nth", F.row_number().over(Window.partitionBy("__k").orderBy("draws")))
+        left = left.withColumn("__nth0", F.row_number().over(Window.partitionBy("__key").orderBy("__key")))
+        out = left.join(plan, (F.col("__key") == F.col("__k")) & (F.col("__nth0") == F.col("__nth")))
+    else:
+        out = left.join(plan, F.col("__key") == F.col("__k"))
     out = out.withColumn("__draw", F.explode("draws"))
     out = out.withColumn(text_col, F.when(F.col("__draw.words") < F.col("__size"), first_words(F.col(text_col), F.col("__draw.words"))).otherwise(F.col(text_col)))
     if shard_col is None:

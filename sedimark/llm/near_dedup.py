@@ -350,10 +350,13 @@ def near_duplicates(df: DataFrame, rule: NearDup = NearDup(), id_col: str = "doc
 
 def keep_one(df: DataFrame, rule: NearDup = NearDup(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """df with one row of each group, that of the least id (then text hash), once if it is repeated. Rows without words all stay."""
-    firsts = groups(df, rule, id_col, text_col).where("n_shingles > 0").select("first").distinct().select(F.col("first.id").alias("__id"), F.col("first.text_key").alias("__text_key"))
+    firsts = groups(df, rule, id_col, text_col).where("n_shingles > 0").select("first").distinct()
     text = F.coalesce(F.col(text_col), F.lit(""))
-    key = F.md5(text.cast("binary"))
-    found = df.join(firsts, same(F.col(id_col), F.col("__id")) & (key == F.col("__text_key")), "left")
-    nth = F.row_number().over(Window.partitionBy("__id", "__text_key", F.when(F.col("__text_key").isNull(), F.xxhash64(F.col(id_col), text))).orderBy(F.lit(0)))
+    # the id is split into value and null mark, so that join and window share one shuffle of the texts
+    parts = lambda id_, key: {"__id": F.coalesce(id_.cast("string"), F.lit("")), "__none": id_.isNull(), "__key": key}
+    keys = list(parts(F.lit(0), F.lit("")))
+    firsts = firsts.withColumns(parts(F.col("first.id"), F.col("first.text_key"))).select(*keys, F.lit(True).alias("__first"))
+    found = df.withColumns(parts(F.col(id_col), F.md5(text.cast("binary")))).join(firsts, keys, "left")
     blank = ~text.rlike(WORD)
-    return found.where(F.col("__text_key").isNotNull() | blank).withColumn("__nth", nth).where((F.col("__nth") == 1) | blank).select(*df.columns)
+    nth = F.row_number().over(Window.partitionBy(*keys).orderBy("__id"))
+    return found.withColumn("__nth", nth).where((F.col("__first") & (F.col("__nth") == 1)) | blank).select(*df.columns)
