@@ -13,7 +13,9 @@ columns other than the id and the text are ignored.
 
 from __future__ import annotations
 
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from itertools import accumulate
 
@@ -24,32 +26,68 @@ from pyspark.sql import functions as F
 
 from .common import ranked, staged
 
-#: Words whose ids a task remembers at most, and the longest word that it remembers, in bytes.
-MEMORY, LONGEST = 400_000, 64
+#: Words and pieces whose ids a Python worker remembers at most, and the longest that it remembers, in bytes.
+MEMORY, LONGEST = 700_000, 48
+#: A word of ASCII letters with ASCII marks behind it, but no apostrophe, which may start a contraction.
+SIMPLE = re.compile(rb"([A-Za-z]*)([!-&(-/:-@\[-`{-~]*)")
+#: The byte-level alphabet: printable Latin-1 bytes stand for themselves, the others for the characters from 256 on.
+_PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+ALPHABET = {b: chr(b) for b in _PRINTABLE} | {b: chr(256 + n) for n, b in enumerate(b for b in range(256) if b not in set(_PRINTABLE))}
+_WORKER: dict[str, "WordIds"] = {}
 
 
 class WordIds:
-    """Token ids of texts, word by word, for a tokenizer whose pre-tokens never span ASCII white space.
+    """Token ids of texts, word by word, for a byte-level tokenizer that lower-cases and whose pre-tokens never span ASCII white space.
 
-    A word's ids do not depend on its neighbours, so they are remembered as little-endian bytes. Texts with an added
-    token in them go through the tokenizer as a whole.
+    A word's ids do not depend on its neighbours, so they are remembered as little-endian bytes. Letters and marks of simple words go
+    to the tokenizer's model directly; all other words go through its normalizer and pre-tokenizer, and texts with an added token in them go
+    through the tokenizer as a whole.
     """
 
+    @classmethod
+    def of_worker(cls, path: str) -> "WordIds":
+        """One for each Python worker, so that the tasks it runs share what it remembers."""
+        if path not in _WORKER:
+            _WORKER[path] = cls(path)
+        return _WORKER[path]
+
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.specials = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.normalize, self.split, self.model = self.tokenizer.normalizer.normalize_str, self.tokenizer.pre_tokenizer.pre_tokenize_str, self.tokenizer.model
+        self.normalize, self.split, self.tokenize = self.tokenizer.normalizer.normalize_str, self.tokenizer.pre_tokenizer.pre_tokenize_str, self.tokenizer.model.tokenize
         self.known: dict[bytes, bytes] = {}
 
+    def _piece(self, piece: str) -> bytes:
+        return array("I", [t.id for t in self.tokenize(piece)]).tobytes()
+
+    def _remember(self, key: bytes, ids: bytes) -> bytes:
+        if len(key) <= LONGEST:
+            if len(self.known) >= MEMORY:
+                self.known.clear()
+            self.known[key] = ids
+        return ids
+
     def _word(self, word: bytes) -> bytes:
-        ids = [t.id for piece, _ in self.split(self.normalize(word.decode())) for t in self.model.tokenize(piece)]
-        return np.array(ids, "<u4").tobytes()
+        simple = SIMPLE.fullmatch(word)
+        if simple:
+            letters, marks = simple.groups()
+            low = letters.lower()
+            out = b""
+            for part in (low, marks):
+                if part:
+                    ids = self.known.get(part) if part != word else None
+                    out += ids if ids is not None else self._remember(part, self._piece(part.decode()))
+            return out
+        text = word.decode()
+        if text.isalpha() and max(text) < "\u0250" and "\u0130" not in text:  # composed Latin letters: one pre-token
+            return self._piece("".join(map(ALPHABET.__getitem__, text.lower().encode())))
+        return array("I", [t.id for piece, _ in self.split(self.normalize(text)) for t in self.tokenize(piece)]).tobytes()
 
     def __call__(self, text: bytes) -> bytes:
         if any(s in text for s in self.specials):
-            return np.array(self.tokenizer.encode(text.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+            return array("I", self.tokenizer.encode(text.decode(), add_special_tokens=False).ids).tobytes()
         known, words = self.known, text.split()
         try:
             return b"".join(map(known.__getitem__, words))
@@ -58,13 +96,7 @@ class WordIds:
         out = []
         for w in words:
             ids = known.get(w)
-            if ids is None:
-                ids = self._word(w)
-                if len(w) <= LONGEST:
-                    if len(known) >= MEMORY:
-                        known.clear()
-                    known[w] = ids
-            out.append(ids)
+            out.append(ids if ids is not None else self._remember(w, self._word(w)))
         return b"".join(out)
 
 
@@ -75,7 +107,7 @@ def tokenize_pieces(df: DataFrame, tokenizer: str, size: int = 2048, end_id: int
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        to_ids = WordIds(tokenizer)
+        to_ids = WordIds.of_worker(tokenizer)
         for batch in batches:
             row, piece, start, length, crc, ids = [], [], [], [], [], []
             for i, text in enumerate(batch["text"]):
