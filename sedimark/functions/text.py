@@ -129,3 +129,33 @@ def link_code(url: Column) -> Column:
     host = F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/:?#]*)", 1))
     internal = host.isin("localhost", "0.0.0.0") | host.rlike(r"^(?:127\.|10\.|169\.254\.|192\.168\.|172\.(?:1[6-9]|2[0-9]|3[01])\.)")
     return F.when(scheme.isin("data", "javascript"), "fail.scheme").when(internal, "warn.internal").when((scheme != "") & (scheme != "https"), "warn.scheme").otherwise("ok")
+
+
+# Claims that need a qualification, and what may stand right before one to negate it.
+GUARANTEE = r"保证(?:了|会|能|可以|有效|成功|持续|实现)?|必然(?:会|能|导致)?|一定(?:会|能|可以|有效|成功)|(?:永远|绝对)(?:不会|有效|正确)?|\b(?:guarantees?|guaranteed|ensures?|ensured|always|never\s+fails)\b"
+CAUSALITY = r"证明(?:了|其|这|该)?|说明(?:了|其|这|该)?.{0,12}(?:负责|导致|决定)|\b(?:proves?|proved|demonstrates?|demonstrated)\b"
+NEGATION = r"并不|并未|不|未|无|does not |do not |doesn't |don't |not "
+# What is masked in text for the outside.
+MASKS = (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", r"(?:/home|/Users)/[A-Za-z0-9._-]+", r"\b[0-9a-f]{32,}\b")
+
+
+def claims(line: Column, pattern: str) -> Column:
+    """Whether a line makes a claim that is not negated right before it."""
+    return F.regexp_replace(line, f"(?i)(?:{NEGATION})(?:{pattern})", "").rlike(f"(?i){pattern}")
+
+
+def masked(t: Column) -> Column:
+    """The text with addresses, home folders and long digests masked."""
+    for m in MASKS:
+        t = F.regexp_replace(t, m, "[masked]")
+    return t
+
+
+def size_label(n: Column) -> Column:
+    """Bytes as whole B, KB or MB, rounded down."""
+    return F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B"))).when(n < 1024 * 1024, F.concat(F.floor(n / 1024).cast("string"), F.lit(" KB"))).otherwise(F.concat(F.floor(n / 1048576).cast("string"), F.lit(" MB")))
+
+
+def substantive(line: Column) -> Column:
+    """Whether a line is more than blank, a heading, a rule or a comment."""
+    return line.rlike(r"\S") & ~line.rlike(r"^\s*(?:#|---|\*\*\*|<!--)")

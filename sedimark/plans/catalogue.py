@@ -545,3 +545,129 @@ def running_budget(spark, d):
     w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
     rows = table(spark, d, "events").select("user_id", "event_id", F.round(F.sum("value").over(w), 6).alias("spent"))
     return rows.where("spent <= 500").select("user_id", "event_id", "spent")
+
+
+# --- lines, rows and labels -----------------------------------------------------------------------------------------------------
+
+# Lines with fences and claims that the driver's tables lack, also in the oracle.
+CLAIM_LINES = ("This always works", "```", "It guarantees success", "```", "It does not guarantee success", "证明了这一点", "不保证", "This demonstrates it", "# head", "---", "<!-- note -->", "mail a.b@c.org now")
+
+
+@query
+def unfenced_claims(spark, d):
+    """Claims outside code fences: the parity of the fence lines so far tells what is fenced."""
+    text = "\n".join(CLAIM_LINES)
+    docs = _with_literals(spark, d).unionByName(spark.createDataFrame([(-20, text)], "id bigint, text string"))
+    w = Window.partitionBy("id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    lines = C.split_lines(docs).withColumn("fences", F.sum(F.col("line").startswith("```").cast("long")).over(w))
+    lines = lines.where("fences % 2 = 0 and not startswith(line, '```')")
+    codes = F.array_compact(F.array(F.when(T.claims(F.col("line"), T.GUARANTEE), F.lit("guarantee")), F.when(T.claims(F.col("line"), T.CAUSALITY), F.lit("causality"))))
+    return lines.select("id", "line_no", F.explode(codes).alias("code"))
+
+
+@query
+def substantive_lines(spark, d):
+    docs = _docs(spark, d).select(F.col("doc_id").alias("id"), "text").unionByName(spark.createDataFrame([(-20, "\n".join(CLAIM_LINES))], "id bigint, text string"))
+    return C.split_lines(docs).groupBy("id").agg(F.count_if(T.substantive(F.col("line"))).alias("n"), F.count(F.lit(1)).alias("lines"))
+
+
+@query
+def citation_coverage(spark, d):
+    """Units rendered as reference lines and read back: sources cited but not declared fail, declared but not cited warn."""
+    line = F.concat(F.lit("- "), "source_id", F.lit(" / "), "block_id", F.lit(' — "'), F.left("content", F.lit(40)), F.lit('"'))
+    lines = _units(spark, d).where("kind = 'term'").select(line.alias("line"))
+    cited = lines.select(F.regexp_extract("line", r"^\s*-\s+([^\s/]+)\s*/\s*([^\s]+)", 1).alias("source_id")).distinct()
+    labelled = table(spark, d, "labels").where("quality = 1").select("doc_id")
+    declared = _docs(spark, d).join(labelled, "doc_id", "left_semi").select(F.substring(F.sha2("text", 256), 1, 12).alias("source_id")).distinct()
+    undeclared = cited.join(declared, "source_id", "left_anti").select("source_id", F.lit("undeclared").alias("code"), F.lit("fail").alias("severity"))
+    orphan = declared.join(cited, "source_id", "left_anti").select("source_id", F.lit("orphan").alias("code"), F.lit("warn").alias("severity"))
+    return undeclared.unionByName(orphan)
+
+
+@query
+def masked_texts(spark, d):
+    m = T.masked(F.col("text"))
+    return _docs(spark, d).select("doc_id", F.sha2(m, 256).alias("sha256"), (m != F.col("text")).alias("changed"))
+
+
+@query
+def kind_groups(spark, d):
+    """Units by kind in the order of the reference view."""
+    order = {"framework": 1, "principle": 2, "technique": 3, "case": 4, "term": 5}
+    place = F.create_map(*[F.lit(x) for kv in order.items() for x in kv])[F.col("kind")].cast("long")
+    return _units(spark, d).groupBy("kind").agg(F.count(F.lit(1)).alias("units"), F.countDistinct("source_id").alias("sources")).select(place.alias("place"), "kind", "units", "sources")
+
+
+@query
+def payload_tokens(spark, d):
+    """Tokens that the turns of a conversation take with their contexts."""
+    c = table(spark, d, "conversations").join(B.context(table(spark, d, "conversations"), 25), ["conv_id", "turn"])
+    est = T.token_estimate_chunk(F.concat("before", "text", "after"))
+    return c.groupBy("conv_id").agg(F.count(F.lit(1)).alias("turns"), F.sum(est).alias("tokens"))
+
+
+@query
+def unit_counters(spark, d):
+    """Running numbers of the units of a source; a unit that is rejected later has used its number."""
+    w = Window.partitionBy("source_id").orderBy("block_ord")
+    rows = _units(spark, d).withColumn("counter", F.row_number().over(w).cast("long"))
+    return rows.where(F.length("content") >= 20).select("unit_id", "counter")
+
+
+@query
+def recent_samples(spark, d):
+    """The last 200 valid samples of each event type."""
+    w = Window.partitionBy("event_type").orderBy(F.col("ts").desc(), F.col("event_id").desc())
+    rows = table(spark, d, "events").where("value > 0").withColumn("place", F.row_number().over(w).cast("long"))
+    return rows.where("place <= 200").select("event_type", "place", "event_id")
+
+
+@query
+def coerced_rows(spark, d):
+    """Loose JSON rows with levels and shares forced into their ranges."""
+    k = F.get_json_object("props", "$.k").try_cast("bigint")
+    return table(spark, d, "events").select("event_id", F.greatest(F.lit(1), F.least(F.lit(6), F.coalesce(k, F.lit(1)))).cast("long").alias("level"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("value") / 100)).alias("share"))
+
+
+@query
+def override_violations(spark, d):
+    """Overrides whose value breaks its field's rule."""
+    e = table(spark, d, "events").select("event_id", "event_type", "value")
+    code = F.when((F.col("event_type") == "purchase") & ~F.col("value").between(0, 100), "confidence.range").when((F.col("event_type") == "error") & (F.col("value") > 50), "status.enum")
+    return e.select("event_id", code.alias("code")).where("code is not null")
+
+
+@query
+def run_manifest(spark, d):
+    outcome = F.when(F.col("event_type") == "error", "failed").otherwise("success")
+    return table(spark, d, "events").groupBy("user_id", outcome.alias("outcome")).agg(F.count(F.lit(1)).alias("n"), F.min("event_id").alias("first_event"))
+
+
+@query
+def progress_curve(spark, d):
+    return table(spark, d, "events").select("event_id", F.round(F.least(F.lit(0.95), 1 - F.exp(-F.col("value") / 30)), 9).alias("fraction"))
+
+
+@query
+def size_labels(spark, d):
+    n = F.octet_length("text").cast("long")
+    return _docs(spark, d).select("doc_id", T.size_label(n).alias("label"))
+
+
+@query
+def time_labels(spark, d):
+    return table(spark, d, "events").select("event_id", F.date_format(F.col("ts"), "yyyyMMdd'T'HHmmssSSSSSS").alias("label"))
+
+
+@query
+def ordered_words(spark, d):
+    """The distinct words of a text in order of first use, the first twenty of them."""
+    words = F.array_distinct(F.filter(F.transform(F.split("text", "[\n ]"), lambda w: F.lower(F.trim(w))), lambda w: w != ""))
+    return _docs(spark, d).select("doc_id", F.array_join(F.slice(words, 1, 20), " ").alias("words"))
+
+
+@query
+def evidence_cards(spark, d):
+    """Conversations as cards: the role stands behind a short hash, the texts behind counts."""
+    c = table(spark, d, "conversations").groupBy("conv_id", F.substring(F.sha2("role", 256), 1, 12).alias("model_id"))
+    return c.agg(F.count(F.lit(1)).alias("turns"), F.sum(F.length("text")).alias("chars"))

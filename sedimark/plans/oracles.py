@@ -182,3 +182,40 @@ ORACLES |= {
     "eta_with_prior": "WITH e AS (SELECT user_id, event_type, count(*) AS samples, avg(value) AS mean, max(value) AS most FROM events GROUP BY 1, 2), p AS (SELECT *, CASE WHEN samples >= 3 THEN mean ELSE least(24.0::DOUBLE, greatest(5.0::DOUBLE, 4 + most / 40)) END AS pt FROM e) SELECT user_id, event_type, samples, round(pt, 6) AS point, greatest(2.0::DOUBLE, 0.5::DOUBLE * round(pt, 6)) AS lower FROM p",
     "running_budget": "SELECT user_id, event_id, spent FROM (SELECT user_id, event_id, round(sum(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), 6) AS spent FROM events) WHERE spent <= 500",
 }
+
+_GUARANTEE = r"保证(?:了|会|能|可以|有效|成功|持续|实现)?|必然(?:会|能|导致)?|一定(?:会|能|可以|有效|成功)|(?:永远|绝对)(?:不会|有效|正确)?|\b(?:guarantees?|guaranteed|ensures?|ensured|always|never\s+fails)\b"
+_CAUSALITY = r"证明(?:了|其|这|该)?|说明(?:了|其|这|该)?.{0,12}(?:负责|导致|决定)|\b(?:proves?|proved|demonstrates?|demonstrated)\b"
+_NEGATION = r"并不|并未|不|未|无|does not |do not |doesn''t |don''t |not "
+_CLAIM_LINES = """SELECT -20::BIGINT AS id, array_to_string(['This always works', '```', 'It guarantees success', '```', 'It does not guarantee success', '证明了这一点', '不保证', 'This demonstrates it', '# head', '---', '<!-- note -->', 'mail a.b@c.org now'], chr(10)) AS text"""
+
+
+def _claims(pattern: str, code: str) -> str:
+    return f"CASE WHEN regexp_matches(regexp_replace(line, '(?i)(?:{_NEGATION})(?:{pattern})', '', 'g'), '(?i){pattern}') THEN '{code}' END"
+
+
+ORACLES |= {
+    "unfenced_claims": f"""WITH {_LITERALS}, every AS (SELECT * FROM texts UNION ALL {_CLAIM_LINES}), ln AS (SELECT id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM every),
+ f AS (SELECT *, sum(starts_with(line, '```')::INT) OVER (PARTITION BY id ORDER BY line_no) AS fences FROM ln), c AS (SELECT id, line_no, unnest([{_claims(_GUARANTEE, 'guarantee')}, {_claims(_CAUSALITY, 'causality')}]) AS code FROM f WHERE fences % 2 = 0 AND NOT starts_with(line, '```'))
+ SELECT * FROM c WHERE code IS NOT NULL""",
+    "substantive_lines": rf"""WITH every AS (SELECT doc_id AS id, text FROM documents UNION ALL {_CLAIM_LINES}), ln AS (SELECT id, unnest(string_split(text, chr(10))) AS line FROM every)
+ SELECT id, count(*) FILTER (WHERE regexp_matches(line, '\S') AND NOT regexp_matches(line, '^\s*(?:#|---|\*\*\*|<!--)')) AS n, count(*) AS lines FROM ln GROUP BY 1""",
+    "citation_coverage": f"""WITH {_UNITS}, cited AS (SELECT DISTINCT source_id FROM units WHERE kind = 'term'), declared AS (SELECT DISTINCT substr(sha256(text), 1, 12) AS source_id FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1))
+ SELECT source_id, 'undeclared' AS code, 'fail' AS severity FROM cited WHERE source_id NOT IN (SELECT source_id FROM declared) UNION ALL SELECT source_id, 'orphan', 'warn' FROM declared WHERE source_id NOT IN (SELECT source_id FROM cited)""",
+    "masked_texts": r"""WITH m AS (SELECT doc_id, text, regexp_replace(regexp_replace(regexp_replace(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+', '[masked]', 'g'), '(?:/home|/Users)/[A-Za-z0-9._-]+', '[masked]', 'g'), '\b[0-9a-f]{32,}\b', '[masked]', 'g') AS t FROM documents)
+ SELECT doc_id, sha256(t) AS sha256, t <> text AS changed FROM m""",
+    "kind_groups": f"WITH {_UNITS} SELECT CASE kind WHEN 'principle' THEN 2 WHEN 'technique' THEN 3 WHEN 'case' THEN 4 ELSE 5 END::BIGINT AS place, kind, count(*) AS units, count(DISTINCT source_id) AS sources FROM units GROUP BY kind",
+    "payload_tokens": f"""WITH c AS (SELECT conv_id, coalesce(right(lag(text) OVER w, 100), '') || text || coalesce(left(lead(text) OVER w, 100), '') AS text FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
+ SELECT conv_id, count(*) AS turns, sum((length(regexp_replace(text, '[^{_NARROW}]', '', 'g')) + 1) // 2 + (length(text) - length(regexp_replace(text, '[^{_NARROW}]', '', 'g')) + 3) // 4)::BIGINT AS tokens FROM c GROUP BY 1""",
+    "unit_counters": f"WITH {_UNITS} SELECT unit_id, counter FROM (SELECT unit_id, content, row_number() OVER (PARTITION BY source_id ORDER BY block_ord) AS counter FROM units) WHERE length(content) >= 20",
+    "recent_samples": "SELECT event_type, place, event_id FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS place FROM events WHERE value > 0) WHERE place <= 200",
+    "coerced_rows": "SELECT event_id, greatest(1, least(6, coalesce(try_cast(props ->> '$.k' AS BIGINT), 1)))::BIGINT AS level, greatest(0.0::DOUBLE, least(1.0::DOUBLE, value / 100)) AS share FROM events",
+    "override_violations": "SELECT event_id, CASE WHEN event_type = 'purchase' THEN 'confidence.range' ELSE 'status.enum' END AS code FROM events WHERE (event_type = 'purchase' AND value NOT BETWEEN 0 AND 100) OR (event_type = 'error' AND value > 50)",
+    "run_manifest": "SELECT user_id, CASE WHEN event_type = 'error' THEN 'failed' ELSE 'success' END AS outcome, count(*) AS n, min(event_id) AS first_event FROM events GROUP BY 1, 2",
+    "progress_curve": "SELECT event_id, round(least(0.95::DOUBLE, 1 - exp(-value / 30)), 9) AS fraction FROM events",
+    "size_labels": "WITH n AS (SELECT doc_id, octet_length(encode(text)) AS n FROM documents) SELECT doc_id, CASE WHEN n < 1024 THEN n || ' B' WHEN n < 1048576 THEN (n // 1024) || ' KB' ELSE (n // 1048576) || ' MB' END AS label FROM n",
+    "time_labels": "SELECT event_id, strftime(ts, '%Y%m%dT%H%M%S%f') AS label FROM events",
+    "ordered_words": """WITH w AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(text, '[\n ]'), lambda x: lower(trim(x))), lambda x: x <> '') AS w FROM documents), p AS (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM w),
+ f AS (SELECT doc_id, x, min(i) AS i FROM p GROUP BY 1, 2), t AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS nth FROM f), j AS (SELECT doc_id, string_agg(x, ' ' ORDER BY i) AS words FROM t WHERE nth <= 20 GROUP BY 1)
+ SELECT d.doc_id, coalesce(words, '') AS words FROM documents d LEFT JOIN j ON j.doc_id = d.doc_id""",
+    "evidence_cards": "SELECT conv_id, substr(sha256(role), 1, 12) AS model_id, count(*) AS turns, sum(length(text))::BIGINT AS chars FROM conversations GROUP BY 1, 2",
+}
