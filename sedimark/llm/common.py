@@ -24,7 +24,7 @@ def let(value: Column, body) -> Column:
 def word_count(text: Column) -> Column:
     """Number of words of a text; null counts 0. One pass of the regex engine and no array."""
     return F.length(F.regexp_replace(F.coalesce(text, F.lit("")), f"[\\x20\\x09-\\x0D]*{WORD}[\\x20\\x09-\\x0D]*", "x")).cast("long") - F.when(
-        F.coalesce(text, F.lit("")).rlike(f"^{SPACE}$"), F.length(text)
+        F.coalesce(text, F.lit("")).rlike(f"^{SPACE}\\z"), F.length(text)
     ).otherwise(0).cast("long")
 
 
