@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import ranked, staged
 
 #: Words and pieces whose ids a Python worker remembers at most, and the longest that it remembers, in bytes.
-MEMORY, LONGEST = 700_000, 48
+MEMORY, LONGEST = 200_000, 48
 #: A word of ASCII letters with ASCII marks behind it, but no apostrophe, which may start a contraction.
 SIMPLE = re.compile(rb"([A-Za-z]*)([!-&(-/:-@\[-`{-~]*)")
 #: The byte-level alphabet: printable Latin-1 bytes stand for themselves, the others for the characters from 256 on.
