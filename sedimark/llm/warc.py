@@ -35,9 +35,15 @@ ARCHIVE_BYTES, DICTIONARY_BYTES, SAMPLES, SAMPLE_BYTES = 8 << 20, 16 << 10, 200,
 
 
 def train_dictionary(df: DataFrame, id_col: str, text_col: str) -> bytes:
-    """A dictionary from at most SAMPLES payloads of at most SAMPLE_BYTES each, those with the smallest hashes of the id; empty if they are too few."""
-    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).where(F.octet_length("t") <= SAMPLE_BYTES)
-    texts = [r[0].encode() for r in rows.orderBy(F.xxhash64("id"), "t").select("t").limit(SAMPLES).collect()]
+    """A dictionary from at most SAMPLES payloads of at most SAMPLE_BYTES each, those with the smallest hashes of id and payload; empty if they are too few.
+
+    Each task would send SAMPLES payloads of its own, so a limit on the hash leaves about four times SAMPLES in all before they are ordered.
+    """
+    text = F.col(text_col)
+    rows = df.where(F.octet_length(text) <= SAMPLE_BYTES).select(F.shiftrightunsigned(F.xxhash64(F.col(id_col), text), 1).alias("h"), text.alias("t"))
+    limit = min((1 << 63) - 1, 4 * SAMPLES * (1 << 63) // max(1, df.count()))
+    few = rows.where(F.col("h") <= limit).groupBy("h").agg(F.first("t").alias("t"))
+    texts = [r[0].encode() for r in few.orderBy("h").select("t", "h").limit(SAMPLES).collect()]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, texts).as_bytes()
     except (zstandard.ZstdError, ValueError):
