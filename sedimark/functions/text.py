@@ -159,3 +159,8 @@ def size_label(n: Column) -> Column:
 def substantive(line: Column) -> Column:
     """Whether a line is more than blank, a heading, a rule or a comment."""
     return line.rlike(r"\S") & ~line.rlike(r"^\s*(?:#|---|\*\*\*|<!--)")
+
+
+def unique_words(t: Column) -> Column:
+    """All words of a text between spaces and line ends, lower-cased, once each in the order of first use."""
+    return F.array_distinct(F.filter(F.transform(F.split(t, "[\n ]"), lambda w: F.lower(F.trim(w))), lambda w: w != ""))

@@ -662,8 +662,14 @@ def time_labels(spark, d):
 @query
 def ordered_words(spark, d):
     """The distinct words of a text in order of first use, the first twenty of them."""
-    words = F.array_distinct(F.filter(F.transform(F.split("text", "[\n ]"), lambda w: F.lower(F.trim(w))), lambda w: w != ""))
-    return _docs(spark, d).select("doc_id", F.array_join(F.slice(words, 1, 20), " ").alias("words"))
+    return _docs(spark, d).select("doc_id", F.array_join(F.slice(T.unique_words(F.col("text")), 1, 20), " ").alias("words"))
+
+
+@query
+def ordered_words_whole(spark, d):
+    """All distinct words of a text in order of first use, and how many they are."""
+    words = T.unique_words(F.col("text"))
+    return _docs(spark, d).select("doc_id", F.size(words).cast("long").alias("n"), F.array_join(words, " ").alias("words"))
 
 
 @query

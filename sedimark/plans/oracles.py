@@ -217,5 +217,8 @@ ORACLES |= {
     "ordered_words": """WITH w AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(text, '[\n ]'), lambda x: lower(trim(x))), lambda x: x <> '') AS w FROM documents), p AS (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM w),
  f AS (SELECT doc_id, x, min(i) AS i FROM p GROUP BY 1, 2), t AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS nth FROM f), j AS (SELECT doc_id, string_agg(x, ' ' ORDER BY i) AS words FROM t WHERE nth <= 20 GROUP BY 1)
  SELECT d.doc_id, coalesce(words, '') AS words FROM documents d LEFT JOIN j ON j.doc_id = d.doc_id""",
+    "ordered_words_whole": """WITH w AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(text, '[\n ]'), lambda x: lower(trim(x))), lambda x: x <> '') AS w FROM documents), p AS (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM w),
+ f AS (SELECT doc_id, x, min(i) AS i FROM p GROUP BY 1, 2), j AS (SELECT doc_id, count(*) AS n, string_agg(x, ' ' ORDER BY i) AS words FROM f GROUP BY 1)
+ SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n, coalesce(words, '') AS words FROM documents d LEFT JOIN j ON j.doc_id = d.doc_id""",
     "evidence_cards": "SELECT conv_id, substr(sha256(role), 1, 12) AS model_id, count(*) AS turns, sum(length(text))::BIGINT AS chars FROM conversations GROUP BY 1, 2",
 }
