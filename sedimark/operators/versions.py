@@ -6,10 +6,17 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as S
+
+from sedimark.operators import relate
 
 INACTIVE = ("superseded", "rejected")
-#: Fields that a diff compares.
-FIELDS = ("kind", "content", "confidence", "review_status")
+#: Fields that a diff compares; those that neither collection has are left out.
+FIELDS = ("kind", "content", "conditions", "exceptions", "confidence", "review_status", "source_refs")
+
+
+def _fields(*sides: DataFrame) -> list[str]:
+    return [f for f in FIELDS if any(f in side.columns for side in sides)]
 
 
 def current_view(versions: DataFrame) -> DataFrame:
@@ -30,13 +37,13 @@ def view_of_kind(versions: DataFrame, kind: str) -> DataFrame:
 
 def _differs(field: str) -> Column:
     a, b = F.col(f"o.{field}"), F.col(f"n.{field}")
-    return F.abs(a - b) > 1e-9 if field == "confidence" else ~a.eqNullSafe(b)
+    return F.coalesce(F.abs(a - b) > 1e-9, ~a.eqNullSafe(b)) if field == "confidence" else ~a.eqNullSafe(b)
 
 
 def diff(old: DataFrame, new: DataFrame, allow_removals: bool = True) -> DataFrame:
     """unit_id, change and changed_fields from a full outer join of two collections."""
     both = old.alias("o").join(new.alias("n"), F.col("o.unit_id") == F.col("n.unit_id"), "full_outer")
-    changed = F.array_compact(F.array(*[F.when(_differs(f), F.lit(f)) for f in FIELDS]))
+    changed = F.array_compact(F.array(*[F.when(_differs(f), F.lit(f)) for f in _fields(old, new)]))
     unit = F.coalesce("o.unit_id", "n.unit_id")
     both = both.select(unit.alias("unit_id"), F.col("o.unit_id").isNull().alias("add"), F.col("n.unit_id").isNull().alias("gone"), changed.alias("changed"))
     removed = "removed" if allow_removals else "unchanged"
@@ -56,22 +63,47 @@ def standing_overrides(log: DataFrame) -> DataFrame:
     return latest_overrides(log.join(gone, "override_id", "left_anti"))
 
 
-def merge(base: DataFrame, new: DataFrame, overrides: DataFrame) -> DataFrame:
-    """Long form of a three-way merge: unit_id, field, value, outcome (new, ours or conflict) for units in both collections.
+def diff_conflicts(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Conflicting pairs over the union of both collections; of a unit in both the old row counts. Ids are those of the units."""
+    side = lambda df: df.select(F.col("unit_id").alias("id"), "kind", "content")
+    return relate.conflict_pairs(side(old).unionByName(side(new.join(old.select("unit_id"), "unit_id", "left_anti"))))
+
+
+def merge(base: DataFrame, new: DataFrame, overrides: DataFrame, allow_removals: bool = True) -> DataFrame:
+    """Long form of a three-way merge: unit_id, field, value, outcome (new, ours, conflict, added, kept or preserved) for all units.
 
     Without an override, or with one that changes nothing against base, the new value stands; where both agree, or new changes nothing, ours
-    does; otherwise ours stands and the row is a conflict.
+    does; otherwise ours stands and the row is a conflict. Units only in new are added as they are. Units only in base are left out, or with
+    allow_removals=False kept with their overrides. The overrides of units that are added or left out are preserved. Lists are JSON; those of
+    strings are equal as sets.
     """
-    text = lambda side, f: F.col(f"{side}.{f}").cast("string")
-    both = base.alias("b").join(new.alias("n"), F.col("b.unit_id") == F.col("n.unit_id"))
-    entries = [F.struct(F.lit(f).alias("field"), text("b", f).alias("base"), text("n", f).alias("new")) for f in FIELDS]
-    rows = both.select(F.col("b.unit_id").alias("unit_id"), F.explode(F.array(*entries)).alias("e")).select("unit_id", "e.*")
+    fields = _fields(base, new)
+    kinds = {f: base.schema[f].dataType for f in fields}
+    lists = [f for f in fields if isinstance(kinds[f], S.ArrayType)]
+    text = lambda side, f: F.to_json(f"{side}.{f}") if f in lists else F.col(f"{side}.{f}").cast("string")
+    both = base.alias("b").join(new.alias("n"), F.col("b.unit_id") == F.col("n.unit_id"), "full_outer")
+    entries = [F.struct(F.lit(f).alias("field"), text("b", f).alias("base"), text("n", f).alias("new")) for f in fields]
+    gone, add = F.col("n.unit_id").isNull(), F.col("b.unit_id").isNull()
+    rows = both.where(~gone | F.lit(not allow_removals)).select(F.coalesce("b.unit_id", "n.unit_id").alias("unit_id"), gone.alias("gone"), add.alias("add"), F.explode(F.array(*entries)).alias("e"))
+    rows = rows.select("unit_id", "gone", "add", "e.field", "e.base", F.when(F.col("gone"), F.col("e.base")).otherwise(F.col("e.new")).alias("new"))
     ours = overrides.select(F.col("unit_id").alias("u"), F.col("field").alias("f"), F.col("value").alias("ours"))
-    rows = rows.join(ours, (F.col("unit_id") == F.col("u")) & (F.col("field") == F.col("f")), "left")
-    plain = F.col("ours").isNull() | F.col("base").eqNullSafe(F.col("ours"))
-    agreed = F.col("ours").eqNullSafe(F.col("new")) | F.col("base").eqNullSafe(F.col("new"))
-    outcome = F.when(plain, "new").when(agreed, "ours").otherwise("conflict")
-    return rows.select("unit_id", "field", F.when(plain, F.col("new")).otherwise(F.col("ours")).alias("value"), outcome.alias("outcome"))
+    rows = rows.join(ours, (F.col("unit_id") == F.col("u")) & (F.col("field") == F.col("f")) & ~F.col("add"), "left")
+
+    def equal(a: str, b: str) -> Column:
+        same = F.col(a).eqNullSafe(F.col(b))
+        near = F.coalesce(F.abs(F.col(a).try_cast("double") - F.col(b).try_cast("double")) <= 1e-9, same)
+        members = lambda x: F.array_sort(F.array_distinct(F.from_json(x, "array<string>")))
+        sets = [f for f in lists if isinstance(kinds[f].elementType, S.StringType)]
+        alike = F.when(F.col("field") == "confidence", near)
+        return (alike.when(F.col("field").isin(*sets), same | members(a).eqNullSafe(members(b))) if sets else alike).otherwise(same)
+
+    plain = F.col("f").isNull() | F.col("ours").isNull() | equal("base", "ours")
+    outcome = F.when(F.col("add"), "added").when(plain & F.col("gone"), "kept").when(plain, "new").when(equal("ours", "new") | equal("base", "new"), "ours").otherwise("conflict")
+    merged = rows.select("unit_id", "field", F.when(plain, F.col("new")).otherwise(F.col("ours")).alias("value"), outcome.alias("outcome"))
+    ids = base.select(F.col("unit_id").alias("bu")).join(new.select(F.col("unit_id").alias("nu")), F.col("bu") == F.col("nu"), "full_outer")
+    single = ids.where("bu is null or nu is null" if allow_removals else "bu is null").select(F.coalesce("bu", "nu").alias("unit_id"))
+    preserved = overrides.join(single, "unit_id", "left_semi").select("unit_id", "field", "value", F.lit("preserved").alias("outcome"))
+    return merged.unionByName(preserved)
 
 
 def supersede(old: DataFrame, new: DataFrame) -> DataFrame:

@@ -208,7 +208,7 @@ def _overrides(spark, d):
 
 @query
 def three_way_merge(spark, d):
-    return V.merge(_old(spark, d), _new(spark, d), _overrides(spark, d)).where("outcome <> 'new' or field = 'review_status'")
+    return V.merge(_old(spark, d), _new(spark, d), _overrides(spark, d)).where("outcome in ('ours', 'conflict') or outcome = 'new' and field = 'review_status'")
 
 
 @query
