@@ -211,6 +211,12 @@ def three_way_merge(spark, d):
     return V.merge(_old(spark, d), _new(spark, d), _overrides(spark, d)).where("outcome in ('ours', 'conflict') or outcome = 'new' and field = 'review_status'")
 
 
+@query
+def merged_units(spark, d):
+    """The whole merge: all fields of all units, and the overrides of units in one collection alone."""
+    return V.merge(_old(spark, d), _new(spark, d), _overrides(spark, d))
+
+
 @query
 def merge_conflicts(spark, d):
     return V.merge(_old(spark, d), _new(spark, d), _overrides(spark, d)).where("outcome = 'conflict'").select("unit_id", "field", F.col("value").alias("human"))

@@ -117,6 +117,8 @@ ORACLES: dict[str, str] = {
     "supersession_append": f"""WITH {_DIFF} SELECT unit_id, (CASE WHEN added THEN 1 ELSE 2 END)::BIGINT AS record_version, CASE WHEN gone THEN 'superseded' ELSE ns END AS review_status, CASE WHEN NOT added THEN unit_id END AS supersedes FROM cmp WHERE added OR gone OR fields <> ''""",
     "snapshot_compare": f"WITH {_OLD} SELECT coalesce(o.unit_id, n.unit_id) AS path, CASE WHEN o.unit_id IS NULL THEN 'added' WHEN n.unit_id IS NULL THEN 'removed' ELSE 'changed' END AS change FROM old o FULL JOIN new n ON o.unit_id = n.unit_id WHERE o.content IS DISTINCT FROM n.content",
     "three_way_merge": f"WITH {_MERGE} SELECT * FROM merged WHERE outcome <> 'new' OR field = 'review_status'",
+    "merged_units": f"""WITH {_MERGE} SELECT * FROM merged UNION ALL SELECT unit_id, unnest(['kind', 'content', 'confidence', 'review_status']), unnest([kind, content, confidence::VARCHAR, review_status]), 'added' FROM new WHERE unit_id NOT IN (SELECT unit_id FROM old)
+ UNION ALL SELECT unit_id, field, ours, 'preserved' FROM ovr WHERE (unit_id IN (SELECT unit_id FROM old)) <> (unit_id IN (SELECT unit_id FROM new))""",
     "merge_conflicts": f"WITH {_MERGE} SELECT unit_id, field, value AS human FROM merged WHERE outcome = 'conflict'",
     "current_units": f"WITH {_VERSIONS} SELECT * FROM cur",
     "active_units": f"WITH {_VERSIONS} SELECT * FROM cur WHERE review_status NOT IN ('superseded', 'rejected')",

@@ -57,3 +57,16 @@ def test_conflicts_over_the_union(spark):
     old = spark.createDataFrame([("a", "principle", words), ("c", "principle", "other")], "unit_id string, kind string, content string")
     new = spark.createDataFrame([("b", "anti_pattern", words), ("a", "principle", "changed")], "unit_id string, kind string, content string")
     assert [{r.a, r.b} for r in V.diff_conflicts(old, new).collect()] == [{"a", "b"}]
+
+
+def test_merged_units_have_all_fields(spark, tmp_path):
+    d = tables(
+        spark,
+        tmp_path,
+        documents=([(1, "one"), (2, "two"), (3, "three")], "doc_id bigint, text string"),
+        labels=([(1, 1, 1), (2, 0, 0)], "doc_id bigint, quality int, toxic int"),
+        pages=([(7, "<p>")], "page_id bigint, html string"),
+    )
+    got = {(r.unit_id, r.field): r.outcome for r in catalogue.merged_units(spark, d).collect()}
+    want = {("d1", "kind"): "ours", ("d1", "review_status"): "conflict", ("d2", "review_status"): "preserved"}
+    assert got == {(u, f): "added" if u == "p7" else "new" for u in ("d1", "d3", "p7") for f in ("kind", "content", "confidence", "review_status")} | want
