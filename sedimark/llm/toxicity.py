@@ -6,7 +6,8 @@ through the winning positions only. Buckets that occur in few training texts sta
 learned by heart.
 
 The model is fitted on the driver to at most `sample` labelled rows, those with the smallest hashes of their ids; a fifth of
-them, held back from fitting, calibrates the threshold of each language. Scoring is a narrow pass over whole texts.
+them, held back from fitting, gives first thresholds. calibrate() sets each language's threshold by all labelled rows that were
+not fitted to, from counts by score bin. Scoring is a narrow pass over whole texts.
 
 Cases: a null text is empty; an empty text has a score like any other, from padding alone; texts of any length are pooled
 block by block; conflicting labels of an id count as the higher; null labels and ids are not learned from; without any labelled rows every score is
@@ -18,15 +19,19 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import staged
+
 #: Positives that a threshold must rest on.
 FEW = 20
+#: Bins of equal width that scores are counted by.
+BINS = 1000
 LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -80,6 +85,7 @@ class Model:
     out: np.ndarray | None = None
     out_bias: float = 0.0
     thresholds: dict[str, float] = field(default_factory=dict)
+    fitted: frozenset[str] = frozenset()
 
     def score(self, ids: np.ndarray) -> float:
         if self.out is None:
@@ -216,13 +222,48 @@ def fit(docs: DataFrame, labels: DataFrame, s: Settings = Settings(), id_col: st
             yield pa.RecordBatch.from_arrays([batch["id"], batch["label"], batch["lang"], ids], ["id", "label", "lang", "ids"])
 
     got = sorted(rows.mapInArrow(run, "id string, label int, lang string, ids binary").collect(), key=lambda r: (r[0], bytes(r[3])))
-    return train([np.frombuffer(r[3], np.int32) for r in got], np.array([float(r[1] > 0) for r in got]), [r[2] for r in got], s)
+    model = train([np.frombuffer(r[3], np.int32) for r in got], np.array([float(r[1] > 0) for r in got]), [r[2] for r in got], s)
+    model.fitted = frozenset(r[0] for i, r in enumerate(got) if i % 5)
+    return model
+
+
+def binned_threshold(bins: list[tuple[int, int, int]]) -> float:
+    """best_threshold of (bin, rows, positives), a row for each bin: between the lowest bin that counts as toxic and the next below."""
+    bins = sorted(bins, reverse=True)
+    at, n, hits = (np.array(x, float) for x in zip(*bins)) if bins else (np.zeros(0),) * 3
+    if hits.sum() < FEW:
+        return 0.5
+    k = int((2 * np.cumsum(hits) / (np.cumsum(n) + hits.sum())).argmax())
+    low = (at[k + 1] + 1) / BINS if k + 1 < len(at) else 0.0
+    return float((at[k] / BINS + low) / 2)
+
 
+def calibrate(model: Model, docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", label_col: str = "toxic") -> Model:
+    """model with thresholds from all labelled rows outside fold 0 whose id was not fitted to.
 
-def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id and score of each row."""
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    kind = rows.schema["id"].dataType.simpleString()
+    All documents are scored where they lie, so that no text is shuffled; counts by bin, of languages with FEW positives or more, come to the driver.
+    """
+    if model.out is None:
+        return model
+    known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & (fold(F.col(id_col)) != 0))
+    known = known.groupBy(F.col(id_col).alias("known_id")).agg((F.max(label_col) > 0).cast("long").alias("label"))
+    fitted = docs.sparkSession.createDataFrame([(i,) for i in sorted(model.fitted)], "fitted_id string")
+    # at most s.sample ids
+    known = known.join(F.broadcast(fitted), F.col("known_id").cast("string") == F.col("fitted_id"), "left_anti")
+    scored = score(docs, model, id_col, text_col, lang_col).join(known, F.col("id") == F.col("known_id"))
+    score_bin = F.least(F.floor(F.col("score") * BINS), F.lit(BINS - 1)).cast("int").alias("bin")
+    counts = staged(scored.groupBy("lang", score_bin).agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("hits")), "scores")
+    own = counts.join(counts.where("lang is not null").groupBy("lang").agg(F.sum("hits").alias("all_hits")).where(F.col("all_hits") >= FEW).select("lang"), "lang", "left_semi")
+    by_lang: dict[str, list[tuple[int, int, int]]] = {"": [tuple(r) for r in counts.groupBy("bin").agg(F.sum("n"), F.sum("hits")).collect()]}
+    for r in own.collect():
+        by_lang.setdefault(r["lang"], []).append((r["bin"], r["n"], r["hits"]))
+    return replace(model, thresholds={lang: binned_threshold(bins) for lang, bins in by_lang.items()})
+
+
+def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", lang_col: str | None = None) -> DataFrame:
+    """id and score of each row, and lang if its column is given."""
+    rows = docs.select(F.col(id_col).alias("id"), *([F.col(lang_col).alias("lang")] if lang_col else []), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    kinds = [f"{c} {rows.schema[c].dataType.simpleString()}" for c in rows.columns[:-1]]
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,9 +271,9 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         buckets = WordBuckets(m.settings.buckets)
         for batch in batches:
             scores = [m.score(buckets(t.as_py())) for t in batch["text"]]
-            yield pa.RecordBatch.from_arrays([batch["id"], pa.array(scores, pa.float64())], ["id", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(scores, pa.float64())], [*batch.schema.names[:-1], "score"])
 
-    return rows.mapInArrow(run, f"id {kind}, score double")
+    return rows.mapInArrow(run, ", ".join([*kinds, "score double"]))
 
 
 def keep_clean(docs: DataFrame, model: Model, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
