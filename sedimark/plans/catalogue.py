@@ -577,19 +577,39 @@ def substantive_lines(spark, d):
     return C.split_lines(docs).groupBy("id").agg(F.count_if(T.substantive(F.col("line"))).alias("n"), F.count(F.lit(1)).alias("lines"))
 
 
-@query
-def citation_coverage(spark, d):
-    """Units rendered as reference lines and read back: sources cited but not declared fail, declared but not cited warn."""
+def _cited(units):
+    """Units rendered as reference lines and read back."""
     line = F.concat(F.lit("- "), "source_id", F.lit(" / "), "block_id", F.lit(' — "'), F.left("content", F.lit(40)), F.lit('"'))
-    lines = _units(spark, d).where("kind = 'term'").select(line.alias("line"))
-    cited = lines.select(F.regexp_extract("line", r"^\s*-\s+([^\s/]+)\s*/\s*([^\s]+)", 1).alias("source_id")).distinct()
+    return units.select(line.alias("line")).select(F.regexp_extract("line", r"^\s*-\s+([^\s/]+)\s*/\s*([^\s]+)", 1).alias("source_id")).distinct()
+
+
+def _declared(spark, d):
+    """Declared sources and how often each is."""
     labelled = table(spark, d, "labels").where("quality = 1").select("doc_id")
-    declared = _docs(spark, d).join(labelled, "doc_id", "left_semi").select(F.substring(F.sha2("text", 256), 1, 12).alias("source_id")).distinct()
+    ids = _docs(spark, d).join(labelled, "doc_id", "left_semi").select(F.substring(F.sha2("text", 256), 1, 12).alias("source_id"))
+    return ids.groupBy("source_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _citation_findings(cited, declared):
     undeclared = cited.join(declared, "source_id", "left_anti").select("source_id", F.lit("undeclared").alias("code"), F.lit("fail").alias("severity"))
     orphan = declared.join(cited, "source_id", "left_anti").select("source_id", F.lit("orphan").alias("code"), F.lit("warn").alias("severity"))
     return undeclared.unionByName(orphan)
 
 
+@query
+def citation_coverage(spark, d):
+    """Citations of terms: sources cited but not declared fail, declared but not cited warn."""
+    return _citation_findings(_cited(_units(spark, d).where("kind = 'term'")), _declared(spark, d))
+
+
+@query
+def citation_coverage_whole(spark, d):
+    """Citations of all units: besides, sources that are declared more than once fail."""
+    declared = _declared(spark, d)
+    repeated = declared.where("n > 1").select("source_id", F.lit("duplicate").alias("code"), F.lit("fail").alias("severity"))
+    return _citation_findings(_cited(_units(spark, d)), declared).unionByName(repeated)
+
+
 @query
 def masked_texts(spark, d):
     m = T.masked(F.col("text"))

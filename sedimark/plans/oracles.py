@@ -203,6 +203,9 @@ ORACLES |= {
  SELECT id, count(*) FILTER (WHERE regexp_matches(line, '\S') AND NOT regexp_matches(line, '^\s*(?:#|---|\*\*\*|<!--)')) AS n, count(*) AS lines FROM ln GROUP BY 1""",
     "citation_coverage": f"""WITH {_UNITS}, cited AS (SELECT DISTINCT source_id FROM units WHERE kind = 'term'), declared AS (SELECT DISTINCT substr(sha256(text), 1, 12) AS source_id FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1))
  SELECT source_id, 'undeclared' AS code, 'fail' AS severity FROM cited WHERE source_id NOT IN (SELECT source_id FROM declared) UNION ALL SELECT source_id, 'orphan', 'warn' FROM declared WHERE source_id NOT IN (SELECT source_id FROM cited)""",
+    "citation_coverage_whole": f"""WITH {_UNITS}, cited AS (SELECT DISTINCT source_id FROM units), declared AS (SELECT substr(sha256(text), 1, 12) AS source_id, count(*) AS n FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) GROUP BY 1)
+ SELECT source_id, 'undeclared' AS code, 'fail' AS severity FROM cited WHERE source_id NOT IN (SELECT source_id FROM declared) UNION ALL SELECT source_id, 'orphan', 'warn' FROM declared WHERE source_id NOT IN (SELECT source_id FROM cited)
+ UNION ALL SELECT source_id, 'duplicate', 'fail' FROM declared WHERE n > 1""",
     "masked_texts": r"""WITH m AS (SELECT doc_id, text, regexp_replace(regexp_replace(regexp_replace(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+', '[masked]', 'g'), '(?:/home|/Users)/[A-Za-z0-9._-]+', '[masked]', 'g'), '\b[0-9a-f]{32,}\b', '[masked]', 'g') AS t FROM documents)
  SELECT doc_id, sha256(t) AS sha256, t <> text AS changed FROM m""",
     "kind_groups": f"WITH {_UNITS} SELECT CASE kind WHEN 'principle' THEN 2 WHEN 'technique' THEN 3 WHEN 'case' THEN 4 ELSE 5 END::BIGINT AS place, kind, count(*) AS units, count(DISTINCT source_id) AS sources FROM units GROUP BY kind",

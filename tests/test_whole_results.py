@@ -70,3 +70,9 @@ def test_merged_units_have_all_fields(spark, tmp_path):
     got = {(r.unit_id, r.field): r.outcome for r in catalogue.merged_units(spark, d).collect()}
     want = {("d1", "kind"): "ours", ("d1", "review_status"): "conflict", ("d2", "review_status"): "preserved"}
     assert got == {(u, f): "added" if u == "p7" else "new" for u in ("d1", "d3", "p7") for f in ("kind", "content", "confidence", "review_status")} | want
+
+
+def test_citations_of_all_units_and_repeated_declarations(spark, tmp_path):
+    d = tables(spark, tmp_path, documents=([(1, "Do it", "en"), (2, "Do it", "en"), (3, "", "en"), (4, "Go on", "en")], "doc_id bigint, text string, lang string"), labels=([(1, 1), (2, 1), (3, 1)], "doc_id bigint, quality int"))
+    got = sorted((r.code, r.severity) for r in catalogue.citation_coverage_whole(spark, d).collect())
+    assert got == [("duplicate", "fail"), ("orphan", "warn"), ("undeclared", "fail")]
