@@ -4,8 +4,8 @@ Each source's documents are dealt by a hash into cells, and consecutive cells fo
 quota is the number of its blocks, in a permuted order and epoch after epoch, that reach its target. The tree halves the
 set of output shards again and again; at each node a multivariate hypergeometric draw says how many blocks of each source
 go to the left half, so the shards' parts are distributed as if all blocks had been shuffled and dealt out, yet add up
-to the quotas exactly. Each shard then takes its count of the next blocks in each source's permuted order, and its rows are
-shuffled among themselves. Cells, blocks and the tree are tables whose size depends on the parameters, the number of
+to the quotas exactly. Each shard then takes its count of the next blocks in each source's permuted order, and mix_rows with a
+shard_col shuffles its rows among themselves; mix_plan has no order within a shard. Cells, blocks and the tree are tables whose size depends on the parameters, the number of
 sources and shards alone; rows meet them by (source, cell), which spreads a hot source over all its cells.
 
 Only DataFrame functions are used. The draw inverts the distribution function by walking from its mode, up to 12 standard
