@@ -134,17 +134,16 @@ def features(df: DataFrame, rule: NearDup, id_col: str, text_col: str) -> DataFr
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(node, comp): the smallest node that each node of links (a, b) reaches. Labels take the least of their neighbours' and then jump to their label's label, until none changes."""
+    """(node, comp): the smallest node that each node of links (a, b) reaches. In a round a label takes the least of the neighbours' labels and of its label's label; a round without changes is the last."""
     both = staged(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))), "edges")
     labels = staged(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("comp")), "labels")
     while True:
         near = both.join(labels.withColumnRenamed("node", "n"), F.col("b") == F.col("n")).groupBy("a").agg(F.min("comp").alias("least"))
-        step = labels.join(near, F.col("node") == F.col("a")).select("node", F.col("comp").alias("was"), F.least("comp", "least").alias("comp"))
-        step = staged(step, "step")
-        jump = step.select(F.col("node").alias("j"), F.col("comp").alias("far"))
-        after = staged(step.join(jump, F.col("comp") == F.col("j"), "left").select("node", "was", F.least("comp", F.coalesce("far", "comp")).alias("comp")), "labels")
+        jump = labels.select(F.col("node").alias("j"), F.col("comp").alias("far"))
+        step = labels.join(near, F.col("node") == F.col("a")).join(jump, F.col("comp") == F.col("j"))
+        after = staged(step.select("node", F.col("comp").alias("was"), F.least("comp", "least", "far").alias("comp")), "labels")
         changed = after.where("was != comp").limit(1).count()
-        unstage(step, labels)
+        unstage(labels)
         labels = after.select("node", "comp")
         labels._sedimark_path = after._sedimark_path
         if not changed:
@@ -217,39 +216,49 @@ def _overlaps(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _compare_blocks(members: DataFrame, texts: DataFrame, classes: DataFrame, rule: NearDup) -> DataFrame:
+def _compare_blocks(members: DataFrame, df: DataFrame, classes: DataFrame, rule: NearDup, id_col: str, text_col: str) -> DataFrame:
     """Links (a, b) between members (node, comp, bucket) of a bucket that are in different components, found exactly.
 
     Most of a bucket's members are in its main component. The others are dealt over blocks of OTHERS, all members over blocks of ALL, and
-    each pair of blocks is a group: signatures, compared as a matrix, leave few rows, whose full sets are compared as a matrix. Only links leave a group, one for each
-    node and component at most.
+    each pair of blocks is a group. First only the signatures meet, as a matrix, which leaves the rows that have a plausible partner in another component; then
+    the texts of these rows meet, whose full sets are compared as a matrix. Only links leave a group, one for each node and component at most.
     """
     sizes = members.groupBy(F.col("bucket").alias("k"), F.col("comp").alias("c")).agg(F.count(F.lit(1)).alias("n"))
     main = sizes.groupBy("k").agg(F.max(F.struct("n", -F.col("c"))).alias("m"), F.sum("n").alias("all"))
     rows = members.join(main, F.col("bucket") == F.col("k")).withColumn("other", F.col("comp") != -F.col("m.col2"))
+    rows = rows.join(classes.select(F.col("node").alias("cn"), "low"), F.col("node") == F.col("cn"))
     blocks = lambda n, size: F.greatest(F.lit(1), F.ceil(n / size)).cast("int")
     rows = rows.withColumn("n_i", blocks(F.col("all") - F.col("m.n"), OTHERS)).withColumn("n_j", blocks(F.col("all"), ALL))
     deal = lambda n: F.pmod(F.xxhash64("node", "bucket"), F.col(n)).cast("int")
     upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
-    keep = ["node", "comp", "bucket", "i", "j", "left"]
+    keep = ["node", "comp", "bucket", "i", "j", "left", "low"]
     left = rows.where("other").withColumn("i", deal("n_i")).withColumn("j", F.explode(upto("n_j"))).withColumn("left", F.lit(True)).select(keep)
     right = rows.withColumn("j", deal("n_j")).withColumn("i", F.explode(upto("n_i"))).withColumn("left", F.lit(False)).select(keep)
-    both = left.unionByName(right)
-    both = both.join(classes.select(F.col("node").alias("cn"), "low"), F.col("node") == F.col("cn")).join(texts.select(F.col("node").alias("tn"), "text"), F.col("node") == F.col("tn"))
     width = rule.bands * rule.rows
     least = (rule.percent / 100 - rule.slack) * width
 
+    def plausible(t: pa.Table) -> pa.Table:
+        comp, on_left = t["comp"].to_numpy(), t["left"].to_numpy()
+        low = np.frombuffer(b"".join(t["low"].to_pylist()), np.uint8).reshape(-1, width)
+        x, y = np.flatnonzero(on_left), np.flatnonzero(~on_left)
+        found = np.zeros(len(comp), bool)
+        for i in x:
+            near = y[((low[y] == low[i]).sum(1) >= least) & (comp[y] != comp[i])]
+            found[i] = len(near) > 0
+            found[near] = True
+        return t.select(keep[:-1]).filter(pa.array(found))
+
+    kinds = "node bigint, comp bigint, bucket bigint, i int, j int, left boolean"
+    near = staged(left.unionByName(right).groupBy("bucket", "i", "j").applyInArrow(plausible, kinds), "near")
+    texts = _texts(df, classes, near, id_col, text_col)
+    both = near.join(texts.select(F.col("node").alias("tn"), "text"), F.col("node") == F.col("tn"))
+
     def compare(t: pa.Table) -> pa.Table:
         node, comp, on_left = (t[c].to_numpy() for c in ("node", "comp", "left"))
-        low = np.frombuffer(b"".join(t["low"].to_pylist()), np.uint8).reshape(-1, width)
         x, y = np.flatnonzero(on_left), np.flatnonzero(~on_left)
-        near = np.zeros((len(x), len(y)), bool)
-        for k, i in enumerate(x):
-            near[k] = ((low[y] == low[i]).sum(1) >= least) & (comp[y] != comp[i])
-        x, y = x[near.any(1)], y[near.any(0)]
         out_a, out_b = [], []
         if len(x) and len(y):
-            sets = {i: shingle_set(t["text"][int(i)].as_buffer().to_pybytes(), rule.words) for i in {*x.tolist(), *y.tolist()}}
+            sets = [shingle_set(v.as_buffer().to_pybytes(), rule.words) for v in t["text"]]
             xs, ys = [sets[i] for i in x.tolist()], [sets[i] for i in y.tolist()]
             inter = _overlaps(xs, ys).astype(np.int64)
             union = np.array([len(v) for v in xs])[:, None] + np.array([len(v) for v in ys])[None, :] - inter
@@ -295,9 +304,8 @@ def groups(df: DataFrame, rule: NearDup, id_col: str = "doc_id", text_col: str =
     stars = staged(_plausible(stars, classes, rule), "stars")
     small = staged(_plausible(small, classes, rule).join(stars, ["a", "b"], "left_anti"), "pairs")
     large = staged(members.where(F.col("size") > rule.small), "large")
-    nodes = stars.select(F.col("a").alias("node")).union(stars.select("b")).union(small.select("a")).union(small.select("b"))
-    texts = _texts(df, classes, nodes, id_col, text_col)
-    links = staged(_confirm(stars, texts, rule), "links")
+    nodes = stars.select(F.col("a").alias("node")).union(stars.select("b"))
+    links = staged(_confirm(stars, _texts(df, classes, nodes, id_col, text_col), rule), "links")
     comps = components(links)
 
     def apart(pairs: DataFrame) -> DataFrame:
@@ -313,29 +321,28 @@ def groups(df: DataFrame, rule: NearDup, id_col: str = "doc_id", text_col: str =
         open_ = rows.groupBy(F.col("bucket").alias("k")).agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x != y").select("k")
         return rows.join(open_, F.col("bucket") == F.col("k"), "left_semi")
 
-    def add(more: DataFrame) -> bool:
+    def add(more: DataFrame) -> None:
         nonlocal links, comps
         more = staged(more, "links")
-        if not more.limit(1).count():
-            return False
-        links = links.unionByName(more)
-        comps = components(links)
-        return True
-
-    second = staged(apart(small), "pairs")
+        if more.limit(1).count():
+            links = links.unionByName(more)
+            comps = components(links)
+
+    # the members of a large bucket outside its largest component get a leader of their own; its pairs are confirmed along with those of small buckets
+    left = staged(unresolved(), "unresolved")
+    sizes = left.groupBy(F.col("bucket").alias("k"), F.col("comp").alias("c")).agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("weight", "node")).alias("leader"))
+    place = F.row_number().over(Window.partitionBy("k").orderBy(F.col("n").desc(), "c"))
+    second_leaders = sizes.withColumn("place", place).where("place = 2").select("k", "leader")
+    more = left.join(second_leaders, F.col("bucket") == F.col("k")).where("node != leader.node").select(F.col("leader.node").alias("a"), F.col("node").alias("b"))
+    more = _plausible(apart(more), classes, rule) if left.limit(1).count() else more
+    second = staged(apart(small).unionByName(more), "pairs")
     if second.limit(1).count():
-        add(_confirm(second, texts, rule))
-    if large.limit(1).count():
+        nodes = second.select(F.col("a").alias("node")).union(second.select("b"))
+        add(_confirm(second, _texts(df, classes, nodes, id_col, text_col), rule))
+    if left.limit(1).count():
         left = staged(unresolved(), "unresolved")
         if left.limit(1).count():
-            whole = _texts(df, classes, left, id_col, text_col)
-            # the members outside a bucket's largest component get a leader of their own
-            sizes = left.groupBy(F.col("bucket").alias("k"), F.col("comp").alias("c")).agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("weight", "node")).alias("leader"))
-            place = F.row_number().over(Window.partitionBy("k").orderBy(F.col("n").desc(), "c"))
-            second_leaders = sizes.withColumn("place", place).where("place = 2").select("k", "leader")
-            more = left.join(second_leaders, F.col("bucket") == F.col("k")).where("node != leader.node").select(F.col("leader.node").alias("a"), F.col("node").alias("b"))
-            add(_confirm(apart(_plausible(more, classes, rule)), whole, rule))
-            add(_compare_blocks(staged(unresolved(), "unresolved"), whole, classes, rule))
+            add(_compare_blocks(left, df, classes, rule, id_col, text_col))
     own = classes.join(comps.withColumnRenamed("node", "n"), F.col("node") == F.col("n"), "left").select("digest", F.coalesce("comp", "node").alias("comp"), "rep")
     ids = own.groupBy(F.col("comp").alias("c")).agg(F.min("rep").alias("first"))
     named = staged(own.join(ids, F.col("comp") == F.col("c")).select(F.col("digest").alias("d"), "first"), "components")
