@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import fingerprint, mixing, mpegts, near_dedup, packing, secret_scan, sharding, toxicity, url_filter, warc
+from .common import staged
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -19,8 +20,8 @@ def tokenizer_path() -> str:
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    plan = mixing.mix_plan(_read(spark, sf_dir, "documents"), mixing.Mix())
-    shards = F.array_join(F.transform("draws", lambda d: F.concat_ws(":", d.epoch, d.shard, d.words)), ",")
+    plan = mixing.place_draws(mixing.mix_plan(_read(spark, sf_dir, "documents")))
+    shards = F.array_join(F.transform("draws", lambda d: F.concat_ws(":", d.epoch, d.shard, d.words, d.position)), ",")
     return plan.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", shards.alias("draws"))
 
 
@@ -51,10 +52,12 @@ def op4_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _read(spark, sf_dir, "documents")
-    model = toxicity.fit(docs, _read(spark, sf_dir, "labels"))
-    scored = toxicity.score(docs, model)
-    return scored.select(F.col("id").alias("doc_id"), F.coalesce(toxicity.fold(F.col("id")) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    docs, labels = _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels")
+    model = toxicity.fit(docs, labels)
+    scored = staged(toxicity.score(docs, model, lang_col="lang"), "scored")
+    flagged = toxicity.flagged(scored, toxicity.thresholds(scored, labels, model), "flagged")
+    held_out = F.coalesce(toxicity.fold(F.col("id")) == 0, F.lit(False))
+    return flagged.select(F.col("id").alias("doc_id"), held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.col("flagged").cast("int").alias("flagged"))
 
 
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,7 +75,7 @@ def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_transport_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mpegts.read_media(mpegts.encode_media(_read(spark, sf_dir, "documents"))).withColumnRenamed("id", "doc_id")
+    return mpegts.read_media(mpegts.write_media(_read(spark, sf_dir, "documents"))).withColumnRenamed("id", "doc_id")
 
 
 def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,15 +3,17 @@
 Words (runs of letters, lower-cased) are hashed to rows of an embedding table; filters of several widths slide over the
 text, the largest response of each counts (max pooling), and a logistic layer turns them into a score. Training back-propagates
 through the winning positions only. Buckets that occur in few training texts stay zero, so a rare word cannot be
-learned by heart.
+learned by heart; the model that is sent to the tasks holds the other buckets' responses alone.
 
-The model is fitted on the driver to at most `sample` labelled rows, those with the smallest hashes of their ids; a fifth of
-them, held back from fitting, gives first thresholds. calibrate() sets each language's threshold by all labelled rows that were
-not fitted to, from counts by score bin. Scoring is a narrow pass over whole texts.
+The model is fitted on the driver to a bounded sample of labelled rows: at most `sample` ids, those with the smallest hashes, one row each, of at most
+`longest` words. The bounds concern the fit alone. A fifth of the labelled ids, by another hash, is never fitted to. A language's threshold comes from all labelled rows that were not fitted to,
+by counts in score bins to which the bins of all languages add the weight of PRIOR positives, and these in turn start from PRIOR rows of either kind to both sides of 0.5: with few labels a threshold stays near the
+common one, or that near 0.5, with many it is its own, without a step between them. Scoring is a narrow pass over whole texts.
 
 Cases: a null text is empty; an empty text has a score like any other, from padding alone; texts of any length are pooled
-block by block; conflicting labels of an id count as the higher; null labels and ids are not learned from; without any labelled rows every score is
-the prior 0; an unknown or null language takes the threshold of all; repeated rows get equal results; other columns are ignored.
+block by block; conflicting labels of an id count as the higher; null labels and ids are not learned from; of several texts with one id the fit takes the
+one with the least hash; without any labelled rows every score is
+the prior 0 and no document is toxic; an unknown or null language takes the threshold of all; repeated rows get equal results; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,17 +21,18 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructType
 
 from .common import staged
 
-#: Positives that a threshold must rest on.
-FEW = 20
+#: Positives that the threshold of all languages counts for in each language's own.
+PRIOR = 20
 #: Bins of equal width that scores are counted by.
 BINS = 1000
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -37,9 +40,10 @@ LETTERS = re.compile(r"[^\W\d_]+")
 
 @dataclass(frozen=True)
 class Settings:
-    """sample: labelled rows at most; buckets: rows of the embedding table; least and least_share: training texts that a bucket must occur in, and their share."""
+    """sample: labelled rows fitted to at most; longest: words of such a row at most; buckets: rows of the embedding table; least and least_share: training texts that a bucket must occur in, and their share; block: words scored at once."""
 
     sample: int = 12_000
+    longest: int = 1 << 16
     buckets: int = 1 << 17
     size: int = 8
     widths: tuple[int, ...] = (1, 2, 3)
@@ -52,14 +56,14 @@ class Settings:
     rate: float = 0.02
     decay: float = 1e-3
     seed: int = 7
-    block: int = 1 << 15
+    block: int = 1 << 13
 
 
-class WordBuckets:
-    """Bucket numbers of a text's words. 0 is padding."""
+class WordRows:
+    """Table rows of a text's words: their bucket numbers, or what slots holds at these. 0 is padding."""
 
-    def __init__(self, buckets: int):
-        self.buckets, self.known = buckets, {}
+    def __init__(self, buckets: int, slots: np.ndarray | None = None):
+        self.buckets, self.slots, self.known = buckets, slots, {}
 
     def __call__(self, text: str) -> np.ndarray:
         words = LETTERS.findall(text.lower())
@@ -71,98 +75,144 @@ class WordBuckets:
                 known.clear()
             for w in words:
                 if w not in known:
-                    known[w] = 1 + zlib.crc32(w.encode()) % (self.buckets - 1)
+                    bucket = 1 + zlib.crc32(w.encode()) % (self.buckets - 1)
+                    known[w] = bucket if self.slots is None else int(self.slots[bucket])
             return np.fromiter(map(known.__getitem__, words), np.int32, len(words))
 
 
 @dataclass
 class Model:
-    """tables[j][o]: responses of the filters of width widths[j] to each bucket at offset o."""
+    """table: a row for each bucket that slots names (row 0: all others), with the responses of the filters of each width at each offset side by side."""
 
     settings: Settings
-    tables: list[list[np.ndarray]] = field(default_factory=list)
-    bias: list[np.ndarray] = field(default_factory=list)
+    slots: np.ndarray | None = None
+    table: np.ndarray | None = None
+    bias: np.ndarray | None = None
     out: np.ndarray | None = None
     out_bias: float = 0.0
-    thresholds: dict[str, float] = field(default_factory=dict)
     fitted: frozenset[str] = frozenset()
 
-    def score(self, ids: np.ndarray) -> float:
+    def words(self) -> WordRows:
+        return WordRows(self.settings.buckets, self.slots)
+
+    def scores(self, texts: list[np.ndarray]) -> np.ndarray:
+        """Scores of texts given as table rows. Texts are taken together up to a block of words, longer ones block by block."""
         if self.out is None:
-            return 0.0
-        widest, block = max(self.settings.widths), self.settings.block
-        x = np.concatenate([ids, np.zeros(widest, np.int32)])
-        best = [np.full(self.settings.filters, -np.inf, np.float32) for _ in self.settings.widths]
-        for at in range(0, max(1, len(ids)), block):
-            part = x[at : at + block + widest - 1]
-            for j, w in enumerate(self.settings.widths):
-                n = min(block, len(part) - w + 1)
-                r = self.tables[j][0][part[:n]]
-                for o in range(1, w):
-                    r += self.tables[j][o][part[o : o + n]]
-                np.maximum(best[j], r.max(0), out=best[j])
-        h = np.concatenate([np.maximum(m + b, 0) for m, b in zip(best, self.bias)])
-        return float(1 / (1 + np.exp(-np.clip(h @ self.out + self.out_bias, -30, 30))))
-
-
-def train(texts: list[np.ndarray], labels: np.ndarray, langs: list[str | None], s: Settings) -> Model:
-    """Fit by Adam on the logistic loss, then calibrate thresholds on every fifth text, which is not fitted to."""
+            return np.zeros(len(texts))
+        s = self.settings
+        best = np.empty((len(texts), len(s.widths) * s.filters), np.float32)
+        at = 0
+        while at < len(texts):
+            end, n = at + 1, len(texts[at])
+            while end < len(texts) and n + len(texts[end]) <= s.block:
+                n += len(texts[end])
+                end += 1
+            best[at:end] = self._pooled(texts[at:end]) if n <= s.block else self._long(texts[at])
+            at = end
+        z = np.maximum(best + self.bias, 0) @ self.out + self.out_bias
+        return 1 / (1 + np.exp(-np.clip(z.astype(np.float64), -30, 30)))
+
+    def _pooled(self, texts: list[np.ndarray], windows: int | None = None) -> np.ndarray:
+        """The largest response of each filter in each text (in its first windows, if these are given), from one gather for all of them."""
+        s = self.settings
+        widest = max(s.widths)
+        lengths = np.fromiter(map(len, texts), np.int64, len(texts))
+        ends = np.cumsum(lengths + widest)
+        begins = ends - lengths - widest
+        flat = np.zeros(int(ends[-1]) + widest, np.int32)
+        for b, t in zip(begins.tolist(), texts):
+            flat[b : b + len(t)] = t
+        all_ = self.table[flat]
+        out, column = [], 0
+        for w in s.widths:
+            n = len(flat) - w + 1
+            r = all_[:n, column : column + s.filters].copy()
+            for o in range(1, w):
+                r += all_[o : o + n, column + o * s.filters : column + (o + 1) * s.filters]
+            column += w * s.filters
+            # windows that reach into the next text lie between a text's last window and the next one's first, and are left out
+            edges = np.stack([begins, begins + windows if windows else ends - w + 1], 1).ravel()
+            out.append(np.maximum.reduceat(r, edges, axis=0)[::2])
+        return np.concatenate(out, axis=1)
+
+    def _long(self, text: np.ndarray) -> np.ndarray:
+        s = self.settings
+        reach = max(s.widths) - 1
+        last = (len(text) - 1) // s.block * s.block
+        parts = [self._pooled([text[at : at + s.block + reach]], s.block) for at in range(0, last, s.block)]
+        return np.max([*parts, self._pooled([text[last:]])], axis=0)
+
+
+def gradients(x: list[np.ndarray], y: np.ndarray, emb: np.ndarray, filters: list[np.ndarray], bias: np.ndarray, out: np.ndarray, out_bias: np.ndarray):
+    """Logistic loss summed over texts of bucket numbers, its gradients by filters, bias, out and out_bias, and those by embeddings as (buckets, rows)."""
+    widest, size = max(f.shape[0] for f in filters), filters[0].shape[2]
+    lengths = np.fromiter(map(len, x), np.int64, len(x))
+    ends = np.cumsum(lengths + widest)
+    begins = ends - lengths - widest
+    flat = np.zeros(int(ends[-1]), np.int64)
+    for b, t in zip(begins.tolist(), x):
+        flat[b : b + len(t)] = t
+    v = emb[flat]
+    wins, tops = [], []
+    for f in filters:
+        w = f.shape[0]
+        n = len(flat) - w + 1
+        r = v[:n] @ f[0]
+        for o in range(1, w):
+            r += v[o : o + n] @ f[o]
+        win = np.stack([b + r[b : e - w + 1].argmax(0) for b, e in zip(begins.tolist(), ends.tolist())])
+        wins.append(win)
+        tops.append(r[win, np.arange(size)])
+    h = np.concatenate(tops, axis=1) + bias
+    active = h > 0
+    z = (h * active) @ out + out_bias[0]
+    p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+    d = (p - y).astype(h.dtype)
+    loss = float((np.logaddexp(0, z) - y * z).sum())
+    dh = d[:, None] * out * active
+    rows, row_grads, filter_grads = [], [], []
+    for j, f in enumerate(filters):
+        dj = dh[:, j * size : (j + 1) * size]
+        g = np.zeros_like(f)
+        for o in range(f.shape[0]):
+            spots = flat[wins[j] + o]
+            g[o] = np.einsum("bfk,bf->kf", emb[spots], dj)
+            rows.append(spots.ravel())
+            row_grads.append((dj[:, :, None] * f[o].T).reshape(-1, f.shape[1]))
+        filter_grads.append(g)
+    return loss, [*filter_grads, dh.sum(0), d @ (h * active), d.sum(keepdims=True)], (np.concatenate(rows), np.concatenate(row_grads))
+
+
+def train(texts: list[np.ndarray], labels: np.ndarray, s: Settings) -> Model:
+    """Fit texts of bucket numbers by Adam on the logistic loss. Without both kinds of labels, or any bucket that is common enough, the model has no output layer."""
     model = Model(s)
-    held = np.arange(len(texts)) % 5 == 0
-    fit = np.flatnonzero(~held)
-    if not len(fit) or not labels[fit].any() or labels[fit].all():
+    if not len(texts) or not labels.any() or labels.all():
         return model
     rng = np.random.default_rng(s.seed)
     seen = np.zeros(s.buckets, np.int32)
-    for i in fit:
-        seen[np.unique(texts[i])] += 1
-    known = seen >= max(s.least, s.least_share * len(fit))
+    for t in texts:
+        seen[np.unique(t)] += 1
+    known = seen >= max(s.least, s.least_share * len(texts))
     known[0] = False
+    if not known.any():
+        return model
     emb = (rng.normal(0, 0.1, (s.buckets, s.size)) * known[:, None]).astype(np.float32)
     filters = [rng.normal(0, 0.3, (w, s.size, s.filters)).astype(np.float32) for w in s.widths]
-    bias = [np.zeros(s.filters, np.float32) for _ in s.widths]
+    bias = np.zeros(len(s.widths) * s.filters, np.float32)
     out = rng.normal(0, 0.3, len(s.widths) * s.filters).astype(np.float32)
-    prior = labels[fit].mean()
+    prior = labels.mean()
     out_bias = np.array([np.log(prior / (1 - prior))], np.float32)
-    params = [*filters, *bias, out, out_bias]
+    params = [*filters, bias, out, out_bias]
     moments = [(np.zeros_like(p), np.zeros_like(p)) for p in params]
     emb_m, emb_v = np.zeros_like(emb), np.zeros_like(emb)
-    padded = {int(i): np.concatenate([texts[i], np.zeros(max(s.widths), np.int32)]) for i in fit}
-    batches = -(-len(fit) // s.batch)
+    batches = -(-len(texts) // s.batch)
     epochs = max(s.epochs, -(-s.least_steps // batches))  # small samples take more rounds
     step, steps = 0, epochs * batches
     for _ in range(epochs):
-        order = rng.permutation(fit)
+        order = rng.permutation(len(texts))
         for at in range(0, len(order), s.batch):
-            grads = [np.zeros_like(p) for p in params]
-            rows, row_grads = [], []
             batch = order[at : at + s.batch]
-            for i in batch:
-                x = padded[int(i)]
-                v = emb[x]
-                tops, wins = [], []
-                for j, w in enumerate(s.widths):
-                    n = len(x) - w + 1
-                    r = v[:n] @ filters[j][0]
-                    for o in range(1, w):
-                        r += v[o : o + n] @ filters[j][o]
-                    win = r.argmax(0)
-                    wins.append(win)
-                    tops.append(r[win, np.arange(s.filters)] + bias[j])
-                h = np.concatenate(tops)
-                active = h > 0
-                z = float((h * active) @ out + out_bias[0])
-                d = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels[i]
-                grads[-2] += d * h * active
-                grads[-1] += d
-                dh = (d * out * active).reshape(len(s.widths), s.filters)
-                for j, w in enumerate(s.widths):
-                    grads[len(s.widths) + j] += dh[j]
-                    for o in range(w):
-                        spots = x[wins[j] + o]
-                        grads[j][o] += emb[spots].T * dh[j]
-                        rows.append(spots)
-                        row_grads.append((filters[j][o] * dh[j]).T)
+            _, grads, (rows, row_grads) = gradients([texts[i] for i in batch], labels[batch], emb, filters, bias, out, out_bias)
             rate = s.rate * (1 - step / steps)  # falls to nothing, so that the last steps settle
             step += 1
             c1, c2 = 1 - 0.9**step, 1 - 0.999**step
@@ -171,124 +221,124 @@ def train(texts: list[np.ndarray], labels: np.ndarray, langs: list[str | None],
                 m += 0.1 * (g - m)
                 q += 0.001 * (g * g - q)
                 p -= rate * (m / c1) / (np.sqrt(q / c2) + 1e-8)
-            at_rows, inverse = np.unique(np.concatenate(rows), return_inverse=True)
+            at_rows, inverse = np.unique(rows, return_inverse=True)
             g = np.zeros((len(at_rows), s.size), np.float32)
-            np.add.at(g, inverse, np.concatenate(row_grads))
+            np.add.at(g, inverse, row_grads)
             g = g / len(batch) + s.decay * emb[at_rows]
             emb_m[at_rows] += 0.1 * (g - emb_m[at_rows])
             emb_v[at_rows] += 0.001 * (g * g - emb_v[at_rows])
             emb[at_rows] -= rate * (emb_m[at_rows] / c1) / (np.sqrt(emb_v[at_rows] / c2) + 1e-8) * known[at_rows, None]
-    model.tables = [[(emb @ filters[j][o]).astype(np.float32) for o in range(w)] for j, w in enumerate(s.widths)]
+    used = np.flatnonzero(known)
+    model.slots = np.zeros(s.buckets, np.int32)
+    model.slots[used] = 1 + np.arange(len(used))
+    rows = np.concatenate([np.zeros((1, s.size), np.float32), emb[used]])
+    model.table = np.concatenate([rows @ f[o] for f in filters for o in range(f.shape[0])], axis=1).astype(np.float32)
     model.bias, model.out, model.out_bias = bias, out, float(out_bias[0])
-    check = np.flatnonzero(held)
-    scores = np.array([model.score(texts[i]) for i in check])
-    model.thresholds = {"": best_threshold(scores, labels[check])}
-    for lang in sorted({langs[i] for i in check} - {None}):
-        mine = np.array([langs[i] == lang for i in check])
-        if labels[check][mine].sum() >= FEW:
-            model.thresholds[lang] = best_threshold(scores[mine], labels[check][mine])
     return model
 
 
-def best_threshold(scores: np.ndarray, labels: np.ndarray) -> float:
-    """The threshold with the best F1, in the middle of the gap between the scores around it; 0.5 with fewer than FEW positives, too few to tell."""
-    if labels.sum() < FEW:
-        return 0.5
-    order = np.argsort(-scores, kind="stable")
-    hits = np.cumsum(labels[order])
-    f1 = 2 * hits / (np.arange(1, len(order) + 1) + labels.sum())
-    k = int(f1.argmax())
-    low = scores[order[k + 1]] if k + 1 < len(order) else 0.0
-    return float((scores[order[k]] + low) / 2)
-
-
 def fold(id_: Column) -> Column:
     """crc32 of the id as text modulo 5."""
     return F.crc32(id_.cast("string").cast("binary")) % 5
 
 
-def fit(docs: DataFrame, labels: DataFrame, s: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", label_col: str = "toxic") -> Model:
-    """A model of the labelled rows outside fold 0. At most s.sample ids and their bucket numbers come to the driver."""
+def _labelled(labels: DataFrame, id_col: str, label_col: str) -> DataFrame:
+    """(known_id, label) of the labelled ids outside fold 0; label is 1 if any of an id's labels is above 0."""
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & (fold(F.col(id_col)) != 0))
-    chosen = known.groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).alias("label")).orderBy(F.xxhash64("id"), "id").limit(s.sample)
-    rows = docs.select(F.col(id_col).alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col(lang_col).alias("lang"))
+    return known.groupBy(F.col(id_col).alias("known_id")).agg((F.max(label_col) > 0).cast("int").alias("label"))
+
+
+def fit(docs: DataFrame, labels: DataFrame, s: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
+    """A model of labelled rows outside fold 0. At most s.sample rows of at most s.longest bucket numbers come to the driver."""
+    fitted_to = F.pmod(F.xxhash64("known_id"), F.lit(5)) != 0
+    chosen = _labelled(labels, id_col, label_col).where(fitted_to).orderBy(F.xxhash64(F.lit(s.seed), "known_id"), "known_id").limit(s.sample)
+    rows = docs.select(F.col(id_col).alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     # at most s.sample rows
-    rows = rows.join(F.broadcast(chosen), F.col("doc") == F.col("id")).select(F.col("id").cast("string").alias("id"), F.col("label").cast("int").alias("label"), "lang", "text")
+    rows = rows.join(F.broadcast(chosen), F.col("doc") == F.col("known_id")).select(F.col("known_id").cast("string").alias("id"), "label", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        buckets = WordBuckets(s.buckets)
+        words = WordRows(s.buckets)
         for batch in batches:
-            ids = pa.array([buckets(t.as_py()).tobytes() for t in batch["text"]], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch["id"], batch["label"], batch["lang"], ids], ["id", "label", "lang", "ids"])
-
-    got = sorted(rows.mapInArrow(run, "id string, label int, lang string, ids binary").collect(), key=lambda r: (r[0], bytes(r[3])))
-    model = train([np.frombuffer(r[3], np.int32) for r in got], np.array([float(r[1] > 0) for r in got]), [r[2] for r in got], s)
-    model.fitted = frozenset(r[0] for i, r in enumerate(got) if i % 5)
+            ids = [words(t.as_py()) for t in batch["text"]]
+            fits = pa.array([len(x) <= s.longest for x in ids], pa.bool_())
+            columns = [batch["id"], batch["label"], pa.array([x.tobytes() for x in ids], pa.binary())]
+            yield pa.RecordBatch.from_arrays([c.filter(fits) for c in columns], ["id", "label", "ids"])
+
+    found = rows.mapInArrow(run, "id string, label int, ids binary")
+    one = found.groupBy("id", "label").agg(F.min(F.struct(F.xxhash64("ids").alias("h"), "ids")).alias("text"))
+    got = sorted(one.select("id", "label", "text.ids").collect())
+    model = train([np.frombuffer(r[2], np.int32) for r in got], np.array([float(r[1]) for r in got]), s)
+    model.fitted = frozenset(r[0] for r in got)
     return model
 
 
-def binned_threshold(bins: list[tuple[int, int, int]]) -> float:
-    """best_threshold of (bin, rows, positives), a row for each bin: between the lowest bin that counts as toxic and the next below."""
-    bins = sorted(bins, reverse=True)
-    at, n, hits = (np.array(x, float) for x in zip(*bins)) if bins else (np.zeros(0),) * 3
-    if hits.sum() < FEW:
-        return 0.5
-    k = int((2 * np.cumsum(hits) / (np.cumsum(n) + hits.sum())).argmax())
-    low = (at[k + 1] + 1) / BINS if k + 1 < len(at) else 0.0
-    return float((at[k] / BINS + low) / 2)
-
-
-def calibrate(model: Model, docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", label_col: str = "toxic") -> Model:
-    """model with thresholds from all labelled rows outside fold 0 whose id was not fitted to.
+def thresholds(scored: DataFrame, labels: DataFrame, model: Model, id_col: str = "id", lang_col: str = "lang", score_col: str = "score", label_id: str = "doc_id", label_col: str = "toxic") -> DataFrame:
+    """(language, threshold): where the F1 of all labelled rows that were not fitted to is best, by language and, at null, for all.
 
-    All documents are scored where they lie, so that no text is shuffled; counts by bin, of languages with FEW positives or more, come to the driver.
+    scored is a staged table; the result is one, too, of a row for each language of a labelled document and one more.
     """
-    if model.out is None:
-        return model
-    known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & (fold(F.col(id_col)) != 0))
-    known = known.groupBy(F.col(id_col).alias("known_id")).agg((F.max(label_col) > 0).cast("long").alias("label"))
-    fitted = docs.sparkSession.createDataFrame([(i,) for i in sorted(model.fitted)], "fitted_id string")
+    known = _labelled(labels, label_id, label_col)
+    fitted = scored.sparkSession.createDataFrame([(i,) for i in sorted(model.fitted)], "fitted_id string")
     # at most s.sample ids
     known = known.join(F.broadcast(fitted), F.col("known_id").cast("string") == F.col("fitted_id"), "left_anti")
-    scored = score(docs, model, id_col, text_col, lang_col).join(known, F.col("id") == F.col("known_id"))
-    score_bin = F.least(F.floor(F.col("score") * BINS), F.lit(BINS - 1)).cast("int").alias("bin")
-    counts = staged(scored.groupBy("lang", score_bin).agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("hits")), "scores")
-    own = counts.join(counts.where("lang is not null").groupBy("lang").agg(F.sum("hits").alias("all_hits")).where(F.col("all_hits") >= FEW).select("lang"), "lang", "left_semi")
-    by_lang: dict[str, list[tuple[int, int, int]]] = {"": [tuple(r) for r in counts.groupBy("bin").agg(F.sum("n"), F.sum("hits")).collect()]}
-    for r in own.collect():
-        by_lang.setdefault(r["lang"], []).append((r["bin"], r["n"], r["hits"]))
-    return replace(model, thresholds={lang: binned_threshold(bins) for lang, bins in by_lang.items()})
-
-
-def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", lang_col: str | None = None) -> DataFrame:
-    """id and score of each row, and lang if its column is given."""
-    rows = docs.select(F.col(id_col).alias("id"), *([F.col(lang_col).alias("lang")] if lang_col else []), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    kinds = [f"{c} {rows.schema[c].dataType.simpleString()}" for c in rows.columns[:-1]]
+    rows = scored.join(known, F.col(id_col) == F.col("known_id"))
+    score_bin = F.least(F.floor(F.col(score_col) * BINS), F.lit(BINS - 1)).cast("int").alias("bin")
+    counts = staged(rows.groupBy(F.col(lang_col).alias("language"), score_bin).agg(F.count(F.lit(1)).alias("n"), F.sum("label").cast("long").alias("hits")), "scores")
+    # PRIOR rows of either kind
+    first = scored.sparkSession.createDataFrame([(None, BINS * 3 // 4, PRIOR, PRIOR), (None, BINS // 4, PRIOR, 0)], "language string, bin int, n bigint, hits bigint")
+    counts = counts.unionByName(first)
+    common = counts.groupBy(F.col("bin").alias("b")).agg(F.sum("n").alias("all_n"), F.sum("hits").alias("all_hits"))
+    share = F.lit(PRIOR / counts.agg(F.sum("hits")).first()[0])
+    langs = counts.select("language").union(counts.select(F.lit(None).cast("string").alias("language"))).distinct()
+    # common has at most BINS rows
+    grid = langs.select("language", F.explode(F.sequence(F.lit(0), F.lit(BINS - 1))).alias("bin")).join(F.broadcast(common), F.col("bin") == F.col("b"))
+    own = counts.where("language is not null").select(F.col("language").alias("l"), F.col("bin").alias("ob"), "n", "hits")
+    grid = grid.join(own, (F.col("language") == F.col("l")) & (F.col("bin") == F.col("ob")), "left")
+    grid = grid.select("language", "bin", (F.coalesce("n", F.lit(0)) + share * F.col("all_n")).alias("n"), (F.coalesce("hits", F.lit(0)) + share * F.col("all_hits")).alias("hits"))
+    down = Window.partitionBy("language").orderBy(F.col("bin").desc())
+    so_far = down.rowsBetween(Window.unboundedPreceding, 0)
+    f1 = 2 * F.sum("hits").over(so_far) / (F.sum("n").over(so_far) + F.sum("hits").over(Window.partitionBy("language")))
+    # in the middle of the gap between the lowest bin that counts as toxic and the next one below with rows in it
+    below = F.coalesce(F.lead("bin").over(down) + 1, F.lit(0))
+    grid = grid.select("language", "bin", f1.alias("f1"), ((F.col("bin") + below) / F.lit(2.0 * BINS)).alias("threshold"))
+    best = grid.groupBy("language").agg(F.max_by("threshold", F.struct("f1", "bin")).alias("threshold"))
+    return staged(best, "thresholds")
+
+
+def flagged(scored: DataFrame, limits: DataFrame, name: str = "toxic", lang_col: str = "lang", score_col: str = "score") -> DataFrame:
+    """Add name: whether a row's score reaches its language's threshold. limits: from thresholds()."""
+    common = limits.where("language is null").select("threshold").first()[0]
+    own = limits.where("language is not null").select(F.col("language").alias("__l"), F.col("threshold").alias("__t"))
+    out = scored.join(own, F.col(lang_col) == F.col("__l"), "left")
+    limit = F.coalesce("__t", F.lit(common))
+    return out.select(*scored.columns, (F.col(score_col) >= limit).alias(name))
+
+
+def scored_rows(docs: DataFrame, model: Model, text_col: str = "text", score_col: str = "score") -> DataFrame:
+    """docs with a score behind its columns. Narrow: whole rows pass through, whatever their columns."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    text_at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        buckets = WordBuckets(m.settings.buckets)
+        words = m.words()
         for batch in batches:
-            scores = [m.score(buckets(t.as_py())) for t in batch["text"]]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(scores, pa.float64())], [*batch.schema.names[:-1], "score"])
+            scores = m.scores([words(t.as_py() or "") for t in batch.column(text_at)])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], [*batch.schema.names, score_col])
 
-    return rows.mapInArrow(run, ", ".join([*kinds, "score double"]))
+    return docs.mapInArrow(run, StructType([*docs.schema.fields]).add(score_col, DoubleType()))
 
 
-def keep_clean(docs: DataFrame, model: Model, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """docs without the rows whose score reaches their language's threshold. Narrow: whole rows pass through, whatever their columns."""
-    schema = docs.schema
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    text_at, lang_at = docs.columns.index(text_col), docs.columns.index(lang_col)
+def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", lang_col: str | None = None) -> DataFrame:
+    """id and score of each row, and lang if its column is given."""
+    rows = docs.select(F.col(id_col).alias("id"), *([F.col(lang_col).alias("lang")] if lang_col else []), F.col(text_col).alias("text"))
+    return scored_rows(rows, model).drop("text")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        buckets = WordBuckets(m.settings.buckets)
-        least = m.thresholds.get("", 0.5)
-        for batch in batches:
-            langs = batch.column(lang_at).to_pylist()
-            keep = [m.out is None or m.score(buckets(t.as_py() or "")) < m.thresholds.get(lang, least) for t, lang in zip(batch.column(text_at), langs)]
-            yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, schema)
+def keep_clean(docs: DataFrame, labels: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", label_col: str = "toxic") -> DataFrame:
+    """docs without the rows whose score reaches their language's threshold. Texts are scored once, into a staged table from which thresholds and rows are read."""
+    if model.out is None:
+        return docs
+    scored = staged(scored_rows(docs, model, text_col, "__score"), "scored", "zstd")
+    limits = thresholds(scored, labels, model, id_col, lang_col, "__score", id_col, label_col)
+    return flagged(scored, limits, "__toxic", lang_col, "__score").where("not __toxic").select(*docs.columns)

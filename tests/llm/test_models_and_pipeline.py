@@ -128,7 +128,7 @@ def test_toxicity_learns_words_not_ids(spark):
     model = toxicity.fit(docs, spark.createDataFrame(labels, "doc_id bigint, toxic int"))
     held = [r for r in toxicity.score(docs, model).collect() if zlib.crc32(str(r.id).encode()) % 5 == 0]
     assert np.mean([(r.score >= 0.5) == (r.id % 4 == 0) for r in held]) > 0.97
-    kept = {r.doc_id for r in toxicity.keep_clean(docs, model).collect()}
+    kept = {r.doc_id for r in toxicity.keep_clean(docs, spark.createDataFrame(labels, "doc_id bigint, toxic int"), model).collect()}
     assert sum(i % 4 != 0 for i in kept) > 440 and sum(i % 4 == 0 for i in kept) < 10
 
 
@@ -136,17 +136,62 @@ def test_toxicity_of_awkward_rows(docs, none, spark):
     labels = spark.createDataFrame([(1, 1), (1, 0), (2, 0), (3, None), (None, 1)], "doc_id bigint, toxic int")
     model = toxicity.fit(docs, labels)
     assert len(toxicity.score(docs, model).collect()) == len(rows())
-    assert toxicity.keep_clean(docs, model).columns == docs.columns
+    kept = toxicity.keep_clean(docs, labels, model)
+    assert kept.columns == docs.columns and kept.count() == len(rows())
+    learned = toxicity.fit(docs, spark.createDataFrame([(i, i % 2) for i in range(1, 11)], "doc_id bigint, toxic int"), toxicity.Settings(least=1, least_steps=3))
+    assert learned.out is not None and len(learned.fitted) > 3
+    assert toxicity.keep_clean(docs, labels, learned).columns == docs.columns
+    assert toxicity.keep_clean(none, labels, learned).collect() == []
     assert toxicity.score(none, toxicity.fit(none, labels)).collect() == []
 
 
-def test_long_texts_pool_block_by_block():
-    s = toxicity.Settings(block=64, epochs=2, buckets=1 << 10, least=1)
+def small_model(**changes):
+    s = toxicity.Settings(block=64, epochs=2, least_steps=20, buckets=1 << 10, least=1, **changes)
     rng = np.random.default_rng(2)
-    texts = [rng.integers(1, 1000, 200).astype(np.int32) for _ in range(40)]
-    model = toxicity.train(texts, np.arange(40) % 2.0, ["en"] * 40, s)
-    whole = toxicity.Model(toxicity.Settings(block=1 << 20), model.tables, model.bias, model.out, model.out_bias)
-    assert all(abs(model.score(t) - whole.score(t)) < 1e-6 for t in [*texts, np.empty(0, np.int32)])
+    texts = [rng.integers(1, 1000, rng.integers(0, 200)).astype(np.int32) for _ in range(40)]
+    return texts, toxicity.train(texts, np.arange(40) % 2.0, s)
+
+
+def plain_score(model, text):
+    """Each filter at each window of the text and its padding, one by one."""
+    s = model.settings
+    x = [int(model.slots[i]) for i in text] + [0] * max(s.widths)
+    h, column = [], 0
+    for j, w in enumerate(s.widths):
+        for f in range(s.filters):
+            best = max(sum(float(model.table[x[at + o], column + o * s.filters + f]) for o in range(w)) for at in range(len(x) - w + 1))
+            h.append(max(0.0, best + float(model.bias[j * s.filters + f])))
+        column += w * s.filters
+    return 1 / (1 + np.exp(-(np.dot(h, model.out) + model.out_bias)))
+
+
+def test_scores_against_a_plain_convolution():
+    texts, model = small_model()
+    texts += [np.empty(0, np.int32), np.arange(64, dtype=np.int32), np.arange(1, 66, dtype=np.int32), np.arange(1, 129, dtype=np.int32)]
+    got = model.scores([model.slots[t] for t in texts])
+    assert np.allclose(got, [plain_score(model, t) for t in texts], atol=1e-5)
+
+
+def test_gradients_against_differences():
+    rng = np.random.default_rng(5)
+    emb = rng.normal(0, 1, (30, 4))
+    filters = [rng.normal(0, 1, (w, 4, 3)) for w in (1, 2, 3)]
+    bias, out, out_bias = rng.normal(0, 0.1, 9), rng.normal(0, 1, 9), rng.normal(0, 1, 1)
+    x, y = [rng.integers(0, 30, n) for n in (7, 0, 12, 1)], np.array([1.0, 0.0, 0.0, 1.0])
+    params = [*filters, bias, out, out_bias]
+    loss = lambda: toxicity.gradients(x, y, emb, filters, bias, out, out_bias)[0]
+    _, grads, (rows, row_grads) = toxicity.gradients(x, y, emb, filters, bias, out, out_bias)
+    by_emb = np.zeros_like(emb)
+    np.add.at(by_emb, rows, row_grads)
+    for p, g in zip([*params, emb], [*grads, by_emb]):
+        for at in np.ndindex(*p.shape):
+            was, step = p[at], 1e-6
+            p[at] = was + step
+            up = loss()
+            p[at] = was - step
+            down = loss()
+            p[at] = was
+            assert abs((up - down) / (2 * step) - g[at]) < 1e-3, at
 
 
 def test_pipeline_stages(spark, sf):

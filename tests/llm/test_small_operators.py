@@ -37,14 +37,19 @@ def test_shards_keep_groups_and_slots(docs, none):
 
 
 def test_schedule_is_longest_processing_time():
-    items = [(str(i), random.Random(i).randrange(1, 50)) for i in range(200)]
-    loads = [0] * 5
-    want = {}
-    for key, size in sorted(items, key=lambda x: (-x[1], x[0])):
-        s = min(range(5), key=lambda i: (loads[i], i))
-        want[key] = s
-        loads[s] += size
-    assert sharding.schedule(items, 5) == want
+    rng = random.Random(7)
+    for most in (1, 3, 50, 2000):
+        sizes = [rng.randrange(0, 50) for _ in range(40)]
+        histogram = sorted({x: rng.randrange(1, most + 1) for x in sizes}.items(), reverse=True)
+        loads, want = [0] * 5, []
+        for x, n in histogram:
+            took = Counter()
+            for _ in range(n):
+                s = min(range(5), key=lambda i: (loads[i], i))
+                loads[s] += x
+                took[s] += 1
+            want.append((x, sorted(took.items())))
+        assert list(sharding.schedule(histogram, 5)) == want
 
 
 def test_shards_near_equal_bytes(spark, sf):
@@ -153,6 +158,28 @@ def test_archive_faults_are_found():
             warc.describe(bad)
 
 
+def test_archives_of_other_writers(spark):
+    """Frames without a content size, streamed frames, skippable frames between records, no dictionary, folded header lines."""
+    raws = [warc.record(i, f"http://a/{i}", (b"text %d " % i) * (1 + 40_000 * (i == 2)), "-", None) for i in range(4)]
+    raws[1] = raws[1].replace(b"\r\nWARC-Date", b"\r\n folded\r\n\tonce more\r\nWARC-Date", 1)
+    plain = zstandard.ZstdCompressor(write_content_size=False)
+    stream = lambda raw: (c := zstandard.ZstdCompressor(write_checksum=True).compressobj()).compress(raw[:9]) + c.compress(raw[9:]) + c.flush()
+    skip = struct.pack("<II", warc.SKIPPABLE + 3, 5) + b"hello"
+    foreign = skip + plain.compress(raws[0]) + skip + stream(raws[1]) + stream(raws[2]) + skip + plain.compress(raws[3]) + skip
+    assert list(warc.read_archive(foreign)) == raws
+    fields, _ = warc.parse_record(raws[1])
+    assert fields["warc-target-uri"] == "http://a/1 folded once more"
+    got = warc.read_records(spark.createDataFrame([(bytearray(foreign),), (bytearray(),)], "content binary")).collect()
+    assert [r.uri for r in got][0] == "http://a/0" and [bytes(r.block) for r in got] == [warc.parse_record(x)[1] for x in raws]
+    for bad in (foreign[:-2], foreign[:40] + b"\xff" + foreign[41:], skip[:6], stream(raws[1])[:-1] + b"?"):
+        with pytest.raises(ValueError):
+            list(warc.read_archive(bad))
+    with pytest.raises(ValueError):
+        list(warc.read_archive(plain.compress(b"0" * 5000), 4000))
+    with pytest.raises(ValueError):
+        list(warc.read_archive(zstandard.ZstdCompressor().compress(b"0" * 5000), 4000))
+
+
 # --- URL rules ------------------------------------------------------------------------------------------------------------------
 
 
@@ -202,7 +229,7 @@ def test_url_rules(spark, sf):
 
 
 def test_media_round_trip(docs, none):
-    got = mpegts.read_media(mpegts.encode_media(docs)).collect()
+    got = mpegts.read_media(mpegts.write_media(docs)).collect()
     want = []
     for i, t, *_ in rows():
         data = (t or "").encode()
@@ -211,7 +238,18 @@ def test_media_round_trip(docs, none):
     key = lambda r: tuple(str(x) for x in r)
     assert sorted([tuple(r)[:5] for r in got], key=key) == sorted(want, key=key)
     assert all(r.media_bytes % 188 == 0 and "cc_errors=0" in r.feature for r in got)
-    assert mpegts.read_media(mpegts.encode_media(none)).collect() == []
+    assert mpegts.read_media(mpegts.write_media(none)).collect() == []
+
+
+def test_runs_hold_all_times():
+    rng = random.Random(2)
+    for _ in range(200):
+        times = [rng.choice([0, 3003, 6006, 9009, 9010, 5]) for _ in range(rng.randrange(0, 9))]
+        out = []
+        for part in filter(None, mpegts.runs(times).split(",")):
+            m = re.fullmatch(r"(\d+)(?:([+-]\d+)\*(\d+))?", part)
+            out += [int(m[1]) + k * int(m[2] or 0) for k in range(int(m[3] or 0) + 1)]
+        assert out == times
 
 
 def test_stream_faults():
@@ -225,6 +263,16 @@ def test_stream_faults():
         mpegts.demux(b"\x00" + stream[1:])
     with pytest.raises(ValueError):
         mpegts.demux(stream[:10] + bytes([stream[10] ^ 1]) + stream[11:])  # a table's CRC
+    again = b"".join(packets[:4] + packets[3:])
+    assert (mpegts.demux(again).errors, mpegts.demux(again).repeats, mpegts.demux(again).payload) == (0, 1, found.payload)
+    whole = mpegts.mux(mpegts.padded(bytes(range(256)) * 200))
+    big = [whole[i : i + 188] for i in range(0, len(whole), 188)]
+    own = [i for i, p in enumerate(big) if (p[1] & 0x1F, p[2]) == (1, 0)]
+    key = next(i for i in own[1:] if big[i][3] & 0x20 and big[i][4] and big[i][5] & 0x40)
+    moved = [p[:3] + bytes([p[3] & 0xF0 | p[3] + 9 & 15]) + p[4:] if i in own and i >= key else p for i, p in enumerate(big)]
+    assert (mpegts.demux(b"".join(moved)).errors, mpegts.demux(b"".join(moved)).jumps) == (1, 0)
+    moved[key] = moved[key][:5] + bytes([moved[key][5] | 0x80]) + moved[key][6:]  # the packet says so
+    assert (mpegts.demux(b"".join(moved)).errors, mpegts.demux(b"".join(moved)).jumps) == (0, 1)
     pat_again = packets[0][:3] + bytes([packets[0][3] & 0xF0 | 5]) + packets[0][4:]
     assert mpegts.demux(pat_again + stream).errors == 1
 
