@@ -2,7 +2,7 @@
 
 An archive starts with a skippable frame that holds the dictionary; each record is a frame of its own. The reader loads
 the dictionary from the leading frame, walks from frame to frame by their block headers, and checks magic numbers, lengths,
-header lines and digests. Archives are rows of a table in the shared folder (name, n_records, content), each of bounded size,
+header lines and digests. It also takes archives of other writers: frames without a content size, skippable frames between records, folded header lines. Archives are rows of a table in the shared folder (name, n_records, content), each of bounded size,
 so that Spark's committers make them safe against lost executors.
 
 Of records with equal payloads of at least `least` bytes the one with the largest id is stored as a response, the others
@@ -28,10 +28,12 @@ from pyspark.sql import functions as F
 from .common import staged, unstage
 
 #: Fixed values of the formats.
-DICTIONARY_FRAME, FRAME = 0x184D2A5D, 0xFD2FB528
+SKIPPABLE, DICTIONARY_FRAME, FRAME = 0x184D2A50, 0x184D2A5D, 0xFD2FB528
 VERSION = b"WARC/1.1"
 #: Bytes of content after which an archive is closed; bytes of the dictionary; samples it is trained on and their size at most.
 ARCHIVE_BYTES, DICTIONARY_BYTES, SAMPLES, SAMPLE_BYTES = 8 << 20, 16 << 10, 200, 64 << 10
+#: Bytes of a record that the reader takes at most.
+RECORD_BYTES = 1 << 30
 
 
 def train_dictionary(df: DataFrame, id_col: str, text_col: str) -> bytes:
@@ -92,40 +94,70 @@ def frame_end(data: bytes, at: int) -> int:
     return at
 
 
-def read_archive(data: bytes) -> Iterator[bytes]:
-    """The records of an archive, decompressed."""
-    at, dictionary = 0, None
-    if len(data) >= 8 and struct.unpack_from("<I", data)[0] == DICTIONARY_FRAME:
-        size = struct.unpack_from("<I", data, 4)[0]
-        at = 8 + size
-        if at > len(data):
-            raise ValueError("the dictionary is cut off")
-        content = data[8:at]
-        if content[:4] == struct.pack("<I", FRAME):  # a dictionary may itself be compressed
-            content = zstandard.ZstdDecompressor().decompress(content)
-        dictionary = zstandard.ZstdCompressionDict(content) if content else None
-    reader = zstandard.ZstdDecompressor(dict_data=dictionary) if dictionary else zstandard.ZstdDecompressor()
+def _content(reader: zstandard.ZstdDecompressor, frame: bytes, most: int) -> bytes:
+    """What a frame holds, with or without its size in the header, if it is not above most."""
+    try:
+        size = zstandard.get_frame_parameters(frame).content_size
+        if size not in (zstandard.CONTENTSIZE_UNKNOWN, zstandard.CONTENTSIZE_ERROR):
+            if size > most:
+                raise ValueError("a record is too large")
+            return reader.decompress(frame)
+        parts, size = [], 0
+        with reader.stream_reader(frame) as stream:
+            while part := stream.read(1 << 20):
+                parts.append(part)
+                size += len(part)
+                if size > most:
+                    raise ValueError("a record is too large")
+        return b"".join(parts)
+    except zstandard.ZstdError as fault:
+        raise ValueError(str(fault)) from fault
+
+
+def read_archive(data: bytes, most: int = RECORD_BYTES) -> Iterator[bytes]:
+    """The records of an archive, decompressed, one for each frame. Skippable frames between records are passed over; any fault raises ValueError."""
+    at, reader = 0, zstandard.ZstdDecompressor()
     while at < len(data):
+        if len(data) < at + 8:
+            raise ValueError("a frame is cut off")
+        magic, size = struct.unpack_from("<II", data, at)
+        if SKIPPABLE <= magic < SKIPPABLE + 16:
+            if at + 8 + size > len(data):
+                raise ValueError("a skippable frame is cut off")
+            if at == 0 and magic == DICTIONARY_FRAME and size:
+                content = data[8 : 8 + size]
+                if content[:4] == struct.pack("<I", FRAME):  # a dictionary may itself be compressed
+                    content = _content(reader, content, most)
+                reader = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(content))
+            at += 8 + size
+            continue
         end = frame_end(data, at)
-        yield reader.decompress(data[at:end])
+        yield _content(reader, data[at:end], most)
         at = end
 
 
 def parse_record(raw: bytes) -> tuple[dict[str, str], bytes]:
-    """Header fields (names in lower case) and block of a record; raises ValueError where it is not well formed."""
+    """Header fields (names in lower case; a line that begins with white space continues the one before) and block of a record; raises ValueError where it is not well formed."""
     head, found, rest = raw.partition(b"\r\n\r\n")
     version, *lines = head.split(b"\r\n")
     if not found or not re.fullmatch(rb"WARC/1\.[01]", version):
         raise ValueError("no WARC header")
-    fields = {}
+    fields: dict[str, str] = {}
+    last = None
     for line in lines:
+        if line[:1] in (b" ", b"\t") and last is not None:
+            fields[last] = f"{fields[last]} {line.decode().strip()}".strip()
+            continue
         name, colon, value = line.decode().partition(":")
         if not colon or not name.strip():
             raise ValueError("a header line without a name")
-        fields[name.strip().lower()] = value.strip()
+        last = name.strip().lower()
+        fields[last] = value.strip()
     missing = {"warc-type", "warc-record-id", "warc-date", "content-length"} - fields.keys()
     if missing:
         raise ValueError(f"missing header fields: {', '.join(sorted(missing))}")
+    if not re.fullmatch("[0-9]+", fields["content-length"]):
+        raise ValueError("Content-Length is no number")
     size = int(fields["content-length"])
     if len(rest) != size + 4 or rest[size:] != b"\r\n\r\n":
         raise ValueError("the block's length differs from Content-Length")
@@ -197,6 +229,22 @@ def write_archives(df: DataFrame, id_col: str = "page_id", url_col: str = "url",
     return out
 
 
+def read_records(archives: DataFrame) -> DataFrame:
+    """record_type, record_id, date, uri, fields (all header fields) and block of each record of any archives (a column content), such as the binaryFile source gives."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["record_type", "record_id", "date", "uri", "fields", "block"]
+        kinds = (pa.string(), pa.string(), pa.string(), pa.string(), pa.map_(pa.string(), pa.string()), pa.binary())
+        for batch in batches:
+            for content in batch["content"]:
+                for raw in read_archive(content.as_buffer().to_pybytes()):
+                    f, block = parse_record(raw)
+                    row = (f["warc-type"], f["warc-record-id"], f["warc-date"], f.get("warc-target-uri"), list(f.items()), block)
+                    yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds)], names)
+
+    return archives.select("content").mapInArrow(run, "record_type string, record_id string, date string, uri string, fields map<string,string>, block binary")
+
+
 def read_archives(archives: DataFrame) -> DataFrame:
     """A row for each record of the archives (a column content, as from write_archives or the binaryFile source)."""
 
