@@ -2,8 +2,9 @@
 
 The writer puts each payload into access units of a private elementary stream, one PES packet with a presentation time
 each, dealt over 188-byte transport packets behind a program association and a program map table. The reader parses the
-tables, checks sync bytes, section CRCs and continuity counters, reassembles the PES packets and notes presentation times
-and random-access points.
+tables, checks sync bytes, section CRCs and continuity counters, reassembles the PES packets and stores all presentation times
+and random-access points, as runs of equal steps. A packet may come twice and a counter may jump where the packet says so; both are legal and no errors.
+The streams are written to a table in the shared folder, and what is returned comes from reading that table.
 
 Cases: a null text is empty and gives one padding unit; texts of any length stream through in units; equal texts give
 equal bytes; an empty table gives an empty result; columns other than the id and the text are ignored.
@@ -21,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import staged
+
 #: Fixed values of the container format.
 PACKET, SYNC, PAT_PID, PMT_PID, ES_PID = 188, 0x47, 0x0000, 0x1000, 0x0100
 STREAM_TYPE, STREAM_ID, PROGRAM = 0x06, 0xBD, 1
@@ -104,6 +107,18 @@ def mux(payload: bytes) -> bytes:
     return b"".join(out)
 
 
+def runs(times: list[int]) -> str:
+    """All of times as runs first+step*steps of equal steps, joined by commas."""
+    out, at = [], 0
+    while at < len(times):
+        end = at + 1
+        while end < len(times) and times[end] - times[end - 1] == times[at + 1] - times[at]:
+            end += 1
+        out.append(str(times[at]) if end == at + 1 else f"{times[at]}{times[at + 1] - times[at]:+d}*{end - at - 1}")
+        at = end
+    return ",".join(out)
+
+
 @dataclass
 class Demuxed:
     """What demux() finds."""
@@ -114,19 +129,22 @@ class Demuxed:
     pid: int = -1
     stream_type: int = -1
     errors: int = 0
+    repeats: int = 0
+    jumps: int = 0
     times: list[int] = field(default_factory=list)
     keys: list[int] = field(default_factory=list)
 
     def feature(self) -> str:
-        """The stream's features as name=value pairs; rap lists the times of random-access points."""
-        span = f"{self.times[0]}-{self.times[-1]}" if self.times else ""
-        rap = ",".join(map(str, self.keys))
-        return f"packets={self.packets};programs={self.programs};pid={self.pid};type={self.stream_type};pes={len(self.times)};cc_errors={self.errors};pts={span};rap={rap}"
+        """The stream's features as name=value pairs: pts has all presentation times, rap those of random-access points, as runs()."""
+        counts = f"packets={self.packets};programs={self.programs};pid={self.pid};type={self.stream_type};pes={len(self.times)}"
+        return f"{counts};cc_errors={self.errors};repeats={self.repeats};jumps={self.jumps};pts={runs(self.times)};rap={runs(self.keys)}"
 
 
 def _table(body: bytes) -> bytes | None:
     """The section in a packet's body if its CRC is right."""
-    at = 1 + body[0]
+    at = 1 + (body[0] if body else PACKET)
+    if at + 3 > len(body):
+        return None
     size = struct.unpack_from(">H", body, at + 1)[0] & 0x0FFF
     whole = body[at : at + 3 + size]
     return whole if len(whole) == 3 + size and crc32_mpeg(whole) == 0 else None
@@ -137,19 +155,20 @@ def demux(stream: bytes) -> Demuxed:
     if len(stream) % PACKET:
         raise ValueError("not whole transport packets")
     got = Demuxed(packets=len(stream) // PACKET)
-    pmt, last, parts, current, key = -1, {}, [], [], False
+    pmt, parts, current, key = -1, [], [], False
+    last: dict[int, tuple[int, bytes, bool]] = {}  # by PID: counter, body, whether the packet is a repeat
 
     def close() -> None:
         if not current:
             return
         pes = b"".join(current)
         current.clear()
-        if pes[:3] != b"\0\0\1":
+        if len(pes) < 9 or len(pes) < 9 + pes[8] or pes[:3] != b"\0\0\1":
             raise ValueError("no PES start code")
         length = pes[4] << 8 | pes[5]
         if length and length != len(pes) - 6:
             raise ValueError("a PES packet is not whole")
-        if pes[7] & 0x80:
+        if pes[7] & 0x80 and pes[8] >= 5:
             got.times.append(_unstamp(pes[9:14]))
             if key:
                 got.keys.append(got.times[-1])
@@ -160,18 +179,28 @@ def demux(stream: bytes) -> Demuxed:
         sync, flags, control = struct.unpack_from(">BHB", stream, at)
         if sync != SYNC:
             raise ValueError("lost sync")
-        pid, body_at, random_access = flags & 0x1FFF, at + 4, False
+        pid, body_at, random_access, jump = flags & 0x1FFF, at + 4, False, False
         if control & 0x20:
             size = stream[body_at]
-            random_access = size > 0 and bool(stream[body_at + 1] & 0x40)
+            random_access, jump = size > 0 and bool(stream[body_at + 1] & 0x40), size > 0 and bool(stream[body_at + 1] & 0x80)
             body_at += 1 + size
+            if body_at > at + PACKET:
+                raise ValueError("an adaptation field is longer than its packet")
         if not control & 0x10:
             continue
-        counter = control & 15
-        if pid in last and counter != last[pid] + 1 & 15:
-            got.errors += 1
-        last[pid] = counter
-        body = stream[body_at : at + PACKET]
+        counter, body = control & 15, stream[body_at : at + PACKET]
+        if pid in last:
+            before, same, again = last[pid]
+            if counter == before and body == same and not again and not jump:
+                got.repeats += 1
+                last[pid] = counter, body, True
+                continue
+            if counter != before + 1 & 15:
+                if jump:
+                    got.jumps += 1
+                else:
+                    got.errors += 1
+        last[pid] = counter, body, False
         if pid == got.pid:
             if flags & 0x4000:
                 close()
@@ -217,8 +246,13 @@ def encode_media(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return rows.mapInArrow(run, f"id {kind}, n_bytes bigint, media binary")
 
 
+def write_media(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The media table of encode_media(), written to the shared folder. Stuffing and repeated tables cost little, as the file format compresses its pages."""
+    return staged(encode_media(df, id_col, text_col), "media", "zstd")
+
+
 def read_media(df: DataFrame) -> DataFrame:
-    """Digests and features of the streams that encode_media() made, from their bytes alone."""
+    """Digests and features of the streams that write_media() stored, from their bytes alone."""
     kind = df.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
