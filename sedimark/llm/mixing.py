@@ -4,15 +4,18 @@ Each source's documents are dealt by a hash into cells, and consecutive cells fo
 quota is the number of its blocks, in a permuted order and epoch after epoch, that reach its target. The tree halves the
 set of output shards again and again; at each node a multivariate hypergeometric draw says how many blocks of each source
 go to the left half, so the shards' parts are distributed as if all blocks had been shuffled and dealt out, yet add up
-to the quotas exactly. Each shard then takes its count of the next blocks in each source's permuted order, and mix_rows with a
-shard_col shuffles its rows among themselves; mix_plan has no order within a shard. Cells, blocks and the tree are tables whose size depends on the parameters, the number of
+to the quotas exactly. Each shard then takes its count of the next blocks in each source's permuted order, and its rows are
+shuffled among themselves: in the order of a hash of row and epoch. mix_plan says which shard takes each row in each epoch, place_draws adds the
+gapless positions, and mix_rows gives the rows themselves. Cells, blocks and the tree are tables whose size depends on the parameters, the number of
 sources and shards alone; rows meet them by (source, cell), which spreads a hot source over all its cells.
 
 Only DataFrame functions are used. The draw inverts the distribution function by walking from its mode, up to 12 standard
 deviations to either side, beyond which the probability is below the resolution of a double.
 
 Cases: a null text has no words; a null source is a source, the last in order; ids may be null or repeated, as rows are
-ordered by a hash of id and text, and equal rows are interchangeable; empty texts take part with 0 words; an
+ordered by a hash of id and text, and equal rows are interchangeable; texts without words follow the rows of their cell and are drawn with 0 words, but a
+source without any word is left out; with cut, the row at the edge of a quota is taken up to a word so that targets are met exactly, without it as a
+whole or not at all, whichever comes nearer; an
 empty table gives an empty result; columns other than id, text and source are ignored by mix_plan and kept by mix_rows.
 """
 
@@ -28,7 +31,7 @@ from .common import WORD, hex_hash, ranked, same, staged, word_count
 
 @dataclass(frozen=True)
 class Mix:
-    """weights: of the sources in code point order, repeating; share: of all words; most: times a source may be used; cells: at most, by source; blocks: of all sources together, about."""
+    """weights: of the sources in code point order, repeating; share: of all words; most: times a source may be used; cells: at most, by source; blocks: of all sources together, about; cut: whether the row at the edge of a quota may be taken in part."""
 
     weights: tuple[int, ...] = (3, 1, 2)
     share: float = 1.5
@@ -38,6 +41,11 @@ class Mix:
     blocks: int = 4096
     rows_a_cell: int = 64
     seed: int = 1
+    cut: bool = True
+
+
+#: Rows of a shard that one task orders, about.
+ROWS_A_PART = 100_000
 
 
 def _let(value: str, name: str, body: str) -> str:
@@ -147,8 +155,13 @@ def mix_plan(df: DataFrame, mix: Mix = Mix(), id_col: str = "doc_id", text_col:
     rows = rows.join(plan, same(F.col("source"), F.col("ps")) & (F.col("cell") == F.col("pc")), "left")
     in_cell = Window.partitionBy("source", "cell").orderBy("key").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("before", F.coalesce(F.sum("size").over(in_cell), F.lit(0)))
-    words = lambda t: F.least(F.col("size"), F.greatest(F.lit(0), t.take - F.col("before")))
-    draws = F.filter(F.transform(F.coalesce("takes", F.array().cast("array<struct<epoch:int,shard:int,take:bigint,words:bigint>>")), lambda t: F.struct(t.epoch.alias("epoch"), t.shard.alias("shard"), words(t).alias("words"))), lambda d: d.words > 0)
+    left = lambda t: t.take - F.col("before")
+    whole = lambda t: F.when(2 * left(t) >= F.col("size"), F.col("size")).otherwise(0)
+    words = lambda t: F.least(F.col("size"), F.greatest(F.lit(0), left(t))) if mix.cut else whole(t)
+    taken_by = lambda t: (left(t) > 0) | (t.take == t.words)
+    takes = F.filter(F.coalesce("takes", F.array().cast("array<struct<epoch:int,shard:int,take:bigint,words:bigint>>")), taken_by)
+    draws = F.transform(takes, lambda t: F.struct(t.epoch.alias("epoch"), t.shard.alias("shard"), words(t).cast("bigint").alias("words")))
+    draws = F.filter(draws, lambda d: (d.words > 0) | (F.col("size") == 0))
     rows = rows.withColumn("draws", draws)
     taken = F.aggregate("draws", F.lit(0).cast("bigint"), lambda a, d: a + d.words)
     return rows.select("key", "id", "source", "size", "source_size", "target", taken.alias("taken"), "draws")
@@ -160,11 +173,27 @@ def first_words(text: Column, n: Column) -> Column:
     return F.array_join(F.slice(pieces, F.lit(1), n.cast("int")), "")
 
 
+def place_draws(plan: DataFrame, mix: Mix = Mix()) -> DataFrame:
+    """plan with each draw's position among the rows of its shard, shuffled, gapless from 0. Only keys, shards and hashes are shuffled."""
+    rows = staged(plan.withColumn("__rid", F.monotonically_increasing_id()), "plan")
+    draws = rows.select("__rid", "key", F.explode("draws").alias("d")).select("__rid", "key", "d.*", F.xxhash64(F.lit(mix.seed), "d.epoch", "key").alias("mix"))
+    n = rows.agg(F.coalesce(F.sum(F.size("draws")), F.lit(0))).first()[0]
+    order = [F.col(c) for c in ("mix", "key", "words", "epoch")]
+    placed = ranked(draws, ["shard"], order, F.struct("key", "epoch"), "position", n)
+    placed = placed.groupBy(F.col("__rid").alias("__r")).agg(F.array_sort(F.collect_list(F.struct("epoch", "shard", "words", "position"))).alias("__placed"))
+    none = F.array().cast("array<struct<epoch:int,shard:int,words:bigint,position:bigint>>")
+    out = rows.join(placed, F.col("__rid") == F.col("__r"), "left").withColumn("draws", F.coalesce("__placed", none))
+    return out.select(*plan.columns)
+
+
 def mix_rows(df: DataFrame, mix: Mix = Mix(), id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", shard_col: str | None = "shard", position_col: str | None = "position") -> DataFrame:
-    """The mix itself: df's rows as often as they are drawn, the one at the edge of a quota cut behind its last word, with the output shard and a shuffled position in it."""
+    """The mix itself: df's rows as often as they are drawn, the one at the edge of a quota as mix.cut says, with the output shard and a shuffled position in it.
+
+    Without a shard_col the rows come in that order instead: each task has some ranges of some shards, one after the other, shuffled within.
+    """
     text_hash = F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))
     key = hex_hash(F.lit(mix.seed), F.col(id_col), F.col(text_col).isNull(), text_hash, F.col(source_col).isNull(), F.col(source_col))
-    plan = staged(mix_plan(df, mix, id_col, text_col, source_col).where("taken > 0").select(F.col("key").alias("__k"), F.col("size").alias("__size"), "draws"), "plan")
+    plan = staged(mix_plan(df, mix, id_col, text_col, source_col).where(F.size("draws") > 0).select(F.col("key").alias("__k"), F.col("size").alias("__size"), "draws"), "plan")
     left = df.withColumn("__key", key)
     if plan.groupBy("__k").count().where("count > 1").limit(1).count():
         # equal rows share a key and differ only in how much of each is drawn: they are numbered on both sides
@@ -174,8 +203,12 @@ def mix_rows(df: DataFrame, mix: Mix = Mix(), id_col: str = "doc_id", text_col:
     else:
         out = left.join(plan, F.col("__key") == F.col("__k"))
     out = out.withColumn("__draw", F.explode("draws"))
-    out = out.withColumn(text_col, F.when(F.col("__draw.words") < F.col("__size"), first_words(F.col(text_col), F.col("__draw.words"))).otherwise(F.col(text_col)))
+    if mix.cut:
+        out = out.withColumn(text_col, F.when(F.col("__draw.words") < F.col("__size"), first_words(F.col(text_col), F.col("__draw.words"))).otherwise(F.col(text_col)))
+    out = out.withColumn("__shard", F.col("__draw.shard")).withColumn("__mix", F.xxhash64(F.lit(mix.seed), "__draw.epoch", "__key")).select(*df.columns, "__shard", "__mix", "__key")
     if shard_col is None:
-        return out.select(*df.columns)
-    out = staged(out.withColumn(shard_col, F.col("__draw.shard")).withColumn("__mix", F.xxhash64(F.lit(mix.seed), "__draw.epoch", "__key")).select(*df.columns, shard_col, "__mix", "__key"), "mix")
+        parts = max(1, plan.count() // (mix.shards * ROWS_A_PART))
+        part = F.floor((F.col("__mix") / F.lit(float(1 << 64)) + 0.5) * parts)  # ranges of the hash, so that a shard's parts in a row are its order
+        return out.withColumn("__part", part).repartition("__shard", "__part").sortWithinPartitions("__shard", "__part", "__mix", "__key").select(*df.columns)
+    out = staged(out.withColumnRenamed("__shard", shard_col), "mix")
     return ranked(out, [shard_col], [F.col("__mix"), F.col("__key")], F.col("__key"), position_col).select(*df.columns, shard_col, position_col)
