@@ -13,6 +13,7 @@ columns other than the id and the text are ignored.
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from array import array
@@ -33,15 +34,29 @@ SIMPLE = re.compile(rb"([A-Za-z]*)([!-&(-/:-@\[-`{-~]*)")
 #: The byte-level alphabet: printable Latin-1 bytes stand for themselves, the others for the characters from 256 on.
 _PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 ALPHABET = {b: chr(b) for b in _PRINTABLE} | {b: chr(256 + n) for n, b in enumerate(b for b in range(256) if b not in set(_PRINTABLE))}
+#: The declared parts of a tokenizer whose texts may be tokenized word by word.
+BY_WORD = {
+    "truncation": None,
+    "padding": None,
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
 _WORKER: dict[str, "WordIds"] = {}
 
 
 class WordIds:
-    """Token ids of texts, word by word, for a byte-level tokenizer that lower-cases and whose pre-tokens never span ASCII white space.
+    """Token ids of texts as little-endian bytes.
 
-    A word's ids do not depend on its neighbours, so they are remembered as little-endian bytes. Letters and marks of simple words go
+    Where the tokenizer's file declares the parts named in BY_WORD, it lower-cases and no pre-token spans ASCII white space. A word's ids then do not
+    depend on its neighbours and are remembered. Letters and marks of simple words go
     to the tokenizer's model directly; all other words go through its normalizer and pre-tokenizer, and texts with an added token in them go
-    through the tokenizer as a whole.
+    through the tokenizer as a whole, as do all texts of any other tokenizer.
     """
 
     @classmethod
@@ -55,6 +70,10 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        declared = json.loads(self.tokenizer.to_str())
+        self.by_word = {k: declared[k] for k in BY_WORD} == BY_WORD and declared["model"]["type"] == "BPE" and not any(t["lstrip"] or t["rstrip"] or t["normalized"] for t in declared["added_tokens"])
+        if not self.by_word:
+            return
         self.specials = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.normalize, self.split, self.tokenize = self.tokenizer.normalizer.normalize_str, self.tokenizer.pre_tokenizer.pre_tokenize_str, self.tokenizer.model.tokenize
         self.known: dict[bytes, bytes] = {}
@@ -86,7 +105,7 @@ class WordIds:
         return array("I", [t.id for piece, _ in self.split(self.normalize(text)) for t in self.tokenize(piece)]).tobytes()
 
     def __call__(self, text: bytes) -> bytes:
-        if any(s in text for s in self.specials):
+        if not self.by_word or any(s in text for s in self.specials):
             return array("I", self.tokenizer.encode(text.decode(), add_special_tokens=False).ids).tobytes()
         known, words = self.known, text.split()
         try:
