@@ -1,7 +1,11 @@
 """A corpus pipeline: documents without toxic ones, one of each group of near-duplicates, live secrets masked, mixed to weights and packed.
 
-Each stage takes (spark, docs, sf_dir); run() writes each stage's rows as Parquet in the shared folder and reads them as
-the next one's docs. A stage keeps null ids, texts and sources as its operator does (see there) and every column of documents.
+Each stage takes (spark, docs, sf_dir); run() writes each stage's rows as Parquet in the shared folder, reads them as
+the next one's docs and removes what no later stage reads.
+
+Cases: a null or empty text is scored from padding alone, is nobody's near-duplicate, holds no secret, is drawn with its neighbours in the mix
+unless its source has no word at all, and is packed as the end token; null ids, langs and sources are values like others; rows that are repeated are one group of
+near-duplicates if they have words; very long texts go through whole; extra columns of documents are dropped at the first stage; empty tables give an empty result.
 """
 
 from __future__ import annotations
@@ -10,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sedimark.llm import mixing, near_dedup, packing, secret_scan, toxicity
-from sedimark.llm.common import staged
+from sedimark.llm.common import staged, unstage
 from sedimark.llm.queries import tokenizer_path
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -20,7 +24,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity stays under their language's threshold."""
     docs = docs.select(*COLUMNS)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return toxicity.keep_clean(docs, toxicity.calibrate(toxicity.fit(docs, labels), docs, labels))
+    return toxicity.keep_clean(docs, labels, toxicity.fit(docs, labels))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,8 +38,8 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them; one at the edge of a quota is cut behind a word."""
-    return mixing.mix_rows(docs.select(*COLUMNS), shard_col=None).withColumn("n_chars", F.length("text").cast("long"))
+    """Documents as often as the mix takes them, whole, in the shuffled order of its shards."""
+    return mixing.mix_rows(docs.select(*COLUMNS), mixing.Mix(cut=False), shard_col=None)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,5 +62,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = staged(stage(spark, docs, sf_dir), name)
+        before, docs = docs, staged(stage(spark, docs, sf_dir), name)
+        unstage(before)  # documents itself was not staged and stays
     return STAGES[-1][1](spark, docs, sf_dir)
