@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,9 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session, or an own folder where that is unset (tests)."""
+    """spark.checkpoint.dir of the session. Where that is unset, an own folder of a local session (tests); on a cluster executors would not share one, so it raises."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not path:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         path = getattr(spark.sparkContext, "_sedimark_scratch", None)
         if not path:
             path = "file://" + tempfile.mkdtemp(prefix="sedimark-")
