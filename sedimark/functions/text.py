@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import functools
+import sys
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -50,6 +54,40 @@ def source_id(t: Column) -> Column:
     return F.substring(F.sha2(t, 256), 1, 12)
 
 
+def ranges(wanted) -> str:
+    """The code points for which wanted(character) holds, as ranges of a regex class that Java and RE2 both read."""
+    out, first = [], None
+    for c in range(sys.maxunicode + 2):
+        hit = c <= sys.maxunicode and wanted(chr(c))
+        if hit and first is None:
+            first = c
+        elif not hit and first is not None:
+            out.append(f"\\x{{{first:X}}}-\\x{{{c - 1:X}}}")
+            first = None
+    return "".join(out)
+
+
+@functools.cache
+def combining_class() -> str:
+    """A regex class of the characters with a combining class other than 0."""
+    return f"[{ranges(lambda c: unicodedata.combining(c) != 0)}]"
+
+
+@functools.cache
+def foldings() -> dict[str, str]:
+    """Characters whose full case folding is not what lower-casing gives, and the two whose lower case engines disagree on."""
+    odd = {c: c.casefold() for c in map(chr, range(sys.maxunicode + 1)) if c.casefold() != c.lower()}
+    return odd | {c: c.casefold() for c in "\u03a3\u0130"}
+
+
+def casefold(t: Column) -> Column:
+    """Full case folding: lower case, but for the characters of foldings(). Only texts that have one of these are taken apart."""
+    table = F.create_map(*[F.lit(x) for kv in foldings().items() for x in kv])
+    odd = f"[{''.join(f'\\x{{{ord(c):X}}}' for c in foldings())}]"
+    pieces = F.transform(F.regexp_extract_all(t, F.lit("(?s)."), F.lit(0)), lambda c: F.coalesce(F.try_element_at(table, c), c))
+    return F.lower(F.when(t.rlike(odd), F.array_join(pieces, "")).otherwise(t))
+
+
 def has_any(t: Column, words: tuple[str, ...]) -> Column:
     """Whether the text contains any of the words as a substring."""
     return t.rlike("|".join(words))
@@ -86,7 +124,7 @@ def jaccard(a: Column, b: Column) -> Column:
 
 def shingles(t: Column) -> Column:
     """Distinct runs of three tokens; a token is a Latin word or one ideograph. Empty below three tokens."""
-    words = F.regexp_extract_all(F.lower(t), F.lit(r"([a-z0-9]+|[\x{3400}-\x{9FFF}])"), F.lit(1))
+    words = F.regexp_extract_all(casefold(t), F.lit(r"([a-z0-9]+|[\x{3400}-\x{9FFF}])"), F.lit(1))
     runs = lambda w: F.when(F.size(w) < 3, F.array().cast("array<string>")).otherwise(
         F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(w) - 2), lambda i: F.array_join(F.slice(w, i, F.lit(3)), "␟")))
     )
@@ -94,28 +132,28 @@ def shingles(t: Column) -> Column:
 
 
 def normalized(t: Column) -> Column:
-    """Lower-cased, runs of anything but letters, digits and _ as one space, trimmed."""
-    return F.trim(F.regexp_replace(F.lower(t), r"[^\p{L}\p{N}_]+", " "))
+    """Case-folded, runs of anything but letters, digits and _ as one space, trimmed."""
+    return F.trim(F.regexp_replace(casefold(t), r"[^\p{L}\p{N}_]+", " "))
 
 
 def effective_words(t: Column) -> Column:
-    """White-space words of the text without ideographs, plus two words for every three ideographs."""
+    """White-space words of the text without ideographs, plus two words for every three ideographs. Texts without ideographs skip these steps."""
     cjk = F.length(F.regexp_replace(t, CJK_WIDE.replace("[", "[^", 1), ""))
-    words = F.size(F.filter(F.split(F.regexp_replace(t, CJK_WIDE, ""), r"\s+"), lambda w: w != ""))
-    return (words + F.ceil(cjk / 1.5)).cast("long")
+    count = lambda x: F.size(F.filter(F.split(x, r"\s+"), lambda w: w != ""))
+    return F.when(t.rlike(CJK_WIDE), count(F.regexp_replace(t, CJK_WIDE, "")) + F.ceil(cjk / 1.5)).otherwise(count(t)).cast("long")
 
 
 def token_estimate_chunk(t: Column) -> Column:
     """Half a token for an ideograph and a quarter for another character, each sum rounded up."""
-    cjk = F.length(F.regexp_replace(t, CJK_NARROW.replace("[", "[^", 1), ""))
+    cjk = F.when(t.rlike(CJK_NARROW), F.length(F.regexp_replace(t, CJK_NARROW.replace("[", "[^", 1), ""))).otherwise(0)
     return (F.floor((cjk + 1) / 2) + F.floor((F.length(t) - cjk + 3) / 4)).cast("long")
 
 
 def token_estimate_budget(t: Column) -> Column:
-    """The estimate that budgets use: wider ranges of ideographs, 1.5 to a token, and no combining marks."""
-    bare = F.regexp_replace(t, r"\p{M}", "")
+    """The estimate that budgets use: wider ranges of ideographs, 1.5 to a token, and no characters with a combining class. ASCII texts skip both searches."""
+    bare = F.regexp_replace(t, combining_class(), "")
     cjk = F.length(F.regexp_replace(bare, CJK_WIDE.replace("[", "[^", 1), ""))
-    return (F.ceil(cjk / 1.5) + F.ceil((F.length(bare) - cjk) / 4)).cast("long")
+    return F.when(t.rlike(r"[^\x00-\x7F]"), F.ceil(cjk / 1.5) + F.ceil((F.length(bare) - cjk) / 4)).otherwise(F.ceil(F.length(t) / 4)).cast("long")
 
 
 def injection_code(line: Column) -> Column:
@@ -123,6 +161,11 @@ def injection_code(line: Column) -> Column:
     return F.when(line.rlike("(?i)" + "|".join(INJECTION)), "injection.en").when(line.rlike("|".join(INJECTION_ZH)), "injection.zh")
 
 
+def suspicious(t: Column) -> Column:
+    """Whether a text can have a line with a steering phrase or hidden character: one search over the whole text, so that others need not be split."""
+    return t.rlike("(?i)" + "|".join(INJECTION)) | t.rlike("|".join([*INJECTION_ZH, ZERO_WIDTH, DIRECTIONAL, CONTROL]))
+
+
 def link_code(url: Column) -> Column:
     """fail.scheme for data and javascript, warn.scheme for any scheme but https, warn.internal for internal hosts, else ok."""
     scheme = F.lower(F.regexp_extract(url, r"^([A-Za-z][A-Za-z0-9+.-]*):", 1))
@@ -132,16 +175,50 @@ def link_code(url: Column) -> Column:
 
 
 # Claims that need a qualification, and what may stand right before one to negate it.
-GUARANTEE = r"保证(?:了|会|能|可以|有效|成功|持续|实现)?|必然(?:会|能|导致)?|一定(?:会|能|可以|有效|成功)|(?:永远|绝对)(?:不会|有效|正确)?|\b(?:guarantees?|guaranteed|ensures?|ensured|always|never\s+fails)\b"
-CAUSALITY = r"证明(?:了|其|这|该)?|说明(?:了|其|这|该)?.{0,12}(?:负责|导致|决定)|\b(?:proves?|proved|demonstrates?|demonstrated)\b"
-NEGATION = r"并不|并未|不|未|无|does not |do not |doesn't |don't |not "
+CLAIMS = (
+    ("guarantee", r"保证(?:了|会|能|可以|有效|成功|持续|实现)?|必然(?:会|能|导致)?|一定(?:会|能|可以|有效|成功)|(?:永远|绝对)(?:不会|有效|正确)?"),
+    ("causality", r"证明(?:了|其|这|该)?|说明(?:了|其|这|该)?.{0,12}(?:负责|导致|决定)"),
+    ("guarantee", r"(?i)\b(?:guarantee(?:s|d)?|ensure(?:s|d)?|always|never\s+fails)\b"),
+    ("causality", r"(?i)\b(?:prove(?:s|d)?|demonstrate(?:s|d)?)\b"),
+)
+NEGATION = ("不", "未", "无", "并不", "并未", "does not ", "do not ", "doesn't ", "don't ", "not ")
+# Fixed value: how many characters before a claim are searched for its negation.
+NEGATION_REACH = 12
 # What is masked in text for the outside.
 MASKS = (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", r"(?:/home|/Users)/[A-Za-z0-9._-]+", r"\b[0-9a-f]{32,}\b")
 
+# Credentials and absolute paths in messages; white space is that of Unicode.
+SECRET_VALUE = r"(?i)(?:sk|key|token|secret)[-_][A-Za-z0-9._~-]{6,}"
+ABSOLUTE_PATH = r"""(?:[A-Za-z]:[\\/]|/)[^\s\x{0B}\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"']+"""
+
+
+def match_starts(t: Column, pattern: str) -> Column:
+    """Offsets from 0 of the matches of pattern. Gaps and matches alternate, so the length of what lies before a match says where it starts."""
+    flags, rest = ("(?i)", pattern[4:]) if pattern.startswith("(?i)") else ("", pattern)
+    parts = lambda m, gaps: F.zip_with(gaps, m, lambda g, x: F.struct(F.length(g).alias("gap"), F.coalesce(F.length(x), F.lit(0)).alias("match")))
+    found, gaps = F.regexp_extract_all(t, F.lit(f"{flags}({rest})"), F.lit(1)), F.split(t, pattern, -1)
+    none = F.array().cast("array<int>")
+    step = lambda a, p: F.struct((a.at + p.gap + p.match).alias("at"), F.concat(a.out, F.array(a.at + p.gap)).alias("out"))
+    placed = F.aggregate(parts(found, F.slice(gaps, F.lit(1), F.size(found))), F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda a: a.out)
+    return F.when(t.rlike(pattern), placed).otherwise(none)
+
+
+def claim_starts(line: Column, pattern: str) -> Column:
+    """Offsets of the claims in a line that no negation ends right before, within NEGATION_REACH characters."""
+    before = lambda at: casefold(F.substring(line, F.greatest(at - NEGATION_REACH, F.lit(0)) + 1, F.least(at, F.lit(NEGATION_REACH))))
+    negated = f"(?:{'|'.join(NEGATION)})$"
+    return F.filter(match_starts(line, pattern), lambda at: ~before(at).rlike(negated))
+
+
+def claim_codes(line: Column) -> Column:
+    """The code of every claim in a line, by pattern and place."""
+    named = lambda code: lambda at: F.struct(F.lit(code).alias("code"), at.alias("at"))
+    return F.concat(*[F.transform(claim_starts(line, pattern), named(code)) for code, pattern in CLAIMS])
+
 
-def claims(line: Column, pattern: str) -> Column:
-    """Whether a line makes a claim that is not negated right before it."""
-    return F.regexp_replace(line, f"(?i)(?:{NEGATION})(?:{pattern})", "").rlike(f"(?i){pattern}")
+def redacted(t: Column) -> Column:
+    """The text with credentials and absolute paths taken out."""
+    return F.regexp_replace(F.regexp_replace(t, SECRET_VALUE, "[REDACTED]"), ABSOLUTE_PATH, "[PATH]")
 
 
 def masked(t: Column) -> Column:

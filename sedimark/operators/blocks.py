@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import hashlib
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sedimark.functions import text as T
+from sedimark.operators.ordered import folded, numbered
 
 
 def sources(docs: DataFrame) -> DataFrame:
@@ -39,7 +42,7 @@ def review_flags(units: DataFrame) -> DataFrame:
 def quality_flags(units: DataFrame) -> DataFrame:
     """unit_id and reason: little confidence, too thin, too long, or the same content as another unit."""
     n = F.length("content")
-    own = F.array_compact(F.array(F.when(F.col("confidence") < 0.31, F.lit("low_confidence")), F.when(n < 20, F.lit("thin_content")), F.when(n > 2000, F.lit("oversized"))))
+    own = F.array_compact(F.array(F.when(F.col("confidence") < 0.3, F.lit("low_confidence")), F.when(n < 20, F.lit("thin_content")), F.when(n > 2000, F.lit("oversized"))))
     flags = units.select("unit_id", F.explode(own).alias("reason"))
     return flags.unionByName(conflict_members(units).select("unit_id", F.lit("conflict").alias("reason")))
 
@@ -49,7 +52,7 @@ def conflict_groups(units: DataFrame) -> DataFrame:
     g = units.select("unit_id", "ord", "block_ord", F.sha2("content", 256).alias("content_sha256")).groupBy("content_sha256")
     g = g.agg(F.count(F.lit(1)).alias("members"), F.min(F.struct("ord", "block_ord", "unit_id")).alias("first"))
     # numbered over all contents, before single ones are left out
-    return dense_number(g, F.floor(F.col("first.ord") / 4096), ["first"], "conflict_no").where("members > 1").select("conflict_no", "content_sha256", "members", F.col("first.unit_id").alias("first_id"))
+    return numbered(g, [], ["first"], "conflict_no").where("members > 1").select("conflict_no", "content_sha256", "members", F.col("first.unit_id").alias("first_id"))
 
 
 def conflict_members(units: DataFrame) -> DataFrame:
@@ -58,32 +61,29 @@ def conflict_members(units: DataFrame) -> DataFrame:
     return h.join(h.groupBy("h").count().where("count > 1").select("h"), "h", "left_semi").select("unit_id")
 
 
-def dense_number(df: DataFrame, bucket: Column, order: list[str], name: str) -> DataFrame:
-    """Number rows from 0 in a global order, without sending all of them to one task.
+def pack_chunks(blocks_: DataFrame, target: int) -> DataFrame:
+    """block_id, chunk_no and tokens: blocks of a source fill a chunk until the next one would pass target. A stream over each source's blocks in order."""
+    items = blocks_.select("source_id", "block_ord", "block_id", T.token_estimate_chunk(F.col("text")).alias("tokens"))
 
-    bucket must rise with the order. Buckets are numbered on their own; sums over a table of one row for each bucket say where each starts.
-    """
-    rows = df.withColumn("__bucket", bucket)
-    counts = rows.groupBy("__bucket").agg(F.count(F.lit(1)).alias("__n"))
-    before = Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("__bucket", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
-    nth = F.row_number().over(Window.partitionBy("__bucket").orderBy(*order))
-    return rows.withColumn("__nth", nth).join(starts, "__bucket").withColumn(name, (F.col("__start") + F.col("__nth") - 1).cast("long")).drop("__bucket", "__nth", "__start")
+    def step(state, source, block, tokens):
+        full = state[1] > 0 and state[1] + tokens > target
+        state[:] = [state[0] + full, tokens if full else state[1] + tokens]
+        return [(block, state[0], tokens)]
 
+    return folded(items, "source_id", ["block_ord"], ["block_id", "tokens"], lambda: [1, 0], step, "block_id string, chunk_no bigint, tokens bigint")
 
-def pack_chunks(blocks_: DataFrame, target: int) -> DataFrame:
-    """block_id, chunk_no and tokens: blocks of a source fill a chunk until the next one would pass target. A fold over one source's blocks."""
-    t = T.token_estimate_chunk(F.col("text"))
-    items = blocks_.select("source_id", F.struct("block_ord", "block_id", t.alias("tokens")).alias("b")).groupBy("source_id").agg(F.array_sort(F.collect_list("b")).alias("bs"))
-    kind = "struct<no:bigint,sum:bigint,out:array<struct<block_id:string,chunk_no:bigint,tokens:bigint>>>"
-    start = F.struct(F.lit(1).alias("no"), F.lit(0).alias("sum"), F.array().alias("out")).cast(kind)
-
-    def step(a, b):
-        full = (a["sum"] > 0) & (a["sum"] + b.tokens > target)
-        no = a.no + full.cast("long")
-        return F.struct(no.alias("no"), F.when(full, b.tokens).otherwise(a["sum"] + b.tokens).alias("sum"), F.concat(a.out, F.array(F.struct(b.block_id.alias("block_id"), no.alias("chunk_no"), b.tokens.alias("tokens")))).alias("out")).cast(kind)
-
-    return items.select(F.explode(F.aggregate("bs", start, step, lambda a: a.out)).alias("c")).select("c.*")
+
+def reference_digests(units: DataFrame) -> DataFrame:
+    """source_id, kind, units and sha256 of the rendered reference of each source and kind: its units in order, one a line. Rendered piece by piece into a hash."""
+    rows = units.select(F.to_json(F.struct("source_id", "kind")).alias("page"), "source_id", "kind", "block_ord", "content")
+
+    def step(state, page, source, kind, content):
+        state[0].update((b"\n" if state[1] else b"") + content.encode())
+        state[1:] = [state[1] + 1, source, kind]
+        return []
+
+    close = lambda state, page: [(state[2], state[3], state[1], state[0].hexdigest())]
+    return folded(rows, "page", ["block_ord"], ["source_id", "kind", "content"], lambda: [hashlib.sha256(), 0, None, None], step, "source_id string, kind string, units bigint, sha256 string", close)
 
 
 def section_top(units: DataFrame, k: int) -> DataFrame:

@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterator
+
+import ahocorasick
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sedimark.functions import text as T
@@ -12,12 +17,15 @@ RANK = {"pass": 1, "warn": 2, "fail": 3}
 REQUIRED = ("frontmatter", "source-coverage", "copyright", "injection", "budget")
 
 
+def line_codes(line: Column) -> Column:
+    """The codes of steering phrases and hidden characters in a line."""
+    hidden = lambda pattern, code: F.when(line.rlike(pattern), F.lit(code))
+    return F.array_compact(F.array(T.injection_code(line), hidden(T.ZERO_WIDTH, "hidden.zero_width"), hidden(T.DIRECTIONAL, "hidden.directional"), hidden(T.CONTROL, "hidden.control")))
+
+
 def line_findings(lines: DataFrame) -> DataFrame:
     """id, line_no, code and severity of steering phrases and hidden characters. lines: (id, line_no, line)."""
-    line = F.col("line")
-    hidden = lambda pattern, code: F.when(line.rlike(pattern), F.lit(code))
-    codes = F.array_compact(F.array(T.injection_code(line), hidden(T.ZERO_WIDTH, "hidden.zero_width"), hidden(T.DIRECTIONAL, "hidden.directional"), hidden(T.CONTROL, "hidden.control")))
-    return lines.select("id", "line_no", F.explode(codes).alias("code")).withColumn("severity", F.lit("fail"))
+    return lines.select("id", "line_no", F.explode(line_codes(F.col("line"))).alias("code")).withColumn("severity", F.lit("fail"))
 
 
 def split_lines(docs: DataFrame) -> DataFrame:
@@ -31,10 +39,10 @@ def links(pages: DataFrame) -> DataFrame:
 
 
 def worst_by_check(findings: DataFrame) -> DataFrame:
-    """check_id, status (the worst severity), n findings and n_codes. findings: (check_id, severity, code)."""
+    """check_id, status (the worst severity), n findings and n_codes. findings: (check_id, severity, code[, n])."""
     rank = F.when(F.col("severity") == "fail", 3).when(F.col("severity") == "warn", 2).otherwise(1)
     worst = F.max(rank)
-    return findings.groupBy("check_id").agg(F.when(worst == 3, "fail").when(worst == 2, "warn").otherwise("pass").alias("status"), F.count(F.lit(1)).alias("n"), F.countDistinct("code").alias("n_codes"))
+    return findings.groupBy("check_id").agg(F.when(worst == 3, "fail").when(worst == 2, "warn").otherwise("pass").alias("status"), (F.sum("n") if "n" in findings.columns else F.count(F.lit(1))).alias("n"), F.countDistinct("code").alias("n_codes"))
 
 
 def gate(checks: DataFrame, required: tuple[str, ...] = REQUIRED) -> DataFrame:
@@ -68,15 +76,62 @@ def islands(quotes: DataFrame, warn: int, fail: int) -> DataFrame:
     return runs.where(F.col("words") > warn).select("source", "first", "n", "words", F.when(F.col("words") > fail, "fail").otherwise("warn").alias("code"))
 
 
-def slot_coverage(units: DataFrame, slots: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
-    """slot_id and how many units match: of a wanted kind, with any of the slot's keywords as a substring.
-
-    slots is a stated set of queries against all units (a configuration table); a unit's row is compared with each slot in place, without a pair
-    leaving its task before it is counted.
+#: Keywords that one automaton holds at most.
+KEYWORDS_AT_ONCE = 50_000
+
+
+def _keyword_hits(texts: DataFrame, keys: list[tuple[str, str]]) -> DataFrame:
+    """(slot_id, matched): in how many rows of texts (t) any keyword of a slot occurs. One automaton of all keywords (keyword, slot_id) runs over each text; a task sends one count for each slot."""
+    if not keys:
+        return texts.sparkSession.createDataFrame([], "slot string, matched bigint")
+    words = sorted({k for k, _ in keys})
+    slots = sorted({s for _, s in keys}, key=str)
+    place = {s: i for i, s in enumerate(slots)}
+    of: dict[str, list[int]] = {}
+    for k, s in keys:
+        of.setdefault(k, []).append(place[s])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = ahocorasick.Automaton()
+        for i, w in enumerate(words):
+            automaton.add_word(w, i)
+        automaton.make_automaton()
+        sets = [np.unique(of[w]) for w in words]
+        counts = np.zeros(len(slots), np.int64)
+        for batch in batches:
+            for t in batch["t"]:
+                if found := {i for _, i in automaton.iter(t.as_py())}:
+                    counts[np.unique(np.concatenate([sets[i] for i in found]))] += 1
+        at = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(counts[at], pa.int64())], ["at", "n"])
+
+    hits = texts.select("t").where("t is not null").mapInArrow(run, "at bigint, n bigint").groupBy("at").agg(F.sum("n").alias("matched"))
+    names = texts.sparkSession.createDataFrame(list(enumerate(map(str, slots))), "i bigint, slot string")
+    return hits.join(F.broadcast(names), F.col("at") == F.col("i")).select("slot", "matched")  # at most KEYWORDS_AT_ONCE rows
+
+
+def keyword_counts(texts: DataFrame, slots: DataFrame, keywords: str) -> DataFrame:
+    """(slot, matched): rows of texts (t) in which any of a slot's keywords occurs as a substring. slots (slot_id, keywords, ...) is a stated set of queries, taken in blocks of about KEYWORDS_AT_ONCE keywords."""
+    n = slots.agg(F.coalesce(F.sum(F.size(keywords)), F.lit(0))).first()[0]
+    blocks = max(1, -(-n // KEYWORDS_AT_ONCE))
+    out = None
+    for b in range(blocks):
+        mine = slots.where(F.pmod(F.xxhash64("slot_id"), F.lit(blocks)) == b).select(F.explode(keywords).alias("k"), "slot_id").where("k <> ''")
+        hits = _keyword_hits(texts, [(r[0], r[1]) for r in mine.collect()])  # a block of keywords
+        out = hits if out is None else out.unionByName(hits)
+    return out
+
+
+def slot_coverage(units: DataFrame, slots: DataFrame, kinds: tuple[str, ...], structure: DataFrame | None = None) -> DataFrame:
+    """slot_id and matched: how many units of a wanted kind have any of the slot's keywords as a substring, or how many entries of structure (t) have any of its structure_keywords, whichever is more.
+
+    slots: (slot_id, keywords[, structure_keywords]), lower-cased.
     """
-    wanted = units.where(F.col("kind").isin(*kinds)).select(F.lower("content").alias("c"))
-    hits = wanted.join(F.broadcast(slots), F.exists("keywords", lambda k: F.col("c").contains(k))).groupBy("slot_id").agg(F.count(F.lit(1)).alias("matched"))
-    return slots.select("slot_id").join(hits, "slot_id", "left").select("slot_id", F.coalesce("matched", F.lit(0)).cast("long").alias("matched"))
+    hits = keyword_counts(units.where(F.col("kind").isin(*kinds)).select(F.lower("content").alias("t")), slots, "keywords")
+    if structure is not None:
+        hits = hits.unionByName(keyword_counts(structure.select(F.lower("t").alias("t")), slots, "structure_keywords"))
+    hits = hits.groupBy("slot").agg(F.max("matched").alias("matched"))
+    return slots.select("slot_id").join(hits, F.col("slot_id").cast("string") == F.col("slot"), "left").select("slot_id", F.coalesce("matched", F.lit(0)).cast("long").alias("matched"))
 
 
 def last_status(checks: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sedimark.operators.ordered import combined, numbered
+
 # Which state of a transaction may follow which.
 TRANSITIONS = {
     "prepared": ("prepared", "publishing", "rollback_required"),
@@ -19,21 +21,21 @@ TRANSITIONS = {
 def rate_summary(samples: DataFrame, key: str, rate: Column) -> DataFrame:
     """key, n, median, lower and upper quartile (nearest rank) of a rate; a single sample spans half to one and a half.
 
-    Ranks come from counts by value, so equal values cost one row and no list of a key's samples is built.
+    Ranks are dealt by ranges of the rate, so a key with most samples is ranked by many tasks.
     """
-    by_value = samples.select(F.col(key), rate.alias("r")).where("r is not null").groupBy(key, "r").agg(F.count(F.lit(1)).alias("c"))
-    order = Window.partitionBy(key).orderBy("r")
-    cum = by_value.withColumn("upto", F.sum("c").over(order)).withColumn("n", F.sum("c").over(Window.partitionBy(key)))
-    at = lambda i: F.min(F.when(F.col("upto") > i, F.col("r")))
-    out = cum.groupBy(key, "n").agg(at(F.expr("(n - 1) div 4")).alias("low"), at(F.expr("(n - 1) * 3 div 4")).alias("high"), at(F.expr("(n - 1) div 2")).alias("m1"), at(F.expr("n div 2")).alias("m2"))
+    rows = numbered(samples.select(F.col(key), rate.alias("r")).where("r is not null"), [key], ["r"], "i")
+    n = samples.where(rate.isNotNull()).groupBy(F.col(key).alias("__key")).agg(F.count(F.lit(1)).alias("n"))
+    rows = rows.join(n, F.col(key).eqNullSafe(F.col("__key")))
+    at = lambda i: F.min(F.when(F.col("i") == i, F.col("r")))
+    out = rows.groupBy(key, "n").agg(at(F.expr("(n - 1) div 4")).alias("low"), at(F.expr("(n - 1) * 3 div 4")).alias("high"), at(F.expr("(n - 1) div 2")).alias("m1"), at(F.expr("n div 2")).alias("m2"))
     median = (F.col("m1") + F.col("m2")) / 2
     return out.select(key, "n", median.alias("median"), F.when(F.col("n") == 1, median * 0.5).otherwise(F.col("low")).alias("lower"), F.when(F.col("n") == 1, median * 1.5).otherwise(F.col("high")).alias("upper"))
 
 
 def smoothed(events: DataFrame, key: str, order: list[str], value: str, seed: float, alpha: float = 0.3) -> DataFrame:
-    """key and the exponentially weighted mean of value after all its events, folded in order."""
-    rows = events.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*order, value))).alias("xs"))
-    return rows.select(key, F.aggregate("xs", F.lit(float(seed)), lambda h, x: F.lit(alpha) * x[value] + F.lit(1 - alpha) * h).alias("ewma"))
+    """key and the exponentially weighted mean of value after all its events in order, from sums over ranges of events."""
+    sums = combined(events, key, order, value, 1 - alpha)
+    return sums.select(key, (F.lit(alpha) * F.col("total") + F.lit(float(seed)) * F.pow(F.lit(1 - alpha), F.col("n"))).alias("ewma"))
 
 
 def failure_runs(events: DataFrame, key: str, order: list[str], failed: Column, least: int) -> DataFrame:

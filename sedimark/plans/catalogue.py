@@ -104,7 +104,9 @@ def review_queue(spark, d):
 
 @query
 def quality_flags(spark, d):
-    return B.quality_flags(_units(spark, d))
+    # Units below and at the least confidence, which no rule gives, also in the oracle.
+    low = spark.createDataFrame([("cu-low-1", -1, 1, "a claim that little supports", 0.29), ("cu-low-2", -1, 2, "as surely as the bound", 0.3)], "unit_id string, ord bigint, block_ord bigint, content string, confidence double")
+    return B.quality_flags(_units(spark, d).select(*low.columns).unionByName(low))
 
 
 @query
@@ -320,7 +322,7 @@ def quote_islands(spark, d):
 
 @query
 def line_findings(spark, d):
-    return C.line_findings(C.split_lines(_with_literals(spark, d)))
+    return C.line_findings(C.split_lines(_with_literals(spark, d).where(T.suspicious(F.col("text")))))
 
 
 @query
@@ -330,11 +332,16 @@ def link_findings(spark, d):
 
 
 def _findings(spark, d):
-    lines = C.line_findings(C.split_lines(_with_literals(spark, d))).select(F.lit("injection").alias("check_id"), "severity", "code")
-    caps = quote_caps(spark, d).select(F.lit("copyright").alias("check_id"), F.col("code").alias("severity"), F.lit("copyright.quote_words").alias("code"))
-    budget = token_estimates(spark, d).where("status <> 'pass'").select(F.lit("budget").alias("check_id"), F.col("status").alias("severity"), F.concat(F.lit("budget."), "status").alias("code"))
-    links = link_findings(spark, d).select(F.lit("source-coverage").alias("check_id"), F.lit("warn").alias("severity"), "code")
-    return V.union_all([lines, caps, budget, links])
+    """(check_id, severity, code, n): findings counted where they are found. Lines and budgets come from one pass over the texts, of which only suspicious ones are split."""
+    text = F.col("text")
+    texts = _with_literals(spark, d).select(F.when(T.suspicious(text), F.split(text, "\n")).alias("lines"), T.token_estimate_budget(text).alias("tokens"))
+    codes = F.flatten(F.transform(F.coalesce("lines", F.array().cast("array<string>")), lambda line: F.transform(C.line_codes(line), lambda c: F.struct(F.lit("injection").alias("check_id"), F.lit("fail").alias("severity"), c.alias("code")))))
+    status = F.when(F.col("tokens") > 5000, "fail").when(F.col("tokens") < 2500, "warn")
+    budget = F.when(status.isNotNull(), F.struct(F.lit("budget").alias("check_id"), status.alias("severity"), F.concat(F.lit("budget."), status).alias("code")))
+    found = texts.select(F.explode(F.concat(codes, F.array_compact(F.array(budget)))).alias("f")).groupBy("f.check_id", "f.severity", "f.code").agg(F.count(F.lit(1)).alias("n"))
+    caps = quote_caps(spark, d).groupBy(F.lit("copyright").alias("check_id"), F.col("code").alias("severity"), F.lit("copyright.quote_words").alias("code")).agg(F.count(F.lit(1)).alias("n"))
+    links = link_findings(spark, d).groupBy(F.lit("source-coverage").alias("check_id"), F.lit("warn").alias("severity"), "code").agg(F.count(F.lit(1)).alias("n"))
+    return V.union_all([found, caps, links])
 
 
 @query
@@ -498,8 +505,7 @@ def sanitized_refs(spark, d):
 @query
 def reference_digests(spark, d):
     """A digest of the rendered reference of each source and kind: its units in order, one a line."""
-    rows = _units(spark, d).groupBy("source_id", "kind").agg(F.array_sort(F.collect_list(F.struct("block_ord", "content"))).alias("u"))
-    return rows.select("source_id", "kind", F.size("u").cast("long").alias("units"), F.sha2(F.array_join(F.transform("u", lambda x: x.content), "\n"), 256).alias("sha256"))
+    return B.reference_digests(_units(spark, d))
 
 
 @query
@@ -567,8 +573,7 @@ def unfenced_claims(spark, d):
     w = Window.partitionBy("id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
     lines = C.split_lines(docs).withColumn("fences", F.sum(F.col("line").startswith("```").cast("long")).over(w))
     lines = lines.where("fences % 2 = 0 and not startswith(line, '```')")
-    codes = F.array_compact(F.array(F.when(T.claims(F.col("line"), T.GUARANTEE), F.lit("guarantee")), F.when(T.claims(F.col("line"), T.CAUSALITY), F.lit("causality"))))
-    return lines.select("id", "line_no", F.explode(codes).alias("code"))
+    return lines.select("id", "line_no", F.explode(F.array_distinct(F.transform(T.claim_codes(F.col("line")), lambda c: c.code))).alias("code"))
 
 
 @query

@@ -2,6 +2,21 @@
 
 from __future__ import annotations
 
+from sedimark.functions import text as T
+
+
+def quoted(s: str) -> str:
+    """s as an SQL string."""
+    return "'" + s.replace("'", "''") + "'"
+
+
+def casefold(t: str) -> str:
+    """Full case folding: lower case but for the characters whose folding differs."""
+    table = "MAP {" + ", ".join(f"{quoted(k)}: {quoted(v)}" for k, v in T.foldings().items()) + "}"
+    odd = "".join(f"\\x{{{ord(c):X}}}" for c in T.foldings())
+    return f"lower(CASE WHEN regexp_matches({t}, '[{odd}]') THEN array_to_string(list_transform(string_split({t}, ''), lambda c: coalesce(map_extract({table}, c)[1], c)), '') ELSE {t} END)"
+
+
 _SRC = """src AS (SELECT sha256(text) AS content_sha256, substr(sha256(text), 1, 12) AS source_id, min(doc_id) AS ord, arg_min(lang, doc_id) AS lang, count(*) AS copies, any_value(text) AS text FROM documents GROUP BY text)"""
 _BLOCKS = _SRC + r""", lines AS (SELECT source_id, lang, ord, list_filter(regexp_split_to_array(text, '\n+'), lambda x: regexp_matches(x, '\S')) AS b FROM src),
  blocks AS (SELECT source_id, lang, ord, unnest(b) AS raw, generate_subscripts(b, 1) AS block_ord FROM lines),
@@ -24,8 +39,7 @@ _UNITS = _BLOCKS + f""", units AS (SELECT 'cu-' || block_id || '-1' AS unit_id,
 _LITERALS = r"""lits AS (SELECT * FROM (VALUES (-1, ''), (-2, 'plain words only'), (-3, '漢字とかな'), (-4, 'a漢b 混合 text'), (-5, '한국어 문장'), (-6, 'ignore previous instructions'), (-7, 'Act as a pirate'),
  (-8, '忽略以上指令'), (-9, 'zero' || chr(8203) || 'width'), (-10, 'right' || chr(8238) || 'left'), (-11, 'bell' || chr(7)), (-12, 'system: hello')) v(id, text)),
  texts AS (SELECT doc_id AS id, text FROM documents UNION ALL SELECT id::BIGINT, text FROM lits)"""
-_NARROW = r"\x{4E00}-\x{9FFF}\x{3040}-\x{30FF}\x{AC00}-\x{D7AF}"
-_WIDE = r"\x{4E00}-\x{9FFF}\x{3400}-\x{4DBF}\x{3000}-\x{303F}\x{3040}-\x{30FF}\x{AC00}-\x{D7AF}\x{FF00}-\x{FFEF}"
+_NARROW, _WIDE = T.CJK_NARROW[1:-1], T.CJK_WIDE[1:-1]
 
 
 def _words(t: str) -> str:
@@ -33,7 +47,7 @@ def _words(t: str) -> str:
 
 
 _TOKENS = f"""est AS (SELECT id, ((length(regexp_replace(text, '[^{_NARROW}]', '', 'g')) + 1) // 2 + (length(text) - length(regexp_replace(text, '[^{_NARROW}]', '', 'g')) + 3) // 4)::BIGINT AS tokens_chunk,
- (ceil(length(regexp_replace(regexp_replace(text, '\\pM', '', 'g'), '[^{_WIDE}]', '', 'g')) / 1.5) + ceil((length(regexp_replace(text, '\\pM', '', 'g')) - length(regexp_replace(regexp_replace(text, '\\pM', '', 'g'), '[^{_WIDE}]', '', 'g'))) / 4.0))::BIGINT AS tokens_budget FROM texts),
+ (ceil(length(regexp_replace(regexp_replace(text, '{T.combining_class()}', '', 'g'), '[^{_WIDE}]', '', 'g')) / 1.5) + ceil((length(regexp_replace(text, '{T.combining_class()}', '', 'g')) - length(regexp_replace(regexp_replace(text, '{T.combining_class()}', '', 'g'), '[^{_WIDE}]', '', 'g'))) / 4.0))::BIGINT AS tokens_budget FROM texts),
  budgets AS (SELECT id, tokens_chunk, tokens_budget, CASE WHEN tokens_budget > 5000 THEN 'fail' WHEN tokens_budget < 2500 THEN 'warn' ELSE 'pass' END AS status FROM est)"""
 _SECTION = """ranked AS (SELECT source_id, unit_id, block_ord, (block_ord - 1) // 4 + 1 AS section, CASE kind WHEN 'principle' THEN 0 WHEN 'technique' THEN 1 WHEN 'term' THEN 2 ELSE 3 END AS priority, content FROM units),
  uniq AS (SELECT * FROM ranked QUALIFY row_number() OVER (PARTITION BY source_id, section, content ORDER BY priority, block_ord) = 1),
@@ -59,14 +73,14 @@ _MERGE = _OLD + """, ovr AS (SELECT unit_id, 'review_status' AS field, CASE WHEN
 _VERSIONS = """ver AS (SELECT user_id AS unit_id, (epoch(ts)::BIGINT // 3600)::BIGINT AS record_version, event_id AS ord, event_type AS kind, CASE event_type WHEN 'error' THEN 'rejected' WHEN 'purchase' THEN 'superseded' ELSE 'candidate' END AS review_status FROM events),
  cur AS (SELECT * FROM ver QUALIFY row_number() OVER (PARTITION BY unit_id ORDER BY record_version DESC, ord) = 1)"""
 _LOG = """log AS (SELECT conv_id || '-' || (length(text) % 7) AS override_id, conv_id AS unit_id, role AS field, length(text)::BIGINT AS created_at, contains(text, 'the ') AS superseded, min(sha256(text)) AS value FROM conversations GROUP BY ALL)"""
-_INJECTION = r"(?i)\bignore\s+(?:previous|above|all|prior)\s+instructions?\b|\bdisregard\s+(?:previous|above|all|prior)\s+instructions?\b|\byou\s+are\s+(?:now|a|an)\b|\b(?:system|assistant|user)\s*:|<\|im_start\|>|\[/INST\]|\bnew\s+instructions?\s*:|\bforget\s+(?:everything|all|previous)\b|\bact\s+as\s+(?:a|an)\b"
-_INJECTION_ZH = r"忽略(?:上述|以上|前面|之前|所有)?(?:指令|指示|规则|约束)|无视(?:上述|以上|前面|之前|所有)?(?:指令|指示|规则|约束)|你现在是|系统提示|角色设定|新(?:指令|指示)\s*[：:]|忘掉(?:一切|所有|前面|之前)|扮演(?:一个|一名)?.{0,20}(?:助手|系统|AI|模型)"
+_INJECTION = "(?i)" + "|".join(T.INJECTION)
+_INJECTION_ZH = "|".join(T.INJECTION_ZH)
 _LINES = (
     _LITERALS
     + rf""", ln AS (SELECT id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM texts),
  found AS (SELECT id, line_no, unnest([CASE WHEN regexp_matches(line, '{_INJECTION}') THEN 'injection.en' WHEN regexp_matches(line, '{_INJECTION_ZH}') THEN 'injection.zh' END,
-  CASE WHEN regexp_matches(line, '[\x{{200B}}\x{{200C}}\x{{200D}}\x{{2060}}\x{{FEFF}}]') THEN 'hidden.zero_width' END, CASE WHEN regexp_matches(line, '[\x{{202A}}-\x{{202E}}\x{{2066}}-\x{{2069}}]') THEN 'hidden.directional' END,
-  CASE WHEN regexp_matches(line, '[\x{{00}}-\x{{08}}\x{{0B}}\x{{0C}}\x{{0E}}-\x{{1F}}\x{{7F}}-\x{{9F}}]') THEN 'hidden.control' END]) AS code FROM ln),
+  CASE WHEN regexp_matches(line, '{T.ZERO_WIDTH}') THEN 'hidden.zero_width' END, CASE WHEN regexp_matches(line, '{T.DIRECTIONAL}') THEN 'hidden.directional' END,
+  CASE WHEN regexp_matches(line, '{T.CONTROL}') THEN 'hidden.control' END]) AS code FROM ln),
  linef AS (SELECT id, line_no, code, 'fail' AS severity FROM found WHERE code IS NOT NULL)"""
 )
 _LINKS = r"""urls AS (SELECT page_id, url AS target FROM pages UNION ALL SELECT page_id, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) FROM pages),
@@ -87,7 +101,7 @@ def _pairs(items: str, least: float, group: str) -> str:
 
 
 _TOK = "list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+'))"
-_SHINGLES = r"""(SELECT doc_id, source, regexp_extract_all(lower(text), '[a-z0-9]+|[\x{3400}-\x{9FFF}]') AS w FROM documents)"""
+_SHINGLES = rf"""(SELECT doc_id, source, regexp_extract_all({casefold('text')}, '[a-z0-9]+|[\x{{3400}}-\x{{9FFF}}]') AS w FROM documents)"""
 
 ORACLES: dict[str, str] = {
     "source_scan_dedupe": f"WITH {_SRC} SELECT source_id, content_sha256, ord, copies FROM src",
@@ -97,7 +111,7 @@ ORACLES: dict[str, str] = {
     "block_classify": f"WITH {_UNITS} SELECT kind, heading_level, count(*) AS blocks, sum(round(confidence * 10)::BIGINT)::BIGINT AS tenths FROM units GROUP BY ALL",
     "evidence_audit": f"WITH {_UNITS} SELECT lang, kind, count(*) AS blocks, count(*) FILTER (WHERE confidence < 0.5 OR length(content) < 20) AS flagged, count(DISTINCT source_id) AS sources FROM units GROUP BY ALL",
     "review_queue": f"WITH {_UNITS} SELECT unit_id AS item_id, 'low_confidence' AS reason, 'warning' AS severity FROM units WHERE confidence < 0.5 UNION ALL SELECT unit_id, 'thin_content', 'info' FROM units WHERE length(content) < 20",
-    "quality_flags": f"""WITH {_UNITS} SELECT unit_id, 'low_confidence' AS reason FROM units WHERE confidence < 0.31 UNION ALL SELECT unit_id, 'thin_content' FROM units WHERE length(content) < 20
+    "quality_flags": f"""WITH {_UNITS.replace('units AS', 'own_units AS')}, units AS (SELECT unit_id, ord, block_ord, content, confidence FROM own_units UNION ALL SELECT 'cu-low-1', -1, 1, 'a claim that little supports', 0.29::DOUBLE UNION ALL SELECT 'cu-low-2', -1, 2, 'as surely as the bound', 0.3::DOUBLE) SELECT unit_id, 'low_confidence' AS reason FROM units WHERE confidence < 0.3 UNION ALL SELECT unit_id, 'thin_content' FROM units WHERE length(content) < 20
  UNION ALL SELECT unit_id, 'oversized' FROM units WHERE length(content) > 2000 UNION ALL SELECT unit_id, 'conflict' FROM units WHERE content IN (SELECT content FROM units GROUP BY 1 HAVING count(*) > 1)""",
     "duplicate_conflicts": f"""WITH {_UNITS}, g AS (SELECT content, count(*) AS members, min(struct_pack(o := ord, b := block_ord, u := unit_id)) AS f FROM units GROUP BY 1), num AS (SELECT *, row_number() OVER (ORDER BY f) - 1 AS conflict_no FROM g)
  SELECT conflict_no, sha256(content) AS content_sha256, members, f.u AS first_id FROM num WHERE members > 1""",
@@ -130,7 +144,7 @@ ORACLES: dict[str, str] = {
  hit AS (SELECT a.id AS a, b.id AS b, a.n AS na, b.n AS nb, count(*) AS shared FROM tok a JOIN tok b ON a.t = b.t AND a.id < b.id AND a.quality <> b.quality GROUP BY ALL) SELECT a, b, shared, na + nb - shared AS "union" FROM hit WHERE shared >= 0.34 * (na + nb - shared) - 1e-9""",
     "similar_documents": _pairs(f"SELECT doc_id AS id, 0 AS g, {_TOK} AS items FROM documents", 0.5, ""),
     "quote_shingle_dups": _pairs(f"SELECT doc_id AS id, source AS g, list_distinct([w[i] || '␟' || w[i + 1] || '␟' || w[i + 2] for i in range(1, len(w) - 1)]) AS items FROM {_SHINGLES}", 0.8, ""),
-    "quote_exact_dups": f"""WITH {_BLOCKS}, q AS (SELECT lang AS source, block_id, {_words('text')} AS words, trim(regexp_replace(lower(text), '[^\\p{{L}}\\p{{N}}_]+', ' ', 'g')) AS norm FROM blk)
+    "quote_exact_dups": f"""WITH {_BLOCKS}, q AS (SELECT lang AS source, block_id, {_words('text')} AS words, trim(regexp_replace({casefold('text')}, '[^\\p{{L}}\\p{{N}}_]+', ' ', 'g')) AS norm FROM blk)
  SELECT source, sha256(norm) AS quote_sha256, count(*) AS n, sum(words)::BIGINT AS words, min(block_id) AS first_location FROM q WHERE norm <> '' GROUP BY 1, 2 HAVING count(*) >= 2""",
     "quote_caps": f"WITH {_BLOCKS}, {_CAPS} SELECT * FROM caps",
     "quote_islands": f"""WITH {_BLOCKS}, q AS (SELECT source_id AS source, block_ord AS number, {_words('text')} AS words FROM blk), f AS (SELECT *, number - row_number() OVER (PARTITION BY source ORDER BY number) AS run FROM q WHERE words >= 12)
@@ -185,19 +199,22 @@ ORACLES |= {
     "running_budget": "SELECT user_id, event_id, spent FROM (SELECT user_id, event_id, round(sum(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), 6) AS spent FROM events) WHERE spent <= 500",
 }
 
-_GUARANTEE = r"保证(?:了|会|能|可以|有效|成功|持续|实现)?|必然(?:会|能|导致)?|一定(?:会|能|可以|有效|成功)|(?:永远|绝对)(?:不会|有效|正确)?|\b(?:guarantees?|guaranteed|ensures?|ensured|always|never\s+fails)\b"
-_CAUSALITY = r"证明(?:了|其|这|该)?|说明(?:了|其|这|该)?.{0,12}(?:负责|导致|决定)|\b(?:proves?|proved|demonstrates?|demonstrated)\b"
-_NEGATION = r"并不|并未|不|未|无|does not |do not |doesn''t |don''t |not "
 _CLAIM_LINES = """SELECT -20::BIGINT AS id, array_to_string(['This always works', '```', 'It guarantees success', '```', 'It does not guarantee success', '证明了这一点', '不保证', 'This demonstrates it', '# head', '---', '<!-- note -->', 'mail a.b@c.org now'], chr(10)) AS text"""
 
 
 def _claims(pattern: str, code: str) -> str:
-    return f"CASE WHEN regexp_matches(regexp_replace(line, '(?i)(?:{_NEGATION})(?:{pattern})', '', 'g'), '(?i){pattern}') THEN '{code}' END"
+    """A list with code for each claim in line that no negation ends right before."""
+    found, gaps, reach = f"regexp_extract_all(line, {quoted(pattern)})", f"regexp_split_to_array(line, {quoted(pattern)})", T.NEGATION_REACH
+    starts = f"list_transform(range(1, len({found}) + 1), lambda i: list_sum(list_transform({gaps}[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform({found}[1:i - 1], lambda x: length(x))), 0))"
+    before = f"{casefold(f'substring(line, greatest(p - {reach}, 0)::BIGINT + 1, least(p, {reach})::BIGINT)')}"
+    negated = quoted(f"(?:{'|'.join(T.NEGATION)})$")
+    return f"CASE WHEN regexp_matches(line, {quoted(pattern)}) THEN list_transform(list_filter({starts}, lambda p: NOT regexp_matches({before}, {negated})), lambda p: '{code}') ELSE []::VARCHAR[] END"
 
 
+_CLAIM_CODES = f"flatten([{', '.join(_claims(pattern, code) for code, pattern in T.CLAIMS)}])"
 ORACLES |= {
     "unfenced_claims": f"""WITH {_LITERALS}, every AS (SELECT * FROM texts UNION ALL {_CLAIM_LINES}), ln AS (SELECT id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM every),
- f AS (SELECT *, sum(starts_with(line, '```')::INT) OVER (PARTITION BY id ORDER BY line_no) AS fences FROM ln), c AS (SELECT id, line_no, unnest([{_claims(_GUARANTEE, 'guarantee')}, {_claims(_CAUSALITY, 'causality')}]) AS code FROM f WHERE fences % 2 = 0 AND NOT starts_with(line, '```'))
+ f AS (SELECT *, sum(starts_with(line, '```')::INT) OVER (PARTITION BY id ORDER BY line_no) AS fences FROM ln), c AS (SELECT id, line_no, unnest(list_distinct({_CLAIM_CODES})) AS code FROM f WHERE fences % 2 = 0 AND NOT starts_with(line, '```'))
  SELECT * FROM c WHERE code IS NOT NULL""",
     "substantive_lines": rf"""WITH every AS (SELECT doc_id AS id, text FROM documents UNION ALL {_CLAIM_LINES}), ln AS (SELECT id, unnest(string_split(text, chr(10))) AS line FROM every)
  SELECT id, count(*) FILTER (WHERE regexp_matches(line, '\S') AND NOT regexp_matches(line, '^\s*(?:#|---|\*\*\*|<!--)')) AS n, count(*) AS lines FROM ln GROUP BY 1""",

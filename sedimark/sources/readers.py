@@ -6,135 +6,121 @@ to the rejected side; nothing raises for a bad file.
 
 from __future__ import annotations
 
-import html.parser
-import io
-import re
+import glob as globs
+import os
 import zipfile
 from collections.abc import Iterator
+from functools import reduce
+from xml.etree.ElementTree import ParseError
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-# Formats by suffix, and the bytes that a format must start with.
-SUFFIXES = {
-    "pdf": "pdf", "epub": "epub", "mobi": "mobi", "azw": "azw", "azw3": "azw3", "txt": "txt", "text": "txt", "md": "md", "markdown": "md",
-    "docx": "docx", "html": "html", "htm": "html", "rtf": "rtf",
-}
-MAGIC = {"pdf": "255044462D", "epub": "504B0304", "docx": "504B0304", "mobi": "424F4F4B4D4F4249"}
-MAX_BYTES, MAX_ZIP_RATIO = 200 * 1024 * 1024, 100
+from .formats import MAX_BYTES, archive_fault, detect, file_blocks, html_lines, is_locked
 
+FILES = "path string, length bigint, format string, format_source string, content_sha256 string, content binary, error string"
 
-def scan(spark: SparkSession, path: str, glob: str | None = None, recursive: bool = True) -> DataFrame:
-    """path, length, format, content_sha256, content and error (null if the file passes) of all files under path.
 
-    Gates in order: unknown_format, too_large, bad_magic, duplicate (same content as a file whose path comes before). Spark's source leaves out
-    empty files itself.
+def expand(inputs: list[str], recursive: bool = True) -> tuple[list[str], list[tuple[str, str]]]:
+    """(paths, refused): local files, folders and globs as files, once each in order of first sight, and (path, error) of those that a look at the folder refuses.
+
+    Links are never followed: a path that is one, or lies under one, is refused, as are missing, empty and unreadable files.
+    """
+    found: dict[str, None] = {}
+    for given in inputs:
+        for path in sorted(globs.glob(given, recursive=recursive)) if any(c in given for c in "*?[") else [given]:
+            if os.path.isdir(path) and not os.path.islink(path):
+                walk = os.walk(path) if recursive else [next(os.walk(path))]
+                links = lambda top, names: [os.path.join(top, n) for n in names if os.path.islink(os.path.join(top, n))]
+                for top, folders, names in walk:
+                    folders.sort()
+                    found |= dict.fromkeys(links(top, folders) + [os.path.join(top, n) for n in sorted(names)])
+            else:
+                found[path] = None
+    paths, refused = [], []
+    for path in found:
+        parts = os.path.abspath(path).split(os.sep)
+        if any(os.path.islink(os.sep.join(parts[:n])) for n in range(2, len(parts) + 1)):
+            refused.append((path, "symlink"))
+        elif not os.path.exists(path):
+            refused.append((path, "not_found"))
+        elif not os.path.isfile(path):
+            refused.append((path, "not_a_file"))
+        elif not os.path.getsize(path):
+            refused.append((path, "empty"))
+        elif not os.access(path, os.R_OK):
+            refused.append((path, "unreadable"))
+        else:
+            paths.append(path)
+    return paths, refused
+
+
+def discover(spark: SparkSession, inputs: list[str], recursive: bool = True) -> DataFrame:
+    """scan() of local files, folders and globs, with a row for each path that expand() refuses."""
+    paths, refused = expand(inputs, recursive)
+    rows = spark.createDataFrame([(p, None, None, None, None, None, e) for p, e in refused], FILES)
+    return scan(spark, [f"file://{os.path.abspath(p)}" for p in paths]).unionByName(rows) if paths else rows
+
+
+def scan(spark: SparkSession, path: str | list[str], glob: str | None = None, recursive: bool = True) -> DataFrame:
+    """path, length, format, format_source, content_sha256, content and error (null if the file passes) of all files under path.
+
+    Gates in order: empty, too_large, unknown_format, damaged (an archive), locked (a MOBI file), duplicate (same content as a file whose path comes before).
     """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    suffix = F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1))
-    formats = F.create_map(*[F.lit(x) for kv in SUFFIXES.items() for x in kv])
-    files = reader.load(path).withColumn("format", F.try_element_at(formats, suffix)).withColumn("content_sha256", F.sha2("content", 256))
-    magic = F.lit(False)
-    for name, head in MAGIC.items():
-        magic = magic | ((F.col("format") == name) & ~F.hex(F.substring("content", 1, len(head) // 2)).eqNullSafe(F.lit(head)))
-    error = F.when(F.col("format").isNull(), "unknown_format").when(F.col("length") > MAX_BYTES, "too_large").when(magic, "bad_magic")
-    files = files.withColumn("error", error)
+    files = reader.load(path).select("path", "length", "content")
+
+    def inspect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[list] = [[], [], []]
+            for path, length, content in zip(*[batch[c] for c in ("path", "length", "content")]):
+                n, kind, told, error = length.as_py(), None, None, None
+                if not n or n > MAX_BYTES:
+                    error = "too_large" if n else "empty"
+                else:
+                    data = content.as_py()
+                    name = path.as_py().rsplit("/", 1)[-1]
+                    kind, told = detect(data, name.rsplit(".", 1)[-1].lower() if "." in name else "")
+                    if kind is None:
+                        error = "unknown_format"
+                    elif kind in ("epub", "docx") and archive_fault(data):
+                        error = "damaged"
+                    elif kind in ("mobi", "azw", "azw3") and is_locked(data):
+                        error = "locked"
+                for column, value in zip(rows, (kind, told, error)):
+                    column.append(value)
+            extra = [pa.array(c, pa.string()) for c in rows]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *extra], [*batch.schema.names, "format", "format_source", "error"])
+
+    kinds = "path string, length bigint, content binary, format string, format_source string, error string"
+    files = files.mapInArrow(inspect, kinds).withColumn("content_sha256", F.sha2("content", 256))
     first = files.where("error is null").groupBy("content_sha256").agg(F.min("path").alias("first_path")).withColumnRenamed("content_sha256", "h")
     files = files.join(first, F.col("content_sha256") == F.col("h"), "left")
     error = F.coalesce("error", F.when(F.col("path") != F.col("first_path"), "duplicate"))
-    return files.select("path", "length", "format", "content_sha256", "content", error.alias("error"))
-
-
-class _Lines(html.parser.HTMLParser):
-    """Text of block elements, without scripts, styles, navigation and the like."""
-
-    SKIP = {"script", "style", "nav", "header", "footer", "aside", "noscript", "template", "head"}
-    BREAK = {"p", "div", "li", "h1", "h2", "h3", "h4", "h5", "h6", "tr", "br", "section", "article", "blockquote", "pre", "td", "th", "ul", "ol", "table"}
-
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.out, self.now, self.skipping = [], [], 0
-
-    def cut(self):
-        line = re.sub(r"\s+", " ", "".join(self.now)).strip()
-        if line:
-            self.out.append(line)
-        self.now = []
-
-    def handle_starttag(self, tag, attrs):
-        if tag in self.SKIP:
-            self.skipping += 1
-        if tag in self.BREAK:
-            self.cut()
-
-    def handle_endtag(self, tag):
-        if tag in self.SKIP and self.skipping:
-            self.skipping -= 1
-        if tag in self.BREAK:
-            self.cut()
-
-    def handle_data(self, data):
-        if not self.skipping:
-            self.now.append(data)
-
-
-def html_lines(text: str) -> list[str]:
-    parser = _Lines()
-    parser.feed(text)
-    parser.close()
-    parser.cut()
-    return parser.out
-
-
-def _zip_texts(data: bytes, wanted: str) -> list[str]:
-    with zipfile.ZipFile(io.BytesIO(data)) as z:
-        for info in z.infolist():
-            if info.file_size > MAX_ZIP_RATIO * max(1, info.compress_size):
-                raise ValueError("zip_ratio")
-        return [z.read(n).decode("utf-8", "replace") for n in sorted(z.namelist()) if re.search(wanted, n)]
-
-
-def file_lines(kind: str, data: bytes) -> list[str]:
-    """The blocks of a file: paragraphs of texts and Markdown, block elements of HTML and EPUB chapters, paragraphs of DOCX."""
-    if kind in ("txt", "md"):
-        text = data.decode("utf-8-sig", "replace").replace("\r\n", "\n")
-        return [b.strip() for b in re.split(r"\n\s*\n", text) if b.strip()]
-    if kind == "html":
-        return html_lines(data.decode("utf-8", "replace"))
-    if kind == "epub":
-        return [line for part in _zip_texts(data, r"\.x?html?$") for line in html_lines(part)]
-    if kind == "docx":
-        out = []
-        for part in _zip_texts(data, r"^word/document\.xml$"):
-            for p in re.findall(r"<w:p[ >].*?</w:p>", part, re.S):
-                line = html.unescape("".join(re.findall(r"<w:t(?: [^>]*)?>([^<]*)</w:t>", p))).strip()
-                if line:
-                    out.append(line)
-        return out
-    raise ValueError("no_reader")
+    return files.select("path", "length", "format", "format_source", "content_sha256", "content", error.alias("error"))
 
 
 def extract(files: DataFrame) -> DataFrame:
-    """source_id, path, block_ord (from 1), text and error of the files that passed the gates; a file that cannot be read gives one row with an error."""
+    """source_id, path, block_ord (from 1), locator, text and error of the files that passed the gates; a file that cannot be read gives one row with an error."""
     rows = files.where("error is null").select(F.substring("content_sha256", 1, 12).alias("source_id"), "path", "format", "content")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["source_id", "path", "block_ord", "locator", "text", "error"]
         for batch in batches:
             for sid, path, kind, content in zip(*[batch[c] for c in ("source_id", "path", "format", "content")]):
                 try:
-                    lines, error = file_lines(kind.as_py(), content.as_py()), None
-                except (ValueError, zipfile.BadZipFile, KeyError) as e:
-                    lines, error = [None], str(e) if isinstance(e, ValueError) else "unreadable"
-                n = len(lines)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([sid.as_py()] * n, pa.string()), pa.array([path.as_py()] * n, pa.string()), pa.array(range(1, n + 1), pa.int64()), pa.array(lines, pa.string()), pa.array([error] * n, pa.string())],
-                    ["source_id", "path", "block_ord", "text", "error"],
-                )
+                    found, error = file_blocks(kind.as_py(), content.as_py()), None
+                except (ValueError, zipfile.BadZipFile, KeyError, ParseError, RuntimeError) as e:
+                    found, error = [(None, None)], str(e) if isinstance(e, ValueError) and not isinstance(e, UnicodeError) else "unreadable"
+                n = len(found)
+                same = lambda v: pa.array([v] * n, pa.string())
+                texts = [pa.array([x[i] for x in found], pa.string()) for i in (0, 1)]
+                yield pa.RecordBatch.from_arrays([same(sid.as_py()), same(path.as_py()), pa.array(range(1, n + 1), pa.int64()), *texts, same(error)], names)
 
-    return rows.mapInArrow(run, "source_id string, path string, block_ord bigint, text string, error string")
+    return rows.mapInArrow(run, "source_id string, path string, block_ord bigint, locator string, text string, error string")
 
 
 def page_blocks(pages: DataFrame) -> DataFrame:
@@ -153,18 +139,49 @@ def page_blocks(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", "html").mapInArrow(run, "page_id bigint, block_ord bigint, text string")
 
 
-def contract_violations(blocks: DataFrame) -> DataFrame:
-    """issue and n: blank texts, ordinals below 1, repeated (source_id, block_ord) and gaps in a source's ordinals."""
+def contract_violations(blocks: DataFrame, manifests: DataFrame | None = None) -> DataFrame:
+    """issue and n of what breaks the contract of an extraction.
+
+    blocks: (source_id, block_ord, text[, block_id, entry_source_id, entry_text_sha256, locator, entry_locator]); manifests: (source_id, content_sha256, format).
+    Issues: blank texts, ordinals below 1, repeated (source_id, block_ord), gaps in a source's ordinals; where the columns are there also entries of another source,
+    with another locator or text hash, with an id that source and ordinal do not give, and ids that repeat; with manifests, sources without blocks or without a manifest and ids that do not begin the hash.
+    """
     one = lambda df, issue: df.agg(F.lit(issue).alias("issue"), F.count(F.lit(1)).alias("n"))
     per = blocks.groupBy("source_id").agg(F.max("block_ord").alias("m"), F.countDistinct("block_ord").alias("c"), F.count(F.lit(1)).alias("n"))
     parts = [one(blocks.where("text is null or text rlike '^\\\\s*$'"), "blank"), one(blocks.where("block_ord < 1"), "ordinal"), one(per.where("n > c"), "repeated"), one(per.where("m > c"), "gap")]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    has = set(blocks.columns)
+    differ = lambda a, b: ~F.col(a).eqNullSafe(F.col(b) if isinstance(b, str) else b)
+    if "entry_source_id" in has:
+        parts.append(one(blocks.where(differ("entry_source_id", "source_id")), "entry_source"))
+    if "entry_locator" in has:
+        parts.append(one(blocks.where(differ("entry_locator", "locator")), "locator"))
+    if "entry_text_sha256" in has:
+        parts.append(one(blocks.where(differ("entry_text_sha256", F.sha2("text", 256))), "text_hash"))
+    if "block_id" in has:
+        parts.append(one(blocks.where(~F.col("block_id").rlike("-(?:pg|c|p|t|s|b)[0-9]+$") | differ("block_id", F.concat("source_id", F.regexp_extract("block_id", "(-(?:pg|c|p|t|s|b))[0-9]+$", 1), "block_ord"))), "block_id"))
+        parts.append(one(blocks.groupBy("block_id").count().where("count > 1"), "repeated_id"))
+    if manifests is not None:
+        ids = blocks.select("source_id").distinct()
+        parts.append(one(manifests.join(ids, "source_id", "left_anti"), "no_blocks"))
+        parts.append(one(ids.join(manifests, "source_id", "left_anti"), "no_manifest"))
+        parts.append(one(manifests.where(differ("source_id", F.substring("content_sha256", 1, 12))), "manifest_id"))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def latest_manifest(manifests: DataFrame) -> DataFrame:
     """The newest manifest of each source (version, then time)."""
     w = Window.partitionBy("source_id").orderBy(F.col("version").desc(), F.col("ingested_at").desc())
     return manifests.withColumn("nth", F.row_number().over(w)).where("nth = 1").drop("nth")
+
+
+def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """JSON lines of a closed schema, in the order of file and line (ord): a line with a field that the schema lacks, or of another type, is an error. Blank lines are left out; a missing path has no rows."""
+    kinds = spark.createDataFrame([], schema).schema
+    fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not fs_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(fs_path):
+        return spark.createDataFrame([], f"{schema}, ord bigint")
+    lines = spark.read.text(path).where("trim(value) <> ''").withColumn("ord", F.monotonically_increasing_id())
+    keys = F.json_object_keys("value")
+    unknown = F.size(F.array_except(keys, F.array(*[F.lit(f.name) for f in kinds.fields])))
+    checked = F.when(keys.isNull() | (unknown > 0), F.raise_error(F.concat(F.lit("a line breaks the schema: "), "value"))).otherwise(F.col("value"))
+    return lines.select(F.from_json(checked, kinds, {"mode": "FAILFAST"}).alias("r"), "ord").select("r.*", "ord")

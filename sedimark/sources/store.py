@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sedimark.operators import versions as V
+from sedimark.sources.scratch import staged, unstage
 
 
 class UnitStore:
@@ -23,14 +24,17 @@ class UnitStore:
         rows.write.mode("append").parquet(f"{self.path}/units")
 
     def append_if_new(self, rows: DataFrame) -> int:
-        """Append those rows whose (unit_id, record_version) is not there yet, and return how many they were."""
-        keys = ["unit_id", "record_version"]
-        fresh = rows.dropDuplicates(keys)
+        """Append those rows of which the store has no equal one, in all columns, each once, and return how many they were."""
+        print_ = lambda df: F.sha2(F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false"}), 256)
+        fresh = rows.withColumn("__print", print_(rows)).dropDuplicates(["__print"])
         if self._exists("units"):
-            fresh = fresh.join(self.versions().select(*keys), keys, "left_anti")
+            known = self.versions()
+            fresh = fresh.join(known.select(print_(known).alias("__print")), "__print", "left_anti")
+        fresh = staged(fresh.drop("__print"), "fresh")
         n = fresh.count()
         if n:
             self.append(fresh)
+        unstage(fresh)
         return n
 
     def versions(self) -> DataFrame:
@@ -40,8 +44,15 @@ class UnitStore:
         return V.current_view(self.versions())
 
     def publish(self, name: str) -> None:
-        """Freeze the active view as a release and point to it. A release is never overwritten."""
-        V.active_view(self.versions()).write.mode("error").parquet(f"{self.path}/releases/{name}")
+        """Freeze the active view as a release and point to it. A release is never overwritten: publishing the same rows again only points, other rows under its name are an error."""
+        view = V.active_view(self.versions())
+        if self._exists(f"releases/{name}"):
+            there = self.spark.read.parquet(f"{self.path}/releases/{name}")
+            view = view.select(*there.columns)
+            if view.exceptAll(there).limit(1).count() or there.exceptAll(view).limit(1).count():
+                raise ValueError(f"release {name} has other rows")
+        else:
+            view.write.mode("error").parquet(f"{self.path}/releases/{name}")
         self._point(name, "publish")
 
     def rollback(self, name: str) -> None:

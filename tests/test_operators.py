@@ -100,33 +100,6 @@ def _zip(parts):
     return out.getvalue()
 
 
-def test_readers(spark, tmp_path):
-    files = {
-        "a.txt": "one\n\ntwo\r\n\r\nthree".encode(),
-        "b.md": b"# head\n\nbody",
-        "dup.txt": "one\n\ntwo\r\n\r\nthree".encode(),
-        "c.html": b"<html><head><title>t</title></head><body><nav>no</nav><p>yes &amp; so</p><div>more<br>lines</div><script>x</script></body></html>",
-        "d.docx": _zip({"word/document.xml": '<w:document><w:p><w:r><w:t>para one</w:t></w:r></w:p><w:p ><w:r><w:t xml:space="preserve">two &lt;</w:t></w:r></w:p></w:document>'}),
-        "e.epub": _zip({"c2.xhtml": "<p>second</p>", "c1.xhtml": "<h1>first</h1>"}),
-        "f.pdf": b"not a pdf",
-        "g.xyz": b"what",
-        "i.docx": b"PK\x03\x04broken",
-        "j.docx": _zip({"word/document.xml": "<w:p><w:t>" + "0" * 5_000_000 + "</w:t></w:p>"}),
-    }
-    for name, data in files.items():
-        (tmp_path / name).write_bytes(data)
-    got = readers.scan(spark, str(tmp_path))
-    errors = {r.path.rsplit("/", 1)[1]: r.error for r in got.select("path", "error").collect()}
-    assert {k: v for k, v in errors.items() if v} == {"dup.txt": "duplicate", "f.pdf": "bad_magic", "g.xyz": "unknown_format"}
-    rows = readers.extract(got).collect()
-    lines = {}
-    for r in sorted(rows, key=lambda r: (r.path, r.block_ord)):
-        lines.setdefault(r.path.rsplit("/", 1)[1], []).append(r.text if r.error is None else r.error)
-    assert lines == {"a.txt": ["one", "two", "three"], "b.md": ["# head", "body"], "c.html": ["yes & so", "more", "lines"], "d.docx": ["para one", "two <"], "e.epub": ["first", "second"], "i.docx": ["unreadable"], "j.docx": ["zip_ratio"]}
-    clean = readers.extract(got).where("error is null")
-    assert {r.issue: r.n for r in readers.contract_violations(clean).collect()} == {"blank": 0, "ordinal": 0, "repeated": 0, "gap": 0}
-
-
 def test_page_blocks(spark):
     pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
     got = readers.page_blocks(pages)
