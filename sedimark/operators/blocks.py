@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import hashlib
+import re
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sedimark.functions import text as T
@@ -107,3 +111,83 @@ def context(turns: DataFrame, budget: int) -> DataFrame:
     w = Window.partitionBy("conv_id").orderBy("turn")
     n = 4 * budget
     return turns.select("conv_id", "turn", F.coalesce(F.right(F.lag("text").over(w), F.lit(n)), F.lit("")).alias("before"), F.coalesce(F.left(F.lead("text").over(w), F.lit(n)), F.lit("")).alias("after"))
+
+
+def canonical_json(df: DataFrame) -> Column:
+    """A row as canonical JSON: its columns in order of name, no spaces, nulls kept, characters as they are."""
+    return F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false"})
+
+
+def joined_digests(members: DataFrame, key: str, member: str, between: str, first: str = "", last: str = "") -> DataFrame:
+    """key, entries and the SHA-256 digest of first, each key's members in order with between between them, and last. Streamed into a hash, so that no key is gathered."""
+
+    def step(state, _, value):
+        state[0].update(((between if state[1] else first) + value).encode())
+        state[1] += 1
+        return []
+
+    def close(state, k):
+        state[0].update(last.encode())
+        return [(k, state[1], state[0].hexdigest())]
+
+    kind = members.schema[key].dataType.simpleString()
+    return folded(members, key, [member], [member], lambda: [hashlib.sha256(), 0], step, f"{key} {kind}, entries bigint, digest string", close)
+
+
+def map_digests(entries: DataFrame, key: str, name: str, value: str) -> DataFrame:
+    """key, entries and the digest of the canonical JSON of each key's map from name to value, names in order."""
+    quoted = F.to_json(F.struct(F.col(name).alias("n"))), F.to_json(F.struct(F.col(value).alias("v")))
+    entry = F.concat(F.expr("substr(__n, 6, length(__n) - 6)"), F.lit(":"), F.expr("substr(__v, 6, length(__v) - 6)"))
+    rows = entries.withColumn("__n", quoted[0]).withColumn("__v", quoted[1]).select(key, entry.alias("__entry"))
+    return joined_digests(rows, key, "__entry", ",", "{", "}")
+
+
+def split_texts(texts: DataFrame, target: int) -> DataFrame:
+    """id, nth (from 1), fragment and tokens of texts (id, text) cut into fragments of at most target tokens (where a character alone does not have more), which together are the text.
+
+    Whole lines are put together while they fit; a longer line is cut into the longest prefixes that fit, of at most three characters a token.
+    """
+    kind = texts.schema["id"].dataType.simpleString()
+    tokens = lambda wide, other: (wide + 1) // 2 + (other + 3) // 4
+    ideograph = re.compile(T.CJK_NARROW.replace(r"\x{", r"\u").replace("}", ""))
+
+    def cut(line: str) -> Iterator[str]:
+        wide = np.concatenate([[0], np.cumsum([bool(ideograph.match(c)) for c in line])])
+        at = 0
+        while at < len(line):
+            ends = np.arange(at + 1, min(len(line), at + 3 * target) + 1)
+            w = wide[ends] - wide[at]
+            end = at + max(1, int(np.searchsorted(tokens(w, ends - at - w), target, "right")))
+            yield line[at:end]
+            at = end
+
+    def fragments(text: str) -> Iterator[tuple[str, int]]:
+        held, wide, other = [], 0, 0
+        for line in text.splitlines(keepends=True):
+            w = len(ideograph.findall(line))
+            o = len(line) - w
+            if held and tokens(wide + w, other + o) > target:
+                yield "".join(held), tokens(wide, other)
+                held, wide, other = [], 0, 0
+            if tokens(w, o) > target:
+                for piece in cut(line):
+                    n = len(ideograph.findall(piece))
+                    yield piece, tokens(n, len(piece) - n)
+            else:
+                held.append(line)
+                wide, other = wide + w, other + o
+        if held or not text:
+            yield "".join(held), tokens(wide, other)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, nth, out, sizes = [], [], [], []
+            for i, text in enumerate(batch["text"]):
+                for k, (piece, n) in enumerate(fragments(text.as_py() or ""), 1):
+                    at.append(i)
+                    nth.append(k)
+                    out.append(piece)
+                    sizes.append(n)
+            yield pa.RecordBatch.from_arrays([batch["id"].take(pa.array(at, pa.int64())), pa.array(nth, pa.int64()), pa.array(out, pa.string()), pa.array(sizes, pa.int64())], ["id", "nth", "fragment", "tokens"])
+
+    return texts.select("id", "text").mapInArrow(run, f"id {kind}, nth bigint, fragment string, tokens bigint")

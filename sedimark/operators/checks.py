@@ -33,11 +33,94 @@ def split_lines(docs: DataFrame) -> DataFrame:
     return docs.select("id", F.posexplode(F.split("text", "\n")).alias("i", "line")).select("id", (F.col("i") + 1).cast("long").alias("line_no"), "line")
 
 
+# Fixed value: a citation line with its quote.
+QUOTE_LINE = r'^\s*-\s+([^\s/]+)\s*/\s*(\S+)\s+—\s+"(.+)"\s*$'
+
+
+def quotes(files: DataFrame) -> DataFrame:
+    """path, line_no, source_id, block_id, quote and words of the citation lines of reference files (path, text) that carry a quote."""
+    lines = split_lines(files.select(F.col("path").alias("id"), "text")).where(F.col("line").rlike(QUOTE_LINE))
+    part = lambda i: F.regexp_extract("line", QUOTE_LINE, i)
+    return lines.select(F.col("id").alias("path"), "line_no", part(1).alias("source_id"), part(2).alias("block_id"), part(3).alias("quote"), T.effective_words(part(3)).alias("words"))
+
+
+def parsed_arrays(rows: DataFrame, raw: str) -> DataFrame:
+    """rows with objects, how many objects the array in raw holds for a lenient reader, and fault, what a strict one refuses: no_json, no_array or no_objects (something else among them). Lines with code fences are left out."""
+    bare = F.trim(F.col(raw))
+    text = F.when(bare.startswith("```"), F.array_join(F.filter(F.split(bare, "\n"), lambda x: ~F.trim(x).startswith("```")), "\n")).otherwise(bare)
+    rows = rows.withColumn("__text", text).withColumn("__value", F.try_parse_json("__text"))
+    kinds = F.transform(F.try_variant_get("__value", "$", "array<variant>"), lambda v: F.schema_of_variant(v).startswith("OBJECT"))
+    rows = rows.withColumn("__array", F.schema_of_variant("__value").startswith("ARRAY")).withColumn("__objects", F.when(F.col("__array"), kinds))
+    objects = F.coalesce(F.size(F.filter("__objects", lambda x: x)), F.lit(0))
+    fault = F.when(F.col("__value").isNull(), "no_json").when(~F.col("__array"), "no_array").when(objects < F.size("__objects"), "no_objects")
+    return rows.withColumn("objects", F.greatest(objects, F.lit(0)).cast("long")).withColumn("fault", fault).drop("__text", "__value", "__array", "__objects")
+
+
 def links(pages: DataFrame) -> DataFrame:
     """page_id and target of each link of a page's html."""
     return pages.select("page_id", F.explode(F.regexp_extract_all("html", F.lit(r'href="([^"]*)"'), F.lit(1))).alias("target"))
 
 
+# The head of a page, how a mapping begins, and a field's line (NAME stands for its name) with its value in quotes or plain.
+FRONT = r"(?s)^---\s*\n(.*?)\n---\s*(?:\n|$)"
+MAPPING = r"^\s*[A-Za-z_][A-Za-z0-9_-]*\s*:(?:\s|$)"
+FIELD_LINE = r"""(?m)^NAME:[ \t]*(?:(["'])([^"'\n]*)["'][ \t]*|([^"'\n#][^\n]*))$"""
+# Words that tell of a method, and the section that belongs to it, in lower case.
+TIME_SIGNALS = ("pomodoro", "番茄钟", "番茄工作法", "estimate feedback", "estimate-versus-actual", "估算反馈", "预估", "实际时长", "偏差", "interruption", "中断", "short break", "long break", "短休息", "长休息", "timebox", "time box", "时间盒")
+HABIT_SIGNALS = ("habit", "micro-habit", "microhabit", "习惯", "微习惯", "cue/trigger", "线索", "奖励", "reward")
+TIME_HEADING, HABIT_HEADING = "## runtime execution scaffolding", "## habit execution scaffolding"
+# Names that a system reserves, as a whole part of a path or before its first dot.
+RESERVED = r"/(?:aux|clock\$|com[1-9]|con|lpt[1-9]|nul|prn)(?:\.[^/]*)?/"
+
+
+def frontmatter(pages: DataFrame) -> DataFrame:
+    """id and code of what is wrong with the head of pages (id, text): missing, not_mapping, or what its name (a slug) and description (ten characters at least) lack."""
+    head = F.regexp_extract("text", FRONT, 1)
+    field = lambda name: F.coalesce(*[F.nullif(F.trim(F.regexp_extract(F.col("head"), FIELD_LINE.replace("NAME", name), i)), F.lit("")) for i in (2, 3)])
+    rows = pages.select("id", F.col("text").rlike(FRONT).alias("has"), head.alias("head")).select("id", "has", "head", field("name").alias("name"), field("description").alias("description"))
+    name = F.when(F.col("name").isNull(), "name_missing").when(~F.col("name").rlike("^[a-z0-9]+(?:-[a-z0-9]+)*$"), "name_pattern")
+    description = F.when(F.col("description").isNull(), "description_missing").when(F.length("description") < 10, "description_short")
+    mapping = F.col("head").rlike(MAPPING) | (F.trim("head") == "")
+    codes = F.when(~F.col("has"), F.array(F.lit("missing"))).when(~mapping, F.array(F.lit("not_mapping"))).otherwise(F.array_compact(F.array(name, description)))
+    return rows.select("id", F.explode(codes).alias("code"))
+
+
+def scaffolding(pages: DataFrame) -> DataFrame:
+    """id and code of pages (id, text) that show signals of time boxes or habits without their section."""
+    has = lambda words: F.col("t").rlike("|".join(words))
+    time = F.when(has(TIME_SIGNALS) & ~F.col("t").contains(TIME_HEADING), "missing_time_scaffolding")
+    habit = F.when(has(HABIT_SIGNALS) & ~F.col("t").contains(HABIT_HEADING), "missing_habit_scaffolding")
+    return pages.select("id", T.casefold(F.col("text")).alias("t")).select("id", F.explode(F.array_compact(F.array(time, habit))).alias("code"))
+
+
+def missing_links(pages: DataFrame, files: DataFrame) -> DataFrame:
+    """id, line_no and target of links to reference files that files (target) lacks."""
+    found = F.regexp_extract_all("line", F.lit(r"`(references/[A-Za-z0-9_/-]+\.md)`"), F.lit(1))
+    lines = split_lines(pages.where(F.col("text").contains("`references/"))).select("id", "line_no", F.explode(found).alias("target"))
+    return lines.join(files.select("target").distinct(), "target", "left_anti").select("id", "line_no", "target")
+
+
+def inferred_only(units: DataFrame) -> DataFrame:
+    """source_id and executable, the number of executable units, of sources that have some but none with evidence of its own. units: (source_id, kind, evidence_level)."""
+    from sedimark.operators.governance import DIRECT, EXECUTABLE
+
+    rows = units.where(F.col("kind").isin(*EXECUTABLE)).groupBy("source_id").agg(F.count(F.lit(1)).alias("executable"), F.bool_or(F.col("evidence_level").isin(*DIRECT)).alias("direct"))
+    return rows.where("not direct").select("source_id", "executable")
+
+
+def safe_relative(path: Column) -> Column:
+    """Whether a path is a relative one with forward slashes that stays in its folder."""
+    return ~(path.contains("\\") | path.startswith("/") | path.rlike("^[A-Za-z]:") | (path == "") | F.concat(F.lit("/"), path, F.lit("/")).rlike(r"/(?:\.|\.\.)/"))
+
+
+def safe_member(path: Column) -> Column:
+    """Whether a path may be a member of a package on any system: no roots, drives, controls, empty or dotted parts, trailing dots or spaces, colons or reserved names."""
+    p = F.replace(path, F.lit("\\"), F.lit("/"))
+    framed = F.concat(F.lit("/"), p, F.lit("/"))
+    bad = (p == "") | p.startswith("/") | p.contains(":") | p.rlike(r"[\x00-\x1F]") | framed.rlike(r"/(?:|\.|\.\.)/") | framed.rlike(r"[ .]/") | F.lower(framed).rlike(RESERVED)
+    return ~bad
+
+
 def worst_by_check(findings: DataFrame) -> DataFrame:
     """check_id, status (the worst severity), n findings and n_codes. findings: (check_id, severity, code[, n])."""
     rank = F.when(F.col("severity") == "fail", 3).when(F.col("severity") == "warn", 2).otherwise(1)

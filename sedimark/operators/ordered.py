@@ -34,9 +34,10 @@ def numbered(df: DataFrame, keys: list[str], order: list[Column | str], name: st
 def folded(df: DataFrame, key: str, order: list[Column | str], columns: list[str], start: Callable[[], object], step: Callable, schema: str, close: Callable | None = None) -> DataFrame:
     """Rows that step(state, key, *columns) yields for each row of each key in order, and close(state, key) behind a key's last row.
 
-    start makes the state of a key, which step changes. Memory holds one state and one batch of rows.
+    start makes the state of a key, which step changes; order has names, or expressions over columns. Memory holds one state and one batch of rows.
     """
-    rows = df.select(key, *columns, *[F.col(c) if isinstance(c, str) else c for c in order if c not in [key, *columns]]).repartition(key).sortWithinPartitions(key, *order)
+    more = [c for c in order if isinstance(c, str) and c not in (key, *columns)]
+    rows = df.select(key, *columns, *more).repartition(key).sortWithinPartitions(key, *order)
     names = [part.split()[0] for part in schema.split(", ")]
     kinds = rows.sparkSession.createDataFrame([], schema).schema
 

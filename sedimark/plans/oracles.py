@@ -70,7 +70,7 @@ _MERGE = _OLD + """, ovr AS (SELECT unit_id, 'review_status' AS field, CASE WHEN
  wide AS (SELECT o.unit_id, unnest(['kind', 'content', 'confidence', 'review_status']) AS field, unnest([o.kind, o.content, o.confidence::VARCHAR, o.review_status]) AS base, unnest([n.kind, n.content, n.confidence::VARCHAR, n.review_status]) AS new FROM old o JOIN new n ON o.unit_id = n.unit_id),
  merged AS (SELECT w.unit_id, w.field, CASE WHEN ours IS NULL OR base = ours THEN new ELSE ours END AS value, CASE WHEN ours IS NULL OR base = ours THEN 'new' WHEN ours = new OR base = new THEN 'ours' ELSE 'conflict' END AS outcome
   FROM wide w LEFT JOIN ovr v ON w.unit_id = v.unit_id AND w.field = v.field)"""
-_VERSIONS = """ver AS (SELECT user_id AS unit_id, (epoch(ts)::BIGINT // 3600)::BIGINT AS record_version, event_id AS ord, event_type AS kind, CASE event_type WHEN 'error' THEN 'rejected' WHEN 'purchase' THEN 'superseded' ELSE 'candidate' END AS review_status FROM events),
+_VERSIONS = """ver AS (SELECT user_id AS unit_id, (floor(epoch(ts))::BIGINT // 3600)::BIGINT AS record_version, event_id AS ord, event_type AS kind, CASE event_type WHEN 'error' THEN 'rejected' WHEN 'purchase' THEN 'superseded' ELSE 'candidate' END AS review_status FROM events),
  cur AS (SELECT * FROM ver QUALIFY row_number() OVER (PARTITION BY unit_id ORDER BY record_version DESC, ord) = 1)"""
 _LOG = """log AS (SELECT conv_id || '-' || (length(text) % 7) AS override_id, conv_id AS unit_id, role AS field, length(text)::BIGINT AS created_at, contains(text, 'the ') AS superseded, min(sha256(text)) AS value FROM conversations GROUP BY ALL)"""
 _INJECTION = "(?i)" + "|".join(T.INJECTION)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .formats import MAX_BYTES, archive_fault, detect, file_blocks, html_lines, is_locked
+from .formats import MAX_BYTES, archive_fault, decode, detect, file_blocks, html_lines, is_locked
 
 FILES = "path string, length bigint, format string, format_source string, content_sha256 string, content binary, error string"
 
@@ -123,6 +123,20 @@ def extract(files: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "source_id string, path string, block_ord bigint, locator string, text string, error string")
 
 
+def decoded(rows: DataFrame, content: str) -> DataFrame:
+    """rows with decoded, the text of the bytes in content, whose encoding is found from them."""
+    from pyspark.sql.types import StructType
+
+    at = rows.columns.index(content)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [None if b.as_py() is None else decode(b.as_py()) for b in batch.column(at)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, "decoded"])
+
+    return rows.mapInArrow(run, StructType([*rows.schema.fields]).add("decoded", "string"))
+
+
 def page_blocks(pages: DataFrame) -> DataFrame:
     """page_id, block_ord and text of the block elements of pages (page_id, html)."""
 

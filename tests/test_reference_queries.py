@@ -6,7 +6,9 @@ import math
 import duckdb
 import pytest
 
-from sedimark.plans import catalogue
+from sedimark.plans import catalogue, governance
+
+QUERIES, ORACLES = catalogue.QUERIES | governance.QUERIES, catalogue.ORACLES | governance.ORACLES
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -30,11 +32,11 @@ def plain(rows):
     return sorted(tuple(map(value, r)) for r in rows)
 
 
-@pytest.mark.parametrize("name", sorted(catalogue.ORACLES))
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query(spark, duck, name):
-    df = catalogue.QUERIES[name](spark, SF)
+    df = QUERIES[name](spark, SF)
     cols = sorted(df.columns)
-    got = duck.execute(catalogue.ORACLES[name])
+    got = duck.execute(ORACLES[name])
     names = [c[0] for c in got.description]
     assert sorted(names) == cols
     kinds = {c[0]: str(c[1]) for c in got.description}
@@ -46,6 +48,6 @@ def test_entry_names(spark):
     import __spark_entry__ as entry
 
     names = set(entry.queries())
-    assert set(catalogue.QUERIES) <= names and set(entry.oracle_sql()) <= names
-    assert ("pipeline" in names) == (importlib.util.find_spec("corpus_pipeline") is not None)
+    assert set(QUERIES) <= names and set(entry.oracle_sql()) <= names
+    assert ("pipeline" in names) == bool(importlib.util.find_spec("sedimark.llm") and importlib.util.find_spec("sedimark.llm.queries"))
     assert entry.entry(spark).count() > 0
