@@ -73,6 +73,12 @@ def combining_class() -> str:
     return f"[{ranges(lambda c: unicodedata.combining(c) != 0)}]"
 
 
+@functools.cache
+def combining() -> str:
+    """All characters with a combining class other than 0."""
+    return "".join(c for c in map(chr, range(sys.maxunicode + 1)) if unicodedata.combining(c))
+
+
 @functools.cache
 def foldings() -> dict[str, str]:
     """Characters whose full case folding is not what lower-casing gives, and the two whose lower case engines disagree on."""
@@ -81,11 +87,15 @@ def foldings() -> dict[str, str]:
 
 
 def casefold(t: Column) -> Column:
-    """Full case folding: lower case, but for the characters of foldings(). Only texts that have one of these are taken apart."""
-    table = F.create_map(*[F.lit(x) for kv in foldings().items() for x in kv])
-    odd = f"[{''.join(f'\\x{{{ord(c):X}}}' for c in foldings())}]"
-    pieces = F.transform(F.regexp_extract_all(t, F.lit("(?s)."), F.lit(0)), lambda c: F.coalesce(F.try_element_at(table, c), c))
-    return F.lower(F.when(t.rlike(odd), F.array_join(pieces, "")).otherwise(t))
+    """Full case folding: lower case, but for the characters of foldings(). ASCII texts skip the search; characters that fold to several but the sharp s have steps only in texts with one of them."""
+    one = {k: v for k, v in foldings().items() if len(v) == 1}
+    more = {k: v for k, v in foldings().items() if len(v) > 1 and k != "\u00df"}
+    spread = F.translate(F.replace(t, F.lit("\u00df"), F.lit("ss")), "".join(one), "".join(one.values()))
+    rare = spread
+    for k, v in more.items():
+        rare = F.replace(rare, F.lit(k), F.lit(v))
+    has_more = F.length(F.translate(t, "".join(more), "")) < F.length(t)  # a table of characters is looked up faster than a class of a pattern
+    return F.lower(F.when(~t.rlike(r"[^\x00-\x7F]"), t).when(has_more, rare).otherwise(spread))
 
 
 def has_any(t: Column, words: tuple[str, ...]) -> Column:
@@ -126,7 +136,7 @@ def shingles(t: Column) -> Column:
     """Distinct runs of three tokens; a token is a Latin word or one ideograph. Empty below three tokens."""
     words = F.regexp_extract_all(casefold(t), F.lit(r"([a-z0-9]+|[\x{3400}-\x{9FFF}])"), F.lit(1))
     runs = lambda w: F.when(F.size(w) < 3, F.array().cast("array<string>")).otherwise(
-        F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(w) - 2), lambda i: F.array_join(F.slice(w, i, F.lit(3)), "␟")))
+        F.array_distinct(F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.concat(w[i], F.lit("␟"), w[i + 1], F.lit("␟"), w[i + 2])))
     )
     return F.transform(F.array(words), runs)[0]
 
@@ -151,8 +161,8 @@ def token_estimate_chunk(t: Column) -> Column:
 
 def token_estimate_budget(t: Column) -> Column:
     """The estimate that budgets use: wider ranges of ideographs, 1.5 to a token, and no characters with a combining class. ASCII texts skip both searches."""
-    bare = F.regexp_replace(t, combining_class(), "")
-    cjk = F.length(F.regexp_replace(bare, CJK_WIDE.replace("[", "[^", 1), ""))
+    bare = F.when(t.rlike(r"\p{M}"), F.translate(t, combining(), "")).otherwise(t)
+    cjk = F.when(t.rlike(CJK_WIDE), F.length(F.regexp_replace(bare, CJK_WIDE.replace("[", "[^", 1), ""))).otherwise(0)
     return F.when(t.rlike(r"[^\x00-\x7F]"), F.ceil(cjk / 1.5) + F.ceil((F.length(bare) - cjk) / 4)).otherwise(F.ceil(F.length(t) / 4)).cast("long")
 
 
