@@ -118,8 +118,8 @@ def canonical_json(df: DataFrame) -> Column:
     return F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false"})
 
 
-def joined_digests(members: DataFrame, key: str, member: str, between: str, first: str = "", last: str = "") -> DataFrame:
-    """key, entries and the SHA-256 digest of first, each key's members in order with between between them, and last. Streamed into a hash, so that no key is gathered."""
+def joined_digests(members: DataFrame, key: str, member: str, between: str, first: str = "", last: str = "", order: list[str] | None = None) -> DataFrame:
+    """key, entries and the SHA-256 digest of first, each key's members in order (by themselves or by order) with between between them, and last. Streamed into a hash, so that no key is gathered."""
 
     def step(state, _, value):
         state[0].update(((between if state[1] else first) + value).encode())
@@ -131,7 +131,7 @@ def joined_digests(members: DataFrame, key: str, member: str, between: str, firs
         return [(k, state[1], state[0].hexdigest())]
 
     kind = members.schema[key].dataType.simpleString()
-    return folded(members, key, [member], [member], lambda: [hashlib.sha256(), 0], step, f"{key} {kind}, entries bigint, digest string", close)
+    return folded(members, key, order or [member], [member], lambda: [hashlib.sha256(), 0], step, f"{key} {kind}, entries bigint, digest string", close)
 
 
 def map_digests(entries: DataFrame, key: str, name: str, value: str) -> DataFrame:
