@@ -81,21 +81,21 @@ def combining() -> str:
 
 @functools.cache
 def foldings() -> dict[str, str]:
-    """Characters whose full case folding is not what lower-casing gives, and the two whose lower case engines disagree on."""
-    odd = {c: c.casefold() for c in map(chr, range(sys.maxunicode + 1)) if c.casefold() != c.lower()}
-    return odd | {c: c.casefold() for c in "\u03a3\u0130"}
+    """Lower-case characters that fold to something else."""
+    return {c: c.casefold() for c in map(chr, range(sys.maxunicode + 1)) if c == c.lower() and c != c.casefold()}
 
 
 def casefold(t: Column) -> Column:
-    """Full case folding: lower case, but for the characters of foldings(). ASCII texts skip the search; characters that fold to several but the sharp s have steps only in texts with one of them."""
+    """Full case folding: lower case, in which the characters of foldings() are folded further. ASCII texts skip the search; characters that fold to several but the sharp s have steps only in texts with one of them."""
     one = {k: v for k, v in foldings().items() if len(v) == 1}
     more = {k: v for k, v in foldings().items() if len(v) > 1 and k != "\u00df"}
-    spread = F.translate(F.replace(t, F.lit("\u00df"), F.lit("ss")), "".join(one), "".join(one.values()))
+    low = F.lower(t)
+    spread = F.translate(F.replace(low, F.lit("\u00df"), F.lit("ss")), "".join(one), "".join(one.values()))
     rare = spread
     for k, v in more.items():
         rare = F.replace(rare, F.lit(k), F.lit(v))
-    has_more = F.length(F.translate(t, "".join(more), "")) < F.length(t)  # a table of characters is looked up faster than a class of a pattern
-    return F.lower(F.when(~t.rlike(r"[^\x00-\x7F]"), t).when(has_more, rare).otherwise(spread))
+    has_more = F.length(F.translate(low, "".join(more), "")) < F.length(low)  # a table of characters is looked up faster than a class of a pattern
+    return F.when(~t.rlike(r"[^\x00-\x7F]"), low).when(has_more, rare).otherwise(spread)
 
 
 def has_any(t: Column, words: tuple[str, ...]) -> Column:

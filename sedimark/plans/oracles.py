@@ -11,10 +11,10 @@ def quoted(s: str) -> str:
 
 
 def casefold(t: str) -> str:
-    """Full case folding: lower case but for the characters whose folding differs."""
+    """Full case folding: lower case, in which some characters are folded further."""
     table = "MAP {" + ", ".join(f"{quoted(k)}: {quoted(v)}" for k, v in T.foldings().items()) + "}"
     odd = "".join(f"\\x{{{ord(c):X}}}" for c in T.foldings())
-    return f"lower(CASE WHEN regexp_matches({t}, '[{odd}]') THEN array_to_string(list_transform(string_split({t}, ''), lambda c: coalesce(map_extract({table}, c)[1], c)), '') ELSE {t} END)"
+    return f"CASE WHEN regexp_matches(lower({t}), '[{odd}]') THEN array_to_string(list_transform(string_split(lower({t}), ''), lambda c: coalesce(map_extract({table}, c)[1], c)), '') ELSE lower({t}) END"
 
 
 _SRC = """src AS (SELECT sha256(text) AS content_sha256, substr(sha256(text), 1, 12) AS source_id, min(doc_id) AS ord, arg_min(lang, doc_id) AS lang, count(*) AS copies, any_value(text) AS text FROM documents GROUP BY text)"""
