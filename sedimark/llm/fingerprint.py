@@ -94,7 +94,7 @@ def spell(bytes_: Column) -> Column:
     return F.lower(F.array_join(F.transform(bytes_, lambda x: F.lpad(F.hex(x.cast("int") + 128), 2, "0")), ""))
 
 
-def range_bucket(df: DataFrame, id_col: str, tie: str, rows_a_bucket: int = 500, most: int = 1 << 16) -> Column:
+def range_bucket(df: DataFrame, id_col: str, tie: str, rows_a_bucket: int = 200, most: int = 1 << 16) -> Column:
     """A bucket number that falls as the id rises, of about equal rows whatever the spread of ids; rows without an id come last, dealt by tie.
 
     Approximate quantiles of the ids cut the range into up to 256 parts, each of which is divided evenly.

@@ -91,13 +91,22 @@ def _fits(rule: str) -> str:
     return f"(host = '{host}' OR host LIKE '%.{host}') AND starts_with(path, '/{path}')"
 
 
+def _like(glob: str) -> str:
+    """A glob as an SQL pattern with the escape character !."""
+    return "'" + "".join({"*": "%", "%": "!%", "_": "!_", "!": "!!", "'": "''"}.get(c, c) for c in glob) + "' ESCAPE '!'"
+
+
+def _general(glob: str) -> str:
+    host, slash, path = glob.partition("/")
+    return f"('.' || host) LIKE {_like(f'*.{host}')}" + (f" AND path LIKE {_like(f'/{path}')}" if slash else "")
+
+
 _BY_LENGTH = sorted(url_filter.LISTED, key=lambda r: (-r.rank, r.name))
 ORACLES: dict[str, str] = {
     "op6_url_filter": f"""WITH p AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
  h AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), '{_UPPER}', '{_LOWER}') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM p),
  r AS (SELECT *, CASE {' '.join(f"WHEN {_fits(r.name)} THEN '{r.name}'" for r in _BY_LENGTH)} END AS rule FROM h)
- SELECT page_id, host, path, rule, CASE {' '.join(f"WHEN rule = '{r.name}' THEN '{r.action}'" for r in _BY_LENGTH)} WHEN ('.' || host) LIKE '%.ads.%' OR path LIKE '/ads/%' OR path LIKE '/cgi-bin/%' OR path LIKE '/wp-admin/%'
-  OR path LIKE '/login%' OR path LIKE '/%.exe' OR path LIKE '/%.zip' OR path LIKE '/%.apk' OR host = '' THEN 'block' ELSE 'allow' END AS verdict FROM r""",
+ SELECT page_id, host, path, rule, CASE {' '.join(f"WHEN rule = '{r.name}' THEN '{r.action}'" for r in _BY_LENGTH)} WHEN host = '' OR {' OR '.join(_general(r.name) for r in url_filter.GENERAL)} THEN 'block' ELSE 'allow' END AS verdict FROM r""",
     "op7_warc": """WITH p AS (SELECT page_id, coalesce(html, '') AS h, octet_length(encode(coalesce(html, ''))) AS n FROM pages),
  r AS (SELECT *, CASE WHEN n >= 1000 AND page_id <> max(page_id) OVER (PARTITION BY h) THEN max(page_id) OVER (PARTITION BY h) END AS refers_to FROM p)
  SELECT page_id, n::BIGINT AS payload_bytes, sha1(h) AS payload_digest, CASE WHEN refers_to IS NULL THEN 'response' ELSE 'revisit' END AS record_type, refers_to FROM r""",

@@ -53,17 +53,15 @@ LISTED = (
     prefix_rule("block", "example.net/de/8"),
     prefix_rule("block", "org/es/"),
 )
-#: Globs for what no listed rule fits.
-GENERAL = (
-    glob_rule("block", "ads.*"),
-    glob_rule("block", "*/ads/*"),
-    glob_rule("block", "*/cgi-bin/*"),
-    glob_rule("block", "*/wp-admin/*"),
-    glob_rule("block", "*/login*"),
-    glob_rule("block", "*/*.exe"),
-    glob_rule("block", "*/*.zip"),
-    glob_rule("block", "*/*.apk"),
-)
+#: Globs for what no listed rule fits: hosts of advertising, counting and shortening, paths of machinery, files that are no pages.
+GENERAL = tuple(
+    glob_rule("block", g)
+    for g in (
+        "ads.*", "ad.*", "adserver.*", "adservice.*", "*.ads.*", "banner.*", "doubleclick.*", "analytics.*", "tracker.*", "tracking.*", "pixel.*", "metrics.*", "telemetry.*", "popup.*", "casino*.*", "sex*.*", "bit.ly", "t.co", "tinyurl.com",
+        "*/ads/*", "*/adframe*", "*/banners/*", "*/cgi-bin/*", "*/wp-admin/*", "*/wp-login*", "*/wp-json/*", "*/xmlrpc.php", "*/login*", "*/signin*", "*/logout*", "*/cart/*", "*/checkout/*", "*/admin/*", "*/phpmyadmin/*", "*/.git/*", "*/.env*", "*/search/*", "*/track/*", "*/pixel.gif",
+        "*/*.exe", "*/*.msi", "*/*.dmg", "*/*.zip", "*/*.rar", "*/*.7z", "*/*.gz", "*/*.apk", "*/*.iso", "*/*.torrent", "*/*.mp3", "*/*.mp4", "*/*.avi", "*/*.jpg", "*/*.png", "*/*.gif", "*/*.css", "*/*.js",
+    )
+)
 
 
 class ShiftAnd:

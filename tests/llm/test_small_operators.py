@@ -218,6 +218,10 @@ def test_url_rules(spark, sf):
         assert (got[i].host, got[i].path, listed) == (host, path, rule), u
         if action:
             assert got[i].verdict == action
+    globs = {"http://x.org/a/b.zip": "block", "http://x.org/a/b.zip/c": "allow", "http://ads.x.org": "block", "http://bads.x.org/": "allow", "http://bit.ly/x": "block", "http://abit.ly/x": "allow", "http://casino7.net/": "block", "http://x.io/wp-login.php": "block", "http://x.io/a/wp-login": "allow", "http://x.io/.env": "block"}
+    judged = spark.createDataFrame(list(enumerate(globs)), "page_id int, url string")
+    for r in url_filter.judge_urls(judged, url_filter.GENERAL).collect():
+        assert r.verdict == list(globs.values())[r.id], list(globs)[r.id]
     assert got[15].verdict == "block" and got[8].verdict == "block" and got[2].verdict == "allow"
     assert url_filter.judge_urls(df.limit(0), url_filter.LISTED).collect() == []
     for r in queries.op6_url_filter(spark, sf).join(spark.read.parquet(f"{sf}/pages.parquet"), "page_id").collect():
