@@ -6,9 +6,9 @@ import math
 import duckdb
 import pytest
 
-from sedimark.plans import catalogue, governance, products
+from sedimark.plans import catalogue, governance, products, reviews
 
-QUERIES, ORACLES = catalogue.QUERIES | governance.QUERIES | products.QUERIES, catalogue.ORACLES | governance.ORACLES | products.ORACLES
+QUERIES, ORACLES = catalogue.QUERIES | governance.QUERIES | products.QUERIES | reviews.QUERIES, catalogue.ORACLES | governance.ORACLES | products.ORACLES | reviews.ORACLES
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
