@@ -10,6 +10,7 @@ from sedimark.operators import governance as G
 from sedimark.operators import relate as R
 from sedimark.operators import reviews as V
 from sedimark.sources import sinks
+from sedimark.sources.scratch import staged
 
 from . import catalogue as K
 from . import oracles as O
@@ -236,3 +237,20 @@ def injection_tally(spark, d):
     found = C.line_findings(C.split_lines(K._with_literals(spark, d).where(T.suspicious(F.col("text")))))
     code = F.when(F.col("code").startswith("injection"), "phrase").otherwise(F.regexp_replace("code", "^hidden\\.", ""))
     return found.select("id", "line_no", code.alias("code")).distinct().groupBy("code").agg(F.count(F.lit(1)).alias("lines"), F.count_distinct("id").alias("texts"))
+
+
+# Quotes of one source that are nearly, reordered or exactly the same.
+QUOTES = Rows("id string, source string, quote string", (
+    ("q1", "s", "the plan for the week is written on monday and read again on friday by all of the team"), ("q2", "s", "The plan for the week is written on Monday, and read again on Friday by all of the teams!"), ("q3", "s", "the plan for the week is written on monday and read again on friday by all of the team."),
+    ("q4", "s", "read again on friday by all of the team and the plan for the week is written on monday"), ("q5", "t", "the plan for the week is written on monday and read again on friday by all of the teams"), ("q6", "s", "too short to count at all"), ("q7", "s", "计划写在星期一并在星期五由所有人再读一遍然后归档"), ("q8", "s", "计划写在星期一并在星期五由所有人再读一遍然后存档")))
+
+
+@query(None)
+def quote_ratio_pairs(spark, d):
+    """Quotes of each document, and fixed ones, that are nearly the same: pairs by the ratio of matching blocks, and reordered ones by phrases that are not among these."""
+    from sedimark.operators import blocks as B
+
+    b = B.blocks(K._docs(spark, d)).select(F.col("block_id").alias("id"), F.col("source_id").alias("source"), F.left("text", F.lit(240)).alias("quote")).unionByName(QUOTES.df(spark))
+    quotes = staged(b.withColumn("words", T.effective_words(F.col("quote"))), "quotes")
+    near = staged(R.ratio_pairs(quotes), "near")
+    return near.select("a", "b", F.lit("similar").alias("code")).unionByName(R.quote_pairs(quotes, found=near).select("a", "b", F.lit("fingerprint_similar").alias("code")))

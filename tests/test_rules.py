@@ -179,3 +179,26 @@ def test_pack_decisions_against_the_rule(spark):
             want[i] = ("conflict_review" if seen[0][1] & plain(scope) else "coexist_review", seen[0][0])
             seen.append((sha, plain(scope)))
     assert got == want
+
+
+def test_ratio_pairs_against_all_pairs(spark):
+    from difflib import SequenceMatcher
+
+    rng = random.Random(8)
+    words = ["plan", "week", "monday", "read", "team", "the", "of", "and", "计划", "x"]
+    base = [" ".join(rng.choice(words) for _ in range(rng.randrange(12, 60))) for _ in range(12)]
+    data = []
+    for b in base * 5:
+        w = b.split()
+        for _ in range(rng.randrange(0, 4)):
+            w[rng.randrange(len(w))] = rng.choice([*words, ""])
+        data.append((len(data), rng.choice("st"), " ".join(w)))
+    df = spark.createDataFrame(data, "id bigint, source string, quote string").withColumn("words", T.effective_words(F.col("quote")))
+    got = {(r.a, r.b): r.ratio for r in R.ratio_pairs(df).collect()}
+    rows = df.withColumn("n", T.normalized(F.col("quote"))).where("words >= 12").orderBy("id").collect()
+    want = {}
+    for i, a in enumerate(rows):
+        for b in rows[i + 1 :]:
+            if a.source == b.source and a.n != b.n and (x := SequenceMatcher(None, a.n, b.n).ratio()) >= 0.92:
+                want[a.id, b.id] = x
+    assert got == want and len(want) > 5
