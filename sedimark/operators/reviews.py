@@ -68,9 +68,9 @@ def publish_blockers(units: DataFrame, open_conflicts: DataFrame) -> DataFrame:
 
 
 def reconcile_units(expected: DataFrame, rendered: DataFrame) -> DataFrame:
-    """(reason, id) where rendered units (unit_id, content) differ from expected ones: missing, extra, repeated on either side, or with other content but for white space."""
+    """(reason, id) where rendered units (unit_id, content) differ from expected ones (of repeated ones, from the one whose hash is last): missing, extra, repeated on either side, or with other content but for white space."""
     plain = lambda df: df.select("unit_id", F.sha2(F.trim(F.regexp_replace("content", r"\s+", " ")), 256).alias("h"))
-    e = plain(expected).groupBy("unit_id").agg(F.count(F.lit(1)).alias("en"), F.last("h").alias("eh"))
+    e = plain(expected).groupBy("unit_id").agg(F.count(F.lit(1)).alias("en"), F.max("h").alias("eh"))
     r = plain(rendered).groupBy("unit_id").agg(F.count(F.lit(1)).alias("rn"), F.min("h").alias("low"), F.max("h").alias("high"))
     both = e.join(r, "unit_id", "full_outer")
     c = F.col
@@ -104,11 +104,17 @@ def pack_release(base: DataFrame, approved: DataFrame) -> DataFrame:
     first = rows.groupBy("canonical_key").agg(F.min_by(F.struct("ord", "sha256"), "ord").alias("f"))
     met = rows.join(first, "canonical_key")
     equal = F.col("sha256") == F.col("f.sha256")
-    # scopes and sources are distinct values, gathered from rows of equal content alone
-    merged = lambda name: F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_set(F.when(equal, F.struct("ord", name)))), lambda x: x[name])))
-    out = met.groupBy("canonical_key", F.col("f.sha256").alias("sha256"), F.col("f.ord").alias("first")).agg(merged("scope").alias("scope"), merged("sources").alias("sources"), F.count_if(equal & (F.col("ord") > F.col("f.ord"))).alias("more"), F.count_if(~equal).alias("other"))
+
+    def united(name: str) -> DataFrame:
+        """The distinct values of a key's equal rows in order of their first appearance."""
+        values = met.where(equal).select("canonical_key", "ord", F.posexplode(name).alias("i", "v")).groupBy("canonical_key", "v").agg(F.min(F.struct("ord", "i")).alias("at"))
+        return values.groupBy("canonical_key").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "v"))), lambda x: x.v).alias(name))
+
+    out = met.groupBy("canonical_key", F.col("f.sha256").alias("sha256"), F.col("f.ord").alias("first")).agg(F.count_if(equal & (F.col("ord") > F.col("f.ord"))).alias("more"), F.count_if(~equal).alias("other"))
+    out = out.join(united("scope"), "canonical_key", "left").join(united("sources"), "canonical_key", "left")
     action = F.when(F.col("other") > 0, "conflict").when(F.col("more") > 0, "unite").when(F.col("first") < 0, "keep").otherwise("insert")
-    return out.select("canonical_key", "sha256", "scope", "sources", action.alias("action"))
+    none = F.array().cast("array<string>")
+    return out.select("canonical_key", "sha256", F.coalesce("scope", none).alias("scope"), F.coalesce("sources", none).alias("sources"), action.alias("action"))
 
 
 def version_increases(old: Column, new: Column) -> Column:

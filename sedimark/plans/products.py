@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sedimark.functions import text as T
@@ -97,8 +98,11 @@ _FALLBACKS = ["Use it to complete its documented workflow.", "Apply it to a conc
  SELECT conv_id, unnest(list_concat(own, list_filter({sql_value(_FALLBACKS)}, lambda f: NOT list_contains(own, f)))[1:3]) AS prompt, generate_subscripts(list_concat(own, list_filter({sql_value(_FALLBACKS)}, lambda f: NOT list_contains(own, f)))[1:3], 1) AS place FROM w""")
 def fixture_prompts(spark, d):
     """Three prompts for each conversation: its short questions, then fallbacks."""
-    short = (F.col("role") == "user") & (F.length("text") < 60)
-    c = K.table(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.when(short, F.struct("turn", "text")))).alias("own"))
+    c = K.table(spark, d, "conversations")
+    short = c.where((F.col("role") == "user") & (F.length("text") < 60) & (F.trim("text") != ""))
+    nth = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn"))
+    first = short.withColumn("nth", nth).where("nth <= 3").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("own"))
+    c = c.select("conv_id").distinct().join(first, "conv_id", "left").withColumn("own", F.coalesce("own", F.array().cast("array<struct<turn:bigint,text:string>>")))
     prompts = P.at_least_three(F.transform("own", lambda x: x.text), _FALLBACKS)
     return c.select("conv_id", F.posexplode(prompts).alias("i", "prompt")).select("conv_id", "prompt", (F.col("i") + 1).cast("long").alias("place"))
 
