@@ -216,12 +216,13 @@ def _overlaps(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _compare_blocks(members: DataFrame, df: DataFrame, classes: DataFrame, rule: NearDup, id_col: str, text_col: str) -> DataFrame:
+def _compare_blocks(members: DataFrame, df: DataFrame, classes: DataFrame, rule: NearDup, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Links (a, b) between members (node, comp, bucket) of a bucket that are in different components, found exactly.
 
     Most of a bucket's members are in its main component. The others are dealt over blocks of OTHERS, all members over blocks of ALL, and
     each pair of blocks is a group. First only the signatures meet, as a matrix, which leaves the rows that have a plausible partner in another component; then
-    the texts of these rows meet, whose full sets are compared as a matrix. Only links leave a group, one for each node and component at most.
+    the texts of these rows meet, whose full sets are compared as a matrix. Only links leave a group, one for each node and component at most. The staged tables
+    that the links read come with them.
     """
     sizes = members.groupBy(F.col("bucket").alias("k"), F.col("comp").alias("c")).agg(F.count(F.lit(1)).alias("n"))
     main = sizes.groupBy("k").agg(F.max(F.struct("n", -F.col("c"))).alias("m"), F.sum("n").alias("all"))
@@ -270,7 +271,7 @@ def _compare_blocks(members: DataFrame, df: DataFrame, classes: DataFrame, rule:
                 out_b += node[hits[first]].tolist()
         return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
 
-    return both.groupBy("bucket", "i", "j").applyInArrow(compare, "a bigint, b bigint")
+    return both.groupBy("bucket", "i", "j").applyInArrow(compare, "a bigint, b bigint"), near, texts
 
 
 def _texts(df: DataFrame, classes: DataFrame, nodes: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -284,28 +285,36 @@ def _texts(df: DataFrame, classes: DataFrame, nodes: DataFrame, id_col: str, tex
 
 def groups(df: DataFrame, rule: NearDup, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, text_key, n_shingles and first (the least id and text key of the row's group; null for empty sets) of each row."""
+    held: list[DataFrame] = []  # tables that nothing reads once the components are named
+
+    def stage(table: DataFrame, what: str) -> DataFrame:
+        held.append(staged(table, what))
+        return held[-1]
+
     rows = staged(features(df, rule, id_col, text_col), "features")
     classes = rows.where("n_shingles > 0").groupBy("digest").agg(
         F.min(F.struct(F.col("id").isNull().alias("none"), "id", "text_key")).alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("low").alias("low")
     )
-    classes = staged(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
+    classes = stage(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
     members = classes.select("node", F.explode("bands").alias("bucket"))
     buckets = members.groupBy(F.col("bucket").alias("k")).agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("first"), F.max("node").alias("last")).where("size > 1")
-    buckets = staged(buckets, "buckets")
-    members = staged(members.join(buckets.where("size > 2").select("k", "size"), F.col("bucket") == F.col("k")).select("bucket", "node", "size"), "members")
+    buckets = stage(buckets, "buckets")
+    members = stage(members.join(buckets.where("size > 2").select("k", "size"), F.col("bucket") == F.col("k")).select("bucket", "node", "size"), "members")
     # whoever meets most others is likely to be the text that the others are copies of, and leads its buckets
     weight = members.groupBy(F.col("node").alias("w")).agg(F.sum("size").alias("weight"))
-    members = staged(members.join(weight, F.col("node") == F.col("w")).select("bucket", "node", "size", "weight"), "members")
+    members = stage(members.join(weight, F.col("node") == F.col("w")).select("bucket", "node", "size", "weight"), "members")
     leaders = members.groupBy(F.col("bucket").alias("k")).agg(F.max(F.struct("weight", "node")).alias("leader"))
     stars = members.join(leaders, F.col("bucket") == F.col("k")).where("node != leader.node").select(F.col("leader.node").alias("a"), F.col("node").alias("b"))
     stars = stars.unionByName(buckets.where("size = 2").select(F.col("first").alias("a"), F.col("last").alias("b")))
     small = members.where(F.col("size") <= rule.small).groupBy("bucket").agg(F.array_sort(F.collect_list("node")).alias("m"))
     small = small.select(F.explode("m").alias("a"), "m").select("a", F.explode(F.filter("m", lambda x: x > F.col("a"))).alias("b"))
-    stars = staged(_plausible(stars, classes, rule), "stars")
-    small = staged(_plausible(small, classes, rule).join(stars, ["a", "b"], "left_anti"), "pairs")
-    large = staged(members.where(F.col("size") > rule.small), "large")
+    stars = stage(_plausible(stars, classes, rule), "stars")
+    small = stage(_plausible(small, classes, rule).join(stars, ["a", "b"], "left_anti"), "pairs")
+    large = stage(members.where(F.col("size") > rule.small), "large")
     nodes = stars.select(F.col("a").alias("node")).union(stars.select("b"))
-    links = staged(_confirm(stars, _texts(df, classes, nodes, id_col, text_col), rule), "links")
+    texts = _texts(df, classes, nodes, id_col, text_col)
+    links = stage(_confirm(stars, texts, rule), "links")
+    unstage(texts)
     comps = components(links)
 
     def apart(pairs: DataFrame) -> DataFrame:
@@ -323,29 +332,35 @@ def groups(df: DataFrame, rule: NearDup, id_col: str = "doc_id", text_col: str =
 
     def add(more: DataFrame) -> None:
         nonlocal links, comps
-        more = staged(more, "links")
+        more = stage(more, "links")
         if more.limit(1).count():
             links = links.unionByName(more)
+            unstage(comps)
             comps = components(links)
 
     # the members of a large bucket outside its largest component get a leader of their own; its pairs are confirmed along with those of small buckets
-    left = staged(unresolved(), "unresolved")
+    left = stage(unresolved(), "unresolved")
     sizes = left.groupBy(F.col("bucket").alias("k"), F.col("comp").alias("c")).agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("weight", "node")).alias("leader"))
     place = F.row_number().over(Window.partitionBy("k").orderBy(F.col("n").desc(), "c"))
     second_leaders = sizes.withColumn("place", place).where("place = 2").select("k", "leader")
     more = left.join(second_leaders, F.col("bucket") == F.col("k")).where("node != leader.node").select(F.col("leader.node").alias("a"), F.col("node").alias("b"))
     more = _plausible(apart(more), classes, rule) if left.limit(1).count() else more
-    second = staged(apart(small).unionByName(more), "pairs")
+    second = stage(apart(small).unionByName(more), "pairs")
     if second.limit(1).count():
         nodes = second.select(F.col("a").alias("node")).union(second.select("b"))
-        add(_confirm(second, _texts(df, classes, nodes, id_col, text_col), rule))
+        texts = _texts(df, classes, nodes, id_col, text_col)
+        add(_confirm(second, texts, rule))
+        unstage(texts)
     if left.limit(1).count():
-        left = staged(unresolved(), "unresolved")
+        left = stage(unresolved(), "unresolved")
         if left.limit(1).count():
-            add(_compare_blocks(left, df, classes, rule, id_col, text_col))
+            links_left, *read = _compare_blocks(left, df, classes, rule, id_col, text_col)
+            add(links_left)
+            held.extend(read)
     own = classes.join(comps.withColumnRenamed("node", "n"), F.col("node") == F.col("n"), "left").select("digest", F.coalesce("comp", "node").alias("comp"), "rep")
     ids = own.groupBy(F.col("comp").alias("c")).agg(F.min("rep").alias("first"))
     named = staged(own.join(ids, F.col("comp") == F.col("c")).select(F.col("digest").alias("d"), "first"), "components")
+    unstage(comps, *held)
     return rows.select("id", "text_key", "n_shingles", "digest").join(named, F.col("digest") == F.col("d"), "left").select("id", "text_key", "n_shingles", "first")
 
 
