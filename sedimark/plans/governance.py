@@ -16,7 +16,7 @@ from sedimark.operators import governance as G
 from sedimark.operators import relate as R
 from sedimark.operators import telemetry as M
 from sedimark.sources import formats, readers
-from sedimark.sources.scratch import shared_dir, staged
+from sedimark.sources.scratch import fresh_path, remove_on_exit, staged
 
 from . import catalogue as K
 from . import oracles as O
@@ -449,11 +449,10 @@ def path_safety(spark, d):
  SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY i) AS block_ord, sha256(trim(b)) AS text_sha256 FROM t WHERE trim(b) <> ''""")
 def ingested_files(spark, d):
     """Benchmark items written as text files with a paragraph for each sentence, found, gated and read back as blocks; each file is named after its item."""
-    import uuid
-
-    out = f"{shared_dir(spark)}/sedimark/files-{uuid.uuid4().hex}"
+    out = fresh_path(spark, "files")
     items = K.table(spark, d, "benchmark").select("item_id", F.replace("text", F.lit(". "), F.lit(".\n\n")).alias("value"))
     items.write.partitionBy("item_id").text(out)
+    remove_on_exit(spark, out)
     files = readers.scan(spark, out, "*.txt")
     # files of equal content are duplicates for the gate, but items of their own here
     files = files.withColumn("error", F.when(F.col("error") != "duplicate", F.col("error")))

@@ -27,16 +27,26 @@ def _fs(spark: SparkSession, path: str):
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
+def fresh_path(spark: SparkSession, what: str) -> str:
+    """A path in the shared folder that nothing has been written to."""
+    return f"{shared_dir(spark)}/sedimark/{what}-{uuid.uuid4().hex}"
+
+
+def remove_on_exit(spark: SparkSession, path: str) -> None:
+    """Let what has been written to path be removed when the driver's JVM ends."""
+    fs, p = _fs(spark, path)
+    fs.deleteOnExit(p)
+
+
 def staged(df: DataFrame, what: str, compression: str = "snappy") -> DataFrame:
     """Write df to the shared folder and read it back.
 
     The table is removed when the driver's JVM ends, or earlier by unstage().
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/sedimark/{what}-{uuid.uuid4().hex}"
+    path = fresh_path(spark, what)
     df.write.option("compression", compression).parquet(path)
-    fs, p = _fs(spark, path)
-    fs.deleteOnExit(p)
+    remove_on_exit(spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     out._sedimark_path = path
     return out
