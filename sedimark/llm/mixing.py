@@ -44,10 +44,6 @@ class Mix:
     cut: bool = True
 
 
-#: Rows of a shard that one task orders, about.
-ROWS_A_PART = 100_000
-
-
 def _let(value: str, name: str, body: str) -> str:
     """SQL for body with name bound to value."""
     return f"transform(array({value}), {name} -> {body})[0]"
@@ -189,11 +185,12 @@ def place_draws(plan: DataFrame, mix: Mix = Mix()) -> DataFrame:
 def mix_rows(df: DataFrame, mix: Mix = Mix(), id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", shard_col: str | None = "shard", position_col: str | None = "position") -> DataFrame:
     """The mix itself: df's rows as often as they are drawn, the one at the edge of a quota as mix.cut says, with the output shard and a shuffled position in it.
 
-    Without a shard_col the rows come in that order instead: each task has some ranges of some shards, one after the other, shuffled within.
+    Without a shard_col the rows come in the order of the shards instead: each task has a run of every shard, shuffled within, of the rows that the hash of their keys has dealt to it.
     """
     text_hash = F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))
     key = hex_hash(F.lit(mix.seed), F.col(id_col), F.col(text_col).isNull(), text_hash, F.col(source_col).isNull(), F.col(source_col))
     plan = staged(mix_plan(df, mix, id_col, text_col, source_col).where(F.size("draws") > 0).select(F.col("key").alias("__k"), F.col("size").alias("__size"), "draws"), "plan")
+    plan = plan.hint("merge") if shard_col is None else plan  # its shuffle is what deals the rows out
     left = df.withColumn("__key", key)
     if plan.groupBy("__k").count().where("count > 1").limit(1).count():
         # equal rows share a key and differ only in how much of each is drawn: they are numbered on both sides
@@ -207,8 +204,7 @@ def mix_rows(df: DataFrame, mix: Mix = Mix(), id_col: str = "doc_id", text_col:
         out = out.withColumn(text_col, F.when(F.col("__draw.words") < F.col("__size"), first_words(F.col(text_col), F.col("__draw.words"))).otherwise(F.col(text_col)))
     out = out.withColumn("__shard", F.col("__draw.shard")).withColumn("__mix", F.xxhash64(F.lit(mix.seed), "__draw.epoch", "__key")).select(*df.columns, "__shard", "__mix", "__key")
     if shard_col is None:
-        parts = max(1, plan.count() // (mix.shards * ROWS_A_PART))
-        part = F.floor((F.col("__mix") / F.lit(float(1 << 64)) + 0.5) * parts)  # ranges of the hash, so that a shard's parts in a row are its order
-        return out.withColumn("__part", part).repartition("__shard", "__part").sortWithinPartitions("__shard", "__part", "__mix", "__key").select(*df.columns)
+        # the join has dealt the rows out by the hash of their keys, so no second shuffle of texts is needed
+        return out.sortWithinPartitions("__shard", "__mix", "__key").select(*df.columns)
     out = staged(out.withColumnRenamed("__shard", shard_col), "mix")
     return ranked(out, [shard_col], [F.col("__mix"), F.col("__key")], F.col("__key"), position_col).select(*df.columns, shard_col, position_col)
