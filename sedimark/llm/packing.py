@@ -104,6 +104,10 @@ class WordIds:
             return self._piece("".join(map(ALPHABET.__getitem__, text.lower().encode())))
         return array("I", [t.id for piece, _ in self.split(self.normalize(text)) for t in self.tokenize(piece)]).tobytes()
 
+    def of_word(self, word: bytes) -> bytes:
+        """The ids of one word, if by_word."""
+        return array("I", self.tokenizer.encode(word.decode(), add_special_tokens=False).ids).tobytes() if any(s in word for s in self.specials) else self._word(word)
+
     def __call__(self, text: bytes) -> bytes:
         if not self.by_word or any(s in text for s in self.specials):
             return array("I", self.tokenizer.encode(text.decode(), add_special_tokens=False).ids).tobytes()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprint, mixing, mpegts, near_dedup, packing, secret_scan, sharding, toxicity, url_filter, warc
+from . import bpe, fingerprint, mixing, mpegts, near_dedup, packing, secret_scan, sharding, toxicity, url_filter, warc
 from .common import staged
 
 
@@ -82,7 +82,11 @@ def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_read(spark, sf_dir, "documents"), tokenizer_path()).withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_secret_scan, op3_shard_groups, op4_fingerprint, op5_toxicity, op6_url_filter, op7_warc, op8_near_dedup, op9_transport_stream, op10_pack)}
+def op12_bpe_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_digests(_read(spark, sf_dir, "documents"), tokenizer_path()).withColumnRenamed("id", "doc_id")
+
+
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_secret_scan, op3_shard_groups, op4_fingerprint, op5_toxicity, op6_url_filter, op7_warc, op8_near_dedup, op9_transport_stream, op10_pack, op12_bpe_words)}
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
