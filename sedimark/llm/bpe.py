@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .blocks import coded, joined, single, spread, squeeze, starts, text_blocks, unsqueeze
-from .common import staged
+from .common import bucketed, staged
 from .packing import WordIds
 
 #: Bytes of text in a block, and the distinct words that a task remembers at most.
@@ -140,7 +140,7 @@ def _texts(df: DataFrame, tokenizer: str, id_col: str, text_col: str, limit: int
         return rows.mapInArrow(_whole(tokenizer, digests), schema)
     buckets = 1 << min(12, max(6, rows.rdd.getNumPartitions().bit_length()))  # with more input, more buckets; at 4096 a bucket's words still fit a task
     # what the blocks hold is compressed already
-    table = staged(_blocks(rows, kind, buckets, limit), "words", "none")
+    table = bucketed(_blocks(rows, kind, buckets, limit), "block", "words")
     docs = table.filter("bucket < 0").select("block", "ids", "lengths", "data")
     words = _encode_words(table.filter("bucket >= 0").select("block", "bucket", "data").repartition("bucket"), tokenizer)
     pieces = vocabulary(tokenizer)  # bounded by the vocabulary

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sedimark.sources.scratch import staged, unstage
+from sedimark.sources.scratch import fresh_path, remove_on_exit, staged, unstage
 
-__all__ = ["SPACE", "WORD", "hex_hash", "let", "ranked", "same", "staged", "unstage", "word_count"]
+__all__ = ["SPACE", "WORD", "bucketed", "hex_hash", "let", "ranked", "same", "staged", "unstage", "word_count"]
 
 #: A word is a maximal run of characters that are not ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -55,3 +56,17 @@ def ranked(df: DataFrame, keys: list[str], order: list[Column], spread: Column,
     numbered = df.withColumn("__rn", F.row_number().over(w).cast("long") - 1)
     on = reduce(lambda a, b: a & b, [same(F.col(k), F.col(f"__k{i}")) for i, k in enumerate(keys)], F.col(cell) == F.col("__c"))
     return numbered.join(starts, on).withColumn(name, F.col("__rn") + F.col("__start")).select(*[c for c in df.columns if c != cell], name)
+
+
+def bucketed(df: DataFrame, key: str, what: str, compression: str = "none") -> DataFrame:
+    """Write df to the shared folder in as many buckets of key as shuffles have partitions, and read it back: what needs the rows of a key together then finds them so, without a shuffle.
+
+    The table's name leaves the catalog at once; the files are removed when the driver's JVM ends.
+    """
+    spark = df.sparkSession
+    path, name = fresh_path(spark, what), f"sedimark_{uuid.uuid4().hex}"
+    df.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), key).option("path", path).option("compression", compression).format("parquet").saveAsTable(name)
+    remove_on_exit(spark, path)
+    out = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # an external one: its files stay
+    return out
