@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprint, mixing, mpegts, near_dedup, packing, secret_scan, sharding, toxicity, url_filter, warc
+from . import align, bpe, fingerprint, mixing, mpegts, near_dedup, packing, secret_scan, sharding, toxicity, url_filter, warc
 from .common import staged
 
 
@@ -13,10 +13,10 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("word_bpe_49k.json")
+    return public_tokenizers.path(name)
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,7 +86,11 @@ def op12_bpe_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(_read(spark, sf_dir, "documents"), tokenizer_path()).withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_secret_scan, op3_shard_groups, op4_fingerprint, op5_toxicity, op6_url_filter, op7_warc, op8_near_dedup, op9_transport_stream, op10_pack, op12_bpe_words)}
+def op13_align_tokenizers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.align_documents(_read(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model")).withColumnRenamed("id", "doc_id")
+
+
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_secret_scan, op3_shard_groups, op4_fingerprint, op5_toxicity, op6_url_filter, op7_warc, op8_near_dedup, op9_transport_stream, op10_pack, op12_bpe_words, op13_align_tokenizers)}
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
