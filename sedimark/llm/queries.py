@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import align, bpe, fingerprint, mixing, mpegts, near_dedup, packing, secret_scan, sharding, toxicity, url_filter, warc
+from . import align, bpe, fingerprint, importance, mixing, mpegts, near_dedup, packing, secret_scan, sharding, toxicity, url_filter, warc
 from .common import staged
 
 
@@ -82,6 +82,10 @@ def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_read(spark, sf_dir, "documents"), tokenizer_path()).withColumnRenamed("id", "doc_id")
 
 
+def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark")).withColumnRenamed("id", "doc_id")
+
+
 def op12_bpe_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(_read(spark, sf_dir, "documents"), tokenizer_path()).withColumnRenamed("id", "doc_id")
 
@@ -90,7 +94,7 @@ def op13_align_tokenizers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.align_documents(_read(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model")).withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_secret_scan, op3_shard_groups, op4_fingerprint, op5_toxicity, op6_url_filter, op7_warc, op8_near_dedup, op9_transport_stream, op10_pack, op12_bpe_words, op13_align_tokenizers)}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_secret_scan, op3_shard_groups, op4_fingerprint, op5_toxicity, op6_url_filter, op7_warc, op8_near_dedup, op9_transport_stream, op10_pack, op11_importance, op12_bpe_words, op13_align_tokenizers)}
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -109,6 +113,10 @@ def _general(glob: str) -> str:
     return f"('.' || host) LIKE {_like(f'*.{host}')}" + (f" AND path LIKE {_like(f'/{path}')}" if slash else "")
 
 
+def _words(text: str) -> str:
+    return f"list_filter(regexp_split_to_array(translate(coalesce({text}, ''), '{_UPPER}', '{_LOWER}'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '')"
+
+
 _BY_LENGTH = sorted(url_filter.LISTED, key=lambda r: (-r.rank, r.name))
 ORACLES: dict[str, str] = {
     "op6_url_filter": f"""WITH p AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
@@ -118,6 +126,16 @@ ORACLES: dict[str, str] = {
     "op7_warc": """WITH p AS (SELECT page_id, coalesce(html, '') AS h, octet_length(encode(coalesce(html, ''))) AS n FROM pages),
  r AS (SELECT *, CASE WHEN n >= 1000 AND page_id <> max(page_id) OVER (PARTITION BY h) THEN max(page_id) OVER (PARTITION BY h) END AS refers_to FROM p)
  SELECT page_id, n::BIGINT AS payload_bytes, sha1(h) AS payload_digest, CASE WHEN refers_to IS NULL THEN 'response' ELSE 'revisit' END AS record_type, refers_to FROM r""",
+    "op11_importance": f"""WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, {_words('text')} AS w FROM documents), t AS MATERIALIZED (SELECT {_words('text')} AS w FROM benchmark),
+ u AS MATERIALIZED (SELECT r, unnest(w) AS f FROM d), v AS MATERIALIZED (SELECT unnest(w) AS f FROM t),
+ k AS MATERIALIZED (SELECT f, xor(list_reduce(list_transform(range(1, octet_length(encode(f)) + 1), lambda i: ('0x' || substr(hex(f), 2 * i::INT - 1, 2))::BIGINT),
+  lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, 3988292384 * (x & 1))), 4294967295::BIGINT), 4294967295::BIGINT) % 10000 AS b FROM (SELECT f FROM u UNION SELECT f FROM v)),
+ s AS (SELECT b, count(*) AS n FROM u JOIN k USING (f) GROUP BY b), q AS (SELECT b, count(*) AS n FROM v JOIN k USING (f) GROUP BY b),
+ g AS MATERIALIZED (SELECT b, floor(1000 * ln((coalesce(q.n, 0) + 1)::DOUBLE * ((SELECT count(*) FROM u) + 10000) / ((coalesce(s.n, 0) + 1)::DOUBLE * ((SELECT count(*) FROM v) + 10000))))::BIGINT AS gain FROM (SELECT DISTINCT b FROM k) LEFT JOIN s USING (b) LEFT JOIN q USING (b)),
+ m AS (SELECT r, floor(sum(gain)::DOUBLE / count(*))::BIGINT AS weight FROM u JOIN k USING (f) JOIN g USING (b) GROUP BY r),
+ z AS (SELECT doc_id, len(w)::BIGINT AS n_features, coalesce(weight, 0) AS weight, coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT + 0.5) / 4294967296.0::DOUBLE)))::BIGINT AS score FROM d LEFT JOIN m USING (r)),
+ o AS (SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) AS place, count(*) FILTER (n_features >= 20) OVER () AS fit FROM z)
+ SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND place <= fit * 10 // 100 THEN place END AS rank FROM o""",
     "op8_near_dedup": f"""WITH RECURSIVE t AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
  s AS (SELECT doc_id, CASE WHEN len(w) >= 4 THEN list_distinct([w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3] for i in range(1, len(w) - 2)]) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS sh FROM t),
  e AS MATERIALIZED (SELECT doc_id, len(sh) AS n, unnest(sh) AS x FROM s),
