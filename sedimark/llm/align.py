@@ -31,8 +31,8 @@ from .blocks import coded, joined, single, spread, squeeze, starts, sums, text_b
 from .common import bucketed
 from .packing import ALPHABET
 
-#: Bytes of text in a block, and the links that are sorted at once when documents are counted.
-BLOCK, AT_ONCE = 16 << 20, 2_000_000
+#: Bytes of text in a block, the links that are sorted at once when documents are counted, and the segments that are encoded at once.
+BLOCK, AT_ONCE, LISTS = 6 << 20, 1_000_000, 20_000
 SPACE_MARK = "▁"
 #: Fixed value: how a byte-level BPE with use_regex splits texts.
 SPLIT = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -82,6 +82,17 @@ class Sides:
         """Ids of texts with a space before them; the library adds none to an empty text."""
         return [ids or [self.b.piece_to_id(SPACE_MARK)] for ids in (self.b.encode(texts, num_threads=1) if texts else [])]
 
+    def encode(self, plain: pa.Array, unusual: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of A and their number by text, and those of B, of texts with a space before them; some at a time, so that few lists are held."""
+        out: list[list[np.ndarray]] = [[], [], [], []]
+        for at in range(0, len(plain), LISTS):
+            texts = plain.slice(at, LISTS).to_pylist()
+            for k, ids in ((0, self.encode_a([" " + t for t in texts], unusual[at : at + LISTS])), (2, self.encode_b(texts))):
+                out[k].append(np.fromiter(chain.from_iterable(ids), np.int64))
+                out[k + 1].append(np.fromiter(map(len, ids), np.int64, len(ids)))
+        a, n_a, b, n_b = (np.concatenate([np.zeros(0, np.int64), *x]) for x in out)
+        return a, n_a, b, n_b
+
 
 def separable(declared: dict, pieces: list[str]) -> bool:
     """Whether no token of either side spans the start of a run of white space, if that starts with a space.
@@ -103,7 +114,8 @@ def _ranked(declared: dict, of_a: list[bytes]):
         return None
     import tiktoken
 
-    return tiktoken.Encoding("ranked", pat_str=SPLIT, mergeable_ranks={of_a[i]: i for i in model["vocab"].values() if i in set(ids) or len(of_a[i]) == 1}, special_tokens={})
+    merged = set(ids)
+    return tiktoken.Encoding("ranked", pat_str=SPLIT, mergeable_ranks={of_a[i]: i for i in model["vocab"].values() if i in merged or len(of_a[i]) == 1}, special_tokens={})
 
 
 def segments(texts: pa.Array, cut: bool) -> tuple[np.ndarray, np.ndarray, pa.Array]:
@@ -156,13 +168,9 @@ class Aligned:
     def __init__(self, sides: Sides, plain: pa.Array):
         import pyarrow.compute as pc
 
-        texts = [" " + t for t in plain.to_pylist()]
         odd = pc.match_substring_regex(plain, UNUSUAL).to_numpy(zero_copy_only=False)
-        ids_a, ids_b = sides.encode_a(texts, odd), sides.encode_b(plain.to_pylist())
-        whole = pa.array(texts, pa.large_string()).cast(pa.large_binary())
-        flat = lambda lists: np.fromiter(chain.from_iterable(lists), np.int64)
-        a, b = flat(ids_a), flat(ids_b)
-        n_a, n_b = (np.fromiter(map(len, x), np.int64, len(x)) for x in (ids_a, ids_b))
+        a, n_a, b, n_b = sides.encode(plain, odd)
+        whole = pc.binary_join_element_wise(pa.scalar(b"", pa.large_binary()), plain.cast(pa.large_binary()), pa.scalar(b" ", pa.large_binary()))
         same = lambda of, ids, n: pc.equal(joined(of.take(pa.array(ids)), starts(n), b""), whole).to_numpy(zero_copy_only=False)
         self.right = same(sides.bytes_a, a, n_a) & same(sides.bytes_b, b, n_b)
         a, b = a[np.repeat(self.right, n_a)], b[np.repeat(self.right, n_b)]
@@ -171,9 +179,9 @@ class Aligned:
         group_a, group_b, at_a, at_b = coalesce(end_a - sides.size_a[a], end_a, end_b - sides.size_b[b], end_b)
         n_groups = int(group_a[-1]) + 1 if len(group_a) else 0
         bounds_a, bounds_b = (np.searchsorted(g, np.arange(n_groups + 1)) for g in (group_a, group_b))
-        segment = np.repeat(np.arange(len(texts)), self.n_a)
-        self.groups = np.searchsorted(segment[bounds_a[:-1]], np.arange(len(texts) + 1))
-        self.links = np.searchsorted(segment[at_a], np.arange(len(texts) + 1))
+        segment = np.repeat(np.arange(len(plain)), self.n_a)
+        self.groups = np.searchsorted(segment[bounds_a[:-1]], np.arange(len(plain) + 1))
+        self.links = np.searchsorted(segment[at_a], np.arange(len(plain) + 1))
         keys, self.pair = np.unique(a[at_a] << 32 | b[at_b], return_inverse=True)
         self.pairs = keys >> 32, keys & 0xFFFFFFFF
         spelled = pc.binary_join_element_wise(joined(sides.names_a.take(pa.array(a)), bounds_a, ","), joined(sides.names_b.take(pa.array(b)), bounds_b, ","), pa.scalar("|", pa.large_string()))
