@@ -202,15 +202,49 @@ SECRET_VALUE = r"(?i)(?:sk|key|token|secret)[-_][A-Za-z0-9._~-]{6,}"
 ABSOLUTE_PATH = r"""(?:[A-Za-z]:[\\/]|/)[^\s\x{0B}\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"']+"""
 
 
-def match_starts(t: Column, pattern: str) -> Column:
-    """Offsets from 0 of the matches of pattern. Gaps and matches alternate, so the length of what lies before a match says where it starts."""
+#: Elements of an array that running() folds at a time; a fold that grows an array costs the square of this, not of the array.
+CHUNK = 64
+
+
+def once(value: Column, body) -> Column:
+    """body(value) with value computed once a row."""
+    return F.transform(F.array(value), body)[0]
+
+
+def running(values: Column, step, start: Column) -> Column:
+    """The folds of all prefixes of an array of numbers by an associative step: chunk by chunk, then with the folds of the chunks before."""
+    grow = lambda a, v: once(step(a.at, v), lambda x: F.struct(x.alias("at"), F.concat(a.out, F.array(x)).alias("out")))
+    kind = "bigint"
+    prefixes = lambda xs: F.aggregate(xs, F.struct(start.cast(kind).alias("at"), F.array().cast(f"array<{kind}>").alias("out")), grow, lambda a: a.out)
+    chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(values) - 1) / CHUNK).cast("int")), lambda c: prefixes(F.slice(values, c * CHUNK + 1, F.lit(CHUNK))))
+
+    def carried(parts: Column) -> Column:
+        before = F.concat(F.array(start.cast(kind)), prefixes(F.transform(parts, lambda p: F.element_at(p, -1))))
+        return once(before, lambda b: F.flatten(F.transform(parts, lambda p, i: F.transform(p, lambda x: step(b[i], x)))))
+
+    return F.when(F.size(values) > 0, once(chunks, carried)).otherwise(F.array().cast(f"array<{kind}>"))
+
+
+def running_sum(values: Column) -> Column:
+    return running(values, lambda a, b: a + b, F.lit(0))
+
+
+def matches(t: Column, pattern: str) -> Column:
+    """start and end (code points from 0, end exclusive) and match of each match of pattern. Gaps and matches alternate, so the sums of their lengths say where they lie."""
     flags, rest = ("(?i)", pattern[4:]) if pattern.startswith("(?i)") else ("", pattern)
-    parts = lambda m, gaps: F.zip_with(gaps, m, lambda g, x: F.struct(F.length(g).alias("gap"), F.coalesce(F.length(x), F.lit(0)).alias("match")))
     found, gaps = F.regexp_extract_all(t, F.lit(f"{flags}({rest})"), F.lit(1)), F.split(t, pattern, -1)
-    none = F.array().cast("array<int>")
-    step = lambda a, p: F.struct((a.at + p.gap + p.match).alias("at"), F.concat(a.out, F.array(a.at + p.gap)).alias("out"))
-    placed = F.aggregate(parts(found, F.slice(gaps, F.lit(1), F.size(found))), F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda a: a.out)
-    return F.when(t.rlike(pattern), placed).otherwise(none)
+    both = once(found, lambda m: F.zip_with(m, F.slice(gaps, F.lit(1), F.size(m)), lambda x, g: F.struct(x.alias("match"), F.length(x).cast("bigint").alias("long"), (F.length(x) + F.length(g)).cast("bigint").alias("both"))))
+
+    def placed(parts: Column) -> Column:
+        ends = running_sum(F.transform(parts, lambda p: p.both))
+        return once(ends, lambda e: F.transform(parts, lambda p, i: F.struct((e[i] - p.long).alias("start"), e[i].alias("end"), p.match.alias("match"))))
+
+    return F.when(t.rlike(pattern), once(both, placed)).otherwise(F.array().cast("array<struct<start:bigint,end:bigint,match:string>>"))
+
+
+def match_starts(t: Column, pattern: str) -> Column:
+    """Offsets from 0 of the matches of pattern."""
+    return F.transform(matches(t, pattern), lambda m: m.start.cast("int"))
 
 
 def claim_starts(line: Column, pattern: str) -> Column:
