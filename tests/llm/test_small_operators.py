@@ -5,11 +5,13 @@ import hashlib
 import random
 import re
 import struct
+import time
 import zlib
 from collections import Counter, defaultdict
 
 import pytest
 import zstandard
+from pyspark.sql import functions as F
 
 from sedimark.llm import fingerprint, mixing, mpegts, packing, queries, secret_scan, sharding, url_filter, warc
 
@@ -306,6 +308,41 @@ def test_base_spans(spark, docs, none):
     assert secret_scan.scan(none).collect() == []
 
 
+def test_wide_spans_outside_base_spans(spark):
+    rng = random.Random(5)
+    span = lambda kind: (a := rng.randint(0, 400), a + rng.randint(1, 9), kind, "v")
+    rows_ = [(i, [span(rng.randint(0, 2)) for _ in range(rng.choice([0, 1, 30, 90]))], [span(3) for _ in range(rng.choice([0, 1, 70, 150]))]) for i in range(40)]
+    df = spark.createDataFrame(rows_, f"i int, b array<{secret_scan.SPAN}>, w array<{secret_scan.SPAN}>")
+    for r in df.select("b", "w", secret_scan._outside(F.col("w"), F.col("b")).alias("got")).collect():
+        assert sorted(r.got) == sorted(w for w in r.w if not any(b.start < w.end and w.start < b.end for b in r.b))
+
+
+def test_many_spans_cost_in_proportion_and_are_masked(spark):
+    rng = random.Random(6)
+
+    def rows_of(n):
+        parts = ["".join(rng.choices("abcdefgh0123456789XYZ", k=rng.randint(34, 40))) + rng.choice([" 𝒳é ", " ", "\n"]) + f"token={rng.randint(10**6, 10**7)} " for _ in range(n)]
+        return "".join(parts)
+
+    def took(n):
+        df = spark.createDataFrame([(1, rows_of(n), "en", "a")], "doc_id bigint, text string, lang string, source string")
+        t = time.time()
+        row = secret_scan.scan(df).first()
+        return time.time() - t, row, df
+
+    took(100)
+    (small, *_), (large, row, df) = took(4000), took(16000)
+    text = df.first().text
+    assert large < 6 * max(small, 1.0)
+    assert sum(s.kind == 0 for s in row.base) == 16000
+    out, at = "", 0
+    for a, b in sorted((s.start, s.end) for s in row.live):
+        if a >= at:
+            out += text[at:a] + "[secret]"
+        at = max(at, b)
+    assert secret_scan.redact(df).first().text == out + text[at:]
+
+
 def test_ownership_decides(spark):
     own, copied = "zq8Rk2Lm9Xw4Tn7Bv1Cy6Hd3", "Pq5Ws8Ed2Rf7Tg4Yh1Uj9Ik3"
     data = [(i, f"key token={copied}", "en", f"s{i % 5}") for i in range(10)] + [(50, f"mine token={own} é token={own}!", "en", "s1"), (51, f"bare {own}{own} tail", "en", "s2")]

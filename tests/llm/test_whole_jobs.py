@@ -184,7 +184,7 @@ def test_stage_secret_scan_masks_live_values_only(spark, sf):
     more = [(10**6 + i, f"a token={v} b {v * 2} c password: {v}", "en", f"own{i}", 0) for i, v in enumerate(["zq8Rk2Lm9Xw4Tn7Bv1Cy6Hd3", "Pq5Ws8Ed2Rf7Tg4Yh1Uj9Ik3"])]
     docs = docs.unionByName(spark.createDataFrame(more, docs.schema)).cache()
     rows = {r.doc_id: r for r in docs.collect()}
-    spans = {r.id: [(s.start, s.end) for s in r.live] for r in secret_scan.scan(docs).collect()}
+    spans = {r.id: [(s.start, s.end) for s in r.live] for r in secret_scan.scan(docs, corpus=spark.read.parquet(f"{sf}/documents.parquet")).collect()}
     got = corpus_pipeline.STAGES[2][1](spark, docs, sf).collect()
     assert len(got) == len(rows) and any(spans.values())
     for r in got:
@@ -196,6 +196,19 @@ def test_stage_secret_scan_masks_live_values_only(spark, sf):
         assert r.text == out + text[at:] and r.n_chars == len(r.text)
 
 
+def test_a_value_copied_across_owners_is_not_masked_when_its_copies_are_folded(spark, tmp_path):
+    text = "the same example of five owners with password=Pq5Ws8Ed2Rf7Tg4Yh1Uj9Ik3 in it and some words more"
+    data = [(i, text, "en", f"own{i}", len(text)) for i in range(5)] + [(9, text.replace("Pq5W", "Xq5W") + " of one", "en", "own9", 0)]
+    docs = spark.createDataFrame(data, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    left = corpus_pipeline.STAGES[1][1](spark, docs, str(tmp_path))
+    got = {r.doc_id: r.text for r in corpus_pipeline.STAGES[2][1](spark, left, str(tmp_path)).collect()}
+    assert got[0] == text and len(got) == 2 and "[secret]" in got[9]
+    scan = {r.id: (r.n_live, r.n_copied) for r in secret_scan.scan(left, corpus=docs).collect()}
+    whole = {r.id: (r.n_live, r.n_copied) for r in secret_scan.scan(docs).collect()}
+    assert scan == {i: whole[i] for i in scan}
+
+
 def test_stage_mix_takes_whole_rows_near_the_targets(spark, sf):
     docs, rows = stage_inputs(spark, sf)
     got = corpus_pipeline.STAGES[3][1](spark, docs, sf).collect()
