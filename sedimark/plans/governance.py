@@ -15,6 +15,7 @@ from sedimark.operators import checks as C
 from sedimark.operators import governance as G
 from sedimark.operators import relate as R
 from sedimark.operators import telemetry as M
+from sedimark.operators.ordered import numbered
 from sedimark.sources import formats, readers
 from sedimark.sources.scratch import fresh_path, remove_on_exit, staged
 
@@ -222,6 +223,17 @@ VERSIONS = Rows("version string", tuple((v,) for v in ("1.0.0", "1.0.0-alpha", "
 RANGES = Rows("range string", tuple((r,) for r in ("", "*", "1.x", "1.0.x", ">=1.0.0", ">=1.0.0,<2.0.0", "~=1.2.0", "<1.0.0", "==1.0.0", "=1.0.0-alpha", ">1.0.0-alpha.1, <=1.9.9", "1.10.0", ">=2.x", "<= 1.0.0-11")))
 
 
+def _event_versions(spark, d):
+    """The versions that events make up, and fixed ones."""
+    e, n = K.table(spark, d, "events"), lambda x: x.cast("bigint").cast("string")
+    tail = F.when(F.col("event_type") == "error", F.concat(F.lit("-rc."), n(F.col("event_id") % 12))).when(F.col("event_type") == "signup", F.lit("+b1")).otherwise("")
+    made = F.concat(F.concat_ws(".", n(F.col("user_id") % 3), n(F.col("event_id") % 12), n(F.floor("value") % 4)), tail)
+    return VERSIONS.df(spark).unionByName(e.select(made.alias("version"))).distinct()
+
+
+_EVENT_VERSIONS = f"""({VERSIONS.sql()} UNION SELECT (user_id % 3)::VARCHAR || '.' || event_id % 12 || '.' || floor(value)::BIGINT % 4 || CASE event_type WHEN 'error' THEN '-rc.' || event_id % 12 WHEN 'signup' THEN '+b1' ELSE '' END FROM events)"""
+
+
 def sql_key(t: str) -> str:
     """A version's key as an SQL struct, by the same order as semver.key."""
     part = lambda i: f"regexp_extract(trim({t}), {sql_value(semver.VERSION)}, {i})"
@@ -254,20 +266,21 @@ def install_order(spark, d):
     return G.install_order(EXTENSIONS.df(spark), NEEDS.df(spark))
 
 
-@query(f"""WITH v AS ({VERSIONS.sql()}), k AS (SELECT version, {sql_key('version')} AS k FROM v) SELECT version, k.a AS major, k.b AS minor, k.c AS patch, k IS NOT NULL AS valid, CASE WHEN k IS NOT NULL THEN dense_rank() OVER (PARTITION BY k IS NOT NULL ORDER BY k) END AS place FROM k""")
+@query(f"""WITH v AS {_EVENT_VERSIONS}, k AS (SELECT version, {sql_key('version')} AS k FROM v) SELECT version, k.a AS major, k.b AS minor, k.c AS patch, k IS NOT NULL AS valid, CASE WHEN k IS NOT NULL THEN dense_rank() OVER (PARTITION BY k IS NOT NULL ORDER BY k) END AS place FROM k""")
 def version_order(spark, d):
     """Versions taken apart and in order; equal ones share a place."""
-    k = VERSIONS.df(spark).withColumn("k", semver.key(F.col("version")))
-    place = F.when(F.col("k").isNotNull(), F.dense_rank().over(Window.partitionBy(F.col("k").isNotNull()).orderBy("k")))
-    return k.select("version", "k.major", "k.minor", "k.patch", F.col("k").isNotNull().alias("valid"), place.cast("long").alias("place"))
+    k = _event_versions(spark, d).withColumn("k", semver.key(F.col("version")))
+    places = numbered(k.where("k is not null").select("k").distinct(), [], ["k"], "place", 1)
+    k = k.join(places, "k", "left")
+    return k.select("version", "k.major", "k.minor", "k.patch", F.col("k").isNotNull().alias("valid"), "place")
 
 
-_AVAILABLE = f"v AS (SELECT version, {sql_key('version')} AS k FROM ({VERSIONS.sql()})), pairs AS (SELECT version, k, range, unnest(string_split(range, ',')) AS part FROM (SELECT unnest({sql_value([r[0] for r in RANGES.rows])}) AS range) r, v WHERE k IS NOT NULL), ok AS (SELECT version, any_value(k) AS k, range, bool_and(trim(range) IN ('', '*') OR {sql_satisfies('k', 'part')}) AS fits FROM pairs GROUP BY 1, 3)"
+_AVAILABLE = f"v AS (SELECT version, {sql_key('version')} AS k FROM {_EVENT_VERSIONS}), pairs AS (SELECT version, k, range, unnest(string_split(range, ',')) AS part FROM (SELECT unnest({sql_value([r[0] for r in RANGES.rows])}) AS range) r, v WHERE k IS NOT NULL), ok AS (SELECT version, any_value(k) AS k, range, bool_and(trim(range) IN ('', '*') OR {sql_satisfies('k', 'part')}) AS fits FROM pairs GROUP BY 1, 3)"
 
 
-def _fitting(spark):
+def _fitting(spark, d):
     """Each version with the list of all ranges, which is a fixed value."""
-    versions = VERSIONS.df(spark).withColumn("k", semver.key(F.col("version"))).where("k is not null")
+    versions = _event_versions(spark, d).withColumn("k", semver.key(F.col("version"))).where("k is not null")
     rows = versions.select("version", "k", F.explode(F.array(*[F.lit(r[0]) for r in RANGES.rows])).alias("range"))
     return rows.withColumn("fits", semver.in_range(F.col("k"), F.col("range")))
 
@@ -275,14 +288,14 @@ def _fitting(spark):
 @query(f"WITH {_AVAILABLE} SELECT version, range, fits FROM ok")
 def version_ranges(spark, d):
     """Whether each version fits each range."""
-    return _fitting(spark).select("version", "range", "fits")
+    return _fitting(spark, d).select("version", "range", "fits")
 
 
 @query(f"WITH {_AVAILABLE} SELECT range, arg_max(version, struct_pack(a := k.a, b := k.b, c := k.c, v := version)) FILTER (WHERE fits) AS best FROM ok GROUP BY 1")
 def best_versions(spark, d):
     """The newest version that fits each range by its three numbers; of equal ones the last by name."""
     rank = F.when(F.col("fits"), F.struct("k.major", "k.minor", "k.patch", "version"))
-    return _fitting(spark).groupBy("range").agg(F.max(rank)["version"].alias("best"))
+    return _fitting(spark, d).groupBy("range").agg(F.max(rank)["version"].alias("best"))
 
 
 @query("SELECT user_id AS unit_id, record_version, ord, kind, review_status, row_number() OVER (PARTITION BY unit_id ORDER BY record_version, ord) AS nth FROM (SELECT * FROM (WITH " + O._VERSIONS + " SELECT unit_id AS user_id, * FROM ver))")

@@ -53,22 +53,31 @@ SAMPLES = Rows("sample_id bigint, operation string, provider string, model strin
 CHANNELS = Rows("channel string, roles array<string>, policy string, categories array<string>", (("a", ["map", "review"], "send", None), ("b", ["map"], "no_send", None), ("c", ["map"], "send", ["public"]), ("d", ["map"], "send", ["private", "licensed"]), ("e", ["review"], "send", ["private"]), ("f", [], "send", None)))
 
 
-@query(f"""SELECT sample_id, input_tokens / seconds AS rate FROM ({SAMPLES.sql()}) WHERE operation = 'chunk' AND provider = 'p' AND model = 'm' AND runtime_scope = repeat('a', 64) AND prompt_version = '1' AND schema_version = '1'
+@query(f"""SELECT sample_id, input_tokens / seconds AS rate FROM ({SAMPLES.sql()} UNION ALL SELECT 100 + event_id, CASE event_type WHEN 'view' THEN 'chunk' WHEN 'click' THEN 'skills' ELSE event_type END, CASE WHEN user_id % 2 = 0 THEN 'p' ELSE 'q' END, 'm', repeat('a', 64), '1', '1', floor(value)::BIGINT, CASE WHEN event_id % 7 = 0 THEN 0.0 ELSE 0.5 + event_id % 10 / 2 END::DOUBLE FROM events) WHERE operation = 'chunk' AND provider = 'p' AND model = 'm' AND runtime_scope = repeat('a', 64) AND prompt_version = '1' AND schema_version = '1'
  AND provider <> '' AND model <> '' AND length(runtime_scope) = 64 AND input_tokens > 0 AND seconds > 0""")
 def matching_samples(spark, d):
-    """The valid timings of one way of running, and their rates."""
+    """The valid timings of one way of running, and their rates: of events, and fixed ones."""
     wanted = {"operation": "chunk", "provider": "p", "model": "m", "runtime_scope": "a" * 64, "prompt_version": "1", "schema_version": "1"}
-    rows = SAMPLES.df(spark)
+    e, c = K.table(spark, d, "events"), F.col
+    operation = F.when(c("event_type") == "view", "chunk").when(c("event_type") == "click", "skills").otherwise(c("event_type"))
+    seconds = F.when(c("event_id") % 7 == 0, 0.0).otherwise(0.5 + c("event_id") % 10 / 2)
+    one = F.lit("1")
+    timed = e.select((100 + c("event_id")).alias("sample_id"), operation.alias("operation"), F.when(c("user_id") % 2 == 0, "p").otherwise("q").alias("provider"), F.lit("m").alias("model"), F.lit("a" * 64).alias("runtime_scope"), one.alias("prompt_version"), one.alias("schema_version"), F.floor("value").cast("bigint").alias("input_tokens"), seconds.alias("seconds"))
+    rows = SAMPLES.df(spark).unionByName(timed)
     for name, value in wanted.items():
         rows = rows.where(F.col(name) == value)
     valid = F.col("operation").isin("chunk", "skills", "synthesis") & (F.length("runtime_scope") == 64) & (F.col("input_tokens") > 0) & (F.col("seconds") > 0)
     return rows.where(valid).select("sample_id", (F.col("input_tokens") / F.col("seconds")).alias("rate"))
 
 
-@query(f"SELECT channel FROM ({CHANNELS.sql()}) WHERE list_contains(roles, 'map') AND policy <> 'no_send' AND (categories IS NULL OR list_contains(categories, 'private'))")
+@query(f"SELECT channel FROM ({CHANNELS.sql()} UNION ALL SELECT 'u' || user_id, list(DISTINCT CASE event_type WHEN 'view' THEN 'map' ELSE 'review' END), CASE WHEN count(*) FILTER (WHERE event_type = 'error') > 5 THEN 'no_send' ELSE 'send' END, CASE user_id % 3 WHEN 0 THEN NULL WHEN 1 THEN ['public'] ELSE ['private', 'public'] END FROM events GROUP BY user_id) WHERE list_contains(roles, 'map') AND policy <> 'no_send' AND (categories IS NULL OR list_contains(categories, 'private'))")
 def eligible_channels(spark, d):
-    """Channels that may map private material."""
-    c = CHANNELS.df(spark)
+    """Channels that may map private material: those of users by what they have done, and fixed ones."""
+    roles = F.collect_set(F.when(F.col("event_type") == "view", "map").otherwise("review"))
+    policy = F.when(F.count_if(F.col("event_type") == "error") > 5, "no_send").otherwise("send")
+    by = K.table(spark, d, "events").groupBy("user_id").agg(roles.alias("roles"), policy.alias("policy"))
+    kinds = F.when(F.col("user_id") % 3 == 1, F.array(F.lit("public"))).when(F.col("user_id") % 3 == 2, F.array(F.lit("private"), F.lit("public")))
+    c = CHANNELS.df(spark).unionByName(by.select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("channel"), "roles", "policy", kinds.alias("categories")))
     return c.where(F.array_contains("roles", "map") & (F.col("policy") != "no_send") & (F.col("categories").isNull() | F.array_contains("categories", "private"))).select("channel")
 
 
@@ -91,6 +100,7 @@ def workflow_steps(spark, d):
     return P.workflow(K._units(spark, d))
 
 
+# Prompts for a product that has fewer than three of its own.
 _FALLBACKS = ["Use it to complete its documented workflow.", "Apply it to a concrete, in-scope task.", "Help me execute the method step by step."]
 
 
@@ -137,21 +147,51 @@ CAPABILITIES = Rows("capability_id string, kind string, version string, resource
 HOST = Rows("capability_id string, version string", (("net", "1"), ("fs", "1"), ("odd", "1"), ("ocr", "2")))
 
 
-@query(f"""WITH r AS ({RESOURCES.sql()}), f AS ({FILES.sql()}), v AS ({RESOLVED.sql()}), c AS ({CAPABILITIES.sql()}), h AS ({HOST.sql()}),
+def _pinned(spark, d):
+    """Each document as a pinned resource; every seventh has no file, every fifth another hash, every eleventh no version and every thirteenth an unsafe path."""
+    c, id_ = F.col, F.col("doc_id")
+    rows = K.table(spark, d, "documents").select("doc_id", F.concat(F.lit("d"), id_.cast("string")).alias("resource_id"), F.sha2("text", 256).alias("sha256"), F.when(id_ % 3 == 0, "optional").otherwise("required").alias("class"))
+    rows = rows.withColumn("path", F.concat(F.when(id_ % 13 == 0, "docs/../").otherwise("docs/"), "resource_id"))
+    resources = rows.select("resource_id", "class", "path", "sha256", F.lit("1.0.0").alias("version"))
+    files = rows.where("doc_id % 7 <> 0").select("path", F.when(id_ % 5 == 0, F.lit("other")).otherwise(c("sha256")).alias("sha256"))
+    versions = rows.where("doc_id % 11 <> 0").select("resource_id", F.when(id_ % 17 == 0, "2.0.0").otherwise("1.0.0").alias("version"))
+    return resources, files, versions
+
+
+_PINNED = """pin AS (SELECT doc_id, 'd' || doc_id AS resource_id, sha256(text) AS sha256, CASE WHEN doc_id % 3 = 0 THEN 'optional' ELSE 'required' END AS class, CASE WHEN doc_id % 13 = 0 THEN 'docs/../' ELSE 'docs/' END || 'd' || doc_id AS path FROM documents)"""
+_NEEDED = """SELECT 'c' || event_id AS capability_id, CASE event_type WHEN 'view' THEN 'host_required' WHEN 'click' THEN 'host_optional' WHEN 'error' THEN 'unsupported' ELSE 'bundled_script' END AS kind, (event_id % 3)::VARCHAR AS version, CASE WHEN event_type IN ('view', 'click', 'error') THEN NULL ELSE 'd' || event_id END AS resource_id FROM events"""
+_OFFERED = """SELECT 'c' || event_id AS capability_id, (user_id % 3)::VARCHAR AS version FROM events WHERE event_id % 4 <> 0"""
+
+
+def _capabilities(spark, d):
+    """Each event as a capability that is needed, and those of three in four that a host has, in a version by its user."""
+    e, c = K.table(spark, d, "events"), F.col
+    name = F.concat(F.lit("c"), c("event_id").cast("string")).alias("capability_id")
+    kind = F.when(c("event_type") == "view", "host_required").when(c("event_type") == "click", "host_optional").when(c("event_type") == "error", "unsupported").otherwise("bundled_script")
+    bundled = F.when(~c("event_type").isin("view", "click", "error"), F.concat(F.lit("d"), c("event_id").cast("string")))
+    needed = e.select(name, kind.alias("kind"), (c("event_id") % 3).cast("string").alias("version"), bundled.alias("resource_id"))
+    return needed, e.where("event_id % 4 <> 0").select(name, (c("user_id") % 3).cast("string").alias("version"))
+
+
+@query(f"""WITH {_PINNED}, r AS ({RESOURCES.sql()} UNION ALL SELECT resource_id, class, path, sha256, '1.0.0' FROM pin), f AS ({FILES.sql()} UNION ALL SELECT path, CASE WHEN doc_id % 5 = 0 THEN 'other' ELSE sha256 END FROM pin WHERE doc_id % 7 <> 0),
+ v AS ({RESOLVED.sql()} UNION ALL SELECT resource_id, CASE WHEN doc_id % 17 = 0 THEN '2.0.0' ELSE '1.0.0' END FROM pin WHERE doc_id % 11 <> 0), c AS ({CAPABILITIES.sql()} UNION ALL {_NEEDED}), h AS ({HOST.sql()} UNION ALL {_OFFERED}),
  a AS (SELECT r.resource_id AS id, class, CASE WHEN class <> 'optional' AND v.version IS NULL THEN 'version_missing' WHEN class <> 'optional' AND v.version <> r.version THEN 'version_mismatch' WHEN regexp_matches('/' || r.path || '/', '/(?:\\.|\\.\\.)/') THEN 'path_unsafe' WHEN f.path IS NULL THEN 'resource_missing' WHEN f.sha256 <> r.sha256 THEN 'hash_mismatch' END AS code
   FROM r LEFT JOIN v USING (resource_id) LEFT JOIN f ON f.path = r.path),
  b AS (SELECT capability_id AS id, kind, CASE WHEN kind = 'bundled_script' THEN CASE WHEN c.resource_id NOT IN (SELECT resource_id FROM r) THEN 'bundled_not_pinned' END WHEN kind = 'unsupported' THEN 'capability_unsupported' WHEN h.version IS NULL THEN 'capability_missing' WHEN h.version <> c.version THEN 'capability_mismatch' END AS code FROM c LEFT JOIN h USING (capability_id))
  SELECT id, code, NOT (class = 'optional' AND code = 'resource_missing') AS blocking FROM a WHERE code IS NOT NULL UNION ALL SELECT id, code, NOT (kind = 'host_optional' AND code = 'capability_missing') FROM b WHERE code IS NOT NULL""")
 def closure_findings(spark, d):
     """What a runtime closure's files, versions and host do not meet."""
-    return P.closure_findings(RESOURCES.df(spark), FILES.df(spark), RESOLVED.df(spark), CAPABILITIES.df(spark), HOST.df(spark))
+    needed, offered = _capabilities(spark, d)
+    fixed = [x.df(spark) for x in (RESOURCES, FILES, RESOLVED, CAPABILITIES, HOST)]
+    return P.closure_findings(*[a.unionByName(b) for a, b in zip(fixed, [*_pinned(spark, d), needed, offered])])
 
 
-@query(f"""WITH c AS ({CAPABILITIES.sql()}), h AS ({HOST.sql()}), m AS (SELECT c.capability_id, c.version, kind, CASE WHEN kind <> 'unsupported' THEN h.version END AS there FROM c LEFT JOIN h USING (capability_id) WHERE kind <> 'bundled_script')
+@query(f"""WITH c AS ({CAPABILITIES.sql()} UNION ALL {_NEEDED}), h AS ({HOST.sql()} UNION ALL {_OFFERED}), m AS (SELECT c.capability_id, c.version, kind, CASE WHEN kind <> 'unsupported' THEN h.version END AS there FROM c LEFT JOIN h USING (capability_id) WHERE kind <> 'bundled_script')
  SELECT capability_id, unnest(CASE WHEN there IS NULL THEN ['missing'] WHEN there <> version THEN ['mismatch', 'missing'] ELSE [] END) AS code, kind = 'host_optional' AS optional FROM m""")
 def host_preflight(spark, d):
     """What a host lacks of a product's capabilities."""
-    return P.preflight(CAPABILITIES.df(spark), HOST.df(spark))
+    needed, offered = _capabilities(spark, d)
+    return P.preflight(CAPABILITIES.df(spark).unionByName(needed), HOST.df(spark).unionByName(offered))
 
 
 # Tasks that one source fans out to.
@@ -159,11 +199,15 @@ TASKS = Rows("task_id string, product_id string", (("t1", "p1"), ("t2", "p2"), (
 PROVENANCE = Rows("task_id string, source_id string, sha256 string", (("t1", "s", "h"), ("t2", "z", "h"), ("t4", "s", "g"), ("t5", "s", None)))
 
 
-@query(f"""WITH t AS ({TASKS.sql()}), p AS ({PROVENANCE.sql()}) SELECT task_id, 'duplicate_task' AS code FROM t GROUP BY 1 HAVING count(*) > 1 UNION ALL SELECT min(task_id), 'duplicate_product' FROM t GROUP BY product_id HAVING count(*) > 1
+@query(f"""WITH t AS ({TASKS.sql()} UNION ALL SELECT 'e' || (event_id - event_id % 2 * (event_id % 50 = 1)::BIGINT), 'p' || event_id FROM events), p AS ({PROVENANCE.sql()} UNION ALL SELECT 'e' || event_id, CASE event_type WHEN 'error' THEN 'z' ELSE 's' END, CASE event_type WHEN 'signup' THEN 'g' ELSE 'h' END FROM events) SELECT task_id, 'duplicate_task' AS code FROM t GROUP BY 1 HAVING count(*) > 1 UNION ALL SELECT min(task_id), 'duplicate_product' FROM t GROUP BY product_id HAVING count(*) > 1
  UNION ALL SELECT DISTINCT task_id, CASE WHEN source_id <> 's' THEN 'other_source' ELSE 'other_hash' END FROM p WHERE source_id <> 's' OR sha256 <> 'h'""")
 def fan_out_violations(spark, d):
     """What forbids a source's fan-out to tasks."""
-    return P.fan_out_violations(TASKS.df(spark), PROVENANCE.df(spark), "s", "h")
+    e, c = K.table(spark, d, "events"), F.col
+    name = lambda x: F.concat(F.lit("e"), x.cast("string")).alias("task_id")
+    tasks = e.select(name(F.when(c("event_id") % 50 == 1, c("event_id") - c("event_id") % 2).otherwise(c("event_id"))), F.concat(F.lit("p"), c("event_id").cast("string")).alias("product_id"))
+    origin = e.select(name(c("event_id")), F.when(c("event_type") == "error", "z").otherwise("s").alias("source_id"), F.when(c("event_type") == "signup", "g").otherwise("h").alias("sha256"))
+    return P.fan_out_violations(TASKS.df(spark).unionByName(tasks), PROVENANCE.df(spark).unionByName(origin), "s", "h")
 
 
 # What external tools say, by profile.
@@ -210,10 +254,13 @@ RELEASES = Rows("pack_id string, version string", (("p", "1.10.0"), ("p", "1.9.0
 SNAPSHOTS = Rows("skill string, name string", (("a", "20260101T000000000000"), ("a", "20260101T000000000001"), ("a", "20251231T235959999999"), ("b", "x")))
 
 
-@query(f"SELECT pack_id, version, row_number() OVER (PARTITION BY pack_id ORDER BY list_transform(string_split(version, '.'), lambda x: x::BIGINT)) - 1 AS place FROM ({RELEASES.sql()})")
+@query(f"SELECT pack_id, version, row_number() OVER (PARTITION BY pack_id ORDER BY list_transform(string_split(version, '.'), lambda x: x::BIGINT)) - 1 AS place FROM ({RELEASES.sql()} UNION ALL SELECT DISTINCT 'u' || user_id, (event_id % 3)::VARCHAR || '.' || event_id % 12 || '.' || floor(value)::BIGINT % 11 FROM events)")
 def release_order(spark, d):
-    """Releases by number, not by text."""
-    return P.release_order(RELEASES.df(spark))
+    """Releases by number, not by text: the versions that each user's events make up, and fixed ones."""
+    n = lambda x: x.cast("bigint").cast("string")
+    made = F.concat_ws(".", n(F.col("event_id") % 3), n(F.col("event_id") % 12), n(F.floor("value") % 11))
+    rows = K.table(spark, d, "events").select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("pack_id"), made.alias("version")).distinct()
+    return P.release_order(RELEASES.df(spark).unionByName(rows))
 
 
 @query(f"SELECT skill, max(name) AS name FROM (SELECT user_id::VARCHAR AS skill, strftime(ts, '%Y%m%dT%H%M%S') AS name FROM events UNION ALL {SNAPSHOTS.sql()}) GROUP BY 1")
@@ -229,10 +276,12 @@ def canonical_order(spark, d):
     return numbered(K._versions(spark, d).select("unit_id", "record_version", "ord"), [], ["unit_id", "record_version", "ord"], "place")
 
 
-@query(f"SELECT format, row_number() OVER (ORDER BY format) - 1 AS place FROM (SELECT DISTINCT unnest({sql_value(list(SUFFIXES.values()))}) AS format)")
+@query(f"SELECT format, row_number() OVER (ORDER BY format) - 1 AS place FROM (SELECT DISTINCT unnest({sql_value(list(SUFFIXES.values()))}) AS format UNION SELECT 'query:' || regexp_extract(url, '[?&]([a-z]+)=', 1) FROM pages WHERE regexp_matches(url, '[?&][a-z]+=') UNION SELECT 'host:' || regexp_extract(url, '\\.([a-z]+)(/|$)', 1) FROM pages WHERE regexp_matches(url, '\\.[a-z]+(/|$)'))")
 def format_list(spark, d):
-    """The formats that are known, in order."""
-    rows = spark.createDataFrame([(v,) for v in SUFFIXES.values()], "format string").distinct()
+    """The formats that are known and the kinds of addresses that pages have, in order."""
+    url = F.col("url")
+    found = K.table(spark, d, "pages").select(F.explode(F.array_compact(F.array(F.when(url.rlike("[?&][a-z]+="), F.concat(F.lit("query:"), F.regexp_extract(url, "[?&]([a-z]+)=", 1))), F.when(url.rlike(r"\.[a-z]+(/|$)"), F.concat(F.lit("host:"), F.regexp_extract(url, r"\.([a-z]+)(/|$)", 1)))))).alias("format"))
+    rows = spark.createDataFrame([(v,) for v in SUFFIXES.values()], "format string").unionByName(found).distinct()
     return numbered(rows, [], ["format"], "place")
 
 

@@ -191,10 +191,14 @@ SUPPLIED = Rows("source_id string, version bigint, sha256 string", (("m1", 1, "h
 VERIFIED = Rows("source_id string, version bigint, sha256 string", (("m1", 1, "h"), ("m2", 1, "h"), ("m3", 1, "h"), ("m4", 1, "h"), ("m5", 1, "h")))
 
 
-@query(f"""WITH a AS ({SUPPLIED.sql()}), b AS ({VERIFIED.sql()}) SELECT 'repeated' AS reason, source_id FROM a GROUP BY 2 HAVING count(*) > 1 UNION ALL SELECT 'missing', source_id FROM (SELECT * FROM b EXCEPT SELECT * FROM a) UNION ALL SELECT 'extra', source_id FROM (SELECT * FROM a EXCEPT SELECT * FROM b)""")
+@query(f"""WITH a AS ({SUPPLIED.sql()} UNION ALL SELECT left(sha256(text), 12), doc_id % 2, sha256(text) FROM documents), b AS ({VERIFIED.sql()} UNION ALL SELECT DISTINCT left(sha256(text), 12), 0, sha256(text) FROM documents WHERE doc_id % 5 <> 0) SELECT 'repeated' AS reason, source_id FROM a GROUP BY 2 HAVING count(*) > 1 UNION ALL SELECT 'missing', source_id FROM (SELECT * FROM b EXCEPT SELECT * FROM a) UNION ALL SELECT 'extra', source_id FROM (SELECT * FROM a EXCEPT SELECT * FROM b)""")
 def manifest_differences(spark, d):
     """Supplied manifests against verified ones."""
-    return V.manifest_differences(SUPPLIED.df(spark), VERIFIED.df(spark))
+    digest = F.sha2("text", 256)
+    rows = K.table(spark, d, "documents").select("doc_id", F.left(digest, F.lit(12)).alias("source_id"), digest.alias("sha256"))
+    supplied = rows.select("source_id", (F.col("doc_id") % 2).alias("version"), "sha256")
+    verified = rows.where("doc_id % 5 <> 0").select("source_id", F.lit(0).cast("bigint").alias("version"), "sha256").distinct()
+    return V.manifest_differences(SUPPLIED.df(spark).unionByName(supplied), VERIFIED.df(spark).unionByName(verified))
 
 
 # Lines of an inventory that do not fit.
