@@ -14,8 +14,6 @@ from sedimark.operators.versions import INACTIVE
 
 # Phrases of a description that tell of several tasks.
 MULTI_TASK = (" and also ", "; and ", "以及", "同时完成", "多个独立")
-# Kinds whose units are steps of a workflow, in their order.
-STEP_KINDS = ("framework", "principle", "technique", "decision_rule", "checklist")
 
 
 def usable(units: DataFrame) -> DataFrame:
@@ -97,16 +95,6 @@ def suggestions(units: DataFrame) -> DataFrame:
     return rows.select("source_id", F.concat(F.lit("skill-"), F.left(F.sha2("source_id", 256), F.lit(8))).alias("name"), text.alias("description"))
 
 
-def workflow(units: DataFrame) -> DataFrame:
-    """source_id, place (from 1), step and unit_id: the units of a source that tell what to do, by kind and block, each with the first line of its content as the step, and a last step that sends to the references of the other kinds if there are any."""
-    order = F.create_map(*[F.lit(x) for kv in enumerate(STEP_KINDS) for x in kv[::-1]])
-    step = F.element_at(F.split("content", "\n"), 1)
-    rows = units.where(F.col("kind").isin(*STEP_KINDS)).select("source_id", order[F.col("kind")].alias("rank"), "block_ord", F.when(F.length(step) > 80, F.concat(F.left(step, F.lit(77)), F.lit("..."))).otherwise(step).alias("step"), "unit_id")
-    rest = units.where(~F.col("kind").isin(*STEP_KINDS)).select("source_id").distinct()
-    last = rest.select("source_id", F.lit(len(STEP_KINDS)).alias("rank"), F.lit(0).cast("long").alias("block_ord"), F.lit("Consult references").alias("step"), F.lit(None).cast("string").alias("unit_id"))
-    return numbered(rows.unionByName(last), ["source_id"], ["rank", "block_ord"], "place", 1).select("source_id", "place", "step", "unit_id")
-
-
 def at_least_three(values: Column, fallbacks: list[str]) -> Column:
     """The values that are not blank, trimmed, and as many fallbacks that are not among them as make three; the first three of these."""
     own = F.filter(F.transform(values, lambda v: F.trim(v)), lambda v: v != "")

@@ -489,12 +489,6 @@ def heading_anchors(spark, d):
     return rows.withColumn("place", F.row_number().over(w).cast("long")).where("place <= 32").select("source_id", "place", "block_ord")
 
 
-@query
-def step_labels(spark, d):
-    c = F.col("content")
-    return _units(spark, d).where("kind = 'technique'").select("unit_id", F.sha2(F.when(F.length(c) > 80, F.concat(F.left(c, F.lit(77)), F.lit("..."))).otherwise(c), 256).alias("label_sha256"), (F.length(c) > 80).alias("was_cut"))
-
-
 @query
 def sanitized_refs(spark, d):
     """Units without their quotes: hash and length of the first 200 characters stand for the text."""
@@ -533,15 +527,6 @@ def path_findings(spark, d):
     return C.links(table(spark, d, "pages")).select("page_id", code.alias("code")).where("code is not null").groupBy("page_id", "code").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query
-def weighted_progress(spark, d):
-    """The furthest fraction that each user reached in each stage, weighted and added up to a percentage."""
-    weights = {"view": 0.05, "click": 0.45, "signup": 0.05, "purchase": 0.3, "error": 0.15}
-    weight = F.create_map(*[F.lit(x) for kv in weights.items() for x in kv])[F.col("event_type")]
-    best = table(spark, d, "events").groupBy("user_id", "event_type").agg(F.max(F.least(F.lit(1.0), F.col("value") / 200)).alias("f"))
-    return best.groupBy("user_id").agg(F.round(100 * F.sum(weight * F.col("f")), 6).alias("percent"))
-
-
 @query
 def eta_with_prior(spark, d):
     """Estimates of each user and event type: the observed mean from three samples on, else a prior from the value."""

@@ -186,7 +186,6 @@ ORACLES |= {
  SELECT source_id, place, item_id, reason FROM (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY severity DESC, block_ord, reason) AS place FROM fl) WHERE place <= 2""",
     "file_outcomes": f"""WITH {_UNITS}, e AS (SELECT source_id, count(*) FILTER (WHERE confidence < 0.5 OR length(content) < 20) AS errors FROM units GROUP BY 1) SELECT s.source_id, CASE WHEN errors IS NULL THEN 'failed' WHEN errors > 0 THEN 'partial' ELSE 'success' END AS status FROM src s LEFT JOIN e ON e.source_id = s.source_id""",
     "heading_anchors": f"""WITH {_UNITS}, h AS (SELECT source_id, content, min(block_ord) AS block_ord FROM units WHERE heading_level > 0 GROUP BY 1, 2) SELECT source_id, place, block_ord FROM (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY block_ord) AS place FROM h) WHERE place <= 32""",
-    "step_labels": f"WITH {_UNITS} SELECT unit_id, sha256(CASE WHEN length(content) > 80 THEN left(content, 77) || '...' ELSE content END) AS label_sha256, length(content) > 80 AS was_cut FROM units WHERE kind = 'technique'",
     "sanitized_refs": f"WITH {_UNITS} SELECT unit_id, source_id, block_id, sha256(left(content, 200)) AS quote_sha256, length(left(content, 200))::BIGINT AS quote_chars FROM units",
     "reference_digests": f"WITH {_UNITS} SELECT source_id, kind, count(*) AS units, sha256(string_agg(content, chr(10) ORDER BY block_ord)) AS sha256 FROM units GROUP BY 1, 2",
     "pack_publish": f"""WITH {_OLD}, n AS (SELECT unit_id AS k, CASE WHEN confidence < 0.5 THEN sha256(content) ELSE content END AS c FROM new WHERE review_status = 'approved' OR unit_id LIKE 'p%')
@@ -194,7 +193,6 @@ ORACLES |= {
     "overlapping_suggestions": _pairs(r"SELECT item_id AS id, 0 AS g, list_distinct(regexp_extract_all(lower(text), '[\pL\pN_]+')) AS items FROM benchmark", 0.6, ""),
     "path_findings": r"""WITH t AS (SELECT page_id, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS target FROM pages), c AS (SELECT page_id, CASE WHEN regexp_matches(target, '^[A-Za-z]:[\\/]') THEN 'drive' WHEN starts_with(target, '/') THEN 'absolute' WHEN regexp_matches(target, '(^|/)\.\.(/|$)') THEN 'climbs' END AS code FROM t)
  SELECT page_id, code, count(*) AS n FROM c WHERE code IS NOT NULL GROUP BY 1, 2""",
-    "weighted_progress": "WITH b AS (SELECT user_id, event_type, max(least(1.0::DOUBLE, value / 200)) AS f FROM events GROUP BY 1, 2) SELECT user_id, round(100 * sum((CASE event_type WHEN 'view' THEN 0.05 WHEN 'click' THEN 0.45 WHEN 'signup' THEN 0.05 WHEN 'purchase' THEN 0.3 ELSE 0.15 END)::DOUBLE * f), 6) AS percent FROM b GROUP BY 1",
     "eta_with_prior": "WITH e AS (SELECT user_id, event_type, count(*) AS samples, avg(value) AS mean, max(value) AS most FROM events GROUP BY 1, 2), p AS (SELECT *, CASE WHEN samples >= 3 THEN mean ELSE least(24.0::DOUBLE, greatest(5.0::DOUBLE, 4 + most / 40)) END AS pt FROM e) SELECT user_id, event_type, samples, round(pt, 6) AS point, greatest(2.0::DOUBLE, 0.5::DOUBLE * round(pt, 6)) AS lower FROM p",
     "running_budget": "SELECT user_id, event_id, spent FROM (SELECT user_id, event_id, round(sum(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), 6) AS spent FROM events) WHERE spent <= 500",
 }

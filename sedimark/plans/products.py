@@ -90,16 +90,6 @@ def skill_suggestions(spark, d):
     return P.suggestions(K._units(spark, d))
 
 
-_STEP = "string_split(content, chr(10))[1]"
-
-
-@query(f"""WITH {O._UNITS}, st AS (SELECT source_id, list_position({sql_value(P.STEP_KINDS)}, kind) - 1 AS rank, block_ord, CASE WHEN length({_STEP}) > 80 THEN left({_STEP}, 77) || '...' ELSE {_STEP} END AS step, unit_id FROM units WHERE kind IN {P.STEP_KINDS}
- UNION ALL SELECT DISTINCT source_id, {len(P.STEP_KINDS)}, 0, 'Consult references', NULL FROM units WHERE kind NOT IN {P.STEP_KINDS}) SELECT source_id, row_number() OVER (PARTITION BY source_id ORDER BY rank, block_ord) AS place, step, unit_id FROM st""")
-def workflow_steps(spark, d):
-    """The steps of each source's workflow."""
-    return P.workflow(K._units(spark, d))
-
-
 # Prompts for a product that has fewer than three of its own.
 _FALLBACKS = ["Use it to complete its documented workflow.", "Apply it to a concrete, in-scope task.", "Help me execute the method step by step."]
 

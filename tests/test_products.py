@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from sedimark.operators import governance as G
 from sedimark.operators import products as P
 from sedimark.operators import reviews as V
+from sedimark.operators import workflows as W
 
 
 def test_log_against_a_stack(spark):
@@ -45,7 +46,7 @@ def test_empty_tables(spark):
     assert (m.sources, m.candidates, m.coverage) == (0, 0, 1.0)
     kinds = "canonical_key string, ord bigint, sha256 string, scope array<string>"
     assert G.pack_decisions(empty(kinds), empty(kinds)).collect() == []
-    assert P.workflow(empty("source_id string, kind string, content string, block_ord bigint, unit_id string")).collect() == []
+    assert W.workflow(empty("source_id string, kind string, content string, ord bigint, unit_id string")).collect() == []
     assert G.first_violation(empty("phase int, ord bigint, nth bigint, reason string, unit_id string, source_id string, block_id string")).first().violations == 0
 
 

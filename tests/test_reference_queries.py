@@ -6,9 +6,9 @@ import math
 import duckdb
 import pytest
 
-from sedimark.plans import catalogue, governance, products, reviews
+from __spark_entry__ import PLANS
 
-QUERIES, ORACLES = catalogue.QUERIES | governance.QUERIES | products.QUERIES | reviews.QUERIES, catalogue.ORACLES | governance.ORACLES | products.ORACLES | reviews.ORACLES
+QUERIES, ORACLES = ({k: v for plan in PLANS for k, v in getattr(plan, name).items()} for name in ("QUERIES", "ORACLES"))
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
