@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sedimark.functions import text as T
+from sedimark.operators.ordered import carried
 
 #: Severities in order, and the checks that publication asks for.
 RANK = {"pass": 1, "warn": 2, "fail": 3}
@@ -33,6 +34,14 @@ def split_lines(docs: DataFrame) -> DataFrame:
     return docs.select("id", F.posexplode(F.split("text", "\n")).alias("i", "line")).select("id", (F.col("i") + 1).cast("long").alias("line_no"), "line")
 
 
+def unfenced_lines(docs: DataFrame) -> DataFrame:
+    """id, line_no (from 1) and line of documents (id, text), outside code fences: where the fence lines so far are even in number. Within each row, without a shuffle."""
+    fence = lambda x: x.startswith("```")
+    lines = F.split("text", "\n")
+    marked = T.once(lines, lambda ls: T.once(T.running_sum(F.transform(ls, lambda x: fence(x).cast("bigint"))), lambda n: F.transform(ls, lambda x, i: F.struct((i + 1).cast("bigint").alias("line_no"), x.alias("line"), (n[i] % 2 == 0).alias("out")))))
+    return docs.select("id", F.explode(marked).alias("l")).select("id", "l.line_no", "l.line", "l.out").where(F.col("out") & ~fence(F.col("line"))).drop("out")
+
+
 # Fixed value: a citation line with its quote.
 QUOTE_LINE = r'^\s*-\s+([^\s/]+)\s*/\s*(\S+)\s+—\s+"(.+)"\s*$'
 
@@ -153,8 +162,8 @@ def resolution(refs: DataFrame, known: DataFrame, key: str) -> DataFrame:
 
 def islands(quotes: DataFrame, warn: int, fail: int) -> DataFrame:
     """source, first, n, words and code of runs of quotes with consecutive numbers whose words add up to more than warn. quotes: (source, number, words)."""
-    w = Window.partitionBy("source").orderBy("number")
-    rows = quotes.withColumn("new", F.when(F.col("number") == F.lag("number").over(w) + 1, 0).otherwise(1)).withColumn("run", F.sum("new").over(w))
+    rows = carried(quotes.withColumn("tie", F.monotonically_increasing_id()), ["source"], ["number", "tie"], before={"was": F.col("number")})
+    rows = carried(rows, ["source"], ["number", "tie"], {"run": F.when(F.col("number") == F.col("was") + 1, 0).otherwise(1)})
     runs = rows.groupBy("source", "run").agg(F.min("number").alias("first"), F.count(F.lit(1)).alias("n"), F.sum("words").alias("words")).where("n >= 2")
     return runs.where(F.col("words") > warn).select("source", "first", "n", "words", F.when(F.col("words") > fail, "fail").otherwise("warn").alias("code"))
 

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sedimark.operators.ordered import combined, numbered
+from sedimark.operators.ordered import carried, combined, numbered, over_span
 
 # Which state of a transaction may follow which.
 TRANSITIONS = {
@@ -40,8 +40,7 @@ def smoothed(events: DataFrame, key: str, order: list[str], value: str, seed: fl
 
 def failure_runs(events: DataFrame, key: str, order: list[str], failed: Column, least: int) -> DataFrame:
     """key, run, length and first event of runs of at least `least` failures."""
-    w = Window.partitionBy(key).orderBy(*order)
-    rows = events.select(key, *order, failed.alias("failed")).withColumn("ok", F.sum(F.when(F.col("failed"), 0).otherwise(1)).over(w))
+    rows = carried(events.select(key, *order, failed.alias("failed")), [key], order, {"ok": F.when(F.col("failed"), 0).otherwise(1)})
     runs = rows.where("failed").groupBy(key, "ok").agg(F.count(F.lit(1)).alias("length"), F.min(order[-1]).alias("first_event"))
     return runs.where(F.col("length") >= least).select(key, F.col("ok").cast("long").alias("run"), "length", "first_event")
 
@@ -49,8 +48,8 @@ def failure_runs(events: DataFrame, key: str, order: list[str], failed: Column,
 def window_load(events: DataFrame, key: str, seconds: int, amount: str, limit: float) -> DataFrame:
     """event_id, load (sum of amount over the last seconds of its key) and whether it passes limit."""
     at = F.unix_micros(F.col("ts").cast("timestamp"))
-    w = Window.partitionBy(key).orderBy(at).rangeBetween(-seconds * 1_000_000, 0)
-    return events.select("event_id", F.round(F.sum(amount).over(w), 6).alias("load")).withColumn("over_limit", F.col("load") > limit)
+    rows = over_span(events.select("event_id", key, at.alias("at"), F.col(amount).alias("amount")), [key], "at", seconds * 1_000_000, F.col("amount"), "load")
+    return rows.select("event_id", F.round("load", 6).alias("load")).withColumn("over_limit", F.col("load") > limit)
 
 
 def makespan(jobs: DataFrame, key: str, duration: str, lanes: int) -> DataFrame:
@@ -60,8 +59,7 @@ def makespan(jobs: DataFrame, key: str, duration: str, lanes: int) -> DataFrame:
 
 def transitions(journal: DataFrame, key: str, order: list[str], state: str) -> DataFrame:
     """key, from_state, to_state, legal and n of consecutive states."""
-    w = Window.partitionBy(key).orderBy(*order)
-    rows = journal.select(key, F.lag(state).over(w).alias("from_state"), F.col(state).alias("to_state")).where("from_state is not null")
+    rows = carried(journal.select(key, *order, F.col(state).alias("to_state")), [key], order, before={"from_state": F.col("to_state")}).where("from_state is not null")
     legal = F.lit(False)
     for a, bs in TRANSITIONS.items():
         legal = legal | ((F.col("from_state") == a) & F.col("to_state").isin(*bs))

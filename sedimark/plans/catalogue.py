@@ -16,6 +16,7 @@ from sedimark.operators import checks as C
 from sedimark.operators import relate as R
 from sedimark.operators import telemetry as M
 from sedimark.operators import versions as V
+from sedimark.operators.ordered import carried, numbered
 
 from .oracles import ORACLES
 
@@ -539,8 +540,8 @@ def eta_with_prior(spark, d):
 @query
 def running_budget(spark, d):
     """The events of each user that fit a budget of 500 in order of time."""
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    rows = table(spark, d, "events").select("user_id", "event_id", F.round(F.sum("value").over(w), 6).alias("spent"))
+    rows = carried(table(spark, d, "events").select("user_id", "ts", "event_id", "value"), ["user_id"], ["ts", "event_id"], {"s": F.col("value")})
+    rows = rows.select("user_id", "event_id", F.round("s", 6).alias("spent"))
     return rows.where("spent <= 500").select("user_id", "event_id", "spent")
 
 
@@ -555,9 +556,7 @@ def unfenced_claims(spark, d):
     """Claims outside code fences: the parity of the fence lines so far tells what is fenced."""
     text = "\n".join(CLAIM_LINES)
     docs = _with_literals(spark, d).unionByName(spark.createDataFrame([(-20, text)], "id bigint, text string"))
-    w = Window.partitionBy("id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    lines = C.split_lines(docs).withColumn("fences", F.sum(F.col("line").startswith("```").cast("long")).over(w))
-    lines = lines.where("fences % 2 = 0 and not startswith(line, '```')")
+    lines = C.unfenced_lines(docs)
     return lines.select("id", "line_no", F.explode(F.array_distinct(F.transform(T.claim_codes(F.col("line")), lambda c: c.code))).alias("code"))
 
 
@@ -625,8 +624,7 @@ def payload_tokens(spark, d):
 @query
 def unit_counters(spark, d):
     """Running numbers of the units of a source; a unit that is rejected later has used its number."""
-    w = Window.partitionBy("source_id").orderBy("block_ord")
-    rows = _units(spark, d).withColumn("counter", F.row_number().over(w).cast("long"))
+    rows = numbered(_units(spark, d).select("source_id", "unit_id", "content", "block_ord"), ["source_id"], ["block_ord"], "counter", 1)
     return rows.where(F.length("content") >= 20).select("unit_id", "counter")
 
 
