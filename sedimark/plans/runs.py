@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from sedimark.operators import invocations as I
 from sedimark.operators import reservations as S
+from sedimark.sources.commits import CommittedTable
+from sedimark.sources.scratch import fresh_path, remove_on_exit
 
 from . import catalogue as K
 
@@ -64,3 +66,17 @@ def invocation_telemetry(spark, d):
 def session_telemetry(spark, d):
     """The same by session of each channel."""
     return I.sessions(_invoked(spark, d), "12 hours").withColumn("begun", F.unix_micros("begun")).withColumn("latency", F.round("latency", 3))
+
+
+@query("""WITH g AS (SELECT doc_id, CASE WHEN doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) THEN 1 WHEN doc_id IN (SELECT doc_id FROM labels) THEN 2 ELSE 3 END::BIGINT AS "commit" FROM documents)
+ SELECT doc_id, "commit", row_number() OVER (ORDER BY "commit", doc_id) - 1 AS record_no FROM g WHERE "commit" < 3""")
+def committed_snapshot(spark, d):
+    """Documents committed in three steps, by their labels, as they are at the second version: record numbers go on from commit to commit."""
+    docs, labels = K.table(spark, d, "documents").select("doc_id", F.length("text").alias("chars")), K.table(spark, d, "labels")
+    good = labels.where("quality = 1").select("doc_id").distinct()
+    path = fresh_path(spark, "committed")
+    remove_on_exit(spark, path)
+    store, known = CommittedTable(spark, path), labels.select("doc_id").distinct()
+    for rows in (docs.join(good, "doc_id", "left_semi"), docs.join(known, "doc_id", "left_semi").join(good, "doc_id", "left_anti"), docs.join(known, "doc_id", "left_anti")):
+        store.append(rows, ["doc_id"])
+    return store.read(2).select("doc_id", "commit", "record_no")

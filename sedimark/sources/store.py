@@ -1,7 +1,7 @@
 """Sinks: an append-only versioned unit store with immutable releases and a pointer.
 
-A store is a folder: units/ holds Parquet files that are only appended to, releases/<name>/ holds frozen views, and pointer/ holds one small table per
-publication, of which the newest counts. Publishing writes a new release in full before the pointer moves; rolling back moves the pointer again.
+A store is a folder: units/ holds Parquet files that are only appended to, releases/<name>/ holds frozen views, and pointer/ holds a commit log with one entry per
+publication, of which the newest counts. Publishing writes a new release in full before the log grows; rolling back adds an entry too. Of two writers at once each gets a number of its own.
 Nothing is rewritten in place, so a job that is lost halfway leaves no reader with half a release.
 """
 
@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sedimark.operators import versions as V
+from sedimark.sources.commits import CommitLog
 from sedimark.sources.scratch import staged, unstage
 
 
@@ -18,7 +19,7 @@ class UnitStore:
     """Versions of units (unit_id, record_version, ord, ...) under a path that Spark reads and writes."""
 
     def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
+        self.spark, self.path, self.log = spark, path.rstrip("/"), CommitLog(spark, f"{path.rstrip('/')}/pointer")
 
     def append(self, rows: DataFrame) -> None:
         rows.write.mode("append").parquet(f"{self.path}/units")
@@ -43,8 +44,11 @@ class UnitStore:
     def current(self) -> DataFrame:
         return V.current_view(self.versions())
 
-    def publish(self, name: str) -> None:
-        """Freeze the active view as a release and point to it. A release is never overwritten: publishing the same rows again only points, other rows under its name are an error."""
+    def publish(self, name: str, skill: str | None = None, base: int | None = None) -> int:
+        """Freeze the active view as a release, point to it, and return the publication's number. A release is never overwritten: publishing the same rows again only points, other rows under its name are an error.
+
+        base: the skill's newest publication that the release rests on; Conflict is raised if there is a newer one.
+        """
         view = V.active_view(self.versions())
         if self._exists(f"releases/{name}"):
             there = self.spark.read.parquet(f"{self.path}/releases/{name}")
@@ -53,25 +57,25 @@ class UnitStore:
                 raise ValueError(f"release {name} has other rows")
         else:
             view.write.mode("error").parquet(f"{self.path}/releases/{name}")
-        self._point(name, "publish")
+        return self.log.commit({"action": "publish", "name": name, "skill": skill}, base)
 
-    def rollback(self, name: str) -> None:
+    def rollback(self, name: str, skill: str | None = None, base: int | None = None) -> int:
         """Point to a release that is there already."""
         self.spark.read.parquet(f"{self.path}/releases/{name}").limit(1).count()
-        self._point(name, "rollback")
+        return self.log.commit({"action": "rollback", "name": name, "skill": skill}, base)
 
     def history(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/pointer")
+        return self.log.entries().select("seq", "name", "action", "skill")
 
-    def released(self) -> DataFrame:
-        """The release that the newest pointer names."""
-        name = self.history().orderBy(F.col("seq").desc()).first()["name"]
+    def released(self, skill: str | None = None) -> DataFrame:
+        """The release that the newest publication or rollback names, of a skill if one is given."""
+        moves = self.history().where(F.lit(True) if skill is None else F.col("skill") == skill)
+        name = moves.orderBy(F.col("seq").desc()).first()["name"]
         return self.spark.read.parquet(f"{self.path}/releases/{name}")
 
-    def _point(self, name: str, action: str) -> None:
-        seq = self.history().agg(F.max("seq")).first()[0] + 1 if self._exists("pointer") else 1
-        row = self.spark.createDataFrame([(seq, name, action)], "seq bigint, name string, action string")
-        row.coalesce(1).write.mode("append").parquet(f"{self.path}/pointer")
+    def index(self) -> DataFrame:
+        """skill, name and seq of the release of each skill, derived from the log."""
+        return self.log.index()
 
     def _exists(self, part: str) -> bool:
         p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{part}")
