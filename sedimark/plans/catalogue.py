@@ -211,11 +211,6 @@ def _overrides(spark, d):
 
 @query
 def three_way_merge(spark, d):
-    return V.merge(_old(spark, d), _new(spark, d), _overrides(spark, d)).where("outcome in ('ours', 'conflict') or outcome = 'new' and field = 'review_status'")
-
-
-@query
-def merged_units(spark, d):
     """The whole merge: all fields of all units, and the overrides of units in one collection alone."""
     return V.merge(_old(spark, d), _new(spark, d), _overrides(spark, d))
 
@@ -374,13 +369,6 @@ def bundle_metrics(spark, d):
     return docs.agg(F.countDistinct("source").alias("sources"), F.count(F.lit(1)).alias("units"), F.count("hit").alias("supported"), F.countDistinct("h").alias("contents")).withColumn("coverage", F.col("supported") / F.col("units"))
 
 
-@query
-def slot_coverage(spark, d):
-    words = F.array_distinct(F.filter(F.regexp_extract_all(F.lower("text"), F.lit("([a-z0-9]+)"), F.lit(1)), lambda w: F.length(w) >= 5))
-    slots = table(spark, d, "benchmark").select(F.col("item_id").alias("slot_id"), F.slice(words, 1, 3).alias("keywords"))
-    return C.slot_coverage(_units(spark, d), slots, ("technique", "term", "case"))
-
-
 # --- telemetry ------------------------------------------------------------------------------------------------------------------
 
 
@@ -515,9 +503,11 @@ def pack_publish(spark, d):
 
 @query
 def overlapping_suggestions(spark, d):
-    """Benchmark items whose words overlap by 0.6 or more; ideographs count as letters of words here."""
+    """Benchmark items, and the same without their last words, whose words overlap by 0.6 or more; ideographs count as letters of words here."""
+    items = table(spark, d, "benchmark").select(F.col("item_id").alias("id"), "text")
+    items = items.unionByName(items.select((F.col("id") + 1_000_000).alias("id"), F.regexp_replace("text", r"( [^ ]+){1,4}\z", "").alias("text")))
     words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}\p{N}_]+)"), F.lit(1)))
-    return R.similar_pairs(table(spark, d, "benchmark").select(F.col("item_id").alias("id"), words.alias("items")), 0.6)
+    return R.similar_pairs(items.select("id", words.alias("items")), 0.6)
 
 
 @query
@@ -587,12 +577,6 @@ def _citation_findings(cited, declared):
 
 @query
 def citation_coverage(spark, d):
-    """Citations of terms: sources cited but not declared fail, declared but not cited warn."""
-    return _citation_findings(_cited(_units(spark, d).where("kind = 'term'")), _declared(spark, d))
-
-
-@query
-def citation_coverage_whole(spark, d):
     """Citations of all units: besides, sources that are declared more than once fail."""
     declared = _declared(spark, d)
     repeated = declared.where("n > 1").select("source_id", F.lit("duplicate").alias("code"), F.lit("fail").alias("severity"))
@@ -675,12 +659,6 @@ def time_labels(spark, d):
 
 @query
 def ordered_words(spark, d):
-    """The distinct words of a text in order of first use, the first twenty of them."""
-    return _docs(spark, d).select("doc_id", F.array_join(F.slice(T.unique_words(F.col("text")), 1, 20), " ").alias("words"))
-
-
-@query
-def ordered_words_whole(spark, d):
     """All distinct words of a text in order of first use, and how many they are."""
     words = T.unique_words(F.col("text"))
     return _docs(spark, d).select("doc_id", F.size(words).cast("long").alias("n"), F.array_join(words, " ").alias("words"))

@@ -124,13 +124,13 @@ def suggestion_overlaps(spark, d):
 # A reference file with citations in every form.
 REFERENCE = Rows("path string, text string", (("references/x.md", '## cu-1\n- src1 / src1-p1 — "a short quote"\n- src1 / src1-p2 — ""\n  -  src2/src2-b3   —  "two words"  \n- src3 / b4\n- no slash — "x"\n- src1 / src1-p9 — "' + "many words " * 30 + '"\n- src1 / src1-p10 — "' + "more words " * 15 + '"'),))
 _CITES = r'^\s*-\s+([^\s/]+)\s*/\s*(\S+)\s+—\s+"(.+)"\s*$'
-_REFERENCES = f"""{O._UNITS}, refs AS (SELECT 'references/' || unit_id || '.md' AS path, '- ' || source_id || ' / ' || block_id || ' — "' || left(content, 240) || '"' AS text FROM units UNION ALL {REFERENCE.sql()}),
+_REFERENCES = f"""{O._UNITS}, refs AS (SELECT 'references/' || unit_id || '.md' AS path, '- ' || source_id || ' / ' || block_id || ' — "' || content || '"' AS text FROM units UNION ALL {REFERENCE.sql()}),
  ln AS (SELECT path, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM refs),
  q AS (SELECT path, line_no::BIGINT AS line_no, regexp_extract(line, {sql_value(_CITES)}, 1) AS source_id, regexp_extract(line, {sql_value(_CITES)}, 2) AS block_id, regexp_extract(line, {sql_value(_CITES)}, 3) AS quote FROM ln WHERE regexp_matches(line, {sql_value(_CITES)}))"""
 
 
 def _quotes(spark, d):
-    line = F.concat(F.lit("- "), "source_id", F.lit(" / "), "block_id", F.lit(' — "'), F.left("content", F.lit(240)), F.lit('"'))
+    line = F.concat(F.lit("- "), "source_id", F.lit(" / "), "block_id", F.lit(' — "'), "content", F.lit('"'))
     files = K._units(spark, d).select(F.concat(F.lit("references/"), "unit_id", F.lit(".md")).alias("path"), line.alias("text")).unionByName(REFERENCE.df(spark))
     return C.quotes(files)
 
@@ -183,7 +183,7 @@ def redacted_texts(spark, d):
  hit AS (SELECT word, unit_id, kind, heading_level FROM low JOIN words ON contains(c, word)),
  own AS (SELECT slot_id, count(DISTINCT unit_id) FILTER (WHERE kind IN ('technique', 'term', 'case')) AS n, count(DISTINCT unit_id) FILTER (WHERE heading_level > 0 AND length(word) >= 8) AS s FROM keys JOIN hit USING (word) GROUP BY 1)
  SELECT item_id AS slot_id, coalesce(greatest(n, s), 0)::BIGINT AS matched FROM benchmark LEFT JOIN own ON slot_id = item_id""")
-def slot_coverage_whole(spark, d):
+def slot_coverage(spark, d):
     """Slots of benchmark items with all their words of six letters or more as keywords, those of eight or more for headings."""
     words = F.array_distinct(F.filter(F.regexp_extract_all(F.lower("text"), F.lit("([a-z0-9]+)"), F.lit(1)), lambda w: F.length(w) >= 6))
     slots = K.table(spark, d, "benchmark").select(F.col("item_id").alias("slot_id"), words.alias("keywords"), F.filter(words, lambda w: F.length(w) >= 8).alias("structure_keywords"))

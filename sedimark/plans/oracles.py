@@ -130,8 +130,7 @@ ORACLES: dict[str, str] = {
     "collection_diff_addonly": _diff("unchanged"),
     "supersession_append": f"""WITH {_DIFF} SELECT unit_id, (CASE WHEN added THEN 1 ELSE 2 END)::BIGINT AS record_version, CASE WHEN gone THEN 'superseded' ELSE ns END AS review_status, CASE WHEN NOT added THEN unit_id END AS supersedes FROM cmp WHERE added OR gone OR fields <> ''""",
     "snapshot_compare": f"WITH {_OLD} SELECT coalesce(o.unit_id, n.unit_id) AS path, CASE WHEN o.unit_id IS NULL THEN 'added' WHEN n.unit_id IS NULL THEN 'removed' ELSE 'changed' END AS change FROM old o FULL JOIN new n ON o.unit_id = n.unit_id WHERE o.content IS DISTINCT FROM n.content",
-    "three_way_merge": f"WITH {_MERGE} SELECT * FROM merged WHERE outcome <> 'new' OR field = 'review_status'",
-    "merged_units": f"""WITH {_MERGE} SELECT * FROM merged UNION ALL SELECT unit_id, unnest(['kind', 'content', 'confidence', 'review_status']), unnest([kind, content, confidence::VARCHAR, review_status]), 'added' FROM new WHERE unit_id NOT IN (SELECT unit_id FROM old)
+    "three_way_merge": f"""WITH {_MERGE} SELECT * FROM merged UNION ALL SELECT unit_id, unnest(['kind', 'content', 'confidence', 'review_status']), unnest([kind, content, confidence::VARCHAR, review_status]), 'added' FROM new WHERE unit_id NOT IN (SELECT unit_id FROM old)
  UNION ALL SELECT unit_id, field, ours, 'preserved' FROM ovr WHERE (unit_id IN (SELECT unit_id FROM old)) <> (unit_id IN (SELECT unit_id FROM new))""",
     "merge_conflicts": f"WITH {_MERGE} SELECT unit_id, field, value AS human FROM merged WHERE outcome = 'conflict'",
     "current_units": f"WITH {_VERSIONS} SELECT * FROM cur",
@@ -158,10 +157,6 @@ ORACLES: dict[str, str] = {
     "unknown_sources": "SELECT user_id AS doc_id, count(*) AS n FROM events WHERE user_id NOT IN (SELECT doc_id FROM labels) GROUP BY 1",
     "locator_resolution": "SELECT count(*) AS refs, count(l.doc_id) AS known, count(l.doc_id) / count(*)::DOUBLE AS ratio FROM (SELECT DISTINCT user_id FROM events) e LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l ON l.doc_id = e.user_id",
     "bundle_metrics": "SELECT count(DISTINCT source) AS sources, count(*) AS units, count(*) FILTER (WHERE doc_id IN (SELECT doc_id FROM labels)) AS supported, count(DISTINCT text) AS contents, count(*) FILTER (WHERE doc_id IN (SELECT doc_id FROM labels)) / count(*)::DOUBLE AS coverage FROM documents",
-    "slot_coverage": f"""WITH {_UNITS}, w AS (SELECT item_id AS slot_id, list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda x: length(x) >= 5) AS all_words FROM benchmark),
- pos AS (SELECT slot_id, unnest(all_words) AS word, generate_subscripts(all_words, 1) AS i FROM w), firsts AS (SELECT slot_id, word, row_number() OVER (PARTITION BY slot_id ORDER BY min(i)) AS nth FROM pos GROUP BY slot_id, word),
- keys AS (SELECT slot_id, word FROM firsts WHERE nth <= 3), hit AS (SELECT DISTINCT k.slot_id, u.unit_id FROM units u JOIN keys k ON contains(lower(u.content), k.word) WHERE u.kind IN ('technique', 'term', 'case'))
- SELECT b.item_id AS slot_id, count(h.unit_id) AS matched FROM benchmark b LEFT JOIN hit h ON h.slot_id = b.item_id GROUP BY 1""",
     "eta_estimate": """WITH s AS (SELECT event_type, list_sort(list(value)) AS r, count(*) AS n FROM events WHERE value IS NOT NULL GROUP BY 1)
  SELECT event_type, n, (r[(n - 1) // 2 + 1] + r[n // 2 + 1]) / 2 AS median, CASE WHEN n = 1 THEN r[1] * 0.5 ELSE r[(n - 1) // 4 + 1] END AS lower, CASE WHEN n = 1 THEN r[1] * 1.5 ELSE r[(n - 1) * 3 // 4 + 1] END AS upper FROM s""",
     "channel_ewma": """SELECT user_id, round(list_reduce(list_prepend(15.0::DOUBLE, list(value ORDER BY ts, event_id)), lambda h, x: 0.3::DOUBLE * x + 0.7::DOUBLE * h), 6) AS ewma FROM events GROUP BY 1""",
@@ -190,7 +185,7 @@ ORACLES |= {
     "reference_digests": f"WITH {_UNITS} SELECT source_id, kind, count(*) AS units, sha256(string_agg(content, chr(10) ORDER BY block_ord)) AS sha256 FROM units GROUP BY 1, 2",
     "pack_publish": f"""WITH {_OLD}, n AS (SELECT unit_id AS k, CASE WHEN confidence < 0.5 THEN sha256(content) ELSE content END AS c FROM new WHERE review_status = 'approved' OR unit_id LIKE 'p%')
  SELECT coalesce(o.unit_id, n.k) AS canonical_key, CASE WHEN o.unit_id IS NULL THEN 'insert' WHEN n.k IS NULL THEN 'keep' WHEN o.content = n.c THEN 'unite' ELSE 'conflict' END AS action, concat_ws(',', CASE WHEN o.unit_id IS NOT NULL THEN 'base' END, CASE WHEN n.k IS NOT NULL THEN 'new' END) AS scopes FROM old o FULL JOIN n ON o.unit_id = n.k""",
-    "overlapping_suggestions": _pairs(r"SELECT item_id AS id, 0 AS g, list_distinct(regexp_extract_all(lower(text), '[\pL\pN_]+')) AS items FROM benchmark", 0.6, ""),
+    "overlapping_suggestions": _pairs(r"SELECT item_id AS id, 0 AS g, list_distinct(regexp_extract_all(lower(text), '[\pL\pN_]+')) AS items FROM (SELECT item_id, text FROM benchmark UNION ALL SELECT item_id + 1000000, regexp_replace(text, '( [^ ]+){1,4}$', '') FROM benchmark)", 0.6, ""),
     "path_findings": r"""WITH t AS (SELECT page_id, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS target FROM pages), c AS (SELECT page_id, CASE WHEN regexp_matches(target, '^[A-Za-z]:[\\/]') THEN 'drive' WHEN starts_with(target, '/') THEN 'absolute' WHEN regexp_matches(target, '(^|/)\.\.(/|$)') THEN 'climbs' END AS code FROM t)
  SELECT page_id, code, count(*) AS n FROM c WHERE code IS NOT NULL GROUP BY 1, 2""",
     "eta_with_prior": "WITH e AS (SELECT user_id, event_type, count(*) AS samples, avg(value) AS mean, max(value) AS most FROM events GROUP BY 1, 2), p AS (SELECT *, CASE WHEN samples >= 3 THEN mean ELSE least(24.0::DOUBLE, greatest(5.0::DOUBLE, 4 + most / 40)) END AS pt FROM e) SELECT user_id, event_type, samples, round(pt, 6) AS point, greatest(2.0::DOUBLE, 0.5::DOUBLE * round(pt, 6)) AS lower FROM p",
@@ -216,9 +211,7 @@ ORACLES |= {
  SELECT * FROM c WHERE code IS NOT NULL""",
     "substantive_lines": rf"""WITH every AS (SELECT doc_id AS id, text FROM documents UNION ALL {_CLAIM_LINES}), ln AS (SELECT id, unnest(string_split(text, chr(10))) AS line FROM every)
  SELECT id, count(*) FILTER (WHERE regexp_matches(line, '\S') AND NOT regexp_matches(line, '^\s*(?:#|---|\*\*\*|<!--)')) AS n, count(*) AS lines FROM ln GROUP BY 1""",
-    "citation_coverage": f"""WITH {_UNITS}, cited AS (SELECT DISTINCT source_id FROM units WHERE kind = 'term'), declared AS (SELECT DISTINCT substr(sha256(text), 1, 12) AS source_id FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1))
- SELECT source_id, 'undeclared' AS code, 'fail' AS severity FROM cited WHERE source_id NOT IN (SELECT source_id FROM declared) UNION ALL SELECT source_id, 'orphan', 'warn' FROM declared WHERE source_id NOT IN (SELECT source_id FROM cited)""",
-    "citation_coverage_whole": f"""WITH {_UNITS}, cited AS (SELECT DISTINCT source_id FROM units), declared AS (SELECT substr(sha256(text), 1, 12) AS source_id, count(*) AS n FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) GROUP BY 1)
+    "citation_coverage": f"""WITH {_UNITS}, cited AS (SELECT DISTINCT source_id FROM units), declared AS (SELECT substr(sha256(text), 1, 12) AS source_id, count(*) AS n FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) GROUP BY 1)
  SELECT source_id, 'undeclared' AS code, 'fail' AS severity FROM cited WHERE source_id NOT IN (SELECT source_id FROM declared) UNION ALL SELECT source_id, 'orphan', 'warn' FROM declared WHERE source_id NOT IN (SELECT source_id FROM cited)
  UNION ALL SELECT source_id, 'duplicate', 'fail' FROM declared WHERE n > 1""",
     "masked_texts": r"""WITH m AS (SELECT doc_id, text, regexp_replace(regexp_replace(regexp_replace(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+', '[masked]', 'g'), '(?:/home|/Users)/[A-Za-z0-9._-]+', '[masked]', 'g'), '\b[0-9a-f]{32,}\b', '[masked]', 'g') AS t FROM documents)
@@ -235,9 +228,6 @@ ORACLES |= {
     "size_labels": "WITH n AS (SELECT doc_id, octet_length(encode(text)) AS n FROM documents) SELECT doc_id, CASE WHEN n < 1024 THEN n || ' B' WHEN n < 1048576 THEN (n // 1024) || ' KB' ELSE (n // 1048576) || ' MB' END AS label FROM n",
     "time_labels": "SELECT event_id, strftime(ts, '%Y%m%dT%H%M%S%f') AS label FROM events",
     "ordered_words": """WITH w AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(text, '[\n ]'), lambda x: lower(trim(x))), lambda x: x <> '') AS w FROM documents), p AS (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM w),
- f AS (SELECT doc_id, x, min(i) AS i FROM p GROUP BY 1, 2), t AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS nth FROM f), j AS (SELECT doc_id, string_agg(x, ' ' ORDER BY i) AS words FROM t WHERE nth <= 20 GROUP BY 1)
- SELECT d.doc_id, coalesce(words, '') AS words FROM documents d LEFT JOIN j ON j.doc_id = d.doc_id""",
-    "ordered_words_whole": """WITH w AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(text, '[\n ]'), lambda x: lower(trim(x))), lambda x: x <> '') AS w FROM documents), p AS (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM w),
  f AS (SELECT doc_id, x, min(i) AS i FROM p GROUP BY 1, 2), j AS (SELECT doc_id, count(*) AS n, string_agg(x, ' ' ORDER BY i) AS words FROM f GROUP BY 1)
  SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n, coalesce(words, '') AS words FROM documents d LEFT JOIN j ON j.doc_id = d.doc_id""",
     "evidence_cards": "SELECT conv_id, substr(sha256(role), 1, 12) AS model_id, count(*) AS turns, sum(length(text))::BIGINT AS chars FROM conversations GROUP BY 1, 2",

@@ -254,7 +254,7 @@ def quote_ratio_pairs(spark, d):
     """Quotes of each document, and fixed ones, that are nearly the same: pairs by the ratio of matching blocks, and reordered ones by phrases that are not among these."""
     from sedimark.operators import blocks as B
 
-    b = B.blocks(K._docs(spark, d)).select(F.col("block_id").alias("id"), F.col("source_id").alias("source"), F.left("text", F.lit(240)).alias("quote")).unionByName(QUOTES.df(spark))
+    b = B.blocks(K._docs(spark, d)).select(F.col("block_id").alias("id"), F.col("source_id").alias("source"), F.col("text").alias("quote")).unionByName(QUOTES.df(spark))
     quotes = staged(b.withColumn("words", T.effective_words(F.col("quote"))), "quotes")
     near = staged(R.ratio_pairs(quotes), "near")
     return near.select("a", "b", F.lit("similar").alias("code")).unionByName(R.quote_pairs(quotes, found=near).select("a", "b", F.lit("fingerprint_similar").alias("code")))

@@ -13,7 +13,7 @@ def tables(spark, folder, **frames):
 def test_ordered_words_are_not_capped(spark, tmp_path):
     words = [f"w{i}" for i in range(50)]
     d = tables(spark, tmp_path, documents=([(1, " ".join(words + words[::-1]) + "\nLast"), (2, "")], "doc_id bigint, text string"))
-    got = {r.doc_id: (r.n, r.words) for r in catalogue.ordered_words_whole(spark, d).collect()}
+    got = {r.doc_id: (r.n, r.words) for r in catalogue.ordered_words(spark, d).collect()}
     assert got == {1: (51, " ".join([*words, "last"])), 2: (0, "")}
 
 
@@ -74,5 +74,5 @@ def test_merged_units_have_all_fields(spark, tmp_path):
 
 def test_citations_of_all_units_and_repeated_declarations(spark, tmp_path):
     d = tables(spark, tmp_path, documents=([(1, "Do it", "en"), (2, "Do it", "en"), (3, "", "en"), (4, "Go on", "en")], "doc_id bigint, text string, lang string"), labels=([(1, 1), (2, 1), (3, 1)], "doc_id bigint, quality int"))
-    got = sorted((r.code, r.severity) for r in catalogue.citation_coverage_whole(spark, d).collect())
+    got = sorted((r.code, r.severity) for r in catalogue.citation_coverage(spark, d).collect())
     assert got == [("duplicate", "fail"), ("orphan", "warn"), ("undeclared", "fail")]
