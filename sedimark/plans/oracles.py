@@ -141,6 +141,11 @@ ORACLES: dict[str, str] = {
     "ref_multiset_diff": """SELECT source, lang, count(*) AS expected, count(*) FILTER (WHERE doc_id IN (SELECT doc_id FROM labels)) AS found, 'missing' AS verdict FROM documents GROUP BY 1, 2 HAVING count(*) <> count(*) FILTER (WHERE doc_id IN (SELECT doc_id FROM labels))""",
     "conflict_pairs": "WITH sets AS (SELECT d.doc_id AS id, quality, " + _TOK + """ AS items FROM documents d JOIN labels l USING (doc_id)), tok AS (SELECT id, quality, len(items) AS n, unnest(items) AS t FROM sets),
  hit AS (SELECT a.id AS a, b.id AS b, a.n AS na, b.n AS nb, count(*) AS shared FROM tok a JOIN tok b ON a.t = b.t AND a.id < b.id AND a.quality <> b.quality GROUP BY ALL) SELECT a, b, shared, na + nb - shared AS "union" FROM hit WHERE shared >= 0.34 * (na + nb - shared) - 1e-9""",
+    "leader_clusters": f"""WITH RECURSIVE pr AS MATERIALIZED ({_pairs(f"SELECT doc_id AS id, lang AS g, {_TOK} AS items FROM documents", 0.5, "")}), late AS MATERIALIZED (SELECT b, row_number() OVER (ORDER BY b) AS n FROM (SELECT DISTINCT b FROM pr)),
+ r AS (SELECT 0::BIGINT AS n, NULL::BIGINT AS id, NULL::BIGINT AS leader, []::BIGINT[] AS follows
+  UNION ALL SELECT n + 1, b, coalesce(f, b), CASE WHEN f IS NULL THEN follows ELSE list_append(follows, b) END FROM (
+   SELECT r.n, late.b, any_value(r.follows) AS follows, min(pr.a) FILTER (WHERE NOT list_contains(r.follows, pr.a)) AS f FROM r JOIN late ON late.n = r.n + 1 JOIN pr ON pr.b = late.b GROUP BY r.n, late.b))
+ SELECT id, leader FROM r WHERE n > 0 UNION ALL SELECT doc_id, doc_id FROM documents WHERE doc_id NOT IN (SELECT b FROM late)""",
     "similar_documents": _pairs(f"SELECT doc_id AS id, 0 AS g, {_TOK} AS items FROM documents", 0.5, ""),
     "quote_shingle_dups": _pairs(f"SELECT doc_id AS id, source AS g, list_distinct([w[i] || '␟' || w[i + 1] || '␟' || w[i + 2] for i in range(1, len(w) - 1)]) AS items FROM {_SHINGLES}", 0.8, ""),
     "quote_exact_dups": f"""WITH {_BLOCKS}, q AS (SELECT lang AS source, block_id, {_words('text')} AS words, trim(regexp_replace({casefold('text')}, '[^\\p{{L}}\\p{{N}}_]+', ' ', 'g')) AS norm FROM blk)
