@@ -7,9 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sedimark.functions import semver
 from sedimark.operators.ordered import folded
-from sedimark.sources.scratch import staged, unstage
 
 # What the fields of a unit may hold.
 KINDS = ("framework", "principle", "technique", "case", "term", "anti_pattern", "decision_rule", "checklist")
@@ -89,33 +87,6 @@ def pack_decisions(base: DataFrame, candidates: DataFrame) -> DataFrame:
     return folded(rows, "canonical_key", order, ["known", "ord", "sha256", "scope"], list, step, "canonical_key string, ord bigint, relation string, disposition string, existing_sha256 string")
 
 
-def install_order(extensions: DataFrame, needs: DataFrame) -> DataFrame:
-    """extension_id, level and problem: extensions of level 0 need none of the others, and each comes behind all that it needs.
-
-    extensions: (extension_id, version); needs: (extension_id, needed, range). Problems: missing:<id>, range:<id> (the first by id), or cycle for what is on or behind one, which has no level.
-    One round of joins for each level.
-    """
-    known = extensions.select(F.col("extension_id").alias("needed"), semver.key(F.col("version")).alias("found"), F.lit(True).alias("there"))
-    checked = staged(needs.join(known, "needed", "left").select("extension_id", "needed", F.col("there").isNotNull().alias("there"), semver.in_range(F.col("found"), F.col("range")).alias("fits")), "needs")
-    fault = F.when(~F.col("there"), F.concat(F.lit("missing:"), "needed")).when(~F.col("fits"), F.concat(F.lit("range:"), "needed"))
-    faults = checked.groupBy("extension_id").agg(F.min(F.when(fault.isNotNull(), F.struct("needed", fault.alias("fault")))).alias("f")).select("extension_id", F.col("f.fault").alias("fault"))
-    edges = checked.where("there").select("extension_id", "needed")
-    todo = staged(extensions.select("extension_id"), "todo")
-    placed, level = [], 0
-    while True:
-        waits = edges.join(todo.withColumnRenamed("extension_id", "needed"), "needed", "left_semi").select("extension_id").distinct()
-        free = staged(todo.join(waits, "extension_id", "left_anti").select("extension_id", F.lit(level).cast("long").alias("level")), "level")
-        if not free.limit(1).count():
-            break
-        placed.append(free)
-        rest = staged(todo.join(free, "extension_id", "left_anti"), "todo")
-        unstage(todo)
-        todo, level = rest, level + 1
-    out = reduce(DataFrame.unionByName, placed, todo.select("extension_id", F.lit(None).cast("long").alias("level")))
-    out = out.join(faults, "extension_id", "left")
-    return out.select("extension_id", "level", F.when(F.col("level").isNull(), "cycle").otherwise(F.col("fault")).alias("problem"))
-
-
 def row_violations(units: DataFrame) -> DataFrame:
     """(unit_id, rule) for each rule that a unit's row breaks. units: (unit_id, kind, content, refs, confidence, review_status, record_version, evidence_level, evidence_note)."""
     c = F.col

@@ -12,6 +12,7 @@ from sedimark.functions import semver
 from sedimark.functions import text as T
 from sedimark.operators import blocks as B
 from sedimark.operators import checks as C
+from sedimark.operators import dependencies as D
 from sedimark.operators import governance as G
 from sedimark.operators import relate as R
 from sedimark.operators import telemetry as M
@@ -255,15 +256,42 @@ def sql_satisfies(key: str, part: str) -> str:
 _IN_RANGE = lambda key, spec: f"trim({spec}) IN ('', '*') OR (SELECT bool_and({sql_satisfies(key, 'p')}) FROM (SELECT unnest(string_split({spec}, ',')) AS p))"
 
 
-@query(f"""WITH RECURSIVE ext AS ({EXTENSIONS.sql()}), needs AS ({NEEDS.sql()}), parts AS (SELECT n.*, e.version IS NOT NULL AS there, {sql_key('e.version')} AS k, unnest(string_split(n.range, ',')) AS part FROM needs n LEFT JOIN ext e ON e.extension_id = n.needed),
- checked AS (SELECT extension_id, needed, bool_and(there) AS there, bool_and(trim(range) IN ('', '*') OR {sql_satisfies('k', 'part')}) AS fits FROM parts GROUP BY 1, 2),
+def _extensions(spark, d):
+    """Documents as extensions that need others of their block of 64, some of them none that is there, one in another version, or each other; and fixed ones."""
+    i = F.col("doc_id")
+    docs = K.table(spark, d, "documents").select("doc_id").distinct()
+    name = lambda x: F.concat(F.lit("d"), x.cast("bigint").cast("string"))
+    ext = docs.select(name(i).alias("extension_id"), F.concat(F.lit("1."), (i % 10).cast("string"), F.lit(".0")).alias("version"))
+    low, top = i % 64, i - i % 64
+    need = lambda on, to, spec: F.when(on, F.struct(to.alias("needed"), F.lit(spec).alias("range")))
+    each = F.array_compact(F.array(need((low > 0) & (i % 4 != 0), name(top + F.floor(low / 2)), ">=1.0.0,<2"), need((low > 0) & (i % 5 == 0), name(top + F.floor(low / 3)), "1.x"), need((i % 97 == 0) & (low < 63), name(i + 1), "*"), need((i % 97 == 1) & (low > 0), name(i - 1), ""), need(i % 61 == 0, name(top), "<1.0.0"), need(i % 83 == 0, F.concat(F.lit("gone"), low.cast("string")), "*")))
+    needs = docs.select(name(i).alias("extension_id"), F.explode(each).alias("n")).select("extension_id", "n.*")
+    return EXTENSIONS.df(spark).unionByName(ext), NEEDS.df(spark).unionByName(needs)
+
+
+_DOC = lambda x: f"'d' || ({x})::BIGINT"
+_GRAPH = f"""ext AS ({EXTENSIONS.sql()} UNION ALL SELECT DISTINCT 'd' || doc_id, '1.' || doc_id % 10 || '.0' FROM documents), i AS (SELECT DISTINCT doc_id AS i, doc_id % 64 AS low, doc_id - doc_id % 64 AS top FROM documents),
+ needs AS ({NEEDS.sql()} UNION ALL SELECT 'd' || i, {_DOC('top + low // 2')}, '>=1.0.0,<2' FROM i WHERE low > 0 AND i % 4 <> 0 UNION ALL SELECT 'd' || i, {_DOC('top + low // 3')}, '1.x' FROM i WHERE low > 0 AND i % 5 = 0 UNION ALL SELECT 'd' || i, {_DOC('i + 1')}, '*' FROM i WHERE i % 97 = 0 AND low < 63
+  UNION ALL SELECT 'd' || i, {_DOC('i - 1')}, '' FROM i WHERE i % 97 = 1 AND low > 0 UNION ALL SELECT 'd' || i, {_DOC('top')}, '<1.0.0' FROM i WHERE i % 61 = 0 UNION ALL SELECT 'd' || i, 'gone' || low, '*' FROM i WHERE i % 83 = 0),
+ parts AS (SELECT n.*, e.version IS NOT NULL AS there, {sql_key('e.version')} AS k, unnest(string_split(n.range, ',')) AS part FROM needs n LEFT JOIN ext e ON e.extension_id = n.needed),
+ checked AS MATERIALIZED (SELECT extension_id, needed, bool_and(there) AS there, bool_and(trim(range) IN ('', '*') OR {sql_satisfies('k', 'part')}) AS fits FROM parts WHERE extension_id IN (SELECT extension_id FROM ext) GROUP BY 1, 2),
  faults AS (SELECT extension_id, arg_min(CASE WHEN NOT there THEN 'missing:' || needed ELSE 'range:' || needed END, needed) AS fault FROM checked WHERE NOT there OR NOT fits GROUP BY 1),
- p AS (SELECT extension_id AS id, 0::BIGINT AS n FROM ext UNION SELECT c.extension_id, p.n + 1 FROM p JOIN checked c ON c.needed = p.id WHERE c.there AND p.n < (SELECT count(*) FROM ext)),
- lv AS (SELECT id, max(n) AS n FROM p GROUP BY 1) SELECT e.extension_id, CASE WHEN n < (SELECT count(*) FROM ext) THEN n END AS level, CASE WHEN n >= (SELECT count(*) FROM ext) THEN 'cycle' ELSE fault END AS problem
- FROM ext e JOIN lv ON lv.id = e.extension_id LEFT JOIN faults f ON f.extension_id = e.extension_id""")
+ edge AS MATERIALIZED (SELECT extension_id AS a, needed AS b FROM checked WHERE there),
+ reach AS (SELECT a, b FROM edge UNION SELECT r.a, e.b FROM reach r JOIN edge e ON e.a = r.b),
+ loops AS MATERIALIZED (SELECT x.a AS id, min(x.b) AS cycle FROM reach x JOIN reach y ON y.a = x.b AND y.b = x.a GROUP BY 1),
+ bad AS MATERIALIZED (SELECT extension_id AS id FROM faults UNION SELECT id FROM loops),
+ fine AS MATERIALIZED (SELECT extension_id AS id, row_number() OVER (ORDER BY extension_id) AS nth FROM ext WHERE extension_id NOT IN (SELECT id FROM bad) AND extension_id NOT IN (SELECT a FROM reach WHERE b IN (SELECT id FROM bad))),
+ deps AS MATERIALIZED (SELECT id, list(b ORDER BY b) FILTER (WHERE b IS NOT NULL) AS ds FROM fine LEFT JOIN edge ON a = id GROUP BY 1),
+ walk AS (SELECT 0::BIGINT AS step, 1::BIGINT AS pos, []::VARCHAR[] AS stack, []::VARCHAR[] AS done
+  UNION ALL SELECT step + 1, CASE WHEN pushed OR len(stack) > 0 THEN pos ELSE pos + 1 END, CASE WHEN nxt IS NOT NULL THEN list_append(stack, nxt) WHEN pushed THEN [root] WHEN len(stack) > 0 THEN stack[:-2] ELSE stack END, CASE WHEN len(stack) > 0 AND nxt IS NULL THEN list_append(done, stack[-1]) ELSE done END FROM (
+   SELECT w.*, f.id AS root, len(stack) = 0 AND NOT list_contains(done, f.id) AS pushed, list_filter(d.ds, lambda x: NOT list_contains(w.done, x))[1] AS nxt FROM walk w LEFT JOIN fine f ON f.nth = w.pos LEFT JOIN deps d ON d.id = w.stack[-1] WHERE f.id IS NOT NULL OR len(stack) > 0)),
+ placed AS (SELECT unnest(done) AS id, generate_subscripts(done, 1) - 1 AS place FROM (SELECT done FROM walk ORDER BY step DESC LIMIT 1))"""
+
+
+@query(f"""WITH RECURSIVE {_GRAPH} SELECT e.extension_id, p.place, CASE WHEN fault IS NOT NULL THEN fault WHEN l.id IS NOT NULL THEN 'cycle' WHEN p.id IS NULL THEN 'behind' END AS problem, l.cycle FROM ext e LEFT JOIN placed p ON p.id = e.extension_id LEFT JOIN faults f ON f.extension_id = e.extension_id LEFT JOIN loops l ON l.id = e.extension_id""")
 def install_order(spark, d):
-    """Levels in which extensions can be installed, and what keeps some from it."""
-    return G.install_order(EXTENSIONS.df(spark), NEEDS.df(spark))
+    """The order in which extensions can be installed, depth first by id, and what keeps some from it."""
+    return D.install_plan(*_extensions(spark, d))
 
 
 @query(f"""WITH v AS {_EVENT_VERSIONS}, k AS (SELECT version, {sql_key('version')} AS k FROM v) SELECT version, k.a AS major, k.b AS minor, k.c AS patch, k IS NOT NULL AS valid, CASE WHEN k IS NOT NULL THEN dense_rank() OVER (PARTITION BY k IS NOT NULL ORDER BY k) END AS place FROM k""")

@@ -4,6 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from sedimark.operators import dependencies as D
 from sedimark.operators import governance as G
 from sedimark.operators import products as P
 from sedimark.operators import reviews as V
@@ -24,21 +25,59 @@ def test_log_against_a_stack(spark):
     assert got == {s: (st[-1][0], st[-1][2]) for s, st in stacks.items() if st}
 
 
-def test_install_levels_put_needs_first(spark):
+def plain_order(ids, needs):
+    """Depth first by id, each behind all that it needs."""
+    out = []
+
+    def visit(x):
+        if x not in out:
+            for y in sorted(b for a, b, _ in needs if a == x):
+                visit(y)
+            out.append(x)
+
+    for x in sorted(ids):
+        visit(x)
+    return out
+
+
+def test_install_order_is_depth_first_by_id(spark):
     rng = random.Random(6)
-    ids = [f"x{i:02d}" for i in range(40)]
-    needs = [(a, b, "") for i, a in enumerate(ids) for b in rng.sample(ids[:i], min(i, rng.randrange(0, 3)))]
-    rows = G.install_order(spark.createDataFrame([(i, "1.0.0") for i in ids], "extension_id string, version string"), spark.createDataFrame(needs, "extension_id string, needed string, range string")).collect()
-    level = {r.extension_id: r.level for r in rows}
-    assert len(rows) == 40 and all(r.problem is None for r in rows)
-    for i in ids:
-        below = [level[b] for a, b, _ in needs if a == i]
-        assert level[i] == (max(below) + 1 if below else 0)
+    ids = [f"x{i:02d}" for i in range(40)] + ["alone", "zz"]
+    rank = rng.sample(ids, len(ids))
+    needs = [(a, b, "") for i, a in enumerate(rank) for b in rng.sample(rank[:i], min(i, rng.randrange(0, 3)))]
+    tables = lambda needs: (spark.createDataFrame([(i, "1.0.0") for i in ids], "extension_id string, version string"), spark.createDataFrame(needs, "extension_id string, needed string, range string"))
+    rows = D.install_plan(*tables(needs + needs[:3] + [("nobody", "x01", "")])).collect()
+    assert [r.extension_id for r in sorted(rows, key=lambda r: r.place)] == plain_order(ids, needs) and all(r.problem is None for r in rows)
+    first, *_, last = plain_order(ids, needs)
+    rows = {r.extension_id: r for r in D.install_plan(*tables([*needs, (rank[0], "gone", ""), ("alone", "zz", ""), ("zz", "alone", "*")])).collect()}
+    reach = {x: {x} for x in ids}
+    for _ in ids:
+        for a, b, _ in needs:
+            reach[a] |= reach[b]
+    loop = {"alone", "zz"}
+    for x in ids:
+        bad = rank[0] in reach[x] or loop & reach[x]
+        assert (rows[x].place is None) == bool(bad) and rows[x].cycle == ("alone" if x in loop else None)
+        assert rows[x].problem == ("missing:gone" if x == rank[0] else "cycle" if x in loop else "behind" if bad else None)
+    left = [x for x in ids if rows[x].place is not None]
+    assert sorted(left, key=lambda x: rows[x].place) == plain_order(left, [n for n in needs if n[0] in left])
+
+
+def test_cycles_against_reachability():
+    rng = random.Random(9)
+    for _ in range(60):
+        ids = [f"n{i}" for i in range(9)]
+        needs = {a: sorted({rng.choice(ids) for _ in range(rng.randrange(3))}) for a in ids}
+        reach = {a: set(needs[a]) for a in ids}
+        for _ in ids:
+            for a in ids:
+                reach[a] |= {c for b in reach[a] for c in reach[b]}
+        assert D.cycles(needs) == {a: min(b for b in ids if b in reach[a] and a in reach[b]) for a in ids if a in reach[a]}
 
 
 def test_empty_tables(spark):
     empty = lambda kinds: spark.createDataFrame([], kinds)
-    assert G.install_order(empty("extension_id string, version string"), empty("extension_id string, needed string, range string")).collect() == []
+    assert D.install_plan(empty("extension_id string, version string"), empty("extension_id string, needed string, range string")).collect() == []
     assert G.update_decision(empty("change string"), empty("x int"), empty("x int"), empty("override_id string")).first().blocker == "no_changes"
     assert [tuple(r) for r in V.publish_blockers(empty("unit_id string, review_status string"), empty("conflict_id string")).collect()] == [("no_units", None)]
     assert V.report_status(empty("status string")).first().status == "pass"
