@@ -156,6 +156,8 @@ def _texts(df: DataFrame, tokenizer: str, id_col: str, text_col: str, limit: int
         out = []
         for ids, n_words, data in zip(left["ids"], left["lengths"], left["data"]):
             codes, bounds = unsqueeze(data.as_buffer()), starts(unsqueeze(n_words.as_buffer()))
+            some = per_word[codes] > 0  # words of other white space have no ids
+            codes, bounds = codes[some], starts(some)[bounds]
             where = pa.array(codes)
             lengths = np.diff(starts(per_word[codes])[bounds])
             out.append(
