@@ -9,7 +9,7 @@ from __future__ import annotations
 import glob as globs
 import os
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 from xml.etree.ElementTree import ParseError
 
@@ -63,6 +63,27 @@ def discover(spark: SparkSession, inputs: list[str], recursive: bool = True) ->
     return scan(spark, [f"file://{os.path.abspath(p)}" for p in paths]).unionByName(rows) if paths else rows
 
 
+def gate(path: str, length: int, content: Callable[[], bytes]) -> tuple[str | None, str | None, str | None]:
+    """format, what told it, and error of one file; the content is asked for only if the length passes."""
+    if not length or length > MAX_BYTES:
+        return None, None, "too_large" if length else "empty"
+    data, name = content(), path.rsplit("/", 1)[-1]
+    kind, told = detect(data, name.rsplit(".", 1)[-1].lower() if "." in name else "")
+    if kind is None:
+        return kind, told, "unknown_format"
+    if kind in ("epub", "docx") and archive_fault(data):
+        return kind, told, "damaged"
+    return kind, told, "locked" if kind in ("mobi", "azw", "azw3") and is_locked(data) else None
+
+
+def read_blocks(kind: str, data: bytes) -> tuple[list[tuple[str | None, str | None]], str | None]:
+    """The blocks of one file and its error; a file that cannot be read has one empty block."""
+    try:
+        return file_blocks(kind, data), None
+    except (ValueError, zipfile.BadZipFile, KeyError, ParseError, RuntimeError) as e:
+        return [(None, None)], str(e) if isinstance(e, ValueError) and not isinstance(e, UnicodeError) else "unreadable"
+
+
 def scan(spark: SparkSession, path: str | list[str], glob: str | None = None, recursive: bool = True) -> DataFrame:
     """path, length, format, format_source, content_sha256, content and error (null if the file passes) of all files under path.
 
@@ -77,19 +98,7 @@ def scan(spark: SparkSession, path: str | list[str], glob: str | None = None, re
         for batch in batches:
             rows: list[list] = [[], [], []]
             for path, length, content in zip(*[batch[c] for c in ("path", "length", "content")]):
-                n, kind, told, error = length.as_py(), None, None, None
-                if not n or n > MAX_BYTES:
-                    error = "too_large" if n else "empty"
-                else:
-                    data = content.as_py()
-                    name = path.as_py().rsplit("/", 1)[-1]
-                    kind, told = detect(data, name.rsplit(".", 1)[-1].lower() if "." in name else "")
-                    if kind is None:
-                        error = "unknown_format"
-                    elif kind in ("epub", "docx") and archive_fault(data):
-                        error = "damaged"
-                    elif kind in ("mobi", "azw", "azw3") and is_locked(data):
-                        error = "locked"
+                kind, told, error = gate(path.as_py(), length.as_py(), content.as_py)
                 for column, value in zip(rows, (kind, told, error)):
                     column.append(value)
             extra = [pa.array(c, pa.string()) for c in rows]
@@ -111,10 +120,7 @@ def extract(files: DataFrame) -> DataFrame:
         names = ["source_id", "path", "block_ord", "locator", "text", "error"]
         for batch in batches:
             for sid, path, kind, content in zip(*[batch[c] for c in ("source_id", "path", "format", "content")]):
-                try:
-                    found, error = file_blocks(kind.as_py(), content.as_py()), None
-                except (ValueError, zipfile.BadZipFile, KeyError, ParseError, RuntimeError) as e:
-                    found, error = [(None, None)], str(e) if isinstance(e, ValueError) and not isinstance(e, UnicodeError) else "unreadable"
+                found, error = read_blocks(kind.as_py(), content.as_py())
                 n = len(found)
                 same = lambda v: pa.array([v] * n, pa.string())
                 texts = [pa.array([x[i] for x in found], pa.string()) for i in (0, 1)]
