@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from sedimark.operators import blocks as B
 from sedimark.operators import packs as P
+from sedimark.operators import trees as R
+from sedimark.sources.scratch import fresh_path, remove_on_exit
 
 from . import catalogue as K
 from . import oracles as O
@@ -106,3 +108,46 @@ def escaped_digests(spark, d):
     """Digests of canonical JSON in which characters beyond ASCII are escaped, as a pack's hash takes them."""
     rows = K._with_literals(spark, d).where(~F.col("text").rlike(r"[\x00-\x08\x0B\x0E-\x1F]")).unionByName(spark.createDataFrame([(-30, "astral 😀𝒳é")], "id bigint, text string"))
     return rows.select("id", F.sha2(P.escaped(B.canonical_json(rows.select("id", "text"))), 256).alias("sha256"))
+
+
+def _files(spark, d):
+    name = F.concat(F.lit("doc-"), F.lpad(F.col("doc_id").cast("string"), 20, "0"), F.lit(".txt"))
+    return K.table(spark, d, "documents").select("doc_id", "source", name.alias("path"), F.sha2("text", 256).alias("sha256"))
+
+
+@query("""WITH f AS (SELECT source, 'doc-' || lpad(doc_id::VARCHAR, 20, '0') || '.txt' AS path, sha256(text) AS h FROM documents) SELECT source, count(*) AS files, sha256(string_agg(octet_length(encode(path)) || ':' || path || octet_length(encode(h)) || ':' || h, '' ORDER BY path)) AS digest FROM f GROUP BY 1""")
+def framed_digests(spark, d):
+    """The length-prefixed digest of each source's files."""
+    return R.framed_digests(_files(spark, d), "source")
+
+
+@query("""WITH RECURSIVE f AS (SELECT 'doc-' || lpad(doc_id::VARCHAR, 20, '0') || '.txt' AS path, sha256(text) AS h FROM documents),
+ l3 AS (SELECT left(sha256(path), 3) AS prefix, count(*) AS files, sha256(string_agg(octet_length(encode(path)) || ':' || path || octet_length(encode(h)) || ':' || h, '' ORDER BY path)) AS digest FROM f GROUP BY 1),
+ l2 AS (SELECT left(prefix, 2) AS p, sum(files)::BIGINT AS files, sha256(string_agg(prefix || '=' || digest, ';' ORDER BY prefix)) AS digest FROM l3 GROUP BY 1), l1 AS (SELECT left(p, 1) AS q, sum(files)::BIGINT AS files, sha256(string_agg(p || '=' || digest, ';' ORDER BY p)) AS digest FROM l2 GROUP BY 1)
+ SELECT *, 3 AS depth FROM l3 UNION ALL SELECT *, 2 FROM l2 UNION ALL SELECT *, 1 FROM l1 UNION ALL SELECT '', sum(files)::BIGINT, sha256(string_agg(q || '=' || digest, ';' ORDER BY q)), 0 FROM l1""")
+def digest_tree(spark, d):
+    """All nodes of the digest tree of the documents."""
+    return R.digest_tree(_files(spark, d).select("path", "sha256"))
+
+
+@query("""WITH a AS (SELECT 'doc-' || lpad(doc_id::VARCHAR, 20, '0') || '.txt' AS path, sha256(text) AS h, doc_id FROM documents), b AS (SELECT path, CASE WHEN doc_id % 50 = 0 THEN sha256(h) ELSE h END AS h FROM a WHERE doc_id % 77 <> 3 UNION ALL SELECT 'page-' || page_id, sha256(html) FROM pages WHERE page_id % 90 = 1)
+ SELECT path, CASE WHEN a.h IS NULL THEN 'added' WHEN b.h IS NULL THEN 'removed' ELSE 'modified' END AS change FROM a FULL JOIN b USING (path) WHERE a.h IS DISTINCT FROM b.h""")
+def tree_changes(spark, d):
+    """What has changed between two stored trees, found by their digests."""
+    old = _files(spark, d)
+    new = old.where("doc_id % 77 <> 3").select("path", F.when(F.col("doc_id") % 50 == 0, F.sha2("sha256", 256)).otherwise(F.col("sha256")).alias("sha256"))
+    new = new.unionByName(K.table(spark, d, "pages").where("page_id % 90 = 1").select(F.concat(F.lit("page-"), F.col("page_id").cast("string")).alias("path"), F.sha2("html", 256).alias("sha256")))
+    paths = [fresh_path(spark, "tree") for _ in "ab"]
+    for files, path in zip((old.select("path", "sha256"), new), paths):
+        remove_on_exit(spark, path)
+        R.write_tree(files, path)
+    return R.compare_trees(spark, *paths)
+
+
+@query("""WITH f AS (SELECT source, ['references', 'assets', 'scripts', 'docs'][(doc_id % 4 + 1)::INT] || '/' || lang || '/' || doc_id || '.txt' AS path, hex(encode(text)) AS h, octet_length(encode(text)) AS n FROM documents)
+ SELECT source, count(*) AS files, sha256(unhex(string_agg(format('{:08x}', octet_length(encode(path))) || hex(encode(path)) || format('{:016x}', n) || h, '' ORDER BY string_split(path, '/')))) AS digest FROM f WHERE NOT starts_with(path, 'docs/') GROUP BY 1""")
+def consumer_digests(spark, d):
+    """The digest of what consumers see of each source's files."""
+    folder = F.get(F.array(*[F.lit(x) for x in ("references", "assets", "scripts", "docs")]), (F.col("doc_id") % 4).cast("int"))
+    path = F.concat(folder, F.lit("/"), "lang", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt"))
+    return R.consumer_digests(K.table(spark, d, "documents").select("source", path.alias("path"), F.col("text").cast("binary").alias("content")), "source")
