@@ -114,6 +114,19 @@ def detected_conflicts(spark, d):
 SUGGESTED = Rows("id bigint, text string", ((-5, "Plan the week ahead of time"), (-4, "plan the WEEK ahead of the time"), (-3, "写代码 plan"), (-2, "写代码 PLAN"), (-1, "!!!")))
 
 
+_MARKED = " OR ".join(f"contains(lower(content), {sql_value(m)})" for m in R.NEGATION_MARKERS)
+
+
+@query(f"""WITH {O._UNITS}, u AS MATERIALIZED (SELECT unit_id AS id, {_MARKED} AS negated, list_sort(list_distinct(regexp_extract_all(lower(content), '[a-z0-9]+'))) AS items FROM units WHERE lang = 'en' OR kind = 'principle'),
+ p AS MATERIALIZED (SELECT id, negated, sha256(array_to_string(items, ' ')) AS class_id, items FROM u), t AS (SELECT id, negated, class_id, unnest(items) AS token FROM p),
+ hit AS (SELECT DISTINCT a.id, b.id AS other FROM t a JOIN t b ON a.token = b.token AND a.class_id <> b.class_id AND (a.negated OR b.negated)), n AS (SELECT id, count(*) AS links FROM hit GROUP BY 1)
+ SELECT class_id, negated, count(*) AS members, coalesce(any_value(links), 0)::BIGINT AS links FROM p LEFT JOIN n USING (id) GROUP BY 1, 2""")
+def conflict_links(spark, d):
+    """With how many others each class of equal lines is in conflict by negation: English lines of documents as principles."""
+    units = K._units(spark, d).where("lang = 'en' or kind = 'principle'").select(F.col("unit_id").alias("id"), F.lit("principle").alias("kind"), "content")
+    return R.negated_links(units)
+
+
 @query(O._pairs(f"SELECT id, 0 AS g, list_distinct(regexp_extract_all({O.casefold('text')}, '[\\p{{L}}\\p{{N}}_]+')) AS items FROM (SELECT item_id AS id, text FROM benchmark UNION ALL {SUGGESTED.sql()})", 0.6, ""))
 def suggestion_overlaps(spark, d):
     """Suggestions whose words overlap by 0.6 or more: benchmark items and fixed ones."""
