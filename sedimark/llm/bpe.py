@@ -32,7 +32,7 @@ from .common import bucketed, staged
 from .packing import WordIds
 
 #: Bytes of text in a block, and the distinct words that a task remembers at most.
-BLOCK, REMEMBERED = 32 << 20, 2_000_000
+BLOCK, REMEMBERED = 16 << 20, 1_000_000
 
 
 def vocabulary(tokenizer: str) -> list[str]:
