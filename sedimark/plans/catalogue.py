@@ -529,10 +529,10 @@ def eta_with_prior(spark, d):
 
 @query
 def running_budget(spark, d):
-    """The events of each user that fit a budget of 500 in order of time."""
-    rows = carried(table(spark, d, "events").select("user_id", "ts", "event_id", "value"), ["user_id"], ["ts", "event_id"], {"s": F.col("value")})
-    rows = rows.select("user_id", "event_id", F.round("s", 6).alias("spent"))
-    return rows.where("spent <= 500").select("user_id", "event_id", "spent")
+    """The events of each user that are admitted in order of time: as long as fewer than 40 calls have been made and less than 500 has been spent before."""
+    rows = carried(table(spark, d, "events").select("user_id", "ts", "event_id", "value"), ["user_id"], ["ts", "event_id"], {"s": F.col("value"), "n": F.lit(1)})
+    rows = rows.select("user_id", "event_id", F.col("n").cast("long").alias("calls"), F.round("s", 6).alias("spent"), F.round(F.col("s") - F.col("value"), 6).alias("before"))
+    return rows.where("calls <= 40 and before < 500").drop("before")
 
 
 # --- lines, rows and labels -----------------------------------------------------------------------------------------------------

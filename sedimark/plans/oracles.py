@@ -194,7 +194,7 @@ ORACLES |= {
     "path_findings": r"""WITH t AS (SELECT page_id, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS target FROM pages), c AS (SELECT page_id, CASE WHEN regexp_matches(target, '^[A-Za-z]:[\\/]') THEN 'drive' WHEN starts_with(target, '/') THEN 'absolute' WHEN regexp_matches(target, '(^|/)\.\.(/|$)') THEN 'climbs' END AS code FROM t)
  SELECT page_id, code, count(*) AS n FROM c WHERE code IS NOT NULL GROUP BY 1, 2""",
     "eta_with_prior": "WITH e AS (SELECT user_id, event_type, count(*) AS samples, avg(value) AS mean, max(value) AS most FROM events GROUP BY 1, 2), p AS (SELECT *, CASE WHEN samples >= 3 THEN mean ELSE least(24.0::DOUBLE, greatest(5.0::DOUBLE, 4 + most / 40)) END AS pt FROM e) SELECT user_id, event_type, samples, round(pt, 6) AS point, greatest(2.0::DOUBLE, 0.5::DOUBLE * round(pt, 6)) AS lower FROM p",
-    "running_budget": "SELECT user_id, event_id, spent FROM (SELECT user_id, event_id, round(sum(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), 6) AS spent FROM events) WHERE spent <= 500",
+    "running_budget": "SELECT user_id, event_id, n AS calls, round(s, 6) AS spent FROM (SELECT user_id, event_id, value, row_number() OVER w AS n, sum(value) OVER w AS s FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)) WHERE n <= 40 AND round(s - value, 6) < 500",
 }
 
 _CLAIM_LINES = """SELECT -20::BIGINT AS id, array_to_string(['This always works', '```', 'It guarantees success', '```', 'It does not guarantee success', '证明了这一点', '不保证', 'This demonstrates it', '# head', '---', '<!-- note -->', 'mail a.b@c.org now'], chr(10)) AS text"""
