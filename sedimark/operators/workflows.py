@@ -114,3 +114,59 @@ def furthest_progress(events: DataFrame, key: str, order: list[str], stage: str,
             passed = passed | (x.isNotNull() & (F.col(f"at{i}").isNull() | (x < F.col(f"at{i}"))))
         percent = percent + F.lit(stages[n] / total) * F.when(passed, 1.0).otherwise(F.coalesce(f"f{i}", F.lit(0.0)))
     return by.select(key, F.round(100 * percent, 6).alias("percent"))
+
+
+# The pages of a wiki and the kinds that each shows.
+WIKI = {"wiki/chapters.md": ("framework", "principle"), "wiki/glossary.md": ("term",), "wiki/patterns.md": ("principle", "anti_pattern"), "wiki/cheatsheet.md": ("technique", "checklist", "decision_rule")}
+
+
+def wiki_parts(units: DataFrame) -> DataFrame:
+    """source_id, file, place (from 0) and text: the pages of each source's wiki in parts, which joined by line ends, with one at the end, are the page.
+
+    Chapters have the frameworks, numbered, and behind them one chapter of all principles; the glossary has the terms in order of their lower-cased first lines, equal ones in order of the source; patterns list
+    principles and anti-patterns by their first lines; the cheatsheet has the first three lines of what tells what to do. A page without units is left out. A unit without a first line is called by its id.
+    """
+    content = F.coalesce("content", F.lit(""))
+    line = stripped(first_line(content))
+    named = units.where(F.col("kind").isin(*{k for kinds in WIKI.values() for k in kinds})).select("source_id", "unit_id", "kind", "ord", content.alias("content"), F.when(line == "", F.col("unit_id")).otherwise(line).alias("name"), line.alias("line"))
+    frameworks = numbered(named.where("kind = 'framework'"), ["source_id"], ["ord", "unit_id"], "n", 1)
+    text = lambda *lines: F.concat_ws("\n", *[F.lit(x) if isinstance(x, str) else x for x in lines])
+    blank = F.lit("")
+
+    def parts(df: DataFrame, file: str, section: int, order: Column, body: Column) -> DataFrame:
+        return df.select("source_id", F.lit(file).alias("file"), F.lit(section).alias("section"), order.alias("o1"), F.col("ord").alias("o2"), F.col("unit_id").alias("o3"), body.alias("text"))
+
+    def heads(df: DataFrame, file: str, section: int, body: Column) -> DataFrame:
+        return df.select("source_id", *[c for c in df.columns if c == "n"]).distinct().select("source_id", F.lit(file).alias("file"), F.lit(section).alias("section"), F.lit("").alias("o1"), F.lit(0).cast("bigint").alias("o2"), F.lit("").alias("o3"), body.alias("text"))
+
+    of = lambda *kinds: named.where(F.col("kind").isin(*kinds))
+    n = F.col("n").cast("string")
+    chapters, glossary, patterns, cheats = WIKI
+    last = units.select("source_id").distinct().join(frameworks.groupBy("source_id").agg(F.max("n").alias("n")), "source_id", "left").select("source_id", (F.coalesce("n", F.lit(0)) + 1).alias("n"))
+    title = F.initcap(F.replace("kind", F.lit("_"), F.lit(" ")))
+    quoted = F.transform(F.slice(F.split(stripped(F.col("content")), f"\r\n|[{LINE_END}]"), 1, 3), lambda x: F.concat(F.lit("> "), x))
+    found = [
+        heads(of("framework", "principle"), chapters, 0, text(F.concat(F.lit("# Chapters — "), "source_id"), blank)),
+        parts(frameworks, chapters, 1, F.lpad(n, 20, "0"), text(F.concat(F.lit("## "), n, F.lit(". "), F.when(F.col("line") == "", F.concat(F.lit("Framework "), n)).otherwise(F.col("line"))), blank, F.col("content"), blank)),
+        heads(of("principle").select("source_id").distinct().join(last, "source_id"), chapters, 2, text(F.concat(F.lit("## "), n, F.lit(". Principles")), blank)),
+        parts(of("principle"), chapters, 3, blank, text(F.concat(F.lit("### "), "name"), blank, F.col("content"), blank)),
+        heads(of("term"), glossary, 0, text("# Glossary", blank)),
+        parts(of("term"), glossary, 1, F.lower("line"), text(F.concat(F.lit("**"), "name", F.lit("**")), blank, F.col("content"), blank)),
+        heads(of("principle", "anti_pattern"), patterns, 0, text("# Patterns & Anti-Patterns", blank)),
+        *[x for k, (kind, head) in enumerate((("principle", "## Patterns"), ("anti_pattern", "## Anti-Patterns"))) for x in (heads(of(kind), patterns, 3 * k + 1, text(head, blank)), parts(of(kind), patterns, 3 * k + 2, blank, F.concat(F.lit("- "), "name")), heads(of(kind), patterns, 3 * k + 3, blank))],
+        heads(of("technique", "checklist", "decision_rule"), cheats, 0, text(F.concat(F.lit("# Cheatsheet — "), "source_id"), blank)),
+        parts(of("technique", "checklist", "decision_rule"), cheats, 1, blank, F.concat_ws("\n", F.concat(F.lit("## "), title, F.lit(": "), "name"), blank, F.when(F.col("line") != "", F.array_join(quoted, "\n")), blank)),
+    ]
+    rows = found[0]
+    for more in found[1:]:
+        rows = rows.unionByName(more)
+    return numbered(rows, ["source_id", "file"], ["section", "o1", "o2", "o3"], "place").select("source_id", "file", "place", "text")
+
+
+def wiki_pages(units: DataFrame) -> DataFrame:
+    """source_id, file, parts and the SHA-256 of each page's text, streamed."""
+    from sedimark.operators.blocks import joined_digests
+
+    rows = wiki_parts(units).select(F.to_json(F.struct("source_id", "file")).alias("page"), "place", "text")
+    pages = joined_digests(rows, "page", "text", "\n", last="\n", order=["place"])
+    return pages.select(F.get_json_object("page", "$.source_id").alias("source_id"), F.get_json_object("page", "$.file").alias("file"), F.col("entries").alias("parts"), F.col("digest").alias("sha256"))

@@ -112,3 +112,36 @@ def _share(i: int) -> str:
 def weighted_progress(spark, d):
     """How far each user has come over all stages; stages that were passed over count fully."""
     return W.furthest_progress(K.table(spark, d, "events"), "user_id", ["ts", "event_id"], "event_type", F.col("value") / 200, STAGES)
+
+
+_TRIMMED = _STRIP(_LINE)
+_NAME = f"CASE WHEN {_TRIMMED} = '' THEN unit_id ELSE {_TRIMMED} END"
+_NL = "chr(10)"
+_QUOTED = f"array_to_string(list_transform(regexp_split_to_array({_STRIP('content')}, {quoted(chr(92) + 'r' + chr(92) + 'n|[' + _sql(W.LINE_END) + ']')})[1:3], lambda x: '> ' || x), {_NL})"
+_PARTS = f"""w AS MATERIALIZED (SELECT source_id, unit_id, kind, ord, content, {_TRIMMED} AS line, {_NAME} AS name, {_TITLE} AS title, {_QUOTED} AS three FROM turns),
+ fr AS (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY ord, unit_id) AS n FROM w WHERE kind = 'framework'), la AS (SELECT w.source_id, count(*) FILTER (WHERE kind = 'framework') + 1 AS n FROM w GROUP BY 1),
+ x AS (SELECT DISTINCT source_id, 'wiki/chapters.md' AS file, 0 AS section, '' AS o1, 0::BIGINT AS o2, '' AS o3, '# Chapters — ' || source_id || {_NL} AS text FROM w WHERE kind IN ('framework', 'principle')
+  UNION ALL SELECT source_id, 'wiki/chapters.md', 1, lpad(n::VARCHAR, 20, '0'), ord, unit_id, '## ' || n || '. ' || CASE WHEN line = '' THEN 'Framework ' || n ELSE line END || {_NL} || {_NL} || content || {_NL} FROM fr
+  UNION ALL SELECT DISTINCT source_id, 'wiki/chapters.md', 2, '', 0, '', '## ' || n || '. Principles' || {_NL} FROM w JOIN la USING (source_id) WHERE kind = 'principle'
+  UNION ALL SELECT source_id, 'wiki/chapters.md', 3, '', ord, unit_id, '### ' || name || {_NL} || {_NL} || content || {_NL} FROM w WHERE kind = 'principle'
+  UNION ALL SELECT DISTINCT source_id, 'wiki/glossary.md', 0, '', 0, '', '# Glossary' || {_NL} FROM w WHERE kind = 'term'
+  UNION ALL SELECT source_id, 'wiki/glossary.md', 1, lower(line), ord, unit_id, '**' || name || '**' || {_NL} || {_NL} || content || {_NL} FROM w WHERE kind = 'term'
+  UNION ALL SELECT DISTINCT source_id, 'wiki/patterns.md', 0, '', 0, '', '# Patterns & Anti-Patterns' || {_NL} FROM w WHERE kind IN ('principle', 'anti_pattern')
+  UNION ALL SELECT DISTINCT source_id, 'wiki/patterns.md', CASE kind WHEN 'principle' THEN 1 ELSE 4 END, '', 0, '', CASE kind WHEN 'principle' THEN '## Patterns' ELSE '## Anti-Patterns' END || {_NL} FROM w WHERE kind IN ('principle', 'anti_pattern')
+  UNION ALL SELECT source_id, 'wiki/patterns.md', CASE kind WHEN 'principle' THEN 2 ELSE 5 END, '', ord, unit_id, '- ' || name FROM w WHERE kind IN ('principle', 'anti_pattern')
+  UNION ALL SELECT DISTINCT source_id, 'wiki/patterns.md', CASE kind WHEN 'principle' THEN 3 ELSE 6 END, '', 0, '', '' FROM w WHERE kind IN ('principle', 'anti_pattern')
+  UNION ALL SELECT DISTINCT source_id, 'wiki/cheatsheet.md', 0, '', 0, '', '# Cheatsheet — ' || source_id || {_NL} FROM w WHERE kind IN ('technique', 'checklist', 'decision_rule')
+  UNION ALL SELECT source_id, 'wiki/cheatsheet.md', 1, '', ord, unit_id, '## ' || title || ': ' || name || {_NL} || {_NL} || CASE WHEN line = '' THEN '' ELSE three || {_NL} END FROM w WHERE kind IN ('technique', 'checklist', 'decision_rule')),
+ part AS (SELECT source_id, file, row_number() OVER (PARTITION BY source_id, file ORDER BY section, o1, o2, o3) - 1 AS place, text FROM x)"""
+
+
+@query(f"WITH {_TURNS}, {_PARTS} SELECT source_id, file, place, text FROM part")
+def wiki_parts(spark, d):
+    """The pages of each conversation's wiki, in parts."""
+    return W.wiki_parts(_turns(spark, d))
+
+
+@query(f"WITH {_TURNS}, {_PARTS} SELECT source_id, file, count(*) AS parts, sha256(string_agg(text, {_NL} ORDER BY place) || {_NL}) AS sha256 FROM part GROUP BY 1, 2")
+def wiki_pages(spark, d):
+    """How many parts each page of a wiki has, and its digest."""
+    return W.wiki_pages(_turns(spark, d))
