@@ -170,3 +170,52 @@ def wiki_pages(units: DataFrame) -> DataFrame:
     rows = wiki_parts(units).select(F.to_json(F.struct("source_id", "file")).alias("page"), "place", "text")
     pages = joined_digests(rows, "page", "text", "\n", last="\n", order=["place"])
     return pages.select(F.get_json_object("page", "$.source_id").alias("source_id"), F.get_json_object("page", "$.file").alias("file"), F.col("entries").alias("parts"), F.col("digest").alias("sha256"))
+
+
+# Prompts where a product has fewer than three of its own; {} is its name. The rows of a corpus: id, kind, whose prompt it has (or its own), whether it triggers, and what is asserted.
+POSITIVE = ("Use {} to complete its documented workflow.", "Apply {} to a concrete, in-scope task.", "Help me execute the {} method step by step.")
+NEGATIVE = ("Reproduce the source document verbatim.", "Answer an unrelated general-knowledge question.", "Act outside the documented usage boundary without confirmation.")
+FIXTURES = (
+    ("PT-1", "positive_trigger", ("use", 1), True, ("skill_selected", "workflow_started")),
+    ("PT-2", "positive_trigger", ("use", 2), True, ("skill_selected", "workflow_started")),
+    ("PT-3", "positive_trigger", ("use", 3), True, ("skill_selected", "workflow_started")),
+    ("NT-1", "negative_trigger", ("not", 1), False, ("skill_not_selected",)),
+    ("NT-2", "negative_trigger", ("not", 2), False, ("skill_not_selected",)),
+    ("NT-3", "negative_trigger", ("not", 3), False, ("skill_not_selected",)),
+    ("EX-1", "normal_execution", ("use", 1), True, ("required_inputs_checked", "documented_output_returned")),
+    ("MI-1", "missing_input", "Run {}, but I have not supplied the required input.", True, ("missing_input_reported", "no_fabrication")),
+    ("CF-1", "conflict", "Run {} when two cited methods conflict.", True, ("conflict_preserved", "no_silent_resolution")),
+    ("OS-1", "out_of_scope", ("not", 1), False, ("usage_boundary_enforced",)),
+    ("OF-1", "output_format", "Run {} and return only its documented output contract.", True, ("output_contract_satisfied",)),
+)
+
+
+def _spelled(pattern: str, name: Column) -> Column:
+    head, sep, tail = pattern.partition("{}")
+    return F.concat(F.lit(head), name, F.lit(tail)) if sep else F.lit(head)
+
+
+def fixture_rows(products: DataFrame) -> DataFrame:
+    """name, refs and fixtures (an array of 11 structs, fields in order of name) of products (name, use_when, do_not_use_when, refs: arrays); blank prompts and nulls do not count."""
+    name = F.col("name")
+
+    def three(column: str, fallbacks: tuple[str, ...]) -> Column:
+        own = F.filter(F.transform(F.coalesce(column, F.array().cast("array<string>")), stripped), lambda x: F.coalesce(x != "", F.lit(False)))
+        return F.slice(F.concat(own, F.array_except(F.array(*[_spelled(f, name) for f in fallbacks]), own)), 1, 3)
+
+    rows = products.select("name", "refs", three("use_when", POSITIVE).alias("use"), three("do_not_use_when", NEGATIVE).alias("not"))
+    fixture = lambda i, kind, prompt, triggers, said: F.struct(F.array(*[F.lit(a) for a in said]).alias("assertions"), F.lit(i).alias("fixture_id"), F.lit(kind).alias("kind"), (_spelled(prompt, name) if isinstance(prompt, str) else F.col(prompt[0])[prompt[1] - 1]).alias("prompt"), F.lit(triggers).alias("should_trigger"))
+    return rows.select("name", "refs", F.array(*[fixture(*f) for f in FIXTURES]).alias("fixtures"))
+
+
+def fixture_corpus(products: DataFrame) -> DataFrame:
+    """name, place (from 0), fixture_id, kind, prompt, should_trigger and assertions: the 11 rows of each product."""
+    rows = fixture_rows(products).select("name", F.posexplode("fixtures").alias("place", "f"))
+    return rows.select("name", F.col("place").cast("long").alias("place"), "f.fixture_id", "f.kind", "f.prompt", "f.should_trigger", F.array_join("f.assertions", ",").alias("assertions"))
+
+
+def fixture_sets(products: DataFrame) -> DataFrame:
+    """name and fixture_set_id, the digest of the canonical JSON of a product's fixtures and its sorted references."""
+    refs = F.array_sort(F.coalesce("refs", F.array().cast("array<string>")))
+    identity = F.struct("fixtures", refs.alias("ir_knowledge_refs"), F.lit(1).alias("schema_version"), F.col("name").alias("skill_name"))
+    return fixture_rows(products).select("name", F.sha2(F.to_json(identity), 256).alias("fixture_set_id"))

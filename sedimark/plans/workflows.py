@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sedimark.functions import text as T
@@ -145,3 +146,46 @@ def wiki_parts(spark, d):
 def wiki_pages(spark, d):
     """How many parts each page of a wiki has, and its digest."""
     return W.wiki_pages(_turns(spark, d))
+
+
+# Products with too few prompts of their own, and with more than three.
+PRODUCTS = Rows("name string, use_when array<string>, do_not_use_when array<string>, refs array<string>", (("none", None, [], None), ("some", [" one ", "", "　"], ["Reproduce the source document verbatim."], ["b", "a"]), ("many", ["a", "b", "c", "d"], ["e", "f", "g", "h"], ["z"])))
+
+
+def _products(spark, d):
+    """Conversations as products: the first three short user turns are what they are used for, the first three short answers what not; and fixed ones."""
+    c = K.table(spark, d, "conversations").where((F.length("text") < 80) & F.col("role").isin("user", "assistant"))
+    nth = F.row_number().over(Window.partitionBy("conv_id", "role").orderBy("turn"))
+    short = c.withColumn("nth", nth).where("nth <= 3").groupBy("conv_id").agg(*[F.array_sort(F.collect_list(F.when(F.col("role") == r, F.struct("turn", "text")))).alias(r) for r in ("user", "assistant")])
+    every = K.table(spark, d, "conversations").select("conv_id").distinct().join(short, "conv_id", "left")
+    texts = lambda r: F.transform(r, lambda x: x.text)
+    refs = F.transform("user", lambda x: F.concat(F.lit("t"), x.turn.cast("string")))
+    return PRODUCTS.df(spark).unionByName(every.select(F.concat(F.lit("c"), F.col("conv_id").cast("string")).alias("name"), texts("user").alias("use_when"), texts("assistant").alias("do_not_use_when"), refs.alias("refs")))
+
+
+def _spelled(pattern: str) -> str:
+    head, sep, tail = (sql_value(x) for x in pattern.partition("{}"))
+    return f"{head} || name || {tail}" if sep != "''" else head
+
+
+def _three(column: str, fallbacks) -> str:
+    own = f"list_filter(list_transform(coalesce({column}, []), lambda x: {_STRIP('x')}), lambda x: x <> '')"
+    return f"list_concat({own}, list_filter([{', '.join(map(_spelled, fallbacks))}], lambda f: NOT list_contains({own}, f)))[1:3]"
+
+
+_FIXTURES = ", ".join(f"{{'assertions': {sql_value(list(said))}, 'fixture_id': '{i}', 'kind': '{kind}', 'prompt': {_spelled(prompt) if isinstance(prompt, str) else f'{prompt[0]}_[{prompt[1]}]'}, 'should_trigger': {str(triggers).lower()}}}" for i, kind, prompt, triggers, said in W.FIXTURES)
+_CORPUS = f"""sh AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) AS nth FROM conversations WHERE length(text) < 80 AND role IN ('user', 'assistant')),
+ pr AS ({PRODUCTS.sql()} UNION ALL SELECT 'c' || conv_id, u, a, r FROM (SELECT DISTINCT conv_id FROM conversations) LEFT JOIN (SELECT conv_id, list(text ORDER BY turn) FILTER (WHERE role = 'user') AS u, list(text ORDER BY turn) FILTER (WHERE role = 'assistant') AS a, list('t' || turn ORDER BY turn) FILTER (WHERE role = 'user') AS r FROM sh WHERE nth <= 3 GROUP BY 1) USING (conv_id)),
+ th AS (SELECT name, refs, {_three('use_when', W.POSITIVE)} AS use_, {_three('do_not_use_when', W.NEGATIVE)} AS not_ FROM pr), fx AS (SELECT name, refs, [{_FIXTURES}] AS f FROM th)"""
+
+
+@query(f"WITH {_CORPUS}, e AS (SELECT name, unnest(f) AS f, generate_subscripts(f, 1) - 1 AS place FROM fx) SELECT name, place::BIGINT AS place, f.fixture_id, f.kind, f.prompt, f.should_trigger, array_to_string(f.assertions, ',') AS assertions FROM e")
+def fixture_corpus(spark, d):
+    """The eleven fixtures of each product."""
+    return W.fixture_corpus(_products(spark, d))
+
+
+@query(f"WITH {_CORPUS} SELECT name, sha256(to_json({{'fixtures': f, 'ir_knowledge_refs': list_sort(coalesce(refs, []::VARCHAR[])), 'schema_version': 1, 'skill_name': name}})::VARCHAR) AS fixture_set_id FROM fx")
+def fixture_sets(spark, d):
+    """The id of each product's set of fixtures."""
+    return W.fixture_sets(_products(spark, d))
