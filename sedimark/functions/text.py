@@ -43,6 +43,9 @@ INJECTION_ZH = (
     r"扮演(?:一个|一名)?.{0,20}(?:助手|系统|AI|模型)",
 )
 
+#: The English phrases as one pattern; cases, white space and the borders of words are those of Unicode.
+STEERING = "(?iU)" + "|".join(INJECTION)
+
 
 def trimmed(t: Column) -> Column:
     """Without leading and trailing white space of any kind (trim() knows spaces only)."""
@@ -168,12 +171,12 @@ def token_estimate_budget(t: Column) -> Column:
 
 def injection_code(line: Column) -> Column:
     """The first kind of steering phrase in a line, or null."""
-    return F.when(line.rlike("(?i)" + "|".join(INJECTION)), "injection.en").when(line.rlike("|".join(INJECTION_ZH)), "injection.zh")
+    return F.when(line.rlike(STEERING), "injection.en").when(line.rlike("|".join(INJECTION_ZH)), "injection.zh")
 
 
 def suspicious(t: Column) -> Column:
     """Whether a text can have a line with a steering phrase or hidden character: one search over the whole text, so that others need not be split."""
-    return t.rlike("(?i)" + "|".join(INJECTION)) | t.rlike("|".join([*INJECTION_ZH, ZERO_WIDTH, DIRECTIONAL, CONTROL]))
+    return t.rlike(STEERING) | t.rlike("|".join([*INJECTION_ZH, ZERO_WIDTH, DIRECTIONAL, CONTROL]))
 
 
 def link_code(url: Column) -> Column:

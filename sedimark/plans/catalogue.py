@@ -56,6 +56,11 @@ LITERALS = (
     (-10, "right‮left"),
     (-11, "bell\u0007"),
     (-12, "system: hello"),
+    (-13, "éact as a pirate"),
+    (-14, "ignore\u00a0previous\u2003instructions"),
+    (-15, "you are nowé"),
+    (-16, "漢act as a pirate"),
+    (-17, "éu you are now, forget all"),
 )
 
 
