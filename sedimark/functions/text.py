@@ -219,13 +219,16 @@ def running(values: Column, step, start: Column) -> Column:
     grow = lambda a, v: once(step(a.at, v), lambda x: F.struct(x.alias("at"), F.concat(a.out, F.array(x)).alias("out")))
     kind = "bigint"
     prefixes = lambda xs: F.aggregate(xs, F.struct(start.cast(kind).alias("at"), F.array().cast(f"array<{kind}>").alias("out")), grow, lambda a: a.out)
-    chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(values) - 1) / CHUNK).cast("int")), lambda c: prefixes(F.slice(values, c * CHUNK + 1, F.lit(CHUNK))))
 
     def carried(parts: Column) -> Column:
         before = F.concat(F.array(start.cast(kind)), prefixes(F.transform(parts, lambda p: F.element_at(p, -1))))
         return once(before, lambda b: F.flatten(F.transform(parts, lambda p, i: F.transform(p, lambda x: step(b[i], x)))))
 
-    return F.when(F.size(values) > 0, once(chunks, carried)).otherwise(F.array().cast(f"array<{kind}>"))
+    def chunked(v: Column) -> Column:
+        chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / CHUNK).cast("int")), lambda c: prefixes(F.slice(v, c * CHUNK + 1, F.lit(CHUNK))))
+        return F.when(F.size(v) > 0, once(chunks, carried)).otherwise(F.array().cast(f"array<{kind}>"))
+
+    return once(values, chunked)  # a chunk must not compute the whole array anew
 
 
 def running_sum(values: Column) -> Column:

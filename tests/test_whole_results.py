@@ -67,7 +67,7 @@ def test_merged_units_have_all_fields(spark, tmp_path):
         labels=([(1, 1, 1), (2, 0, 0)], "doc_id bigint, quality int, toxic int"),
         pages=([(7, "<p>")], "page_id bigint, html string"),
     )
-    got = {(r.unit_id, r.field): r.outcome for r in catalogue.merged_units(spark, d).collect()}
+    got = {(r.unit_id, r.field): r.outcome for r in catalogue.three_way_merge(spark, d).collect()}
     want = {("d1", "kind"): "ours", ("d1", "review_status"): "conflict", ("d2", "review_status"): "preserved"}
     assert got == {(u, f): "added" if u == "p7" else "new" for u in ("d1", "d3", "p7") for f in ("kind", "content", "confidence", "review_status")} | want
 
