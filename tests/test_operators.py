@@ -1,6 +1,7 @@
 """Operators on small inputs with known results."""
 
 import io
+import random
 import zipfile
 
 import pytest
@@ -76,6 +77,28 @@ def test_similar_pairs_against_all_pairs(spark):
         assert {(r.a, r.b) for r in R.similar_pairs(df, least, "g").collect()} == want
 
 
+@pytest.mark.parametrize("least", [0.34, 0.5, 0.8])
+def test_similar_pairs_in_many_blocks(spark, monkeypatch, least):
+    """Blocks of few classes, sets from one to 3000 tokens, and copies; no table that is staged has a row for each token or for each pair that meets."""
+    monkeypatch.setattr(R, "SMALL_BLOCK", 7)
+    rows, keep = [], R.staged
+    monkeypatch.setattr(R, "staged", lambda df, what, *more: rows.append((what, keep(df, what, *more))) or rows[-1][1])
+    rng = random.Random(5)
+    data = [(i, "g" if i % 3 else "h", [f"w{x}" for x in rng.sample(range(90), rng.randint(1, 60))]) for i in range(150)]
+    data += [(200 + i, g, [f"x{x}" for x in range(10 * i, 3000)]) for i in range(0, 60, 5) for g in "g"]
+    data += [(1000 + i, g, items) for i, g, items in data[::10]] + [(2000 + i, g, items[::-1]) for i, g, items in data[::25]]
+    got = [tuple(r) for r in R.similar_pairs(spark.createDataFrame(data, "id bigint, g string, items array<string>"), least, "g").collect()]
+    want = []
+    for i, (a, g, x) in enumerate(data):
+        for b, h, y in data[i + 1 :]:
+            both = len({*x} & {*y})
+            if g == h and both >= least * (len(x) + len(y) - both) - 1e-9:
+                want.append((min(a, b), max(a, b), both, len(x) + len(y) - both))
+    assert sorted(got) == sorted(want)
+    assert all(t.count() <= len(data) + 2 * len(want) for what, t in rows if what != "meetings")
+
+
+
 def test_islands_and_gate(spark):
     q = spark.createDataFrame([("s", 1, 20), ("s", 2, 20), ("s", 4, 50), ("s", 5, 1), ("t", 7, 99)], "source string, number bigint, words bigint")
     assert {tuple(r) for r in C.islands(q, 25, 40).collect()} == {("s", 1, 2, 40, "warn"), ("s", 4, 2, 51, "fail")}
