@@ -9,7 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sedimark.functions.text import once
 from sedimark.operators.ordered import numbered
+from sedimark.sources.scratch import staged
 
 # Kinds whose units are steps of a workflow, in their order; reference files by kind, in theirs.
 STEP_KINDS = ("framework", "technique", "decision_rule", "checklist", "principle")
@@ -30,35 +32,35 @@ ALONE = ("Apply knowledge from references", "No framework/principle units were p
 LABEL, DESCRIPTION = 80, 240
 #: Characters of white space and of line ends, as classes.
 BLANK = r"\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+BLANKS = "\x09\x0a\x0b\x0c\x0d\x1c\x1d\x1e\x1f\x20\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 LINE_END = r"\x0A-\x0D\x1C-\x1E\x{85}\x{2028}\x{2029}"
 
 
 def stripped(t: Column) -> Column:
     """Without white space at both ends."""
-    return F.regexp_replace(t, f"^[{BLANK}]+|[{BLANK}]+\\z", "")
+    return F.btrim(t, F.lit(BLANKS))
 
 
 def first_line(t: Column) -> Column:
-    return F.regexp_extract(stripped(t), f"^[^{LINE_END}]*", 0)
+    return F.when(t.rlike(f"[{LINE_END}]"), F.regexp_extract(stripped(t), f"^[^{LINE_END}]*", 0)).otherwise(stripped(t))
 
 
 def one_line(t: Column) -> Column:
     """The lines that are not blank, trimmed and joined by spaces."""
     lines = F.transform(F.split(t, f"[{LINE_END}]"), stripped)
-    return F.array_join(F.filter(lines, lambda x: x != ""), " ")
+    return F.when(t.rlike(f"[{LINE_END}]"), F.array_join(F.filter(lines, lambda x: x != ""), " ")).otherwise(stripped(t))
 
 
 def step_label(kind: Column, content: Column) -> Column:
     """The kind as a title, and the first line of the content, which is cut where it is long."""
-    title, line = F.initcap(F.replace(kind, F.lit("_"), F.lit(" "))), first_line(content)
-    short = F.when(F.length(line) > LABEL, F.concat(F.left(line, F.lit(LABEL - 3)), F.lit("..."))).otherwise(line)
-    return F.when(short == "", title).otherwise(F.concat(title, F.lit(": "), short))
+    title = F.initcap(F.replace(kind, F.lit("_"), F.lit(" ")))
+    short = once(first_line(content), lambda line: F.when(F.length(line) > LABEL, F.concat(F.left(line, F.lit(LABEL - 3)), F.lit("..."))).otherwise(line))
+    return once(short, lambda short: F.when(short == "", title).otherwise(F.concat(title, F.lit(": "), short)))
 
 
 def step_description(content: Column) -> Column:
-    text = one_line(content)
-    cut = F.concat(F.regexp_replace(F.left(text, F.lit(DESCRIPTION - 3)), f"[{BLANK}]+\\z", ""), F.lit("..."))
-    return F.when(F.length(text) > DESCRIPTION, cut).otherwise(text)
+    cut = lambda text: F.concat(F.rtrim(F.left(text, F.lit(DESCRIPTION - 3)), F.lit(BLANKS)), F.lit("..."))
+    return once(one_line(content), lambda text: F.when(F.length(text) > DESCRIPTION, cut(text)).otherwise(text))
 
 
 def reference_files(units: DataFrame) -> DataFrame:
@@ -73,6 +75,7 @@ def workflow(units: DataFrame) -> DataFrame:
 
     A null content is empty; kinds outside the fixed ones have no step and no file; ties of ord are in any order of unit_id.
     """
+    units = staged(units.select("source_id", "unit_id", "kind", "content", "ord"), "units", "zstd")  # read four times
     rank = F.create_map(*[F.lit(x) for kv in enumerate(STEP_KINDS) for x in kv[::-1]])
     content = F.coalesce("content", F.lit(""))
     own = units.where(F.col("kind").isin(*STEP_KINDS))
@@ -126,9 +129,11 @@ def wiki_parts(units: DataFrame) -> DataFrame:
     Chapters have the frameworks, numbered, and behind them one chapter of all principles; the glossary has the terms in order of their lower-cased first lines, equal ones in order of the source; patterns list
     principles and anti-patterns by their first lines; the cheatsheet has the first three lines of what tells what to do. A page without units is left out. A unit without a first line is called by its id.
     """
+    units = staged(units.select("source_id", "unit_id", "kind", "content", "ord"), "units", "zstd")
     content = F.coalesce("content", F.lit(""))
     line = stripped(first_line(content))
     named = units.where(F.col("kind").isin(*{k for kinds in WIKI.values() for k in kinds})).select("source_id", "unit_id", "kind", "ord", content.alias("content"), F.when(line == "", F.col("unit_id")).otherwise(line).alias("name"), line.alias("line"))
+    named = staged(named, "named", "zstd")  # each of the parts below reads it
     frameworks = numbered(named.where("kind = 'framework'"), ["source_id"], ["ord", "unit_id"], "n", 1)
     text = lambda *lines: F.concat_ws("\n", *[F.lit(x) if isinstance(x, str) else x for x in lines])
     blank = F.lit("")

@@ -63,3 +63,13 @@ def test_progress_of_skipped_stages(spark):
     df = spark.createDataFrame(events, "k string, i bigint, stage string, f double").repartition(3)
     got = {r.k: r.percent for r in W.furthest_progress(df, "k", ["i"], "stage", F.col("f"), stages).collect()}
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-6 for k in want)
+
+
+def test_units_are_made_once_for_all_parts(spark, monkeypatch):
+    """What a wiki's parts and a workflow's steps read is staged, so that the units behind them are not made anew for each."""
+    names, keep = [], W.staged
+    monkeypatch.setattr(W, "staged", lambda df, what, *more: names.append(what) or keep(df, what, *more))
+    units = spark.createDataFrame([("s", "u1", "principle", "　a\r\nb \x85", 1), ("s", "u2", "framework", "  ", 2)], "source_id string, unit_id string, kind string, content string, ord bigint")
+    assert [r.text for r in W.wiki_parts(units).where("file like '%patterns.md'").orderBy("place").collect()] == ["# Patterns & Anti-Patterns\n", "## Patterns\n", "- a", ""]
+    assert [(r.step, r.description) for r in W.workflow(units).where("refs like 'u%'").orderBy("place").collect()] == [("Framework", ""), ("Principle: a", "a b")]
+    assert names == ["units", "named", "units"]
