@@ -25,12 +25,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .blocks import single, spread, starts, text_blocks
 from .common import ranked, staged
 
-#: Words and pieces whose ids a Python worker remembers at most, and the longest that it remembers, in bytes.
-MEMORY, LONGEST = 200_000, 48
+#: Words and pieces, and parts of a block's words, whose ids a Python worker remembers at most, and the longest that it remembers, in bytes.
+MEMORY, PARTS, LONGEST = 200_000, 500_000, 48
+#: Bytes of text in a block, whose distinct words are looked up once.
+BLOCK = 16 << 20
 #: A word of ASCII letters with ASCII marks behind it, but no apostrophe, which may start a contraction.
 SIMPLE = re.compile(rb"([A-Za-z]*)([!-&(-/:-@\[-`{-~]*)")
+#: The same marks, and the composed Latin letters before them (İ has a lower case of two characters).
+MARKS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "'")
+LATIN = "".join(c for c in map(chr, range(0x250)) if c.isalpha() and c != "\u0130")
 #: The byte-level alphabet: printable Latin-1 bytes stand for themselves, the others for the characters from 256 on.
 _PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 ALPHABET = {b: chr(b) for b in _PRINTABLE} | {b: chr(256 + n) for n, b in enumerate(b for b in range(256) if b not in set(_PRINTABLE))}
@@ -72,11 +78,13 @@ class WordIds:
         self.tokenizer = Tokenizer.from_file(path)
         declared = json.loads(self.tokenizer.to_str())
         self.by_word = {k: declared[k] for k in BY_WORD} == BY_WORD and declared["model"]["type"] == "BPE" and not any(t["lstrip"] or t["rstrip"] or t["normalized"] for t in declared["added_tokens"])
+        self.specials: list[bytes] = []
+        self.known: dict[bytes, bytes] = {}
+        self.parts: dict[bytes, bytes] = {}
         if not self.by_word:
             return
         self.specials = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.normalize, self.split, self.tokenize = self.tokenizer.normalizer.normalize_str, self.tokenizer.pre_tokenizer.pre_tokenize_str, self.tokenizer.model.tokenize
-        self.known: dict[bytes, bytes] = {}
 
     def _piece(self, piece: str) -> bytes:
         return array("I", [t.id for t in self.tokenize(piece)]).tobytes()
@@ -104,6 +112,20 @@ class WordIds:
             return self._piece("".join(map(ALPHABET.__getitem__, text.lower().encode())))
         return array("I", [t.id for piece, _ in self.split(self.normalize(text)) for t in self.tokenize(piece)]).tobytes()
 
+    def _parts(self, parts: pa.Array) -> list[bytes]:
+        """The ids of lower-case words and marks."""
+        known, out = self.parts, []
+        for w in parts.cast(pa.binary()).to_pylist():
+            ids = known.get(w)
+            if ids is None:
+                ids = self._piece(w.decode()) if w.isalpha() else self._word(w)  # isalpha() of bytes knows ASCII letters only
+                if len(w) <= LONGEST:
+                    if len(known) >= PARTS:
+                        known.clear()
+                    known[w] = ids
+            out.append(ids)
+        return out
+
     def of_word(self, word: bytes) -> bytes:
         """The ids of one word, if by_word."""
         return array("I", self.tokenizer.encode(word.decode(), add_special_tokens=False).ids).tobytes() if any(s in word for s in self.specials) else self._word(word)
@@ -122,32 +144,58 @@ class WordIds:
             out.append(ids if ids is not None else self._remember(w, self._word(w)))
         return b"".join(out)
 
+    def of_texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one text's behind the other's, and how many each has. Each distinct word of them is taken apart once, and each distinct part looked up once."""
+        import pyarrow.compute as pc
+
+        whole = np.full(len(texts), not self.by_word)
+        for special in self.specials:
+            whole |= pc.match_substring(texts, special.decode()).to_numpy(zero_copy_only=False)
+        words = pc.ascii_split_whitespace(pc.if_else(pa.array(whole), "", texts) if whole.any() else texts)
+        found = words.flatten().dictionary_encode()
+        distinct, codes = found.dictionary, found.indices.to_numpy(zero_copy_only=False)
+        # composed Latin letters with ASCII marks behind them are two pre-tokens; white space at an end leaves an empty word, which has none
+        stems = pc.ascii_rtrim(distinct, MARKS)
+        latin = pc.or_(pc.equal(stems, ""), pc.and_(pc.utf8_is_alpha(stems), pc.invert(pc.match_substring_regex(stems, "[^\x01-\u024f]|\u0130"))))
+        first = pc.if_else(latin, pc.utf8_lower(stems), distinct).dictionary_encode()
+        marks = pc.if_else(latin, pc.utf8_ltrim(distinct, LATIN), "").dictionary_encode()
+        ids = [*self._parts(first.dictionary), *self._parts(marks.dictionary)]
+        long = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        both = np.stack([first.indices.to_numpy(zero_copy_only=False), marks.indices.to_numpy(zero_copy_only=False) + len(first.dictionary)], 1)
+        tokens, lengths = np.frombuffer(b"".join(ids), "<u4")[spread(starts(long), both.ravel())], long[both].sum(1)
+        offsets = words.offsets.to_numpy().astype(np.int64)
+        out, counts = tokens[spread(starts(lengths), codes)], np.diff(starts(lengths[codes])[offsets - offsets[0]])
+        if whole.any():
+            parts = np.split(out, np.cumsum(counts)[:-1])
+            for i in np.flatnonzero(whole):
+                parts[i] = np.frombuffer(self(texts[i].as_buffer().to_pybytes()), "<u4")
+            out, counts = np.concatenate(parts), np.array([len(x) for x in parts], np.int64)
+        return out, counts
+
 
 def tokenize_pieces(df: DataFrame, tokenizer: str, size: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """id, piece, start, length and ids_crc32 (and with_ids, ids) of the pieces of each text. Narrow, no shuffle."""
     rows = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         to_ids = WordIds.of_worker(tokenizer)
-        for batch in batches:
-            row, piece, start, length, crc, ids = [], [], [], [], [], []
-            for i, text in enumerate(batch["text"]):
-                data = to_ids(text.as_buffer().to_pybytes()) + end
-                for k, at in enumerate(range(0, len(data), size * 4)):
-                    part = data[at : at + size * 4]
-                    row.append(i)
-                    piece.append(k)
-                    start.append(at // 4)
-                    length.append(len(part) // 4)
-                    crc.append(zlib.crc32(part))
-                    if with_ids:
-                        ids.append(np.frombuffer(part, "<u4").astype(np.int32))
-            columns = [batch["id"].take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), *[pa.array(c, pa.int64()) for c in (start, length, crc)]]
+        for _, block in text_blocks(batches, BLOCK):
+            ids, counts = to_ids.of_texts(single(block["text"]))
+            ends = starts(counts + 1)
+            data = np.full(ends[-1], end_id, "<u4")
+            data[np.arange(len(ids)) + np.repeat(np.arange(len(counts)), counts)] = ids
+            pieces = counts // size + 1
+            row = np.repeat(np.arange(len(counts)), pieces)
+            piece = np.arange(len(row)) - starts(pieces)[row]
+            start = piece * size
+            length = np.minimum(counts[row] + 1 - start, size)
+            plain, begin = memoryview(data).cast("B"), 4 * (ends[row] + start)
+            crc = [zlib.crc32(plain[x:y]) for x, y in zip(begin.tolist(), (begin + 4 * length).tolist())]
+            columns = [single(block["id"]).take(pa.array(row)), pa.array(piece, pa.int32()), *[pa.array(c, pa.int64()) for c in (start, length, crc)]]
             names = ["id", "piece", "start", "length", "ids_crc32"]
             if with_ids:
-                columns.append(pa.array(ids, pa.list_(pa.int32())))
+                columns.append(pa.ListArray.from_arrays(pa.array(starts(length), pa.int32()), pa.array(data.astype(np.int32))))
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(columns, names)
 

@@ -469,3 +469,21 @@ def test_fingerprints_of_edits(docs, none, spark, sf):
     assert fingerprint.fingerprint_edits(none).collect() == []
     one = spark.createDataFrame([(1, "alone in the world of texts today")], "doc_id bigint, text string")
     assert fingerprint.fingerprint_edits(one).first().near_next == 1.0
+
+
+def test_each_distinct_word_of_a_block_is_taken_apart_once(monkeypatch):
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    tokenizer, ids = Tokenizer.from_file(queries.tokenizer_path()), packing.WordIds(queries.tokenizer_path())
+    long = "9" + "x" * 60
+    texts = ["", " \x0b\t", "The the THE, the.) 'tis don't", "Ä̈rger Straße, İstanbul ŉ ʼn Ĳ. É.", "H̱ ẖ ≮ a≮ ciónarco.!?", "中文 abc中 a1b 3.14  x y ==", "a <|endoftext|> B, b", f"{long} " * 50, "ﬁn ªº ǅ. Ωmega ς Σ"]
+    for marks in (packing.MARKS, "&&&", "--", "'"):
+        texts.append(" ".join(f"{w}{marks}" for w in ("word", "Über", "", "x2", "naïve")))
+    seen = []
+    keep = ids._word
+    monkeypatch.setattr(ids, "_word", lambda w: seen.append(w) or keep(w))
+    got, counts = ids.of_texts(pa.array(texts))
+    want = [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert counts.tolist() == [len(x) for x in want] and got.tolist() == [i for x in want for i in x]
+    assert seen.count(long.encode()) == 1
