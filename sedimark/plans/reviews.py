@@ -10,7 +10,6 @@ from sedimark.operators import governance as G
 from sedimark.operators import relate as R
 from sedimark.operators import reviews as V
 from sedimark.sources import sinks
-from sedimark.sources.scratch import staged
 
 from . import catalogue as K
 from . import oracles as O
@@ -255,6 +254,4 @@ def quote_ratio_pairs(spark, d):
     from sedimark.operators import blocks as B
 
     b = B.blocks(K._docs(spark, d)).select(F.col("block_id").alias("id"), F.col("source_id").alias("source"), F.col("text").alias("quote")).unionByName(QUOTES.df(spark))
-    quotes = staged(b.withColumn("words", T.effective_words(F.col("quote"))), "quotes")
-    near = staged(R.ratio_pairs(quotes), "near")
-    return near.select("a", "b", F.lit("similar").alias("code")).unionByName(R.quote_pairs(quotes, found=near).select("a", "b", F.lit("fingerprint_similar").alias("code")))
+    return R.near_quotes(b.withColumn("words", T.effective_words(F.col("quote"))))

@@ -204,6 +204,33 @@ def test_ratio_pairs_against_all_pairs(spark):
     assert got == want and len(want) > 5
 
 
+def test_near_quotes_in_one_pass(spark, monkeypatch):
+    """The pairs of both ways in one pass; sources of many quotes or bytes in blocks; where there are none, only the pairs found are staged."""
+    staged, keep = [], R.staged
+    monkeypatch.setattr(R, "staged", lambda df, what, *more: staged.append(what) or keep(df, what, *more))
+    rng = random.Random(11)
+    words = ["plan", "week", "Monday", "read", "team", "the", "of", "and", "计划", "𝒳x", "straße"]
+    base = [" ".join(rng.choice(words) for _ in range(n)) for n in (9, 12, 14, 20, 25, 33, 50, 70, 400)]
+    data = [(0, "c", None), (1, None, base[3]), (2, "c", "! " * 30), (3, "c", "? " * 30), (4, "one", base[4])]
+    for b in base * 8:
+        w = b.split()
+        for _ in range(rng.randrange(0, 3)):
+            w[rng.randrange(len(w))] = rng.choice([*words, ""])
+        w = w[len(w) // 2 :] + w[: len(w) // 2] if rng.random() < 0.4 else w
+        data.append((len(data), rng.choice("stu"), " ".join(w)))
+    df = spark.createDataFrame(data, "id bigint, source string, quote string").withColumn("words", T.effective_words(F.col("quote")))
+    near = R.ratio_pairs(df).select("a", "b").cache()
+    want = {(r.a, r.b, "similar") for r in near.collect()} | {(r.a, r.b, "fingerprint_similar") for r in R.quote_pairs(df, found=near).collect()}
+    assert len({c for *_, c in want}) == 2 and len(want) > 30
+    for quotes, size in ((4096, 1 << 24), (20, 1 << 24), (4096, 3000), (1, 1)):
+        monkeypatch.setattr(R, "HELD_QUOTES", quotes)
+        monkeypatch.setattr(R, "HELD_BYTES", size)
+        staged.clear()
+        got = [tuple(r) for r in R.near_quotes(df).collect()]
+        assert sorted(got) == sorted(want)
+        assert (staged == ["near"]) == (size > 3000 and quotes > 20)
+
+
 def test_plain_searches_leave_no_phrase_out(spark):
     """What the plain searches before the patterns let through has all that the patterns find, letters that fold to s, k and i and any white space included."""
     texts = ["İgnore prevıous instructıonſ", "DIſREGARD ALL INSTRUCTIONS", "You Are An", "ſyſtem　:", "aſſiſtant:", "<|IM_ſTART|>", "[/İNſT]", "Forget\nprevious", "Act Aſ a", "acts as a", "you are", "user", "new instructions :", "plain", "", None]
