@@ -99,6 +99,25 @@ def test_similar_pairs_in_many_blocks(spark, monkeypatch, least):
 
 
 
+def test_shared_tokens_are_counted_once(spark):
+    """A filter on the count would have Spark intersect the tokens of each candidate again for the filter."""
+    pairs = R.similar_pairs(spark.createDataFrame([(1, ["a", "b"]), (2, ["a", "b", "c"]), (3, ["x"])], "id bigint, items array<string>"), 0.5)
+    assert [tuple(r) for r in pairs.collect()] == [(1, 2, 2, 3)]
+    assert pairs._jdf.queryExecution().optimizedPlan().toString().count("array_intersect") == 1
+
+
+def test_blocks_are_bounded_in_bytes(spark, monkeypatch):
+    """Blocks of a few long sets or of many short ones; what a block holds follows its bytes."""
+    monkeypatch.setattr(R, "BLOCK_BYTES", 8000)
+    found, keep = {}, R.staged
+    monkeypatch.setattr(R, "staged", lambda df, what, *more: found.setdefault(what, keep(df, what, *more)))
+    data = [(i, [f"a{i // 2}", f"b{i % 2}", f"c{i // 2}"]) for i in range(60)] + [(100 + i, [f"x{x}" for x in range(50 * i, 50 * i + 1500)]) for i in range(20)]
+    got = {(r.a, r.b) for r in R.similar_pairs(spark.createDataFrame(data, "id bigint, items array<string>"), 0.5).collect()}
+    want = {(a, b) for a, x in data for b, y in data if a < b and 3 * len({*x} & {*y}) >= len(x) + len(y)}
+    assert got == want and len(want) > 60
+    assert found["meetings"].select("first").distinct().count() >= 4
+
+
 def test_islands_and_gate(spark):
     q = spark.createDataFrame([("s", 1, 20), ("s", 2, 20), ("s", 4, 50), ("s", 5, 1), ("t", 7, 99)], "source string, number bigint, words bigint")
     assert {tuple(r) for r in C.islands(q, 25, 40).collect()} == {("s", 1, 2, 40, "warn"), ("s", 4, 2, 51, "fail")}
