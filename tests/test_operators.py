@@ -118,6 +118,26 @@ def test_blocks_are_bounded_in_bytes(spark, monkeypatch):
     assert found["meetings"].select("first").distinct().count() >= 4
 
 
+def test_conflicts_are_compared_across_kinds_alone(spark, monkeypatch):
+    """Principles that are similar to each other are no candidates; texts of both kinds and copies are."""
+    found, keep = {}, R.staged
+    monkeypatch.setattr(R, "staged", lambda df, what, *more: found.setdefault(what, keep(df, what, *more)))
+    rng = random.Random(13)
+    kinds = ["principle", "anti_pattern", "term"]
+    like = [(i, "principle", " ".join(["same", "few", "words", "here", f"u{i}"])) for i in range(80)]
+    data = like + [(100 + i, rng.choice(kinds), " ".join(rng.sample([f"t{x}" for x in range(14)], rng.randrange(2, 9)))) for i in range(120)]
+    data += [(300 + i, kinds[i % 2], text) for i, _, text in data[85::6]]
+    for small in (4096, 9):
+        monkeypatch.setattr(R, "SMALL_BLOCK", small)
+        found.clear()
+        got = [(r.a, r.b) for r in R.conflict_pairs(spark.createDataFrame(data, "id bigint, kind string, content string").repartition(3)).collect()]
+        sets = {i: {*text.split()} for i, _, text in data}
+        want = [(a, b) for a, k, _ in data for b, m, _ in data if a < b and {k, m} == {*kinds[:2]} and len(sets[a] & sets[b]) >= 0.34 * len(sets[a] | sets[b]) - 1e-9]
+        assert sorted(got) == sorted(want) and len(want) > 100
+        candidates = [tuple(sorted(r)) for r in found["candidates"].collect()]
+        assert len({*candidates}) == len(candidates) and not any(b < 100 for _, b in candidates)
+
+
 def test_islands_and_gate(spark):
     q = spark.createDataFrame([("s", 1, 20), ("s", 2, 20), ("s", 4, 50), ("s", 5, 1), ("t", 7, 99)], "source string, number bigint, words bigint")
     assert {tuple(r) for r in C.islands(q, 25, 40).collect()} == {("s", 1, 2, 40, "warn"), ("s", 4, 2, 51, "fail")}
